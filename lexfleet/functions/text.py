@@ -1,10 +1,8 @@
 """Licence-text and string functions as Catalyst columns (no Python per row)."""
 
-from functools import reduce
-
 from pyspark.sql import Column, functions as F
 
-from . import fixed
+from . import fixed, sqltext as q
 
 # curly quotes, en/em dash, no-break spaces, byte-order mark (the last one is dropped)
 _FANCY = "\u2018\u2019\u201c\u201d\u2013\u2014\u00a0\u202f\ufeff"
@@ -21,53 +19,40 @@ def normalise_text(c) -> Column:
     return F.trim(F.regexp_replace(folded, r"(?U)\s+", " "))
 
 
-def contains_any(c, needles) -> Column:
-    return reduce(lambda a, b: a | b, [col(c).contains(n) for n in needles])
-
-
-def contains_all(c, needles) -> Column:
-    return reduce(lambda a, b: a & b, [col(c).contains(n) for n in needles])
+def recognise_licence(normalised: str) -> Column:
+    """First licence whose phrases all occur (and whose excluded phrases do not),
+    over a column that already went through `normalise_text`."""
+    c = q.ident(normalised)
+    branches = []
+    for spdx, every, none in fixed.LICENCE_PHRASES:
+        hit = q.contains_all(c, every) + (f" AND NOT {q.contains_any(c, none)}" if none else "")
+        branches.append((hit, q.quote(spdx)))
+    return F.expr(q.case(branches))
 
 
-def recognise_licence(c, normalised=False) -> Column:
-    """First licence whose phrases all occur (and whose excluded phrases do not)."""
-    text = col(c) if normalised else normalise_text(c)
-    out = None
-    for spdx, every, none in fixed.LICENCE_PHRASES:
-        hit = contains_all(text, every)
-        if none:
-            hit = hit & ~contains_any(text, none)
-        out = F.when(hit, F.lit(spdx)) if out is None else out.when(hit, F.lit(spdx))
-    return out
+def _prose(lowered: str, pick) -> Column:
+    c = q.ident(lowered)
+    first = q.case((f"contains({c}, {q.quote(n)})", q.quote(pick(n, spdx))) for n, spdx in fixed.PROSE_NEEDLES)
+    return F.expr(f"CASE WHEN contains({c}, {q.quote(fixed.PROSE_GATE)}) THEN {first} END")
 
 
-def prose_needle(c) -> Column:
-    """First needle found in text that talks about licensing, else NULL."""
-    text = F.lower(col(c))
-    out = None
-    for needle, _ in fixed.PROSE_NEEDLES:
-        hit = text.contains(needle)
-        out = F.when(hit, F.lit(needle)) if out is None else out.when(hit, F.lit(needle))
-    return F.when(text.contains(fixed.PROSE_GATE), out)
+def prose_needle(lowered: str) -> Column:
+    """First needle found in (lower-cased) text that talks about licensing, else NULL."""
+    return _prose(lowered, lambda needle, spdx: needle)
 
 
-def prose_licence(c) -> Column:
+def prose_licence(lowered: str) -> Column:
     """SPDX id behind the first prose needle, else NULL."""
-    text = F.lower(col(c))
-    out = None
-    for needle, spdx in fixed.PROSE_NEEDLES:
-        hit = text.contains(needle)
-        out = F.when(hit, F.lit(spdx)) if out is None else out.when(hit, F.lit(spdx))
-    return F.when(text.contains(fixed.PROSE_GATE), out)
+    return _prose(lowered, lambda needle, spdx: spdx)
 
 
-def has_brand_noun(normalised) -> Column:
-    return contains_any(normalised, fixed.BRAND_NOUNS)
+def has_brand_noun(normalised: str) -> Column:
+    return F.expr(q.contains_any(q.ident(normalised), fixed.BRAND_NOUNS))
 
 
-def has_brand_reservation(c, normalised=False) -> Column:
-    text = col(c) if normalised else normalise_text(c)
-    return has_brand_noun(text) & contains_any(text, fixed.BRAND_NEGATIONS)
+def has_brand_reservation(normalised: str) -> Column:
+    c = q.ident(normalised)
+    return F.expr(q.contains_any(c, fixed.BRAND_NOUNS) + " AND " + q.contains_any(c, fixed.BRAND_NEGATIONS))
 
 
 def brand_evidence(c) -> Column:
@@ -77,7 +62,8 @@ def brand_evidence(c) -> Column:
         lines,
         lambda x, i: F.struct((i + 1).alias("line"), F.trim(F.regexp_replace(x, r"(?U)^\s+|\s+$", "")).alias("excerpt")),
     )
-    noun = F.filter(numbered, lambda s: has_brand_noun(normalise_text(s["excerpt"])))
+    nouns = "|".join(fixed.BRAND_NOUNS)
+    noun = F.filter(numbered, lambda s: normalise_text(s["excerpt"]).rlike(nouns))
     filled = F.filter(numbered, lambda s: s["excerpt"] != "")
     return F.coalesce(
         F.try_element_at(noun, F.lit(1)),
@@ -123,11 +109,9 @@ def dir_segments(rel) -> Column:
 
 def is_licence_file_name(base) -> Column:
     low = F.lower(col(base))
-    prefixed = reduce(
-        lambda a, b: a | b,
-        [low.startswith(p) & (F.length(low) > len(p)) for p in fixed.LICENCE_FILE_PREFIXES],
-    )
-    return low.isin(fixed.LICENCE_FILE_NAMES) | prefixed
+    prefix = "^(?:" + "|".join(p.replace(".", r"\.") for p in fixed.LICENCE_FILE_PREFIXES) + ")."
+    names = "^(?:" + "|".join(n.replace(".", r"\.") for n in fixed.LICENCE_FILE_NAMES) + ")$"
+    return low.rlike(names) | low.rlike(prefix)
 
 
 def file_extension(base) -> Column:

@@ -12,7 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lexfleet.functions import ids, severity as sev
+from lexfleet.functions import ids, severity as sev, sqltext as q
 from lexfleet.operators import predicates
 from lexfleet.operators.resolve import resolve
 from lexfleet.session import salted_join, small_side
@@ -34,71 +34,61 @@ def evaluation_rows(dependencies: DataFrame, intents: DataFrame, corpus) -> Data
     return salted_join(resolved, intents, "project_id", ["id"], how="inner")
 
 
-def row_field(path: str) -> Column:
-    """Column of a predicate field: NULL exactly when the fact is undeclared."""
-    blank_is_null = lambda c: F.when(F.col(c) != "", F.col(c))
-    special = {
-        "dep.kind": lambda: F.col("kind"),
-        "dep.ecosystem": lambda: F.col("ecosystem"),
-        "dep.name": lambda: F.col("name"),
-        "dep.version": lambda: blank_is_null("version"),
-        "dep.licence.family": lambda: F.col("entry_family"),
-        "dep.licence.permissiveness": lambda: F.col("entry_permissiveness"),
-        "dep.licence.spdx": lambda: F.coalesce(F.col("spdx"), F.lit("")),
-        "dep.licence.resolved": lambda: is_named(),
-        "project.name": lambda: blank_is_null("project_name"),
-    }
-    return special[path]() if path in special else F.col(predicates.column_name(path))
+IS_NAMED = "(coalesce(resolved, false) AND coalesce(spdx, '') <> '')"
 
 
-def is_named() -> Column:
-    return F.coalesce(F.col("resolved"), F.lit(False)) & (F.coalesce(F.col("spdx"), F.lit("")) != "")
+def row_field(path: str) -> str:
+    """SQL of a predicate field: NULL exactly when the fact is undeclared."""
+    special = {
+        "dep.kind": "kind",
+        "dep.ecosystem": "ecosystem",
+        "dep.name": "name",
+        "dep.version": "nullif(version, '')",
+        "dep.licence.family": "entry_family",
+        "dep.licence.permissiveness": "entry_permissiveness",
+        "dep.licence.spdx": "coalesce(spdx, '')",
+        "dep.licence.resolved": IS_NAMED,
+        "project.name": "nullif(project_name, '')",
+    }
+    return special.get(path) or q.ident(predicates.column_name(path))
 
 
-def _struct(rule_id, source, reason=None, field=None) -> Column:
-    null = F.lit(None).cast("string")
-    return F.struct(
-        (F.lit(rule_id) if rule_id else null).alias("rule_id"),
-        (F.lit(source) if source else null).alias("source"),
-        (null if reason is None else reason).alias("reason"),
-        (null if field is None else field).alias("field"),
-    )
+def _struct(rule_id, source, reason="NULL", field="NULL") -> str:
+    return (f"named_struct('rule_id', CAST({q.quote(rule_id)} AS STRING), 'source', CAST({q.quote(source)} AS STRING), "
+            f"'reason', CAST({reason} AS STRING), 'field', CAST({field} AS STRING))")
 
 
-def _obligation(rule, field_column) -> Column:
-    c = predicates.compile_predicate(rule.get("when", True), field_column)
-    reason = F.when(c.truth.isNull(), F.lit("intent_undeclared"))
-    return F.when(F.coalesce(c.truth, F.lit(True)), _struct(rule["id"], "obligation", reason, c.field))
+def _obligation(rule, column_sql) -> str:
+    c = predicates.compile_predicate(rule.get("when", True), column_sql)
+    if c.field_sql == predicates.NO_FIELD:
+        return _struct(rule["id"], "obligation")
+    reason = f"IF({c.truth_sql} IS NULL, 'intent_undeclared', NULL)"
+    return f"IF(coalesce({c.truth_sql}, true), {_struct(rule['id'], 'obligation', reason, c.field_sql)}, NULL)"
 
 
-def _trap(rule, source, field_column) -> Column:
-    c = predicates.compile_predicate(rule.get("when", True), field_column)
-    return F.when(F.coalesce(c.truth, F.lit(False)), _struct(rule["id"], source))
+def _trap(rule, source, column_sql) -> str:
+    c = predicates.compile_predicate(rule.get("when", True), column_sql)
+    return f"IF({c.truth_sql}, {_struct(rule['id'], source)}, NULL)"
 
 
-def outcome_array(corpus, field_column=row_field) -> Column:
+def outcome_array(corpus, column_sql=row_field) -> Column:
     """Array of outcome structs of one evaluation row."""
-    empty = F.array().cast(f"array<{_STRUCT}>")
-    own = None
+    empty = f"CAST(array() AS array<{_STRUCT}>)"
+    own = []
     for e in corpus.licences:
-        hits = [_obligation(o, field_column) for o in e.get("obligations", [])]
-        hits += [_trap(t, "own_trap", field_column) for t in e.get("traps", [])]
-        if not hits:
-            continue
-        match, body = F.col("entry_spdx") == e["spdx_id"], F.array(*hits)
-        own = F.when(match, body) if own is None else own.when(match, body)
-    traps = [_trap(t, "trap", field_column) for t in corpus.dependency_traps()]
-    traps = F.array(*traps) if traps else empty
-
-    licensed = ~F.col("kind").isin("asset", "upstream_cli")
-    missing = F.when(
-        licensed & F.col("entry_spdx").isNull(),
-        F.when(is_named(), _struct(None, None, F.lit("no_corpus_entry")))
-        .otherwise(_struct(None, None, F.lit("licence_unresolved"))),
-    )
-    own_hits = F.when(licensed & is_named(), own) if own is not None else empty
-    everything = F.concat(F.array(missing), F.coalesce(own_hits, empty), traps)
-    return F.when(F.col("kind") != "upstream_cli", F.array_compact(everything))
+        hits = [_obligation(o, column_sql) for o in e.get("obligations", [])]
+        hits += [_trap(t, "own_trap", column_sql) for t in e.get("traps", [])]
+        if hits:
+            own.append((f"entry_spdx = {q.quote(e['spdx_id'])}", f"array({', '.join(hits)})"))
+    own_hits = q.case(own, empty)
+    traps = [_trap(t, "trap", column_sql) for t in corpus.dependency_traps()]
+    traps = f"array({', '.join(traps)})" if traps else empty
+
+    licensed = "kind NOT IN ('asset', 'upstream_cli')"
+    unnamed = _struct(None, None, f"IF({IS_NAMED}, 'no_corpus_entry', 'licence_unresolved')")
+    missing = f"array(IF({licensed} AND (entry_spdx IS NULL OR NOT {IS_NAMED}), {unnamed}, NULL))"
+    own_hits = f"IF({licensed} AND {IS_NAMED} AND entry_spdx IS NOT NULL, {own_hits}, {empty})"
+    return F.expr(f"IF(kind <> 'upstream_cli', array_compact(concat({missing}, {own_hits}, {traps})), {empty})")
 
 
 def rule_dimension(spark, corpus, today: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from lexfleet.functions import ids, severity as sev, text
+from lexfleet.functions import severity as sev, sqltext as q, text
 from lexfleet.operators import predicates
 from lexfleet.operators.evaluate import OUTCOME_COLUMNS, row_field
 from lexfleet.session import salted_join, small_side
@@ -112,20 +112,18 @@ def platform_outcomes(matched: DataFrame, intents: DataFrame, corpus, today: str
         "*", "primary.id", "primary.kind", "primary.name")
 
     def field(path):
-        if path.startswith("dep."):
-            known = {"dep.kind": F.col("kind"), "dep.name": F.col("name")}
-            return known.get(path, F.lit(None).cast("string"))
-        return row_field(path)
+        known = {"dep.kind": "kind", "dep.name": "name"}
+        return known.get(path, "CAST(NULL AS STRING)") if path.startswith("dep.") else row_field(path)
 
-    branch = None
+    branches = []
     for p in corpus.platforms:
         hits = []
         for c in p.get("clauses", []):
-            truth = predicates.compile_predicate(c.get("when", True), field).truth
-            hits.append(F.when(F.coalesce(truth, F.lit(True)), F.lit(c["id"])))
-        match, body = F.col("platform") == p["platform"], F.array_compact(F.array(*hits))
-        branch = F.when(match, body) if branch is None else branch.when(match, body)
-    fired = by_platform.select("*", F.explode(branch).alias("clause_id"))
+            truth = predicates.compile_predicate(c.get("when", True), field).truth_sql
+            hits.append(f"IF(coalesce({truth}, true), {q.quote(c['id'])}, NULL)")
+        if hits:
+            branches.append((f"platform = {q.quote(p['platform'])}", f"array_compact(array({', '.join(hits)}))"))
+    fired = by_platform.select("*", F.explode(F.expr(q.case(branches))).alias("clause_id"))
 
     stale = sev.platform_stale("last_verified", "staleness_days", today)
     clauses = corpus.frame(spark, "platform_clauses").join(small_side(corpus.frame(spark, "platforms")), "platform")

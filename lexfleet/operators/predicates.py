@@ -9,7 +9,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, functions as F
 
-from lexfleet.functions import fixed
+from lexfleet.functions import fixed, sqltext as q
 
 BOOL, INT, STRING, ENUM, LIST = "bool", "int", "string", "enum", "list"
 
@@ -145,56 +145,64 @@ def sentence(tree) -> str:
 
 @dataclass(frozen=True)
 class Compiled:
-    truth: Column   # nullable boolean
-    field: Column   # first undeclared field when truth is NULL
+    """SQL text of a predicate: nullable truth, and the first undeclared field
+    when truth is NULL."""
 
+    truth_sql: str
+    field_sql: str
 
-def compile_predicate(tree, column=None) -> Compiled:
-    """Compile a checked tree. `column(path)` supplies the column of a field."""
+    @property
+    def truth(self) -> Column:
+        return F.expr(self.truth_sql)
+
+    @property
+    def field(self) -> Column:
+        return F.expr(self.field_sql)
+
+
+def compile_predicate(tree, column_sql=None) -> Compiled:
+    """Compile a checked tree. `column_sql(path)` is the SQL of a field's column."""
     check(tree)
-    return _compile(tree, column or (lambda path: F.col(column_name(path))))
+    return _compile(tree, column_sql or (lambda path: q.ident(column_name(path))))
+
+
+NO_FIELD = "CAST(NULL AS STRING)"
 
 
 def _compile(tree, column) -> Compiled:
-    no_field = F.lit(None).cast("string")
     if tree is None or isinstance(tree, bool):
-        return Compiled(F.lit(tree is not False), no_field)
+        return Compiled(q.quote(tree is not False), NO_FIELD)
     op = tree["op"]
     if op in ("and", "or"):
         left, right = _compile(tree["l"], column), _compile(tree["r"], column)
-        truth = (left.truth & right.truth) if op == "and" else (left.truth | right.truth)
-        return Compiled(truth, F.when(truth.isNull(), F.coalesce(left.field, right.field)))
+        truth = f"({left.truth_sql} {op.upper()} {right.truth_sql})"
+        return Compiled(truth, f"IF({truth} IS NULL, coalesce({left.field_sql}, {right.field_sql}), NULL)")
     if op == "not":
         inner = _compile(tree["x"], column)
-        return Compiled(~inner.truth, inner.field)
+        return Compiled(f"(NOT {inner.truth_sql})", inner.field_sql)
 
     path, value = tree["field"], tree["value"]
     c = column(path)
     if FIELDS[path] == LIST:
         truth = _list_comparison(op, c, value)
-        return Compiled(truth, F.when(truth.isNull(), F.lit(path)))
-    truth = {
-        "==": lambda: c == F.lit(value),
-        "!=": lambda: c != F.lit(value),
-        ">": lambda: c > F.lit(int(value)),
-        ">=": lambda: c >= F.lit(int(value)),
-        "<": lambda: c < F.lit(int(value)),
-        "<=": lambda: c <= F.lit(int(value)),
-        "in": lambda: c.isin(value),
-        "contains": lambda: c.contains(value),
-    }[op]()
-    return Compiled(truth, F.when(truth.isNull(), F.lit(path)))
-
-
-def _list_comparison(op, c, value) -> Column:
+    elif op == "in":
+        truth = f"({q.in_list(c, value)})"
+    elif op == "contains":
+        truth = f"contains({c}, {q.quote(value)})"
+    else:
+        literal = q.quote(int(value) if isinstance(value, float) else value)
+        truth = f"({c} {'<>' if op == '!=' else '=' if op == '==' else op} {literal})"
+    return Compiled(truth, f"IF({truth} IS NULL, {q.quote(path)}, NULL)")
+
+
+def _list_comparison(op, c, value) -> str:
     """Territory lists: folded case, empty or NULL list is UNKNOWN, `global` is special."""
-    declared = F.coalesce(F.size(c) > 0, F.lit(False))
-    upper = F.transform(c, lambda x: F.upper(x))
     if op in ("==", "!="):
-        same = (F.size(c) == 1) & (F.element_at(upper, 1) == value.upper())
-        return F.when(declared, same if op == "==" else ~same)
-    is_global = F.exists(upper, lambda x: x == "GLOBAL")
-    if op == "contains":
-        return F.when(declared, is_global | F.exists(upper, lambda x: x == value.upper()))
-    allowed = sorted({v.upper() for v in value})
-    return F.when(declared, ~is_global & F.forall(upper, lambda x: x.isin(allowed)))
+        same = f"(size({c}) = 1 AND upper(try_element_at({c}, 1)) = {q.quote(value.upper())})"
+        body = same if op == "==" else f"(NOT {same})"
+    elif op == "contains":
+        body = f"exists({c}, x -> upper(x) IN ('GLOBAL', {q.quote(value.upper())}))"
+    else:
+        allowed = sorted({v.upper() for v in value} - {"GLOBAL"})
+        body = f"forall({c}, x -> {q.in_list('upper(x)', allowed) if allowed else 'false'})"
+    return f"IF(size({c}) > 0, {body}, CAST(NULL AS BOOLEAN))"

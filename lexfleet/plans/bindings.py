@@ -123,20 +123,22 @@ def intents(spark, sf_dir) -> DataFrame:
 
 
 def document_dependencies(spark, sf_dir) -> DataFrame:
-    """Documents as vendored texts of their source; the licence is what they say."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    found = d.select(
-        F.col("source").alias("project_id"), "doc_id",
-        F.coalesce(text.recognise_licence("text"), text.prose_licence("text")).alias("spdx"),
-    )
+    """Documents that state a licence, as vendored texts of their source.
+
+    The detected id leaves through `explode`: a filter on it then stays above the
+    text scan instead of repeating the text functions in a pushed-down copy.
+    """
+    d = table(spark, sf_dir, "documents").select(
+        "doc_id", "source", F.lower("text").alias("low"), text.normalise_text("text").alias("norm"))
+    spdx = F.coalesce(text.recognise_licence("norm"), text.prose_licence("low"))
+    found = d.select(F.col("source").alias("project_id"), "doc_id", F.explode(F.array_compact(F.array(spdx))).alias("spdx"))
     return found.select(
         "project_id",
         F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("id"),
         F.lit("vendored").alias("kind"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("name"),
         F.lit("").alias("version"), F.lit("local").alias("ecosystem"), F.lit(".").alias("scope"), F.lit(True).alias("direct"),
-        F.coalesce("spdx", F.lit("")).alias("spdx"), F.coalesce("spdx", F.lit("")).alias("raw"),
-        F.lit("vendored_file").alias("licence_source"), F.lit(False).alias("expression"),
-        F.col("spdx").isNotNull().alias("resolved"), F.lit("high").alias("licence_confidence"),
+        "spdx", F.col("spdx").alias("raw"), F.lit("vendored_file").alias("licence_source"), F.lit(False).alias("expression"),
+        F.lit(True).alias("resolved"), F.lit("high").alias("licence_confidence"),
         F.lit(None).cast("string").alias("declared_licence"),
         F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("evidence_path"), F.lit(0).alias("evidence_line"),
     )

@@ -43,18 +43,16 @@ def verdict_by_source(spark, sf):
     deps = b.document_dependencies(spark, sf)
     facts = {"ship": {"use_commercial": True, "use_licence_model": "closed-source", "use_modified": False,
                       "use_network_exposed": False, "use_distributed": True, "use_saas": False}}
-    projects = deps.select("project_id").distinct()
+    projects = b.table(spark, sf, "documents").select(F.col("source").alias("project_id")).distinct()
     intents = b.literal_intents(projects, facts)
-    # a document that states no licence is no artefact of the project
-    stated = deps.filter(F.col("resolved"))
-    outcomes = ev.evaluate(ev.evaluation_rows(stated, intents, corpus()), corpus(), b.TODAY)
+    outcomes = ev.evaluate(ev.evaluation_rows(deps, intents, corpus()), corpus(), b.TODAY)
     return vd.fold(outcomes, intents)
 
 
 @query
 def licence_prose(spark, sf):
-    d = b.table(spark, sf, "documents")
-    return d.select("doc_id", text.prose_needle("text").alias("needle"), text.prose_licence("text").alias("spdx"))
+    d = b.table(spark, sf, "documents").select("doc_id", F.lower("text").alias("low"))
+    return d.select("doc_id", text.prose_needle("low").alias("needle"), text.prose_licence("low").alias("spdx"))
 
 
 # BD-7: phrases put in front of every document, chosen by its id; one choice is none.
@@ -94,15 +92,15 @@ def injected(spark, sf, phrases):
 def licence_recognise(spark, sf):
     norm = injected(spark, sf, PHRASES).select("doc_id", text.normalise_text("text").alias("norm"))
     return norm.select("doc_id", F.length("norm").alias("norm_chars"), F.sha2("norm", 256).alias("norm_sha"),
-                       text.recognise_licence("norm", normalised=True).alias("spdx"))
+                       text.recognise_licence("norm").alias("spdx"))
 
 
 @query
 def brand_reservation(spark, sf):
     d = injected(spark, sf, BRAND_PHRASES)
     norm = d.select("doc_id", "text", text.normalise_text("text").alias("norm"))
-    return norm.select("doc_id", text.has_brand_noun(F.col("norm")).alias("noun"),
-                       text.has_brand_reservation("norm", normalised=True).alias("reserved"))
+    return norm.select("doc_id", text.has_brand_noun("norm").alias("noun"),
+                       text.has_brand_reservation("norm").alias("reserved"))
 
 
 # raw licence spellings, chosen per part
