@@ -138,23 +138,29 @@ def clean_version(v) -> Column:
 
 
 def collapse_space(c) -> Column:
-    return F.trim(F.regexp_replace(col(c), r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(col(c), r"[ \t\n\r]+", " "))
 
 
 def safe_relative(path) -> Column:
-    """True for a project-relative path that stays inside the project."""
-    p = F.regexp_replace(F.trim(col(path)), r"\\", "/")
-    parts = F.split(p, "/")
-    return (p != "") & ~p.startswith("/") & ~p.rlike(r"^[A-Za-z]:") & ~F.array_contains(parts, "..")
+    """True for a path that may leave the project in a payload: relative, no `..`."""
+    p = F.trim(col(path))
+    return (p != "") & ~p.contains("..") & ~p.rlike(r"^(?:/|\\|.:)")
 
 
 def safe_paths(paths) -> Column:
-    return F.filter(col(paths), safe_relative)
+    return F.filter(F.transform(col(paths), lambda p: F.trim(p)), safe_relative)
 
 
 def markdown_escape(c) -> Column:
-    one_line = collapse_space(c)
-    return F.regexp_replace(one_line, r"([\\`*_\[\]<>|#])", r"\\$1")
+    one_line = F.translate(col(c), "\n\r", " ")
+    return F.regexp_replace(one_line, r"([\\`*_\[\]<>|])", r"\\$1")
+
+
+def relative_uri(path) -> Column:
+    """Evidence path as a relative URI, empty when it is not one."""
+    p = F.regexp_replace(F.trim(F.regexp_replace(col(path), r"\\", "/")), r"^\./", "")
+    bad = p.startswith("/") | p.rlike(r"(^|/)\.\.(/|$)") | p.rlike(r"[?#]")
+    return F.when(F.coalesce(p, F.lit("")) == "", F.lit("")).when(bad, F.lit("")).otherwise(p)
 
 
 def valid_territory(c) -> Column:
@@ -163,15 +169,17 @@ def valid_territory(c) -> Column:
 
 
 def strip_code_fence(c) -> Column:
-    t = F.trim(F.regexp_replace(col(c), r"(?U)^\s+|\s+$", ""))
-    opened = F.regexp_replace(t, r"^```[^\n]*\n?", "")
-    return F.when(t.startswith("```"), F.trim(F.regexp_replace(opened, r"\s*```\s*$", ""))).otherwise(t)
+    """Text inside a leading Markdown fence; text without one stays as it is."""
+    t = F.regexp_replace(col(c), r"(?U)^\s+|\s+$", "")
+    body = F.regexp_extract(t, r"(?s)^```[^\n]*\n(.*)$", 1)
+    inner = F.when(body.contains("```"), F.regexp_extract(body, r"(?s)^(.*)```", 1)).otherwise(body)
+    return F.when(t.startswith("```"), F.regexp_replace(inner, r"(?U)^\s+|\s+$", "")).otherwise(t)
 
 
 def clip_text(c, n=fixed.MODEL_FIELD_CHARS) -> Column:
-    """Drop control characters (tab and newline stay) and cut to n characters."""
-    clean = F.regexp_replace(F.trim(col(c)), r"[\x00-\x08\x0b-\x1f\x7f]", "")
-    return F.substring(clean, 1, n)
+    """Drop control characters (tab and newline stay); longer than n ends in an ellipsis."""
+    clean = F.regexp_replace(F.regexp_replace(col(c), r"(?U)^\s+|\s+$", ""), r"[\x00-\x08\x0b-\x1f\x7f]", "")
+    return F.when(F.length(clean) > n, F.concat(F.substring(clean, 1, n), F.lit("\u2026"))).otherwise(clean)
 
 
 def url_host(c) -> Column:

@@ -1,0 +1,2 @@
+-- uses: rule_effective
+select project_id, case band when 'BLOCK' then 0 when 'CONDITION' then 1 else 2 end as section, count(*) as findings, count(*) filter (band <> severity) as gated from rule_effective group by 1, 2
