@@ -31,6 +31,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lexfleet-ckpt-"))
 
 
+def materialise(df: DataFrame) -> DataFrame:
+    """Write a stage to the shared checkpoint folder and go on from there: work many
+    later steps depend on runs once and survives lost executors."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def estimated_bytes(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 

@@ -30,6 +30,36 @@ def list_files(spark: SparkSession, root: str, with_content=False, glob=None, ma
     return out.filter(F.col("rel").isNotNull())
 
 
+def open_path(path: str):
+    """A random-access file by URI or local path (runs inside tasks)."""
+    from pyarrow import fs
+
+    if path.startswith("file:"):
+        path = "/" + path[len("file:"):].lstrip("/")
+    system, inner = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    return system.open_input_file(inner)
+
+
+def _read(batches):
+    for pdf in batches:
+        texts = []
+        for path in pdf["path"]:
+            with open_path(path) as f:
+                texts.append(f.read().decode("utf-8", "replace"))
+        yield pdf[["project_id", "rel", "length"]].assign(text=texts)
+
+
+def read_texts(files: DataFrame, max_bytes=fixed.MAX_FILE_BYTES, partitions=None) -> DataFrame:
+    """Whole text of the listed files up to `max_bytes`; larger ones are not opened.
+
+    Which files to open is decided on the listing, so nothing else is read; the
+    paths are spread evenly because listings come in few partitions.
+    """
+    n = partitions or int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    todo = files.filter(F.col("length") <= max_bytes).select("project_id", "rel", "length", "path")
+    return todo.repartition(n, "path").mapInPandas(_read, "project_id string, rel string, length long, text string")
+
+
 # ---- pruning -----------------------------------------------------------------
 
 def _alternatives(names):

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lexfleet.functions import fixed, ids, spdx as spdx_fn, text as tx
 from lexfleet.operators.ownership import containing_scope
-from lexfleet.sources.files import inside_dependency_dir
+from lexfleet.sources.files import inside_dependency_dir, open_path
 
 PROBE_SCHEMA = "project_id string, rel string, length long, head binary, has_pickle boolean, gguf_licence string, gguf_link string, gguf_truncated boolean"
 
@@ -67,16 +67,12 @@ def gguf_metadata(data):
 
 
 def _probe(batches):
-    # the file system named by the path: local files directly, others through Arrow
-    from pyarrow import fs
-
     for pdf in batches:
         out = []
         for project, rel, length, path in pdf[["project_id", "rel", "length", "path"]].itertuples(index=False):
-            system, inner = fs.FileSystem.from_uri(path if "://" in path else path.replace("file:", "file://", 1) if path.startswith("file:") else path)
             licence = link = ""
             truncated = pickle = False
-            with system.open_input_file(inner) as f:
+            with open_path(path) as f:
                 head = f.read_at(min(length, fixed.WEIGHT_MAGIC_BYTES), 0)
                 if head[:4] == b"GGUF":
                     for budget in (fixed.WEIGHT_META_BYTES, fixed.WEIGHT_META_MAX_BYTES):
