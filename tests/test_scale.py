@@ -69,7 +69,7 @@ def _outcomes(spark):
     # all orders as one project: every document has to be cut
     deps, intents = deps.withColumn("id", F.concat("project_id", F.lit("/"), "id")).withColumn("project_id", F.lit("all")), b.literal_intents(
         spark.sql("select 'all' as project_id"), {"x": core.WHAT_IF["shipped"]})
-    return deps, intents, ev.evaluate(ev.evaluation_rows(deps, intents, core.corpus()), core.corpus(), b.TODAY)
+    return deps, intents, session.materialise(ev.evaluate(ev.evaluation_rows(deps, intents, core.corpus()), core.corpus(), b.TODAY))
 
 
 def test_pages_of_a_huge_project_are_whole(spark):
@@ -109,7 +109,7 @@ def test_sarif_and_sbom_documents(spark):
 
 def test_reports_are_written_in_order(spark, tmp_path):
     deps, intents = b.dependencies(spark, SF), b.intents(spark, SF)
-    outcomes = ev.evaluate(ev.evaluation_rows(deps, intents, core.corpus()), core.corpus(), b.TODAY)
+    outcomes = session.materialise(ev.evaluate(ev.evaluation_rows(deps, intents, core.corpus()), core.corpus(), b.TODAY))
     v = vd.fold(outcomes, intents).join(vd.dependency_counts(deps), "project_id", "left").fillna(0)
     paging.write_lines(reports.text_report(v, outcomes), str(tmp_path / "text"), reports.LINE_ORDER)
     lines = [x for f in sorted((tmp_path / "text").glob("part-*")) for x in f.read_text().splitlines()]
