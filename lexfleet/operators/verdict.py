@@ -23,26 +23,22 @@ def outcome_rank() -> Column:
 
 
 def fold(outcomes: DataFrame, projects: DataFrame, allow_medium_blockers=False) -> DataFrame:
-    """One verdict per (project, intent); a project without outcomes ships."""
+    """One verdict per (project, intent); a project without outcomes ships.
+
+    Projects join the fold as rows that say nothing, so one aggregate answers for
+    all of them and no join follows.
+    """
     eff = F.col("effective_severity")
-    counts = (
-        with_effective_severity(outcomes, allow_medium_blockers)
-        .groupBy(*KEYS)
-        .agg(
-            F.max(outcome_rank()).alias("rank"),
-            F.count_if(eff == "BLOCK").alias("blockers"),
-            F.count_if(eff == "CONDITION").alias("conditions"),
-            F.count_if(eff.isin("NOTE", "INFO")).alias("notes"),
-            F.count_if(F.col("reason").isNotNull()).alias("undetermined"),
-        )
-    )
-    out = projects.select(*KEYS).join(counts, KEYS, "left")
-    zero = F.lit(0).cast("long")
-    return out.select(
-        *KEYS,
-        sev.verdict_from_rank(F.coalesce("rank", F.lit(0))).alias("verdict"),
-        *[F.coalesce(c, zero).alias(c) for c in ("blockers", "conditions", "notes", "undetermined")],
+    said = with_effective_severity(outcomes, allow_medium_blockers).select(*KEYS, "effective_severity", "reason")
+    silent = projects.select(*KEYS, F.lit(None).cast("string").alias("effective_severity"), F.lit(None).cast("string").alias("reason"))
+    counts = said.unionByName(silent).groupBy(*KEYS).agg(
+        F.max(outcome_rank()).alias("rank"),
+        F.count_if(eff == "BLOCK").alias("blockers"),
+        F.count_if(eff == "CONDITION").alias("conditions"),
+        F.count_if(eff.isin("NOTE", "INFO")).alias("notes"),
+        F.count_if(F.col("reason").isNotNull()).alias("undetermined"),
     )
+    return counts.select(*KEYS, sev.verdict_from_rank(F.col("rank")).alias("verdict"), "blockers", "conditions", "notes", "undetermined")
 
 
 def dependency_counts(dependencies: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ the same rows.
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lexfleet.functions import ids, text
+from lexfleet.functions import ids, sqltext as q, text
 from lexfleet.operators.resolve import with_licence_ref
 
 TODAY = "2026-09-23"
@@ -30,11 +30,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _case(c, mapping):
-    out = None
-    for k, v in mapping.items():
-        out = F.when(c == k, F.lit(v)) if out is None else out.when(c == k, F.lit(v))
-    return out
+def _case(column, mapping):
+    return F.expr(q.case((f"{column} = {q.quote(k)}", q.quote(v)) for k, v in mapping.items()))
 
 
 def parts(spark, sf_dir) -> DataFrame:
@@ -45,9 +42,9 @@ def parts(spark, sf_dir) -> DataFrame:
         "p_partkey",
         F.concat(F.regexp_replace("p_name", " ", "-"), F.lit("-"), F.col("p_partkey").cast("string")).alias("name"),
         F.concat(F.col("p_size").cast("string"), F.lit(".0.0")).alias("version"),
-        _case(F.col("p_type"), TYPE_ECOSYSTEM).alias("ecosystem"),
+        _case("p_type", TYPE_ECOSYSTEM).alias("ecosystem"),
         kind.alias("kind"),
-        _case(F.col("p_brand"), BRAND_LICENCE).alias("licence_raw"),
+        _case("p_brand", BRAND_LICENCE).alias("licence_raw"),
     )
 
 
@@ -100,7 +97,7 @@ def intents(spark, sf_dir) -> DataFrame:
         .join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey"))
     )
     arr = lambda *x: F.array(*[F.lit(v) for v in x])
-    model = _case(F.col("c_mktsegment"), {
+    model = _case("c_mktsegment", {
         "FURNITURE": "closed-source", "MACHINERY": "open-source", "BUILDING": "source-available",
         "AUTOMOBILE": "dual", "HOUSEHOLD": "internal-only"})
     return j.select(

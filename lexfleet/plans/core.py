@@ -19,19 +19,23 @@ def corpus():
     return loader.load()
 
 
+def inputs(spark, sf):
+    return b.dependencies(spark, sf), b.intents(spark, sf)
+
+
 def rows(spark, sf):
-    return ev.evaluation_rows(b.dependencies(spark, sf), b.intents(spark, sf), corpus())
+    return ev.evaluation_rows(*inputs(spark, sf), corpus())
 
 
 def rule_outcomes(spark, sf):
     return ev.evaluate(rows(spark, sf), corpus(), b.TODAY)
 
 
-def all_outcomes(spark, sf):
-    resolved = rs.resolve(b.dependencies(spark, sf), corpus())
-    intents = b.intents(spark, sf)
+def all_outcomes(deps, intents):
+    """Rules and both cross checks over the same inputs."""
+    resolved = rs.resolve(deps, corpus())
     return ev.merge(
-        rule_outcomes(spark, sf),
+        ev.evaluate(ev.evaluation_rows(deps, intents, corpus()), corpus(), b.TODAY),
         crosscheck.weights_divergence(resolved, intents, corpus()),
         crosscheck.declared_vs_actual(resolved, intents, corpus()),
     )
@@ -331,13 +335,14 @@ def org_escalations(spark, sf):
 
 @query
 def verdict_fold(spark, sf):
-    return vd.fold(all_outcomes(spark, sf), b.intents(spark, sf))
+    deps, intents = inputs(spark, sf)
+    return vd.fold(all_outcomes(deps, intents), intents)
 
 
 @query
 def band_counts(spark, sf):
     """Findings per rule and effective band over the fleet."""
-    o = vd.with_effective_severity(all_outcomes(spark, sf)).filter(F.col("rule_id").isNotNull())
+    o = vd.with_effective_severity(all_outcomes(*inputs(spark, sf))).filter(F.col("rule_id").isNotNull())
     return o.groupBy("rule_id", "effective_severity").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("reason").isNotNull()).alias("undecided"))
 
 
