@@ -299,12 +299,12 @@ def deny_list(spark, sf):
 
 def part_exceptions(spark, sf):
     """Accepted risks, written per package: live for some, expired for others."""
-    p = b.part_dependencies(spark, sf).select("p_partkey", "id")
-    any_kind = p.filter(F.col("p_partkey") % 5 == 0).select(
+    p = b.part_dependencies(spark, sf).select("p_partkey", "id", "ecosystem", "raw")
+    any_kind = p.filter(F.col("ecosystem").isin("npm", "go")).select(
         (F.col("p_partkey") * 2).cast("int").alias("ordinal"), F.col("id").alias("dependency"), F.lit(None).cast("string").alias("kind"),
         F.lit("accepted").alias("reason"), F.lit("legal").alias("owner"),
         F.when(F.col("p_partkey") % 2 == 0, "2026-12-31").otherwise("2026-01-31").alias("expires"))
-    one_kind = p.filter(F.col("p_partkey") % 3 == 0).select(
+    one_kind = p.filter(F.col("raw").isin("", "see LICENSE", "Foo OR Bar")).select(
         F.when(F.col("p_partkey") % 9 == 0, F.col("p_partkey") * 2 - 1).otherwise(F.col("p_partkey") * 2 + 1).cast("int").alias("ordinal"),
         F.col("id").alias("dependency"), F.lit("trap.licence.absent-all-rights-reserved").alias("kind"), F.lit("known").alias("reason"),
         F.lit("platform").alias("owner"), F.lit(b.TODAY).alias("expires"))

@@ -167,10 +167,10 @@ def source_precedence(spark, sf):
     li = b.table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
     project = F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("project_id")
     folder = F.concat(F.lit("m"), (F.col("l_orderkey") % 50).cast("string"))
-    weights = li.filter("l_linenumber = 1").select(project, F.concat(folder, F.lit("/w"), F.col("l_partkey").cast("string"), F.lit(".gguf")).alias("rel")).distinct()
+    weights = li.filter("l_linenumber <= 3").select(project, F.concat(folder, F.lit("/w"), F.col("l_partkey").cast("string"), F.lit(".gguf")).alias("rel")).distinct()
     rank = (F.col("l_partkey") % 6).cast("int")
-    near = F.when(F.col("l_linenumber") == 3, F.lit(".")).otherwise(folder)
-    sources = li.filter("l_linenumber in (2, 3)").select(
+    near = F.when(F.col("l_linenumber") == 7, F.lit(".")).otherwise(folder)
+    sources = li.filter("l_linenumber > 3").select(
         project, near.alias("dir"), rank.alias("rank"), F.concat(F.lit("f"), F.col("l_partkey").cast("string")).alias("base")).distinct().select(
         "project_id", "dir", F.when(F.col("dir") == ".", F.col("base")).otherwise(F.concat("dir", F.lit("/"), "base")).alias("rel"), "rank",
         F.lit(0).alias("name_rank"), F.concat(F.lit("L-"), "base").alias("spdx"), F.lit("raw").alias("raw"), F.lit("x").alias("source"), F.lit("high").alias("confidence"))
@@ -344,8 +344,9 @@ def _answers(spark, sf):
 
 
 def _known_ids(spark, sf):
-    d = b.table(spark, sf, "documents").select("doc_id")
-    return d.select((F.col("doc_id") % 10).cast("string").alias("project_id"), F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("item_id")).filter(F.col("doc_id") % 2 == 0)
+    """English documents are the ones with findings."""
+    d = b.table(spark, sf, "documents").filter(F.col("lang") == "en")
+    return d.select((F.col("doc_id") % 10).cast("string").alias("project_id"), F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("item_id"))
 
 
 @query

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lexfleet.functions import fixed, ids, spdx as spdx_fn, text as tx
 from lexfleet.operators.ownership import containing_scope
+from lexfleet.session import salted_join
 from lexfleet.sources.files import inside_dependency_dir, open_path
 
 PROBE_SCHEMA = "project_id string, rel string, length long, head binary, has_pickle boolean, gguf_licence string, gguf_link string, gguf_truncated boolean"
@@ -164,16 +165,20 @@ def unparseable_configs(texts: DataFrame) -> DataFrame:
 
 def pick_source(weights: DataFrame, sources: DataFrame) -> DataFrame:
     """Best source per weight file: by rank, then name, then own directory before the
-    root. `weights`: (project_id, rel, …); equi-joins on the directory, no theta join."""
+    root. `weights`: (project_id, rel, …).
+
+    Sources shrink to one row per directory before they meet the weight files, so a
+    directory full of both never yields all its pairs.
+    """
+    body = F.struct("rank", "name_rank", F.col("rel").alias("source_rel"), "spdx", "raw", "source", "confidence")
+    best = sources.groupBy("project_id", "dir").agg(F.min_by(body, F.struct("rank", "name_rank", "rel")).alias("s"))
     w = weights.select("project_id", "rel", tx.dir_name("rel").alias("_wdir"))
     probes = w.select("project_id", "rel", "_wdir", F.explode(F.array_distinct(F.array("_wdir", F.lit(".")))).alias("dir"))
-    s = sources.withColumnRenamed("rel", "source_rel")
-    hit = probes.join(s, ["project_id", "dir"]).filter(F.col("source_rel") != F.col("rel"))
+    hit = salted_join(probes, best, ["project_id", "dir"], ["rel"], how="inner")
     far = (F.col("dir") != F.col("_wdir")).cast("int")
     # prose files are taken in path order, the others by name and nearness
-    order = F.struct("rank", "name_rank", F.when(F.col("rank") == RANK["prose"], F.lit(0)).otherwise(far).alias("far"), "source_rel")
-    return hit.groupBy("project_id", "rel").agg(
-        F.min_by(F.struct("rank", "spdx", "raw", "source", "confidence", "source_rel"), order).alias("best"))
+    order = F.struct("s.rank", "s.name_rank", F.when(F.col("s.rank") == RANK["prose"], F.lit(0)).otherwise(far).alias("far"), "s.source_rel")
+    return hit.groupBy("project_id", "rel").agg(F.min_by("s", order).alias("best"))
 
 
 def weight_dependencies(found: DataFrame, sources: DataFrame, units: DataFrame) -> DataFrame:
