@@ -5,6 +5,14 @@ from pyspark.sql import DataFrame, functions as F
 from lexfleet.functions import ids, severity as sev, text
 
 
+# Orders of the parts of a report, applied when a document is built.
+DEPENDENCY_ORDER = ["kind", "name", "version", "id"]
+DECLARED_ORDER = ["ecosystem", "name", "version"]
+UNDETERMINED_ORDER = ["kind", "id"]
+WARNING_ORDER = ["code", "path", "message"]
+NOTICE_ORDER = ["code", "message"]
+
+
 def upsert(rows: DataFrame, keys=("project_id", "id"), order="stage_seq") -> DataFrame:
     """Last write per key wins. A `max_by` aggregate combines on the map side, so
     an id repeated millions of times is not sorted in one task."""

@@ -297,6 +297,22 @@ def deny_list(spark, sf):
     return hit.select("project_id", "dependency_id", "licence", "severity", "confidence")
 
 
+@query
+def allow_waivers(spark, sf):
+    """Findings under licences a project allows become notes and stay visible."""
+    o = b.table(spark, sf, "orders").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("project_id"), "o_orderstatus")
+    allowed = o.select("project_id", F.when(F.col("o_orderstatus") == "O", "mit").when(F.col("o_orderstatus") == "F", "GPLv3").otherwise("BSD").alias("licence"))
+    w = vd.with_effective_severity(orgpolicy.waive(rule_outcomes(spark, sf), allowed)).filter(F.col("waived"))
+    return w.select("project_id", "dependency_id", "rule_id", "severity", "effective_severity")
+
+
+@query
+def block_on_gate(spark, sf):
+    """Findings each project stops on when it blocks on BLOCK and CONDITION."""
+    gated = orgpolicy.gate_on(vd.with_effective_severity(rule_outcomes(spark, sf)), ["BLOCK", "CONDITION"])
+    return gated.groupBy("project_id").agg(F.count(F.lit(1)).alias("stops"))
+
+
 def part_exceptions(spark, sf):
     """Accepted risks, written per package: live for some, expired for others."""
     p = b.part_dependencies(spark, sf).select("p_partkey", "id", "ecosystem", "raw")

@@ -11,10 +11,12 @@ def _uses(text):
 
 
 def _collect(names, done):
+    """`name=other` builds the CTE `name` from the file of `other`."""
     for n in names:
+        n, _, source = n.partition("=")
         if n in done:
             continue
-        body = (ROOT / "common" / f"{n}.sql").read_text()
+        body = (ROOT / "common" / f"{source or n}.sql").read_text()
         _collect(_uses(body), done)
         done[n] = body
     return done

@@ -469,6 +469,26 @@ def stream_verdict(spark, sf):
     return _drain(stream.windowed_verdicts(_event_stream(spark, sf)), spark, "stream_verdict", "complete")
 
 
+@query
+def stream_evaluate(spark, sf):
+    """Dependency rows evaluated as their files land: static dimensions, one folder per
+    epoch, so a repeated epoch replaces itself."""
+    ensure_checkpoint_dir(spark)
+    place = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stream_evaluate-{uuid.uuid4().hex}"
+    parts, intents = b.part_dependencies(spark, sf), b.intents(spark, sf)
+
+    def run(batch):
+        return ev.evaluate(ev.evaluation_rows(b.edges(batch, parts), intents, core.corpus()), core.corpus(), b.TODAY)
+
+    def sink(outcomes, epoch):
+        outcomes.select("project_id", "rule_id", "reason").write.mode("overwrite").parquet(f"{place}/data/epoch={epoch}")
+
+    raw = spark.readStream.schema(b.table(spark, sf, "lineitem").schema).option("pathGlobFilter", "lineitem.parquet").option("maxFilesPerTrigger", 1).parquet(sf)
+    raw.writeStream.option("checkpointLocation", place + "/state").trigger(availableNow=True).foreachBatch(stream.evaluate_new(run, sink)).start().awaitTermination()
+    out = spark.read.schema("project_id string, rule_id string, reason string, epoch int").parquet(place + "/data")
+    return out.groupBy("rule_id", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def stream_dedupe(spark, sf):
     """Findings repeated in the stream are reported once."""

@@ -76,7 +76,10 @@ def test_pages_of_a_huge_project_are_whole(spark):
     deps, intents, outcomes = _outcomes(spark)
     verdicts = vd.fold(outcomes, intents)
     v = verdicts.collect()[0]
-    docs = [json.loads(r.document) for r in reports.verdict_json(verdicts, outcomes, page_size=500).collect()]
+    pages = session.materialise(reports.verdict_json(verdicts, outcomes, page_size=500))
+    docs = [json.loads(r.document) for r in pages.collect()]
+    typed = reports.read_verdicts(pages)
+    assert typed.agg(F.sum(F.size("blockers"))).collect()[0][0] == v.blockers and typed.filter("verdict is null").count() == 0
     assert len(docs) > 3 and all(len(d["blockers"] + d["conditions"] + d["notes"] + d["undetermined"]) <= 500 for d in docs)
     for key in ("blockers", "conditions", "notes", "undetermined"):
         assert sum(len(d[key]) for d in docs) == v[key]
