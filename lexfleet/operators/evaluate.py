@@ -31,7 +31,31 @@ _STRUCT = "struct<rule_id:string,source:string,reason:string,field:string>"
 def evaluation_rows(dependencies: DataFrame, intents: DataFrame, corpus) -> DataFrame:
     """Dependencies with their licence entry and every intent of their project."""
     resolved = resolve(dependencies, corpus)
-    return salted_join(resolved, intents, "project_id", ["id"], how="inner")
+    spread = ["kind", "spdx"] if "weight" in dependencies.columns else ["id"]
+    return salted_join(resolved, intents, "project_id", spread, how="inner")
+
+
+def rule_fields(corpus) -> set:
+    """Predicate fields that any rule of the corpus reads."""
+    rules = list(corpus.traps)
+    for e in corpus.licences:
+        rules += e.get("obligations", []) + e.get("traps", [])
+    return {f for r in rules for f in predicates.fields_of(r.get("when", True))}
+
+
+def collapse(dependencies: DataFrame, corpus) -> DataFrame:
+    """Dependencies that no rule can tell apart as one row with their number.
+
+    Verdicts need counts, not names. Grouping on the facts the rules read combines
+    on the map side, so a project with a billion dependencies crosses the shuffle as
+    a few rows per licence and kind. The columns a finding would name are left empty.
+    """
+    optional = {"dep.ecosystem": "ecosystem", "dep.name": "name", "dep.version": "version"}
+    read = [c for f, c in optional.items() if f in rule_fields(corpus)]
+    keys = ["project_id", "kind", "spdx", "resolved", *read]
+    out = dependencies.groupBy(*keys).agg(F.count(F.lit(1)).alias("weight"))
+    empty = [c for c in ("id", "name", "version", "ecosystem", "raw", "evidence_path") if c not in keys]
+    return out.select(*keys, "weight", *[F.lit("").alias(c) for c in empty], F.lit(0).alias("evidence_line"))
 
 
 IS_NAMED = "(coalesce(resolved, false) AND coalesce(spdx, '') <> '')"
@@ -107,8 +131,9 @@ def evaluate(rows: DataFrame, corpus, today: str) -> DataFrame:
     """Outcome rows of obligations, own traps and catalogue traps, plus the rows
     that could not be decided."""
     spark = rows.sparkSession
+    weight = ["weight"] if "weight" in rows.columns else []
     hits = rows.select(
-        "project_id", "intent_id",
+        "project_id", "intent_id", *weight,
         F.col("id").alias("dependency_id"), F.col("kind").alias("dep_kind"), F.col("name").alias("dep_name"),
         ids.licence_label("spdx", "raw").alias("licence"),
         "evidence_path", "evidence_line",
@@ -122,7 +147,7 @@ def evaluate(rows: DataFrame, corpus, today: str) -> DataFrame:
         F.when(unknown, F.lit("NOTE")).otherwise(F.col("severity")).alias("severity"),
         F.when(unknown, F.lit("LOW")).otherwise(F.col("confidence")).alias("confidence"),
         F.when(unknown, F.concat("title", F.lit(" (undetermined)"))).otherwise(F.col("title")).alias("title"),
-        "message", "citation_url", "citation_section", "evidence_path", "evidence_line",
+        "message", "citation_url", "citation_section", "evidence_path", "evidence_line", *weight,
     )
 
 

@@ -26,17 +26,22 @@ def fold(outcomes: DataFrame, projects: DataFrame, allow_medium_blockers=False)
     """One verdict per (project, intent); a project without outcomes ships.
 
     Projects join the fold as rows that say nothing, so one aggregate answers for
-    all of them and no join follows.
+    all of them and no join follows. Outcomes of collapsed dependencies carry a
+    `weight`, the number of dependencies they speak for.
     """
     eff = F.col("effective_severity")
-    said = with_effective_severity(outcomes, allow_medium_blockers).select(*KEYS, "effective_severity", "reason")
-    silent = projects.select(*KEYS, F.lit(None).cast("string").alias("effective_severity"), F.lit(None).cast("string").alias("reason"))
+    one = F.lit(1).cast("long")
+    weight = F.coalesce("weight", one) if "weight" in outcomes.columns else one
+    said = with_effective_severity(outcomes, allow_medium_blockers).select(*KEYS, "effective_severity", "reason", weight.alias("weight"))
+    silent = projects.select(*KEYS, F.lit(None).cast("string").alias("effective_severity"), F.lit(None).cast("string").alias("reason"),
+                             F.lit(0).cast("long").alias("weight"))
+    number = lambda condition: F.sum(F.when(condition, F.col("weight")).otherwise(0))
     counts = said.unionByName(silent).groupBy(*KEYS).agg(
         F.max(outcome_rank()).alias("rank"),
-        F.count_if(eff == "BLOCK").alias("blockers"),
-        F.count_if(eff == "CONDITION").alias("conditions"),
-        F.count_if(eff.isin("NOTE", "INFO")).alias("notes"),
-        F.count_if(F.col("reason").isNotNull()).alias("undetermined"),
+        number(eff == "BLOCK").alias("blockers"),
+        number(eff == "CONDITION").alias("conditions"),
+        number(eff.isin("NOTE", "INFO")).alias("notes"),
+        number(F.col("reason").isNotNull()).alias("undetermined"),
     )
     return counts.select(*KEYS, sev.verdict_from_rank(F.col("rank")).alias("verdict"), "blockers", "conditions", "notes", "undetermined")
 

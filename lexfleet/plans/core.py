@@ -242,7 +242,7 @@ def what_if_intents(spark, sf):
     deps = b.dependencies(spark, sf)
     projects = b.table(spark, sf, "orders").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("project_id"))
     intents = b.literal_intents(projects, WHAT_IF)
-    outcomes = ev.evaluate(ev.evaluation_rows(deps, intents, corpus()), corpus(), b.TODAY)
+    outcomes = ev.evaluate(ev.evaluation_rows(ev.collapse(deps, corpus()), intents, corpus()), corpus(), b.TODAY)
     return vd.fold(outcomes, intents)
 
 
@@ -355,6 +355,14 @@ def verdict_fold(spark, sf):
     return vd.fold(all_outcomes(deps, intents), intents)
 
 
+@query
+def verdict_counts(spark, sf):
+    """Verdicts of the rules alone, from collapsed dependencies: no finding is built."""
+    deps, intents = inputs(spark, sf)
+    small = ev.collapse(deps, corpus())
+    return vd.fold(ev.evaluate(ev.evaluation_rows(small, intents, corpus()), corpus(), b.TODAY), intents).drop("intent_id")
+
+
 @query
 def band_counts(spark, sf):
     """Findings per rule and effective band over the fleet."""
