@@ -21,7 +21,7 @@ from lexfleet.plans import load_queries  # noqa: E402
 
 HEADLINE = [
     "verdict_by_source", "licence_prose", "licence_recognise", "upsert_last_wins", "obligation_findings", "trap_findings", "what_if_intents",
-    "weights_divergence", "declared_vs_actual", "org_exceptions", "verdict_fold", "platform_clauses", "longest_prefix_owner", "unit_discovery",
+    "weights_divergence", "declared_vs_actual", "org_exceptions", "verdict_counts", "verdict_fold", "platform_clauses", "longest_prefix_owner", "unit_discovery",
     "go_mod_blocks", "sbom_components", "sarif_rules",
 ]
 
@@ -29,7 +29,7 @@ HEADLINE = [
 def main():
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "2"))
     names = sys.argv[1:] or HEADLINE
     shuffle = os.environ.get("BENCH_SHUFFLE", cpus if cpus.isdigit() else "8")
     spark = session.configure(

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexfleet.functions import ids, sqltext as q, text
 from lexfleet.operators.resolve import with_licence_ref
+from lexfleet.session import small_side
 
 TODAY = "2026-09-23"
 
@@ -93,8 +94,8 @@ def intents(spark, sf_dir) -> DataFrame:
     n = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
     r = table(spark, sf_dir, "region")
     j = (
-        o.join(c, o.o_custkey == c.c_custkey).join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey"))
-        .join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey"))
+        o.join(c, o.o_custkey == c.c_custkey).join(small_side(n), F.col("c_nationkey") == F.col("n_nationkey"))
+        .join(small_side(r), F.col("n_regionkey") == F.col("r_regionkey"))
     )
     arr = lambda *x: F.array(*[F.lit(v) for v in x])
     model = _case("c_mktsegment", {

@@ -34,6 +34,8 @@ def open_path(path: str):
     """A random-access file by URI or local path (runs inside tasks)."""
     from pyarrow import fs
 
+    if path.startswith(("s3a://", "s3n://")):
+        path = "s3" + path[3:]
     if path.startswith("file:"):
         path = "/" + path[len("file:"):].lstrip("/")
     system, inner = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
