@@ -5,7 +5,7 @@ from functools import lru_cache
 from pyspark.sql import functions as F
 
 from lexfleet.functions import text as tx
-from lexfleet.operators import evaluate as ev, platforms as pf, verdict as vd
+from lexfleet.operators import platforms as pf, verdict as vd
 from lexfleet.plans import bindings as b
 from lexfleet.plans.registry import query
 from lexfleet.rules import loader

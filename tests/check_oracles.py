@@ -2,7 +2,7 @@
 
     python tests/check_oracles.py [sf_dir] [name ...]
 """
-import datetime, hashlib, math, os, sys, time
+import datetime, math, os, sys, time
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 

@@ -3,7 +3,6 @@
 import itertools
 
 import pytest
-from pyspark.sql import functions as F
 
 from lexfleet.operators import predicates as p
 
