@@ -1,17 +1,25 @@
 """Named queries of the training-data operators, with production parameters."""
 
-from lexfleet.llm import common, packing, token_counts
+from lexfleet.llm import common, decontamination, language_id, packing, token_counts
 
 CONTEXT = 4096
 
 
+def op2_language_id(spark, sf_dir):
+    return language_id.identify(common.table(spark, sf_dir, "documents"))
+
+
 def op3_token_counts(spark, sf_dir):
     return token_counts.token_counts(common.table(spark, sf_dir, "documents"), CONTEXT)
 
 
+def op6_decontamination(spark, sf_dir):
+    return decontamination.leaks(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
 def op10_packing(spark, sf_dir):
     return packing.pack_documents(common.table(spark, sf_dir, "documents"), tokens=CONTEXT)
 
 
-QUERIES = {f.__name__: f for f in (op3_token_counts, op10_packing)}
+QUERIES = {f.__name__: f for f in (op2_language_id, op3_token_counts, op6_decontamination, op10_packing)}
 SQL = {}
