@@ -1,6 +1,6 @@
 """Named queries of the training-data operators, with production parameters."""
 
-from lexfleet.llm import common, decontamination, language_id, licence_scan, packing, token_counts
+from lexfleet.llm import common, contextual_pii, decontamination, language_id, licence_scan, packing, token_counts
 
 CONTEXT = 4096
 
@@ -17,6 +17,10 @@ def op6_decontamination(spark, sf_dir):
     return decontamination.leaks(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
 
 
+def op7_contextual_pii(spark, sf_dir):
+    return contextual_pii.find(common.table(spark, sf_dir, "documents"))
+
+
 def op8_licence_scan(spark, sf_dir):
     return licence_scan.scan(common.table(spark, sf_dir, "documents")).drop("matches")
 
@@ -25,5 +29,5 @@ def op10_packing(spark, sf_dir):
     return packing.pack_documents(common.table(spark, sf_dir, "documents"), tokens=CONTEXT)
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op3_token_counts, op6_decontamination, op8_licence_scan, op10_packing)}
+QUERIES = {f.__name__: f for f in (op2_language_id, op3_token_counts, op6_decontamination, op7_contextual_pii, op8_licence_scan, op10_packing)}
 SQL = {"op8_licence_scan": licence_scan.oracle()}
