@@ -1,6 +1,6 @@
 """Named queries of the training-data operators, with production parameters."""
 
-from lexfleet.llm import common, contextual_pii, decontamination, language_id, licence_scan, packing, token_counts
+from lexfleet.llm import common, contextual_pii, decontamination, embedding_near, language_id, licence_scan, ngram_join, packing, token_counts
 
 CONTEXT = 4096
 
@@ -13,6 +13,14 @@ def op3_token_counts(spark, sf_dir):
     return token_counts.token_counts(common.table(spark, sf_dir, "documents"), CONTEXT)
 
 
+def op4_ngram_join(spark, sf_dir):
+    return ngram_join.join(common.table(spark, sf_dir, "documents"))
+
+
+def op5_embedding_near(spark, sf_dir):
+    return embedding_near.near_duplicates(common.table(spark, sf_dir, "embeddings"))
+
+
 def op6_decontamination(spark, sf_dir):
     return decontamination.leaks(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
 
@@ -29,5 +37,5 @@ def op10_packing(spark, sf_dir):
     return packing.pack_documents(common.table(spark, sf_dir, "documents"), tokens=CONTEXT)
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op3_token_counts, op6_decontamination, op7_contextual_pii, op8_licence_scan, op10_packing)}
+QUERIES = {f.__name__: f for f in (op2_language_id, op3_token_counts, op4_ngram_join, op5_embedding_near, op6_decontamination, op7_contextual_pii, op8_licence_scan, op10_packing)}
 SQL = {"op8_licence_scan": licence_scan.oracle()}
