@@ -1,10 +1,14 @@
 """Named queries of the training-data operators, with production parameters."""
 
-from lexfleet.llm import common, contextual_pii, decontamination, embedding_near, language_id, licence_scan, ngram_join, packing, token_counts
+from lexfleet.llm import common, contextual_pii, decontamination, embedding_near, language_id, licence_scan, ngram_join, packing, suffix_dedup, token_counts
 
 CONTEXT = 4096
 
 
+def op1_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.remove(common.table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op2_language_id(spark, sf_dir):
     return language_id.identify(common.table(spark, sf_dir, "documents"))
 
@@ -37,5 +41,5 @@ def op10_packing(spark, sf_dir):
     return packing.pack_documents(common.table(spark, sf_dir, "documents"), tokens=CONTEXT)
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op3_token_counts, op4_ngram_join, op5_embedding_near, op6_decontamination, op7_contextual_pii, op8_licence_scan, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_language_id, op3_token_counts, op4_ngram_join, op5_embedding_near, op6_decontamination, op7_contextual_pii, op8_licence_scan, op10_packing)}
 SQL = {"op8_licence_scan": licence_scan.oracle()}
