@@ -83,17 +83,17 @@ def _contexts(match: Column, gap: Column) -> dict:
     return {"value": match, "one": F.lower(F.substring_index(flat, " ", -1)), "two": F.lower(F.substring_index(flat, " ", -2)), "key": F.regexp_extract(F.lower(match), r"^([^\s0-9=:]++[=:])", 1)}
 
 
-def find(df: DataFrame, id_col="doc_id", text_col="text", rounds=ROUNDS, threshold=THRESHOLD, support=SUPPORT) -> DataFrame:
-    """One row per row of `df`: id, n_email, n_ip, n_card, n_phone, base_sha256, spans
-    (kind:start:end, by kind, then start), and n_context."""
+def _found(df, columns, text_col, rounds, threshold, support):
+    """`columns` of every row, an array of spans per kind, and `context`."""
     text = F.coalesce(F.col("_text"), F.lit(""))
     needs = {"email": text.contains("@"), "ip": text.rlike("[0-9]\\.[0-9]"), "card": text.rlike("[0-9]"), "phone": text.contains("+")}
     nothing = F.expr(f"cast(array() as {SPANS})")
-    rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    spans = rows.select("_id", "_text", *(F.when(needs[k], _places(text, PATTERNS[k], lambda m, k=k: _valid(k, m))).otherwise(nothing).alias(k) for k in KINDS))
+    rows = df.select(F.col(text_col).alias("_text"), *(F.col(c).alias(f"_own_{c}") for c in columns))
+    own = [f"_own_{c}" for c in columns]
+    spans = [F.when(needs[k], _places(text, PATTERNS[k], _valid_for(k))).otherwise(nothing).alias(k) for k in KINDS]
     no_token = F.expr("cast(array() as array<struct<start:int,end:int,value:string,one:string,two:string,key:string>>)")
     tokens = F.when(text.rlike("[0-9]"), _places(text, TOKEN, lambda m: F.length(m) > 5, _contexts)).otherwise(no_token)
-    base = spans.select("_id", *KINDS, tokens.alias("_tokens")).withColumn("_row", F.monotonically_increasing_id())
+    base = rows.select(*own, *spans, tokens.alias("_tokens")).withColumn("_row", F.monotonically_increasing_id())
     base = common.staged(base)
 
     every = F.concat(*KINDS)
@@ -110,17 +110,51 @@ def find(df: DataFrame, id_col="doc_id", text_col="text", rounds=ROUNDS, thresho
     trusted = _scores(edges, rounds, threshold, support)
     new = marked.filter("not seed").join(trusted, "value", "left_semi").select("_row", F.struct("start", "end").alias("span"))
     added = new.groupBy("_row").agg(F.array_sort(F.collect_list("span")).alias("context"))
-
     out = base.drop("_tokens").join(added, "_row", "left").withColumn("context", F.coalesce("context", nothing))
+    return out.select(*(F.col(o).alias(c) for o, c in zip(own, columns)), *(F.col(k).alias(f"_found_{k}") for k in [*KINDS, "context"]))
+
+
+def find(df: DataFrame, id_col="doc_id", text_col="text", rounds=ROUNDS, threshold=THRESHOLD, support=SUPPORT) -> DataFrame:
+    """One row per row of `df`: id, n_email, n_ip, n_card, n_phone, base_sha256, spans
+    (kind:start:end, by kind, then start), and n_context."""
+    out = _found(df, [id_col], text_col, rounds, threshold, support)
     text_of = {k: _spelt(k) for k in [*KINDS, "context"]}
     return out.select(
-        F.col("_id").alias(id_col), *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS),
+        id_col, *(F.size(f"_found_{k}").cast("long").alias(f"n_{k}") for k in KINDS),
         F.sha2(F.array_join(F.concat(*(text_of[k] for k in KINDS)), ","), 256).alias("base_sha256"),
-        F.array_join(F.concat(*text_of.values()), ",").alias("spans"), F.size("context").cast("long").alias("n_context"))
+        F.array_join(F.concat(*text_of.values()), ",").alias("spans"), F.size("_found_context").cast("long").alias("n_context"))
+
+
+def redact(df: DataFrame, text_col="text", rounds=ROUNDS, threshold=THRESHOLD, support=SUPPORT) -> DataFrame:
+    """`df` with every span replaced by its kind in brackets; of overlapping spans the
+    first gives its kind and all are removed. Null texts stay null."""
+    out = _found(df, df.columns, text_col, rounds, threshold, support)
+    named = F.concat(*(F.transform(f"_found_{k}", _named(k)) for k in [*KINDS, "context"]))
+    text = F.col(f"`{text_col}`")
+
+    def step(state, s):
+        inside = s["start"] < state["at"]
+        return F.struct(
+            F.greatest(state["at"], s["end"]).alias("at"),
+            F.when(inside, state["parts"]).otherwise(F.concat(state["parts"], F.array(F.substring(text, state["at"] + 1, s["start"] - state["at"]), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))))).alias("parts"))
+
+    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("parts"))
+    rest = F.aggregate(F.array_sort("_found_spans"), start, step, lambda s: F.concat(F.array_join(s["parts"], ""), F.substring(text, s["at"] + 1, F.length(text))))
+    changed = F.when(F.size("_found_spans") == 0, text).otherwise(rest)
+    out = out.withColumn("_found_spans", named)
+    return out.select(*(changed.alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns))
+
+
+def _named(kind: str):
+    return lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("kind"))
+
+
+def _valid_for(kind: str):
+    return lambda m: _valid(kind, m)
 
 
 def _spelt(kind: str) -> Column:
-    return F.transform(kind, lambda s: F.concat_ws(":", F.lit(kind), s["start"], s["end"]))
+    return F.transform(f"_found_{kind}", lambda s: F.concat_ws(":", F.lit(kind), s["start"], s["end"]))
 
 
 def _scores(edges: DataFrame, rounds: int, threshold: float, support: int) -> DataFrame:

@@ -158,6 +158,20 @@ def leaks(docs: DataFrame, bench: DataFrame, error_rate=ERROR_RATE, id_col="doc_
     return out
 
 
-def contaminated(docs: DataFrame, bench: DataFrame, id_col="doc_id", **options) -> DataFrame:
-    """Ids of documents that hold a test item, once each."""
-    return leaks(docs, bench, id_col=id_col, **options).select(id_col).distinct()
+def without_leaks(docs: DataFrame, bench: DataFrame, error_rate=ERROR_RATE, text_col="text", item_col="item_id", item_text="text", block_bytes=BLOCK_BYTES) -> DataFrame:
+    """The rows of `docs` whose text holds no test item, with all their columns. No join
+    and no shuffle: each block of test items is one pass over what the last one left."""
+    spark = docs.sparkSession
+    common.ship(spark)
+
+    def drop(rows, shared):
+        def run(batches):
+            matcher = Matcher(shared.value, error_rate)
+            for b in batches:
+                yield b.filter(pa.array([not matcher.find(t) for t in b.column(text_col).to_pylist()], pa.bool_()))
+
+        return rows.mapInArrow(run, docs.schema)
+
+    for items in blocks(bench, item_col, item_text, block_bytes):
+        docs = drop(docs, spark.sparkContext.broadcast(items))
+    return docs

@@ -1,6 +1,10 @@
 """Named queries of the training-data operators, with production parameters."""
 
-from lexfleet.llm import common, contextual_pii, decontamination, embedding_near, language_id, licence_scan, ngram_join, packing, suffix_dedup, token_counts
+from pyspark.sql import functions as F
+
+from lexfleet.llm import (
+    chat_links, common, contextual_pii, decontamination, embedding_near, language_id, licence_scan, ngram_join, packing, suffix_dedup, token_counts,
+)
 
 CONTEXT = 4096
 
@@ -37,9 +41,32 @@ def op8_licence_scan(spark, sf_dir):
     return licence_scan.scan(common.table(spark, sf_dir, "documents")).drop("matches")
 
 
+# the tools that the turns of a conversation are written as
+TOOLS = {"reply": {"prompt": ("string", True), "turn": ("integer", True)}, "configure": {"text": ("string", True)}}
+
+
+def tool_messages(turns):
+    """Conversations as tool use: a user's turn calls `reply` after the call two turns
+    before, the assistant's next turn is the result, a system turn calls `configure`."""
+    call_id = lambda turn: F.concat_ws("-", F.lit("call"), "conv_id", turn)
+    name = F.when(F.col("role") == "system", "configure").otherwise("reply")
+    reply = F.struct(F.col("text").alias("prompt"), F.col("turn").alias("turn"))
+    arguments = F.when(F.col("role") == "system", F.to_json(F.struct("text"))).otherwise(F.to_json(reply))
+    after = F.when((F.col("role") == "user") & (F.col("turn") >= 2), F.array(call_id(F.col("turn") - 2)))
+    call = F.struct(after.alias("after"), F.parse_json(arguments).alias("arguments"), call_id(F.col("turn")).alias("id"), name.alias("name"))
+    answer = F.struct(F.col("text").alias("content"), call_id(F.col("turn") - 1).alias("tool_call_id"))
+    is_answer = F.col("role") == "assistant"
+    body = F.when(is_answer, F.to_json(answer)).otherwise(F.to_json(F.struct(F.array(call).alias("tool_calls"))))
+    return turns.select("conv_id", "turn", F.when(is_answer, "tool").otherwise("assistant").alias("role"), body.alias("text"))
+
+
+def op9_chat_links(spark, sf_dir):
+    return chat_links.link(tool_messages(common.table(spark, sf_dir, "conversations")), TOOLS)
+
+
 def op10_packing(spark, sf_dir):
     return packing.pack_documents(common.table(spark, sf_dir, "documents"), tokens=CONTEXT)
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_language_id, op3_token_counts, op4_ngram_join, op5_embedding_near, op6_decontamination, op7_contextual_pii, op8_licence_scan, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_language_id, op3_token_counts, op4_ngram_join, op5_embedding_near, op6_decontamination, op7_contextual_pii, op8_licence_scan, op9_chat_links, op10_packing)}
 SQL = {"op8_licence_scan": licence_scan.oracle()}
