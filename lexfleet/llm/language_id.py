@@ -81,9 +81,10 @@ class Model:
 
     def __init__(self, languages, counts, texts):
         self.languages = languages
-        counts = np.asarray(counts, float).reshape(len(languages), -1) + SMOOTHING
-        self.table = np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32) if languages else np.zeros((0, 1), np.float32)
-        self.prior = np.log(np.asarray(texts, float) / max(1, sum(texts)))
+        if languages:
+            counts = np.asarray(counts, float) + SMOOTHING
+            self.table = np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32)
+            self.prior = np.log(np.asarray(texts, float) / sum(texts))
 
     def score(self, texts):
         """Predicted language and its posterior probability for each text."""

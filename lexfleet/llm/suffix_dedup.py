@@ -212,7 +212,7 @@ def _deal(docs, parts, window):
             for settled in (False, True):
                 some = ~lead if settled else lead
                 cols = _packed(part[some], [r[some]])
-                yield pa.RecordBatch.from_arrays([*cols, pa.array([settled] * len(cols[0]))], names=["part", "pieces", "settled"])
+                yield pa.RecordBatch.from_arrays([*cols, pa.array([settled] * len(cols[0]), pa.bool_())], names=["part", "pieces", "settled"])
 
     return docs.mapInArrow(run, "part long, pieces binary, settled boolean")
 

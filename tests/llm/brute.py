@@ -39,3 +39,71 @@ def pii_row(text):
     spans = pii_spans(text)
     joined = ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
     return (*(sum(k == kind for k, _, _ in spans) for kind in PII), hashlib.sha256(joined.encode()).hexdigest())
+
+
+def windows_removed(texts, window=200):
+    """(bytes, removed, spans, sha256 of the rest) per text."""
+    raw = [(t or "").encode() for t in texts]
+    seen = {}
+    for b in raw:
+        for i in range(len(b) - window + 1):
+            seen[b[i : i + window]] = seen.get(b[i : i + window], 0) + 1
+    out = []
+    for b in raw:
+        mask, end, spans = bytearray(len(b)), -1, 0
+        for i in range(len(b) - window + 1):
+            if seen[b[i : i + window]] > 1:
+                spans += i > end
+                mask[i : i + window] = b"\1" * window
+                end = i + window
+        rest = bytes(x for x, m in zip(b, mask) if not m)
+        out.append((len(b), len(b) - len(rest), spans, hashlib.sha256(rest).hexdigest()))
+    return out
+
+
+def classes(ids, linked):
+    """Smallest id reachable, for pairs `linked`."""
+    least = {i: i for i in ids}
+    moved = True
+    while moved:
+        moved = False
+        for a, b in linked:
+            m = min(least[a], least[b])
+            moved |= least[a] != m or least[b] != m
+            least[a] = least[b] = m
+    return least
+
+
+def shingle_set(text, n=5):
+    low = re.sub("[A-Z]", lambda m: m.group().lower(), text or "")
+    w = re.findall(r"[^\x20\x09-\x0D]+", low)
+    return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set()
+
+
+def jaccard_classes(rows):
+    """id -> (set size, component) for (id, text) rows."""
+    sets = {i: shingle_set(t) for i, t in rows}
+    holders, linked = {}, []
+    for i, s in sets.items():
+        for x in s:
+            holders.setdefault(x, []).append(i)
+    for i, s in sets.items():
+        shared = {}
+        for x in s:
+            for j in holders[x]:
+                if j > i:
+                    shared[j] = shared.get(j, 0) + 1
+        linked += [(i, j) for j, n in shared.items() if 100 * n >= 75 * len(s | sets[j])]
+    least = classes(sets, linked)
+    return {i: (len(s), least[i]) for i, s in sets.items()}
+
+
+def sellers(pattern, text):
+    """Least edit distance of `pattern` to any part of `text`."""
+    before = [0] * (len(text) + 1)
+    for i, p in enumerate(pattern, 1):
+        now = [i]
+        for j, t in enumerate(text, 1):
+            now.append(min(before[j] + 1, now[-1] + 1, before[j - 1] + (p != t)))
+        before = now
+    return min(before)
