@@ -176,9 +176,11 @@ def strip_code_fence(c) -> Column:
     return F.when(t.startswith("```"), F.regexp_replace(inner, r"(?U)^\s+|\s+$", "")).otherwise(t)
 
 
-def clip_text(c, n=fixed.MODEL_FIELD_CHARS) -> Column:
-    """Drop control characters (tab and newline stay); longer than n ends in an ellipsis."""
+def clip_text(c, n=None) -> Column:
+    """Drop control characters (tab and newline stay). With n, a longer text ends in an ellipsis."""
     clean = F.regexp_replace(F.regexp_replace(col(c), r"(?U)^\s+|\s+$", ""), r"[\x00-\x08\x0b-\x1f\x7f]", "")
+    if n is None:
+        return clean
     return F.when(F.length(clean) > n, F.concat(F.substring(clean, 1, n), F.lit("\u2026"))).otherwise(clean)
 
 

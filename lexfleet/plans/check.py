@@ -51,15 +51,12 @@ def _named(files: DataFrame, names) -> DataFrame:
 
 
 def _text_candidates(files: DataFrame) -> DataFrame:
-    """Files some reader wants in full, each bounded by its reader's size limit."""
+    """Files some reader wants, which are then read in full."""
     base = F.lower(tx.base_name("rel"))
     manifest = tx.base_name("rel").isin([n for n, *_ in fixed.MANIFEST_NAMES])
     legal = tx.is_licence_file_name("base") | tx.brand_stem("base").isin(fixed.TRADEMARK_FILE_STEMS) | base.endswith(".md") | (base == "config.json")
     source = sg.classify().isNotNull()
-    limit = (
-        F.when(manifest, fixed.MAX_FILE_BYTES).when(legal, fixed.LICENCE_TEXT_BYTES).when(source, fixed.SOURCE_FILE_BYTES)
-    )
-    return files.withColumn("base", tx.base_name("rel")).withColumn("_limit", limit).filter(F.col("length") <= F.col("_limit")).drop("base", "_limit")
+    return files.withColumn("base", tx.base_name("rel")).filter(manifest | legal | source).drop("base")
 
 
 def scan(files: DataFrame, ignores: DataFrame = None, texts: DataFrame = None, probed: DataFrame = None) -> Scan:
@@ -93,11 +90,11 @@ def scan(files: DataFrame, ignores: DataFrame = None, texts: DataFrame = None, p
 
     place = lambda df: df.select("project_id", "code", "path")
     warnings = _union([
-        place(fs.over_limit_warnings(listed)), place(fs.unsupported_warnings(units)), place(mf.fallback_warnings(units, declared)),
+        place(fs.over_limit_warnings(listed)), place(fs.depth_warnings(listed)), place(fs.unsupported_warnings(units)), place(mf.fallback_warnings(units, declared)),
         place(fs.stale_lockfiles(units, listed).withColumn("path", F.col("lockfile"))),
         place(mf.json_warnings(_named(texts, ["package.json"]), False)), place(mf.json_warnings(_named(texts, ["package-lock.json", "npm-shrinkwrap.json", "Pipfile.lock"]), True)),
         place(mf.requirement_warnings(_named(texts, ["requirements.txt", "requirements-dev.txt"]))), place(own.unrecognised_texts(in_tree)),
-        place(wt.unparseable_configs(texts)), place(sg.oversized_warnings(listed)), place(sg.opaque_spawns(events)),
+        place(wt.unparseable_configs(texts)), place(wt.truncated_headers(probed)), place(sg.oversized_warnings(listed)), place(sg.opaque_spawns(events)),
     ])
     return Scan(materialise(graph.upsert(everything)), wt.licence_not_found(weights), warnings, mf.own_licence(_union([stated, root])))
 

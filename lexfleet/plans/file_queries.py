@@ -56,8 +56,8 @@ def scan_statistics(spark, sf):
 
 @query
 def walk_truncation(spark, sf):
-    """At most four files per project, in path order."""
-    return fs.truncate(files(spark, sf), max_files=4).select("project_id", "rel", "truncated")
+    """All files; which projects have over four, and which files are not the first four."""
+    return fs.truncate(files(spark, sf), max_files=4).select("project_id", "rel", "truncated", "beyond")
 
 
 @query

@@ -9,6 +9,7 @@ from lexfleet.functions import fixed, text
 from lexfleet.operators.ranking import ordinal_within, running_total
 from lexfleet.session import local_frame, salted_join, small_side
 
+HELD_BYTES = 16 << 20
 FILE_COLUMNS = ["project_id", "rel", "length", "modification_time"]
 
 
@@ -43,22 +44,28 @@ def open_path(path: str):
 
 
 def _read(batches):
+    """Texts leave the task whenever HELD_BYTES have been read: a batch holds paths, and
+    all its files together may be far larger than a worker."""
     for pdf in batches:
-        texts = []
-        for path in pdf["path"]:
+        start, texts, held = 0, [], 0
+        for i, path in enumerate(pdf["path"]):
             with open_path(path) as f:
-                texts.append(f.read().decode("utf-8", "replace"))
-        yield pdf[["project_id", "rel", "length"]].assign(text=texts)
+                body = f.read()
+            texts.append(body.decode("utf-8", "replace"))
+            held += len(body)
+            if held >= HELD_BYTES or i + 1 == len(pdf):
+                yield pdf.iloc[start : i + 1][["project_id", "rel", "length"]].assign(text=texts)
+                start, texts, held = i + 1, [], 0
 
 
-def read_texts(files: DataFrame, max_bytes=fixed.MAX_FILE_BYTES, partitions=None) -> DataFrame:
-    """Whole text of the listed files up to `max_bytes`; larger ones are not opened.
+def read_texts(files: DataFrame, partitions=None) -> DataFrame:
+    """Whole text of the listed files, whatever their size.
 
     Which files to open is decided on the listing, so nothing else is read; the
     paths are spread evenly because listings come in few partitions.
     """
     n = partitions or int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    todo = files.filter(F.col("length") <= max_bytes).select("project_id", "rel", "length", "path")
+    todo = files.select("project_id", "rel", "length", "path")
     return todo.repartition(n, "path").mapInPandas(_read, "project_id string, rel string, length long, text string")
 
 
@@ -109,26 +116,30 @@ def inside_dependency_dir(rel="rel") -> Column:
 # ---- budgets -----------------------------------------------------------------
 
 def within_limits(files: DataFrame, max_bytes=fixed.MAX_FILE_BYTES, max_depth=fixed.MAX_DEPTH) -> DataFrame:
-    """Adds over_limit: listed but not to be parsed. Too deep files are dropped."""
-    return files.filter(depth() <= max_depth + 1).withColumn("over_limit", F.col("length") > max_bytes)
+    """Adds over_limit and too_deep, which name a file in a warning. No file is dropped."""
+    return files.withColumn("over_limit", F.col("length") > max_bytes).withColumn("too_deep", depth() > max_depth + 1)
 
 
 def over_limit_warnings(files: DataFrame) -> DataFrame:
     return files.filter("over_limit").select("project_id", F.lit("E-SCAN-006").alias("code"), F.col("rel").alias("path"))
 
 
+def depth_warnings(files: DataFrame) -> DataFrame:
+    return files.filter("too_deep").select("project_id", F.lit("E-SCAN-008").alias("code"), F.col("rel").alias("path"))
+
+
 def truncate(files: DataFrame, max_files=fixed.MAX_FILES) -> DataFrame:
-    """Keeps the first `max_files` paths per project and flags truncated projects.
+    """All files, with two flags: truncated, when the project has more than `max_files`,
+    and beyond, when the file is not among the first that many paths.
 
     Projects within the budget are told apart by a plain count; only the ones
     beyond it are numbered.
     """
     sizes = files.groupBy("project_id").agg(F.count(F.lit(1)).alias("_n"))
     over = sizes.filter(F.col("_n") > max_files).select("project_id")
-    fits = files.join(over, "project_id", "left_anti").withColumn("truncated", F.lit(False))
+    fits = files.join(over, "project_id", "left_anti").withColumn("truncated", F.lit(False)).withColumn("beyond", F.lit(False))
     ranked = ordinal_within(files.join(over, "project_id", "left_semi"), ["project_id"], ["rel"], "_pos")
-    cut = ranked.filter(F.col("_pos") <= max_files).drop("_pos").withColumn("truncated", F.lit(True))
-    return fits.unionByName(cut)
+    return fits.unionByName(ranked.withColumn("truncated", F.lit(True)).withColumn("beyond", F.col("_pos") > max_files).drop("_pos"))
 
 
 def byte_budget(files: DataFrame, max_total: int) -> DataFrame:

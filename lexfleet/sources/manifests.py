@@ -130,7 +130,7 @@ def _npm_v1(batches):
         out = []
         for project, rel, body in pdf[["project_id", "rel", "text"]].itertuples(index=False):
             level, depth = [json.loads(body).get("dependencies") or {}], 0
-            while level and depth <= 24:
+            while level:
                 below = []
                 for deps in level:
                     for name, entry in deps.items():

@@ -1,10 +1,11 @@
 """Model weight files: found by their first bytes, licensed by what stands near.
 
 The listing never loads content. Only files that pass the extension or size test
-are opened, and then only a bounded head (and the tail of a zip) is read.
+are opened, and then only a header (or the directory of a zip) is read, in pieces.
 """
 
 import struct
+import zipfile
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -22,49 +23,74 @@ def candidates(files: DataFrame) -> DataFrame:
     return files.filter(wanted & ~inside_dependency_dir())
 
 
-_FIXED_WIDTH = {0: 1, 1: 1, 7: 1, 2: 2, 3: 2, 4: 4, 5: 4, 6: 4, 10: 8, 11: 8, 12: 8}
-
-
-def _gguf_value(data, at, kind, depth=0):
-    """(value or None, next offset) of one metadata value; raises past the end."""
-    if kind == 8:
-        size = struct.unpack_from("<Q", data, at)[0]
-        if at + 8 + size > len(data):
-            raise struct.error("string past the end")
-        return data[at + 8:at + 8 + size].decode("utf-8", "replace"), at + 8 + size
-    if kind == 9 and depth < 8:
-        inner, count = struct.unpack_from("<IQ", data, at)
-        at += 12
-        if inner in _FIXED_WIDTH:
-            at += _FIXED_WIDTH[inner] * count
-        else:
-            for _ in range(count):
-                at = _gguf_value(data, at, inner, depth + 1)[1]
-        if at > len(data):
-            raise struct.error("array past the end")
-        return None, at
-    at += _FIXED_WIDTH[kind]
-    if at > len(data):
-        raise struct.error("value past the end")
-    return None, at
-
-
-def gguf_metadata(data):
-    """(licence, link, truncated) from a header prefix."""
-    licence = link = ""
+# fixed values: width in bytes of the plain value types; 8 is a string, 9 an array
+_WIDTH = {0: 1, 1: 1, 2: 2, 3: 2, 4: 4, 5: 4, 6: 4, 7: 1, 10: 8, 11: 8, 12: 8}
+_STRING, _ARRAY = 8, 9
+_LICENCE_KEYS, _LINK_KEY = (b"general.license", b"general.license.name"), b"general.license.link"
+
+
+class _Header:
+    """Reads a file from front to back in pieces; what is passed over is not read."""
+
+    def __init__(self, f, size):
+        self.f, self.size, self.at, self.held, self.start = f, size, 0, b"", 0
+
+    def skip(self, n):
+        self.at += n
+        if self.at > self.size:
+            raise EOFError
+
+    def take(self, n):
+        end = self.at + n
+        if end > self.size:
+            raise EOFError
+        if not self.start <= self.at <= end <= self.start + len(self.held):
+            self.held, self.start = self.f.read_at(min(max(n, fixed.WEIGHT_READ_BYTES), self.size - self.at), self.at), self.at
+        part = self.held[self.at - self.start : end - self.start]
+        self.at = end
+        return part
+
+    def number(self, kind):
+        return struct.unpack(kind, self.take(struct.calcsize(kind)))[0]
+
+    def skip_values(self, kind, count=1):
+        """Pass over values of any nesting: open arrays wait on a list."""
+        todo = [(kind, count)]
+        while todo:
+            kind, count = todo.pop()
+            if kind == _STRING:
+                for _ in range(count):
+                    self.skip(self.number("<Q"))
+            elif kind != _ARRAY:
+                self.skip(_WIDTH[kind] * count)
+            elif count:
+                todo += [(_ARRAY, count - 1), (self.number("<I"), self.number("<Q"))]
+
+
+def gguf_metadata(header):
+    """(licence, link, truncated); what stands before an early end counts."""
+    licence = link = b""
     try:
-        count, at = struct.unpack_from("<Q", data, 16)[0], 24
-        for _ in range(count):
-            key, at = _gguf_value(data, at, 8)
-            kind = struct.unpack_from("<I", data, at)[0]
-            value, at = _gguf_value(data, at + 4, kind)
-            if key in ("general.license", "general.license.name"):
-                licence = licence or value or ""
-            elif key == "general.license.link":
-                link = value or ""
-    except (struct.error, KeyError):
-        return "", "", True
-    return licence, link, False
+        header.skip(16)
+        for _ in range(header.number("<Q")):
+            key = header.take(header.number("<Q"))
+            kind = header.number("<I")
+            if kind == _STRING and (key in _LICENCE_KEYS or key == _LINK_KEY):
+                value = header.take(header.number("<Q"))
+                licence, link = (licence, value) if key == _LINK_KEY else (licence or value, link)
+            else:
+                header.skip_values(kind)
+    except (EOFError, KeyError):
+        return licence.decode("utf-8", "replace"), link.decode("utf-8", "replace"), True
+    return licence.decode("utf-8", "replace"), link.decode("utf-8", "replace"), False
+
+
+def _has_pickle(f):
+    """Whether a zip's directory names a pickle; only the directory is read."""
+    try:
+        return any(n.rsplit("/", 1)[-1] == "data.pkl" for n in zipfile.ZipFile(f).namelist())
+    except zipfile.BadZipFile:
+        return False
 
 
 def _probe(batches):
@@ -76,19 +102,20 @@ def _probe(batches):
             with open_path(path) as f:
                 head = f.read_at(min(length, fixed.WEIGHT_MAGIC_BYTES), 0)
                 if head[:4] == b"GGUF":
-                    for budget in (fixed.WEIGHT_META_BYTES, fixed.WEIGHT_META_MAX_BYTES):
-                        licence, link, truncated = gguf_metadata(f.read_at(min(length, budget), 0))
-                        if not truncated or length <= budget:
-                            break
+                    licence, link, truncated = gguf_metadata(_Header(f, length))
                 elif head[:4] == b"PK\x03\x04":
-                    size = min(length, fixed.WEIGHT_ZIP_TAIL_BYTES)
-                    pickle = b"data.pkl" in f.read_at(size, length - size)
+                    pickle = _has_pickle(f)
             out.append((project, rel, length, head, pickle, licence, link, truncated))
         yield pd.DataFrame(out, columns=["project_id", "rel", "length", "head", "has_pickle", "gguf_licence", "gguf_link", "gguf_truncated"])
 
 
+def truncated_headers(probed: DataFrame) -> DataFrame:
+    """Metadata that ends before its count is reached."""
+    return probed.filter("gguf_truncated").select("project_id", F.lit("E-SCAN-012").alias("code"), F.col("rel").alias("path"))
+
+
 def probe(files: DataFrame, partitions=None) -> DataFrame:
-    """`files` with `path`: opens each candidate and reads only bounded parts of it."""
+    """`files` with `path`: opens each candidate and reads only its header or directory."""
     todo = candidates(files).select("project_id", "rel", "length", "path")
     n = partitions or int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return todo.repartition(n, "path").mapInPandas(_probe, PROBE_SCHEMA)
@@ -101,7 +128,7 @@ def weight_format() -> Column:
     little = F.conv(F.concat(*[F.substring(h, 2 * i + 1, 2) for i in reversed(range(8))]), 16, 10).cast("decimal(20,0)")
     return (
         F.when(size < 4, F.lit(None))
-        .when((size >= 9) & (F.substring(h, 17, 2) == "7B") & (little > 0) & (little <= fixed.WEIGHT_META_MAX_BYTES), "SafeTensors")
+        .when((size >= 9) & (F.substring(h, 17, 2) == "7B") & (little > 0) & (little + 8 <= F.col("length")), "SafeTensors")
         .when(h.startswith("47475546"), "GGUF")
         .when(h.startswith("894844460D0A1A0A"), "HDF5")
         .when(h.rlike("^800[2-5]"), "Pickle")

@@ -1,13 +1,16 @@
 """Functions and readers on hand-written rows."""
 
+import io
 import json
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import projects
 from lexfleet.functions import fixed, ids, severity as sev, text as tx
 from lexfleet.operators import graph, orgpolicy, quality as dq, suggestions as sg
+from lexfleet.plans import check
 from lexfleet.rules import loader
 from lexfleet.sources import assets, files as fs, intents as si, manifests as mf, signals as sg_src, weights as wt
 
@@ -77,15 +80,45 @@ def test_weight_formats(spark):
             ("a.pkl", b"\x80\x04" + b"\0" * 14, False, "Pickle"), ("a.pt", b"PK\x03\x04" + b"\0" * 12, True, "PyTorch (zip)"), ("a.zip", b"PK\x03\x04" + b"\0" * 12, False, None),
             ("a.onnx", b"\x08\x07" + b"\0" * 14, False, "ONNX"), ("a.bin", b"\x08\x07" + b"\0" * 14, False, None), ("a.bin", b"GG", False, None),
             ("a.safetensors", b"\xff" * 8 + b"{" + b" " * 7, False, None)]
-    df = spark.createDataFrame(rows, "rel string, head binary, has_pickle boolean, want string")
+    df = spark.createDataFrame(rows, "rel string, head binary, has_pickle boolean, want string").withColumn("length", F.lit(1 << 40))
     for r in df.select("*", wt.weight_format().alias("got")).collect():
         assert r.got == r.want, r
 
 
 def test_gguf_metadata():
     data = projects.gguf(general__license="mit", general__license__link="https://x.test")
-    assert wt.gguf_metadata(data) == ("mit", "https://x.test", False)
-    assert wt.gguf_metadata(data[:60])[2] is True
+    header = lambda data: wt._Header(pa.PythonFile(io.BytesIO(data), mode="r"), len(data))
+    assert wt.gguf_metadata(header(data)) == ("mit", "https://x.test", False)
+    assert wt.gguf_metadata(header(data[:60]))[2] is True
+    # what was read before an early end counts, however far into the file it stands
+    far = projects.gguf(general__long="x" * (3 << 20), general__license="mit", general__more="y" * 99)
+    assert wt.gguf_metadata(header(far[:-20])) == ("mit", "", True)
+
+
+def test_calls_and_fetches_are_read_in_full(spark):
+    code = "requests.get(" + " " * 9_000 + "'https://far.io/x')\nx = 'https://not.io'\n" + "# " + "y" * (3 << 20) + "\nfetch('https://end.io')\n"
+    sh = "curl https://one.io/x && wget -q https://two.io/y\n"
+    rows = [("p", "a.py", len(code), code), ("p", "b.sh", len(sh), sh)]
+    s = sg_src.signals(sg_src.events(spark.createDataFrame(rows, "project_id string, rel string, length long, text string"))).filter("signal = 'host'")
+    assert sorted(r.token for r in s.collect()) == ["end.io", "far.io", "one.io", "two.io"]
+
+
+def test_workflow_scripts():
+    code = "jobs:\n  a:\n    run: no\n    steps:\n      - name: x\n        # c\n        run: |\n          one\n\n          two\n        env: y\n      - run: three\n      - run: >-\n          four\n"
+    assert list(sg_src._workflow_scripts(code)) == [(7, "          one\n\n          two"), (0, "three"), (13, "          four\n")]
+
+
+def test_everyday_tools(spark):
+    names = ["python3.12", "python3.14", "cmd.exe", "cat.exe", "SHASUM", "sha384sum", "gawk", "ffmpeg"]
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    assert [r[0] for r in df.filter(sg_src.is_everyday_tool("n")).collect()] == ["python3.12", "cmd.exe", "SHASUM", "gawk"]
+
+
+def test_no_file_is_dropped(spark):
+    rows = [("p", "/".join("d" * 40) + "/LICENSE", 9 << 20), ("p", "a.py", 3 << 20), ("p", "LICENSE", 10)]
+    kept = fs.within_limits(spark.createDataFrame(rows, "project_id string, rel string, length long"))
+    assert sorted((r.over_limit, r.too_deep) for r in kept.collect()) == [(False, False), (False, False), (True, True)]
+    assert check._text_candidates(kept).count() == 3
 
 
 def test_comments_keep_line_numbers():
@@ -122,7 +155,6 @@ def test_listing_reads_no_content(spark, tmp_path):
     assert [(r.project_id, r.rel, r.length) for r in df.collect()] == [("p", "d/f.txt", 5)]
     assert "content" not in df._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[-1]
     assert [r.text for r in fs.read_texts(df).collect()] == ["hello"]
-    assert fs.read_texts(df, max_bytes=4).count() == 0
 
 
 def test_npm_v1_depth(spark):
@@ -131,7 +163,7 @@ def test_npm_v1_depth(spark):
         doc = {f"n{i}": {"version": "1", **({"dependencies": doc} if doc else {})}}
     df = spark.createDataFrame([("p", "package-lock.json", json.dumps({"dependencies": doc}))], "project_id string, rel string, text string")
     rows = {r.name: r.direct for r in mf.npm_lock(df).collect()}
-    assert len(rows) == 25 and rows["n0"] and not rows["n24"]
+    assert len(rows) == 30 and rows["n0"] and not rows["n29"]
 
 
 def test_malformed_inputs_warn(spark):
