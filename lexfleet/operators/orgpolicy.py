@@ -4,13 +4,17 @@ Policy runs on declared severity before the confidence gate, so it can never
 raise a guess to a blocker.
 """
 
+import json
+
 from pyspark.sql import DataFrame, functions as F
 
 from lexfleet.functions import severity as sev, spdx as spdx_fn, ids
+from lexfleet.operators import predicates
 from lexfleet.operators.evaluate import OUTCOME_COLUMNS
 from lexfleet.operators.resolve import licence_dimension
 from lexfleet.session import local_frame, salted_join, small_side
 
+MAX_CONDITIONS = 1000
 EXCEPTION_SCHEMA = "ordinal int, dependency string, kind string, reason string, owner string, expires string"
 ESCALATION_SCHEMA = "target_type string, target string, severity string"
 
@@ -24,25 +28,31 @@ def policy_tables(spark, policy: dict):
     return local_frame(spark, ex, EXCEPTION_SCHEMA), local_frame(spark, esc, ESCALATION_SCHEMA)
 
 
+def _scoped(df: DataFrame) -> DataFrame:
+    """A policy without organisations is that of one organisation without a name."""
+    return df if "org" in df.columns else df.withColumn("org", F.lit(""))
+
+
 def first_exception(exceptions: DataFrame) -> DataFrame:
-    """Per (dependency, kind-or-any): the first rule. Two rules can then apply to
+    """Per (org, dependency, kind-or-any): the first rule. Two rules can then apply to
     a finding at most, and the smaller ordinal decides."""
-    e = exceptions.select("ordinal", "dependency", F.coalesce(F.when(F.col("kind") != "", F.col("kind")), F.lit("*")).alias("ex_kind"),
+    e = _scoped(exceptions).select("org", "ordinal", "dependency", F.coalesce(F.when(F.col("kind") != "", F.col("kind")), F.lit("*")).alias("ex_kind"),
                           F.struct("ordinal", "owner", "expires", "reason").alias("rule"))
-    return e.groupBy("dependency", "ex_kind").agg(F.min_by("rule", "ordinal").alias("rule"))
+    return e.groupBy("org", "dependency", "ex_kind").agg(F.min_by("rule", "ordinal").alias("rule"))
 
 
 def match_exceptions(outcomes: DataFrame, exceptions: DataFrame) -> DataFrame:
-    """Adds `exception` (struct or NULL): the first rule for (dependency, kind?).
+    """Adds `exception` (struct or NULL): the first rule of the finding's organisation
+    for (dependency, kind?).
 
     Two equi-joins, one for rules naming the kind and one for rules for any
     kind; both sides have one row per key, so findings are not multiplied.
     """
     first = first_exception(exceptions)
     named = first.filter(F.col("ex_kind") != "*").select(
-        F.col("dependency").alias("dependency_id"), F.col("ex_kind").alias("rule_id"), F.col("rule").alias("_named"))
-    anyk = first.filter(F.col("ex_kind") == "*").select(F.col("dependency").alias("dependency_id"), F.col("rule").alias("_any"))
-    out = outcomes.join(small_side(named), ["dependency_id", "rule_id"], "left").join(small_side(anyk), "dependency_id", "left")
+        "org", F.col("dependency").alias("dependency_id"), F.col("ex_kind").alias("rule_id"), F.col("rule").alias("_named"))
+    anyk = first.filter(F.col("ex_kind") == "*").select("org", F.col("dependency").alias("dependency_id"), F.col("rule").alias("_any"))
+    out = outcomes.join(named, ["org", "dependency_id", "rule_id"], "left").join(anyk, ["org", "dependency_id"], "left")
     pick = (
         F.when(F.col("_named").isNull(), F.col("_any"))
         .when(F.col("_any").isNull() | (F.col("_named.ordinal") < F.col("_any.ordinal")), F.col("_named"))
@@ -52,25 +62,28 @@ def match_exceptions(outcomes: DataFrame, exceptions: DataFrame) -> DataFrame:
 
 
 def _strongest(escalations, target_type, key):
-    rows = escalations.filter(F.col("target_type") == target_type)
-    return rows.select(F.lower(F.trim("target")).alias(key), sev.severity_weight(F.upper(F.trim("severity"))).alias(f"{key}_w")).groupBy(
-        key).agg(F.max(f"{key}_w").alias(f"{key}_w"))
+    rows = _scoped(escalations).filter(F.col("target_type") == target_type)
+    return rows.select("org", F.lower(F.trim("target")).alias(key), sev.severity_weight(F.upper(F.trim("severity"))).alias(f"{key}_w")).groupBy(
+        "org", key).agg(F.max(f"{key}_w").alias(f"{key}_w"))
 
 
-def apply_policy(outcomes: DataFrame, corpus, exceptions: DataFrame, escalations: DataFrame, today: str) -> DataFrame:
-    """Rewrites declared severity. A live exception demotes to NOTE; an expired one
+def apply_policy(outcomes: DataFrame, corpus, exceptions: DataFrame, escalations: DataFrame, today: str, orgs: DataFrame = None) -> DataFrame:
+    """Rewrites declared severity by the policy of each project's organisation: `orgs` is
+    (project_id, org), and both policy tables have `org` then. Projects without an
+    organisation have no policy. A live exception demotes to NOTE; an expired one
     changes nothing, leaves a notice and still shields from escalation."""
     spark = outcomes.sparkSession
     dim = licence_dimension(spark, corpus, "pol_").select("pol_key", F.lower("pol_family").alias("pol_family"))
     label = F.trim("licence")
     is_id = (label != "") & ~label.rlike(r"[ \t]")
+    owned = outcomes.join(orgs.select("project_id", "org"), "project_id", "left") if orgs is not None else outcomes.withColumn("org", F.lit(""))
     joined = (
-        match_exceptions(outcomes, exceptions)
+        match_exceptions(owned, exceptions)
         .withColumn("pol_key", spdx_fn.lookup_key("licence"))
         .join(small_side(dim), "pol_key", "left")
-        .join(small_side(_strongest(escalations, "family", "pol_family")), "pol_family", "left")
+        .join(_strongest(escalations, "family", "pol_family"), ["org", "pol_family"], "left")
         .withColumn("pol_licence", F.when(is_id, F.lower(label)))
-        .join(small_side(_strongest(escalations, "licence", "pol_licence")), "pol_licence", "left")
+        .join(_strongest(escalations, "licence", "pol_licence"), ["org", "pol_licence"], "left")
     )
     live = sev.exception_live("exception.expires", today)
     has = F.col("exception").isNotNull()
@@ -109,15 +122,39 @@ def deny_list(dependencies: DataFrame, intents: DataFrame, denied: DataFrame) ->
     ).select(*OUTCOME_COLUMNS)
 
 
-def gate_on(outcomes: DataFrame, block_on) -> DataFrame:
-    """Findings whose effective severity the project blocks on."""
-    return outcomes.filter(F.col("rule_id").isNotNull() & F.col("effective_severity").isin(list(block_on)))
-
-
-def waive(outcomes: DataFrame, allow_if: DataFrame) -> DataFrame:
-    """Marks findings whose licence the project allows under a stated condition;
-    a waived finding stays visible as a note. `allow_if` is (project_id, licence)."""
-    ok = allow_if.select("project_id", spdx_fn.lookup_key("licence").alias("_allow")).distinct().withColumn("_waived", F.lit(True))
-    joined = outcomes.withColumn("_allow", spdx_fn.lookup_key("licence")).join(ok, ["project_id", "_allow"], "left")
+def gate_on(outcomes: DataFrame, block_on: DataFrame) -> DataFrame:
+    """Findings whose effective severity their project blocks on. `block_on` is
+    (project_id, block_on), a list per project; without one a project blocks on BLOCK."""
+    lists = block_on.select("project_id", "block_on").filter(F.size("block_on") > 0)
+    judged = outcomes.filter(F.col("rule_id").isNotNull()).join(lists, "project_id", "left")
+    stops = F.array_contains(F.coalesce("block_on", F.array(F.lit("BLOCK"))), F.col("effective_severity"))
+    return judged.filter(stops).drop("block_on")
+
+
+def allowed(allow_if: DataFrame, intents: DataFrame) -> DataFrame:
+    """(project_id, intent_id, licence) of allowances whose condition is TRUE for the
+    intent. A null or empty `when` always holds; UNKNOWN does not.
+
+    Conditions are compiled into the plan, each different text once; there are
+    MAX_CONDITIONS at most."""
+    texts = [r[0] for r in allow_if.select("when").filter(F.coalesce("when", F.lit("")) != "").distinct().limit(MAX_CONDITIONS + 1).collect()]
+    if len(texts) > MAX_CONDITIONS:
+        raise ValueError(f"over {MAX_CONDITIONS} different conditions")
+    truth = F.when(F.coalesce("when", F.lit("")) == "", True)
+    for text in sorted(texts):
+        tree = json.loads(text)
+        if any(f.startswith("dep.") for f in predicates.fields_of(tree)):
+            raise ValueError(f"a condition on a dependency: {text}")
+        truth = truth.when(F.col("when") == text, predicates.compile_predicate(tree).truth)
+    both = allow_if.select("project_id", "licence", "when").join(intents, "project_id")
+    return both.filter(F.coalesce(truth, F.lit(False))).select("project_id", "intent_id", "licence")
+
+
+def waive(outcomes: DataFrame, allow_if: DataFrame, intents: DataFrame) -> DataFrame:
+    """Marks findings whose licence the project allows for the intent; a waived finding
+    stays visible as a note. `allow_if` is (project_id, licence, when), `when` the JSON
+    of a predicate over the intent."""
+    ok = allowed(allow_if, intents).select("project_id", "intent_id", spdx_fn.lookup_key("licence").alias("_allow")).distinct().withColumn("_waived", F.lit(True))
+    joined = outcomes.withColumn("_allow", spdx_fn.lookup_key("licence")).join(ok, ["project_id", "intent_id", "_allow"], "left")
     waived = F.coalesce("_waived", F.lit(False)) & F.col("rule_id").isNotNull()
     return joined.withColumn("severity", F.when(waived, F.lit("NOTE")).otherwise(F.col("severity"))).withColumn("waived", waived).drop("_allow", "_waived")

@@ -34,6 +34,7 @@ class Check:
     outcomes: DataFrame
     verdicts: DataFrame
     notices: DataFrame        # (project_id, code, message)
+    stops: DataFrame = None   # findings that a project blocks on, when its lists are given
 
 
 def _union(frames):
@@ -99,8 +100,11 @@ def scan(files: DataFrame, ignores: DataFrame = None, texts: DataFrame = None, p
     return Scan(materialise(graph.upsert(everything)), wt.licence_not_found(weights), warnings, mf.own_licence(_union([stated, root])))
 
 
-def evaluate(scanned: Scan, intents: DataFrame, corpus, today: str, policy=None, denied: DataFrame = None, allow_medium_blockers=False) -> Check:
-    """Rules, cross checks, platform terms, policy, fold. `policy` is (exceptions, escalations)."""
+def evaluate(scanned: Scan, intents: DataFrame, corpus, today: str, policy=None, denied: DataFrame = None, allow_medium_blockers=False,
+             orgs: DataFrame = None, allow_if: DataFrame = None, block_on: DataFrame = None) -> Check:
+    """Rules, cross checks, platform terms, policy, fold. `policy` is (exceptions, escalations),
+    per organisation when `orgs` (project_id, org) is given; `allow_if` and `block_on` are
+    the projects' own (see orgpolicy.waive and orgpolicy.gate_on)."""
     deps = scanned.dependencies
     spark = deps.sparkSession
     resolved = rs.resolve(deps, corpus)
@@ -122,6 +126,9 @@ def evaluate(scanned: Scan, intents: DataFrame, corpus, today: str, policy=None,
     notices = [ev.notices(outcomes).select("project_id", "code", "message"), pf.unmatched(matched).select("project_id", "code", "message"),
                pf.stale_notices(matched, corpus, today)]
     if policy is not None:
-        outcomes = materialise(orgpolicy.apply_policy(outcomes, corpus, *policy, today))
+        outcomes = materialise(orgpolicy.apply_policy(outcomes, corpus, *policy, today, orgs))
         notices.append(orgpolicy.expired_notices(outcomes).select("project_id", "code", "message"))
-    return Check(outcomes, vd.fold(outcomes, intents, allow_medium_blockers), _union(notices))
+    if allow_if is not None:
+        outcomes = materialise(orgpolicy.waive(outcomes, allow_if, intents))
+    stops = orgpolicy.gate_on(vd.with_effective_severity(outcomes), block_on) if block_on is not None else None
+    return Check(outcomes, vd.fold(outcomes, intents, allow_medium_blockers), _union(notices), stops)

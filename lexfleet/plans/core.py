@@ -1,5 +1,6 @@
 """Rule evaluation, policy and verdict queries on the order/line-item binding."""
 
+import json
 from functools import lru_cache
 
 from pyspark.sql import functions as F
@@ -299,17 +300,23 @@ def deny_list(spark, sf):
 
 @query
 def allow_waivers(spark, sf):
-    """Findings under licences a project allows become notes and stay visible."""
+    """Findings under licences a project allows, some only for a stated use, become
+    notes and stay visible."""
     o = b.table(spark, sf, "orders").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("project_id"), "o_orderstatus")
-    allowed = o.select("project_id", F.when(F.col("o_orderstatus") == "O", "mit").when(F.col("o_orderstatus") == "F", "GPLv3").otherwise("BSD").alias("licence"))
-    w = vd.with_effective_severity(orgpolicy.waive(rule_outcomes(spark, sf), allowed)).filter(F.col("waived"))
+    allowed = o.select("project_id", F.when(F.col("o_orderstatus") == "O", "mit").when(F.col("o_orderstatus") == "F", "GPLv3").otherwise("BSD").alias("licence"),
+                       F.when(F.col("o_orderstatus") == "F", json.dumps({"op": ">", "field": "scale.employees", "value": 70})).alias("when"))
+    w = vd.with_effective_severity(orgpolicy.waive(rule_outcomes(spark, sf), allowed, b.intents(spark, sf))).filter(F.col("waived"))
     return w.select("project_id", "dependency_id", "rule_id", "severity", "effective_severity")
 
 
 @query
 def block_on_gate(spark, sf):
-    """Findings each project stops on when it blocks on BLOCK and CONDITION."""
-    gated = orgpolicy.gate_on(vd.with_effective_severity(rule_outcomes(spark, sf)), ["BLOCK", "CONDITION"])
+    """Findings each project stops on: some block on conditions too, some on notes
+    alone, and those without a list on BLOCK."""
+    o = b.table(spark, sf, "orders").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("project_id"), "o_orderstatus")
+    both, notes = F.array(F.lit("BLOCK"), F.lit("CONDITION")), F.array(F.lit("NOTE"))
+    lists = o.select("project_id", F.when(F.col("o_orderstatus") == "O", both).when(F.col("o_orderstatus") == "F", notes).alias("block_on"))
+    gated = orgpolicy.gate_on(vd.with_effective_severity(rule_outcomes(spark, sf)), lists)
     return gated.groupBy("project_id").agg(F.count(F.lit(1)).alias("stops"))
 
 
@@ -332,8 +339,16 @@ ESCALATIONS = [("family", "weak-copyleft", "BLOCK"), ("family", "permissive", "N
 
 
 def with_policy(spark, sf):
-    esc = local_frame(spark, ESCALATIONS, orgpolicy.ESCALATION_SCHEMA)
-    return orgpolicy.apply_policy(rule_outcomes(spark, sf), corpus(), part_exceptions(spark, sf), esc, b.TODAY)
+    """Two organisations that contradict each other: what one still accepts has expired
+    for the other, and they raise the same licences to different bands."""
+    rows = [("a", *e) for e in ESCALATIONS] + [("b", "licence", "isc", "CONDITION")]
+    esc = local_frame(spark, rows, "org string, " + orgpolicy.ESCALATION_SCHEMA)
+    ex = part_exceptions(spark, sf)
+    other = F.when(F.col("expires") == "2026-12-31", "2026-01-31").when(F.col("expires") == "2026-01-31", "2026-12-31").otherwise(F.col("expires"))
+    both = ex.withColumn("org", F.lit("a")).unionByName(ex.withColumn("org", F.lit("b")).withColumn("expires", other))
+    key = b.table(spark, sf, "orders").select("o_orderkey")
+    orgs = key.select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("project_id"), F.when(F.col("o_orderkey") % 2 == 0, "a").otherwise("b").alias("org"))
+    return orgpolicy.apply_policy(rule_outcomes(spark, sf), corpus(), both, esc, b.TODAY, orgs)
 
 
 @query
