@@ -110,9 +110,12 @@ def config_json(spark, sf):
 
 @query
 def hosts_in_text(spark, sf):
-    """First host of an address put in front of every page's text."""
+    """Hosts of all addresses in a page: those of its text, its own (under another name,
+    as the given one is ignored) and a second one behind the text."""
     p = b.table(spark, sf, "pages")
-    return p.select("page_id", sig.url_host_in_text(F.concat(F.lit("see "), F.regexp_replace("url", "example", "sample"), F.lit(" "), "html")).alias("host"))
+    own = F.regexp_replace("url", "example", "sample")
+    text = F.concat(F.lit("see "), own, F.lit(" or http://Docs."), F.regexp_extract(own, "//([^/]+)", 1), F.lit("/x, not https://localhost.test/ "), "html", F.lit(" https://end.p"), F.col("page_id").cast("string"), F.lit(".io"))
+    return p.select("page_id", F.array_join(sig.url_hosts_in_text(text), ",").alias("hosts"))
 
 
 @query

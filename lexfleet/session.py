@@ -1,6 +1,9 @@
 """Session settings and the few helpers that read them."""
 
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -10,6 +13,30 @@ from pyspark.sql.pandas.types import to_arrow_schema
 BROADCAST_LIMIT_BYTES = 64 << 20
 
 
+_shipped = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package once per application, so that functions in
+    Python steps find it whatever folder the driver started from."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = Path(__file__).parent
+    path = os.path.join(tempfile.mkdtemp(prefix="lexfleet-code-"), "lexfleet.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for p in sorted(root.rglob("*")):
+            if p.suffix in (".py", ".json"):
+                z.write(p, str(Path(root.name) / p.relative_to(root)))
+    spark.sparkContext.addPyFile(path)
+    _shipped.add(app)
+
+
+def map_in_pandas(df: DataFrame, fn, schema: str) -> DataFrame:
+    ship(df.sparkSession)
+    return df.mapInPandas(fn, schema)
+
+
 def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
     return (
         builder.config("spark.sql.session.timeZone", "UTC")

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lexfleet.functions import fixed, text
 from lexfleet.operators.ranking import ordinal_within, running_total
-from lexfleet.session import local_frame, salted_join, small_side
+from lexfleet.session import local_frame, map_in_pandas, salted_join, small_side
 
 HELD_BYTES = 16 << 20
 FILE_COLUMNS = ["project_id", "rel", "length", "modification_time"]
@@ -66,7 +66,7 @@ def read_texts(files: DataFrame, partitions=None) -> DataFrame:
     """
     n = partitions or int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     todo = files.select("project_id", "rel", "length", "path")
-    return todo.repartition(n, "path").mapInPandas(_read, "project_id string, rel string, length long, text string")
+    return map_in_pandas(todo.repartition(n, "path"), _read, "project_id string, rel string, length long, text string")
 
 
 # ---- pruning -----------------------------------------------------------------

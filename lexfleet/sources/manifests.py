@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from lexfleet.functions import text as tx
-from lexfleet.session import salted_join
+from lexfleet.session import map_in_pandas, salted_join
 
 DECLARED = [
     "project_id", "source_path", "ecosystem", "name", "version", "is_range", "direct", "licence_raw", "line", "dev",
@@ -111,7 +111,7 @@ def npm_lock(files: DataFrame) -> DataFrame:
     has_packages = F.exists(F.coalesce(F.map_keys(_object(F.col("doc"), "$.packages")), F.array().cast("array<string>")),
                             lambda p: p.contains("node_modules/") & ~p.rlike("node_modules/$"))
     old = docs.filter(~has_packages).select("project_id", "rel", "text")
-    return flat.unionByName(old.mapInPandas(_npm_v1, DECLARED_SCHEMA))
+    return flat.unionByName(map_in_pandas(old, _npm_v1, DECLARED_SCHEMA))
 
 
 def _scalar(v):
@@ -360,7 +360,7 @@ def _pyproject(batches):
 
 
 def pyproject(files: DataFrame) -> DataFrame:
-    return files.select("project_id", "rel", "text").mapInPandas(_pyproject, DECLARED_SCHEMA)
+    return map_in_pandas(files.select("project_id", "rel", "text"), _pyproject, DECLARED_SCHEMA)
 
 
 def _dependency_tables(doc):
@@ -397,7 +397,7 @@ def _cargo_toml(batches):
 
 
 def cargo_toml(files: DataFrame) -> DataFrame:
-    return files.select("project_id", "rel", "text").mapInPandas(_cargo_toml, DECLARED_SCHEMA)
+    return map_in_pandas(files.select("project_id", "rel", "text"), _cargo_toml, DECLARED_SCHEMA)
 
 
 def _toml_own(batches):
@@ -419,7 +419,7 @@ def _toml_own(batches):
 
 def toml_own_licence(files: DataFrame) -> DataFrame:
     """(project_id, rel, own_licence, malformed)."""
-    return files.select("project_id", "rel", "text").mapInPandas(
+    return map_in_pandas(files.select("project_id", "rel", "text"), 
         _toml_own, "project_id string, rel string, own_licence string, malformed boolean")
 
 

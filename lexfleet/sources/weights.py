@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lexfleet.functions import fixed, ids, spdx as spdx_fn, text as tx
 from lexfleet.operators.ownership import containing_scope
-from lexfleet.session import salted_join
+from lexfleet.session import map_in_pandas, salted_join
 from lexfleet.sources.files import inside_dependency_dir, open_path
 
 PROBE_SCHEMA = "project_id string, rel string, length long, head binary, has_pickle boolean, gguf_licence string, gguf_link string, gguf_truncated boolean"
@@ -118,7 +118,7 @@ def probe(files: DataFrame, partitions=None) -> DataFrame:
     """`files` with `path`: opens each candidate and reads only its header or directory."""
     todo = candidates(files).select("project_id", "rel", "length", "path")
     n = partitions or int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return todo.repartition(n, "path").mapInPandas(_probe, PROBE_SCHEMA)
+    return map_in_pandas(todo.repartition(n, "path"), _probe, PROBE_SCHEMA)
 
 
 def weight_format() -> Column:
