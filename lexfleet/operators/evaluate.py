@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from lexfleet.functions import ids, severity as sev, sqltext as q
 from lexfleet.operators import predicates
 from lexfleet.operators.resolve import resolve
-from lexfleet.session import salted_join, small_side
+from lexfleet.session import fact_join, small_side
 
 USE_FACTS = ["commercial", "licence_model", "modified", "network_exposed", "distributed", "saas"]
 SCALE_FACTS = ["mau", "employees", "revenue_eur"]
@@ -30,9 +30,7 @@ _STRUCT = "struct<rule_id:string,source:string,reason:string,field:string>"
 
 def evaluation_rows(dependencies: DataFrame, intents: DataFrame, corpus) -> DataFrame:
     """Dependencies with their licence entry and every intent of their project."""
-    resolved = resolve(dependencies, corpus)
-    spread = ["kind", "spdx"] if "weight" in dependencies.columns else ["id"]
-    return salted_join(resolved, intents, "project_id", spread, how="inner")
+    return fact_join(resolve(dependencies, corpus), intents, "project_id", "inner")
 
 
 def rule_fields(corpus) -> set:

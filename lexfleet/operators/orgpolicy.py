@@ -12,7 +12,7 @@ from lexfleet.functions import severity as sev, spdx as spdx_fn, ids
 from lexfleet.operators import predicates
 from lexfleet.operators.evaluate import OUTCOME_COLUMNS
 from lexfleet.operators.resolve import licence_dimension
-from lexfleet.session import local_frame, salted_join, small_side
+from lexfleet.session import local_frame, fact_join, small_side
 
 MAX_CONDITIONS = 1000
 EXCEPTION_SCHEMA = "ordinal int, dependency string, kind string, reason string, owner string, expires string"
@@ -111,7 +111,7 @@ def deny_list(dependencies: DataFrame, intents: DataFrame, denied: DataFrame) ->
     `denied` is (project_id, licence), compared after normalising both."""
     never = denied.select("project_id", spdx_fn.lookup_key("licence").alias("_deny")).distinct()
     hit = dependencies.withColumn("_deny", spdx_fn.lookup_key("spdx")).join(never, ["project_id", "_deny"], "left_semi")
-    judged = salted_join(hit, intents.select("project_id", "intent_id"), "project_id", ["id"], how="inner")
+    judged = fact_join(hit, intents.select("project_id", "intent_id"), "project_id", "inner")
     null = F.lit(None).cast("string")
     return judged.select(
         "project_id", "intent_id", F.col("id").alias("dependency_id"), F.col("kind").alias("dep_kind"), F.col("name").alias("dep_name"),

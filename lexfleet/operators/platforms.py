@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, functions as F
 from lexfleet.functions import severity as sev, sqltext as q, text
 from lexfleet.operators import predicates
 from lexfleet.operators.evaluate import OUTCOME_COLUMNS, row_field
-from lexfleet.session import salted_join, small_side
+from lexfleet.session import fact_join, small_side
 
 
 def token_dimension(spark, corpus) -> DataFrame:
@@ -49,7 +49,7 @@ def match_platforms(signals: DataFrame, corpus, key=("project_id", "id")) -> Dat
     hit = keyed.join(small_side(dim), ["signal", "key"]).filter(
         (F.col("pass") == 1) | (F.col("key") == F.lower(F.trim("token"))))
     best = hit.groupBy("signal", "token").agg(F.min_by("platform", F.struct("pass", "platform")).alias("platform"))
-    return salted_join(signals, best, ["signal", "token"], list(key), how="left")
+    return fact_join(signals, best, ["signal", "token"], "left")
 
 
 def signals_of(dependencies: DataFrame) -> DataFrame:
@@ -108,7 +108,7 @@ def platform_outcomes(matched: DataFrame, intents: DataFrame, corpus, today: str
     """One finding per clause of every platform a project uses. Only a clause that
     is definitely FALSE is left out: UNKNOWN still speaks."""
     spark = matched.sparkSession
-    by_platform = salted_join(contributors(matched), intents, "project_id", ["platform"], how="inner").select(
+    by_platform = fact_join(contributors(matched), intents, "project_id", "inner").select(
         "*", "primary.id", "primary.kind", "primary.name")
 
     def field(path):

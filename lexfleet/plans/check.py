@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from lexfleet.functions import fixed, text as tx
 from lexfleet.operators import crosscheck, evaluate as ev, graph, orgpolicy, ownership as own, platforms as pf, resolve as rs, verdict as vd
-from lexfleet.session import materialise, salted_join
+from lexfleet.session import materialise, fact_join
 from lexfleet.sources import assets, files as fs, manifests as mf, signals as sg, weights as wt
 
 DEPENDENCY_COLUMNS = [
@@ -119,7 +119,7 @@ def evaluate(scanned: Scan, intents: DataFrame, corpus, today: str, policy=None,
         layers.append(crosscheck.declared_vs_actual(resolved, intents, corpus))
     if denied is not None:
         layers.append(orgpolicy.deny_list(deps, intents, denied))
-    scan_items = salted_join(scanned.undetermined, intents.select("project_id", "intent_id"), "project_id", ["id"], how="inner")
+    scan_items = fact_join(scanned.undetermined, intents.select("project_id", "intent_id"), "project_id", "inner")
     layers.append(scan_items.select("project_id", "intent_id", F.col("id").alias("dependency_id"), F.col("kind").alias("dep_kind"), "reason",
                                     "evidence_path", "evidence_line"))
     outcomes = materialise(_union(layers))

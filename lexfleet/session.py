@@ -75,21 +75,11 @@ def small_side(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if estimated_bytes(df) <= BROADCAST_LIMIT_BYTES else df
 
 
-def salted_join(big: DataFrame, small: DataFrame, keys, salt_by, how="left", salts=None) -> DataFrame:
-    """Join a table with possibly very hot keys to one with few rows per key.
-
-    A small enough right side is broadcast. Beyond that the left rows of every
-    key spread over `salts` buckets (a hash of `salt_by`) and the right side is
-    repeated once per bucket, so one key never lands in one task.
-    """
-    keys = [keys] if isinstance(keys, str) else list(keys)
-    if estimated_bytes(small) <= BROADCAST_LIMIT_BYTES:
-        return big.join(F.broadcast(small), keys, how)
-    spark = big.sparkSession
-    n = salts or max(2, min(64, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4))
-    left = big.withColumn("_salt", F.pmod(F.xxhash64(*salt_by), F.lit(n)).cast("int"))
-    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+def fact_join(facts: DataFrame, other: DataFrame, keys, how="left") -> DataFrame:
+    """Join a table with possibly very hot keys to one with few rows per key. The facts
+    stand on the left, where adaptive execution can split a hot partition; a small
+    other side it broadcasts by its measured size."""
+    return facts.join(other, [keys] if isinstance(keys, str) else list(keys), how)
 
 
 def local_frame(spark: SparkSession, rows, schema: str) -> DataFrame:

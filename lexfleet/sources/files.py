@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lexfleet.functions import fixed, text
 from lexfleet.operators.ranking import ordinal_within, running_total
-from lexfleet.session import local_frame, map_in_pandas, salted_join, small_side
+from lexfleet.session import local_frame, map_in_pandas, fact_join, small_side
 
 HELD_BYTES = 16 << 20
 FILE_COLUMNS = ["project_id", "rel", "length", "modification_time"]
@@ -173,7 +173,7 @@ def match_ignores(files: DataFrame, rules: DataFrame) -> DataFrame:
         F.array(cell("exact", rel), cell("children", text.dir_name("rel"))),
         F.transform(text.path_prefixes("rel"), lambda k: cell("tree", k)))
     probes = files.select("project_id", "rel", F.explode(cells).alias("_c")).select("project_id", "rel", "_c.*")
-    hits = salted_join(probes, ignore_keys(rules), ["project_id", "form", "key"], ["rel"], how="inner")
+    hits = fact_join(probes, ignore_keys(rules), ["project_id", "form", "key"], "inner")
     return hits.groupBy("project_id", "rel").agg(F.min_by("rule_path", "ordinal").alias("rule_path"))
 
 

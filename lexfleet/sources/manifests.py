@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from lexfleet.functions import text as tx
-from lexfleet.session import map_in_pandas, salted_join
+from lexfleet.session import map_in_pandas, fact_join
 
 DECLARED = [
     "project_id", "source_path", "ecosystem", "name", "version", "is_range", "direct", "licence_raw", "line", "dev",
@@ -455,7 +455,7 @@ def chosen_declarations(units: DataFrame, declared: DataFrame) -> DataFrame:
     roles = m.unionByName(k).filter(F.col("source_path").isNotNull())
     rows = declared.join(roles, ["project_id", "ecosystem", "source_path"])
     locked = rows.filter(F.col("source") == "lockfile").groupBy("project_id", "dir", "ecosystem").agg(F.lit(True).alias("_locked"))
-    rows = salted_join(rows, locked, ["project_id", "dir", "ecosystem"], ["name", "version"])
+    rows = fact_join(rows, locked, ["project_id", "dir", "ecosystem"])
     direct = (
         rows.filter((F.col("source") == "manifest") & F.col("direct"))
         .select("project_id", "dir", "ecosystem", "name").distinct().withColumn("_direct", F.lit(True))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lexfleet.functions import fixed, ids, spdx as spdx_fn, text as tx
 from lexfleet.operators.ownership import containing_scope
-from lexfleet.session import map_in_pandas, salted_join
+from lexfleet.session import map_in_pandas, fact_join
 from lexfleet.sources.files import inside_dependency_dir, open_path
 
 PROBE_SCHEMA = "project_id string, rel string, length long, head binary, has_pickle boolean, gguf_licence string, gguf_link string, gguf_truncated boolean"
@@ -201,7 +201,7 @@ def pick_source(weights: DataFrame, sources: DataFrame) -> DataFrame:
     best = sources.groupBy("project_id", "dir").agg(F.min_by(body, F.struct("rank", "name_rank", "rel")).alias("s"))
     w = weights.select("project_id", "rel", tx.dir_name("rel").alias("_wdir"))
     probes = w.select("project_id", "rel", "_wdir", F.explode(F.array_distinct(F.array("_wdir", F.lit(".")))).alias("dir"))
-    hit = salted_join(probes, best, ["project_id", "dir"], ["rel"], how="inner")
+    hit = fact_join(probes, best, ["project_id", "dir"], "inner")
     far = (F.col("dir") != F.col("_wdir")).cast("int")
     # prose files are taken in path order, the others by name and nearness
     order = F.struct("s.rank", "s.name_rank", F.when(F.col("s.rank") == RANK["prose"], F.lit(0)).otherwise(far).alias("far"), "s.source_rel")

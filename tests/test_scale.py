@@ -48,12 +48,12 @@ def test_hot_group_spreads_over_slices(hot):
     assert ranged.filter("project_id = 'hot'").select("s").distinct().count() > 1
 
 
-def test_salted_join_equals_plain_join(spark, hot, monkeypatch):
+def test_fact_join_keeps_the_facts_on_the_side_that_can_be_split(spark, hot):
     small = hot.select("project_id").distinct().withColumn("w", F.length("project_id"))
-    plain = sorted(map(tuple, hot.join(small, "project_id").select("project_id", "k", "w").collect()))
-    monkeypatch.setattr(session, "BROADCAST_LIMIT_BYTES", 0)
-    salted = session.salted_join(hot, small, "project_id", ["k"], how="inner", salts=7).select("project_id", "k", "w")
-    assert sorted(map(tuple, salted.collect())) == plain
+    joined = session.fact_join(hot, small, "project_id", "inner")
+    assert joined.count() == hot.count()
+    plan = joined._jdf.queryExecution().analyzed().toString()
+    assert "Join Inner" in plan and "_salt" not in plan
 
 
 @pytest.mark.parametrize("n", [1, 17])
