@@ -5,7 +5,8 @@ set from the first step on. In one global order of the shingles (those that are
 very frequent last, by a count sketch of fixed size over all documents) two alike
 sets share shingles at the front of both: of the first n - ceil(t n) + l shingles of
 a set at least l are also at the front of any partner. Sets with fewer shared ones
-are out; sets that hang together by shared ones form a family.
+are out, pairs with fewer are no candidates, and sets that candidates connect form
+a family.
 
 A family is compared in tiles: its sets fall into bands of size (partners lie in the
 same band or the next) and each band into blocks. In a tile every set has a bitmap
@@ -32,6 +33,7 @@ THRESHOLD = (75, 100)
 SKETCH_BITS = 18
 SHARE = 10  # a tenth of a set's shingles is asked for beyond the first shared one
 STEP = 2 << 20
+FEW = 32  # sets of a shingle up to which it gives pairs
 BLOCK_SETS, BLOCK_SHINGLES = 256, 1 << 18
 FRONT_ROWS = 1 << 20  # per part of the front table
 BROADCAST_IDS = 4 << 20  # ids, 32 MB
@@ -218,17 +220,39 @@ def _shared_rows(fronts, parts):
 
 def _core(shared, sizes, threshold):
     """Leave out sets with too few shared shingles, twice: a partner's absence can
-    leave another set with too few."""
+    leave another set with too few. Adds the set's size n and the shingle's count c."""
+    shared = shared.join(sizes, "key")
     for _ in range(2):
         # the partner may be smaller, then it asks for less
         least = F.lit(1) + F.floor(F.ceil(F.col("n") * threshold[0] / threshold[1]) / SHARE)
-        enough = shared.groupBy("key").agg(F.count("*").alias("c")).join(sizes, "key").filter(F.col("c") >= least).select("key")
-        left = shared.select("shingle", "key").join(enough, "key", "left_semi")
-        several = left.groupBy("shingle").agg(F.min("key").alias("lo"), F.max("key").alias("most")).filter("lo < most")
-        shared = common.staged(left.join(several.select("shingle", F.col("lo").alias("least")), "shingle").select("shingle", "key", "least"))
+        enough = shared.groupBy("key").agg(F.count("*").alias("got"), F.first("n").alias("n")).filter(F.col("got") >= least).select("key")
+        left = shared.select("shingle", "key", "n").join(enough, "key", "left_semi")
+        several = left.groupBy("shingle").agg(F.count("*").alias("c")).filter("c > 1")
+        shared = common.staged(left.join(several, "shingle").select("shingle", "key", "n", "c"))
     return shared
 
 
+def _candidates(core, threshold):
+    """Pairs (u, v) of sets that share enough front shingles, or a chain of such pairs.
+
+    Shingles of few sets give pairs, which are counted. For those of many sets (their
+    number is `wide` for a set) a pair is only allowed the smaller `wide`; if that alone
+    could be enough, the sets with so many are strung to the least one of the shingle."""
+    wide = core.filter(F.col("c") > FEW).groupBy("key").agg(F.count("*").alias("wide"))
+    asked = 1 + F.floor(F.col("n") / SHARE)
+    few = core.filter(F.col("c") <= FEW).groupBy("shingle").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("sets"))
+    # by size, so the second of a pair is the larger
+    pairs = F.flatten(F.transform("sets", lambda x, i: F.transform(F.filter(F.slice(F.col("sets"), i + 2, F.size("sets")), lambda y: y["n"] * threshold[0] <= x["n"] * threshold[1]), lambda y: F.struct(x["key"].alias("u"), y["key"].alias("v"), x["n"].alias("n")))))
+    counted = few.select(F.explode(pairs).alias("p")).groupBy("p.u", "p.v", "p.n").agg(F.count("*").alias("both"))
+    known = counted.join(wide.select(F.col("key").alias("u"), F.col("wide").alias("wide_u")), "u", "left").join(wide.select(F.col("key").alias("v"), F.col("wide").alias("wide_v")), "v", "left")
+    enough = known.filter(F.col("both") + F.coalesce(F.least("wide_u", "wide_v"), F.lit(0)) * (F.col("wide_u").isNotNull() & F.col("wide_v").isNotNull()).cast("int") >= asked).select("u", "v")
+    smaller = F.floor(F.ceil(F.col("n") * threshold[0] / threshold[1]) / SHARE)
+    many = core.filter(F.col("c") > FEW).join(wide, "key").filter(F.col("wide") >= 1 + smaller).select("shingle", "key")
+    least = many.groupBy("shingle").agg(F.min("key").alias("least"))
+    strung = many.join(least, "shingle").filter("key <> least").select(F.col("least").alias("u"), F.col("key").alias("v")).distinct()
+    return enough.union(strung)
+
+
 def _band(n):
     return F.floor(F.log(n) / F.log(F.lit(4 / 3))).cast("int")
 
@@ -348,7 +372,7 @@ def join(df: DataFrame, threshold=THRESHOLD, words=WORDS, id_col="doc_id", text_
     known = reps.mapInArrow(keyed, f"key long, rep {docs.schema['_id'].dataType.simpleString()}, n long")
     sizes = known.groupBy("key").agg(F.min("n").alias("n"))
     shared = _core(common.staged(_shared_rows(_fronts(docs, heavy, parts, words, threshold), parts)), sizes, threshold)
-    families = graph.components(shared.select(F.col("key").alias("u"), F.col("least").alias("v")))
+    families = graph.components(_candidates(shared, threshold))
     members = common.staged(families.join(known, F.col("node") == F.col("key")).select("key", "rep", "n", F.col("component").alias("family"), _band(F.col("n")).alias("band")))
     tiled = _tiles(members)
     side = F.when((F.col("tile.band") == F.col("tile.band2")) & (F.col("tile.a") == F.col("tile.b")), 3).when((F.col("band") == F.col("tile.band")) & (F.col("block") == F.col("tile.a")), 1).otherwise(2)
