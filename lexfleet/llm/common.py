@@ -1,51 +1,25 @@
 """Helpers shared by the training-data operators."""
 
 import os
-import tempfile
-import zipfile
-from pathlib import Path
 
-import lexfleet
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from lexfleet.session import ensure_checkpoint_dir
+from pyspark.sql import DataFrame, SparkSession
+
+from lexfleet.session import ensure_checkpoint_dir, ship  # noqa: F401
 
 # Texts that one Python step holds at a time, in characters.
 STEP_CHARS = 4 << 20
 
-_shipped = set()
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ship(spark: SparkSession) -> None:
-    """Give the executors this package once per application, so that functions in
-    Python steps find it whatever folder the driver started from."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    root = Path(lexfleet.__file__).parent
-    path = os.path.join(tempfile.mkdtemp(prefix="lexfleet-code-"), "lexfleet.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for p in sorted(root.rglob("*")):
-            if p.suffix in (".py", ".json"):
-                z.write(p, str(Path(root.name) / p.relative_to(root)))
-    spark.sparkContext.addPyFile(path)
-    _shipped.add(app)
-
-
 def staged(df: DataFrame) -> DataFrame:
     """Write `df` to the shared checkpoint folder and read on from there."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
 
 
-def ascii_lower(text: Column) -> Column:
-    """Lower-case A-Z and nothing else."""
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
 def steps(values, limit=STEP_CHARS):
     """Ranges of a list whose texts have about `limit` characters together."""
     start = size = 0
