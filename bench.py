@@ -1,8 +1,10 @@
 """Headline queries on $BENCH_SF_DIR with local[$BENCH_CPUS]; prints one JSON line.
 
 Each query runs once to warm up and then BENCH_RUNS times; the median wall time is
-reported. Results are computed in full (noop sink). `nested_loops` lists queries
-whose final plan holds a nested-loop or cartesian join; it should be empty.
+reported. Results are computed in full, and the plan looked at is the final one of
+that very execution. `nested_loops` lists queries whose final plan holds a nested-loop
+or cartesian join; it should be empty. `shuffle_mb` and `input_mb` are what one run of
+a query wrote to shuffles and read from tables.
 """
 
 import json
@@ -26,6 +28,14 @@ HEADLINE = [
 ]
 
 
+def moved(spark):
+    """Shuffle and input bytes of the application so far."""
+    spark._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    executors = spark._jsc.sc().statusStore().executorList(True)
+    each = [executors.apply(i) for i in range(executors.size())]
+    return sum(e.totalShuffleWrite() for e in each), sum(e.totalInputBytes() for e in each)
+
+
 def main():
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -36,22 +46,23 @@ def main():
         SparkSession.builder.master(f"local[{cpus}]").appName("lexfleet-bench").config("spark.sql.shuffle.partitions", shuffle)
         .config("spark.driver.memory", "20g").config("spark.ui.enabled", "false")).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    queries, seconds, nested = load_queries(), {}, []
+    queries, seconds, nested, shuffled, read = load_queries(), {}, [], {}, {}
     for name in names:
         times = []
         for i in range(runs + 1):
-            start = time.time()
-            df = queries[name](spark, sf)
-            df.write.format("noop").mode("overwrite").save()
+            before, start = moved(spark), time.time()
+            execution = queries[name](spark, sf)._jdf.queryExecution()
+            execution.toRdd().count()
             if i:
                 times.append(time.time() - start)
-        plan = df._jdf.queryExecution().executedPlan().toString()
+        after, plan = moved(spark), execution.executedPlan().toString()
+        shuffled[name], read[name] = (round((a - b) / 1e6, 2) for a, b in zip(after, before))
         if re.search("CartesianProduct|BroadcastNestedLoopJoin", plan):
             nested.append(name)
         seconds[name] = round(statistics.median(times), 3)
         print(f"{name} {seconds[name]}", file=sys.stderr, flush=True)
     print(json.dumps({"metric": "headline_queries_total", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds,
-                      "sf": sf.rstrip("/").split("sf")[-1], "runs": runs, "nested_loops": nested}))
+                      "sf": sf.rstrip("/").split("sf")[-1], "runs": runs, "nested_loops": nested, "shuffle_mb": shuffled, "input_mb": read}))
     spark.stop()
 
 
