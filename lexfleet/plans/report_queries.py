@@ -284,7 +284,8 @@ def cyclonedx_documents(spark, sf):
     return d.select("project_id", F.variant_get("v", "$.bomFormat", "string").alias("format"), F.variant_get("v", "$.serialNumber", "string").alias("serial"),
                     F.size(F.variant_get("v", "$.components", "array<variant>")).alias("components"),
                     F.size(F.variant_get("v", "$.dependencies[0].dependsOn", "array<string>")).alias("direct"),
-                    F.variant_get("v", "$.components[0]['bom-ref']", "string").alias("first"))
+                    F.aggregate(F.variant_get("v", "$.components", "array<struct<`bom-ref`:string>>"), F.lit(0).cast("long"),
+                                lambda a, c: a + F.conv(F.substring(F.md5(c["bom-ref"]), 1, 8), 16, 10).cast("long")).alias("refs"))
 
 
 @query
@@ -301,13 +302,19 @@ def sarif_rules(spark, sf):
 
 @query
 def verdict_json(spark, sf):
-    """Verdict documents, opened again and counted."""
+    """Verdict documents, opened again: counts, and a sum over the hashes of all items."""
     outcomes = core.rule_outcomes(spark, sf)
-    docs = reports.verdict_json(vd.fold(outcomes, b.intents(spark, sf)), outcomes, page_size=12)
-    n = lambda k: F.size(F.variant_get("v", f"$.{k}", "array<variant>")).alias(k)
-    d = docs.select("project_id", F.parse_json("document").alias("v"))
-    cells = d.select("project_id", F.variant_get("v", "$.verdict", "string").alias("verdict"), n("blockers"), n("conditions"), n("notes"), n("undetermined"))
-    return cells.groupBy("project_id", "verdict").agg(*[F.sum(c).alias(c) for c in ("blockers", "conditions", "notes", "undetermined")])
+    docs = reports.verdict_json(vd.fold(outcomes, b.intents(spark, sf)), outcomes, page_size=12, rules=core.corpus().frame(spark, "rules"))
+    d = reports.read_verdicts(docs)
+    lists = ("blockers", "conditions", "notes")
+    said = F.concat(*[F.transform(k, _finding_text(k)) for k in lists], F.transform("undetermined", lambda u: F.concat_ws("|", F.lit("?"), u["id"], u["kind"], u["reason"])))
+    number = F.aggregate(said, F.lit(0).cast("long"), lambda a, x: a + F.conv(F.substring(F.md5(x), 1, 8), 16, 10).cast("long"))
+    cells = d.select(F.col("project").alias("project_id"), "verdict", *[F.size(k).alias(k) for k in (*lists, "undetermined")], number.alias("items"))
+    return cells.groupBy("project_id", "verdict").agg(*[F.sum(c).alias(c) for c in (*lists, "undetermined", "items")])
+
+
+def _finding_text(section):
+    return lambda f: F.concat_ws("|", F.lit(section), f["dependency_id"], f["kind"], f["severity"], f["confidence"], F.when(f["kind"].startswith("trap."), f["trap_id"]).otherwise(""))
 
 
 @query

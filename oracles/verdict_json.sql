@@ -1,6 +1,8 @@
 -- uses: intents, rule_effective, all_undetermined
-, f as (select project_id, count(*) filter (band='BLOCK') b, count(*) filter (band='CONDITION') c, count(*) filter (band='NOTE') n from rule_effective group by 1)
-, u as (select project_id, count(*) k from all_undetermined group by 1)
+, f as (select project_id, count(*) filter (band='BLOCK') b, count(*) filter (band='CONDITION') c, count(*) filter (band='NOTE') n,
+  sum(('0x' || substr(md5(concat_ws('|', case band when 'BLOCK' then 'blockers' when 'CONDITION' then 'conditions' else 'notes' end, dependency_id, rule_id, severity, confidence,
+   case when rule_id like 'trap.%' then rule_id else '' end)), 1, 8))::bigint) s from rule_effective group by 1)
+, u as (select project_id, count(*) k, sum(('0x' || substr(md5(concat_ws('|', '?', id, kind, reason)), 1, 8))::bigint) s from all_undetermined group by 1)
 select i.project_id, case when coalesce(b,0) > 0 then 'DO_NOT_SHIP' when coalesce(k,0) > 0 then 'UNDETERMINED' when coalesce(c,0) > 0 then 'SHIP_CONDITIONAL' else 'SHIP' end as verdict,
- coalesce(b,0) as blockers, coalesce(c,0) as conditions, coalesce(n,0) as notes, coalesce(k,0) as undetermined
+ coalesce(b,0) as blockers, coalesce(c,0) as conditions, coalesce(n,0) as notes, coalesce(k,0) as undetermined, (coalesce(f.s,0) + coalesce(u.s,0))::bigint as items
 from intents i left join f using (project_id) left join u using (project_id)

@@ -104,7 +104,7 @@ def test_sarif_and_sbom_documents(spark):
     comps, digest = sbom.components(deps, outcomes, intents), sbom.document_digest(deps)
     boms = [json.loads(r.document) for r in sbom.cyclonedx(comps, verdicts, digest, page_size=1000).collect()]
     n = deps.count()
-    assert sum(len(d["components"]) for d in boms) == n and len({d["serialNumber"] for d in boms}) == 1
+    assert sum(len(d["components"]) for d in boms) == n and len({d["serialNumber"] for d in boms}) == len(boms) and len({p["value"] for d in boms for p in d["properties"] if p["name"].endswith(":document")}) == 1
     spdx = [json.loads(r.document) for r in sbom.spdx(sbom.spdx_packages(comps), verdicts, digest, page_size=1000).collect()]
     ids = [p["SPDXID"] for d in spdx for p in d["packages"][1:]]
     assert len(ids) == len(set(ids)) == n
