@@ -254,8 +254,8 @@ def _verdicts(r, key, hot):
 
 def _texts_of(docs, open_pieces, parts, window):
     """Texts of the open pieces, packed by key: part, key, digest, start, text."""
-    wanted = open_pieces.groupBy("digest").agg(F.collect_list(F.struct("start", "count", "key", "hot")).alias("open"))
-    # copies of a text give one row: the rest of the text row is the same
+    wanted = open_pieces.groupBy("digest").agg(F.collect_set(F.struct("start", "count", "key", "hot")).alias("open"))
+    # copies of a text may come twice: all that they hold repeats anyway
     texts = docs.filter("text is not null").join(wanted, "digest").select("digest", "text", "open")
 
     def run(batches):
@@ -278,7 +278,7 @@ def _texts_of(docs, open_pieces, parts, window):
                 [pa.array((mix(keys.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)), pa.array(keys), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.int32()), pa.array([x[3] for x in out], pa.binary())],
                 names=["part", "key", "digest", "start", "text"])
 
-    return texts.mapInArrow(run, "part long, key long, digest binary, start int, text binary").dropDuplicates(["key", "digest", "start"])
+    return texts.mapInArrow(run, "part long, key long, digest binary, start int, text binary")
 
 
 def _sort(texts, parts, window):
