@@ -81,9 +81,6 @@ def provenance_rank(c) -> Column:
     return F.coalesce(_weight(col(c), fixed.PROVENANCE_RANK), F.lit(0))
 
 
-def verdict_rank(c) -> Column:
-    return F.coalesce(_weight(col(c), fixed.VERDICT_RANK), F.lit(0))
-
 
 def verdict_from_rank(r) -> Column:
     return (

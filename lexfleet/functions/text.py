@@ -102,10 +102,6 @@ def dir_name(rel) -> Column:
     return F.when(d == "", F.lit(".")).otherwise(d)
 
 
-def dir_segments(rel) -> Column:
-    parts = F.split(col(rel), "/")
-    return F.slice(parts, 1, F.size(parts) - 1)
-
 
 def is_licence_file_name(base) -> Column:
     low = F.lower(col(base))

@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lexfleet.functions import fixed, severity as sev, spdx as spdx_fn, text as tx
 
-LOCKFILE_NAMES = ["package-lock.json", "pnpm-lock.yaml", "yarn.lock", "poetry.lock", "uv.lock", "Pipfile.lock", "go.sum", "Cargo.lock"]
-
 
 def violations(df: DataFrame, subject, checks: dict, keep=()) -> DataFrame:
     """One row per failed check, all checks in one pass. A NULL check counts as failed."""
@@ -141,7 +139,7 @@ def ignore_rules(df: DataFrame) -> DataFrame:
     p = F.regexp_replace(F.regexp_replace(F.trim("path"), r"\\", "/"), r"/\*\*?$", "")
     base = F.element_at(F.split(p, "/"), -1)
     return violations(df, F.concat_ws(":", "project_id", "path"), {
-        "no reason": _filled("reason"), "hides everything": ~p.isin("", ".", "/"), "hides a lockfile": ~base.isin(LOCKFILE_NAMES)})
+        "no reason": _filled("reason"), "hides everything": ~p.isin("", ".", "/"), "hides a lockfile": ~base.isin(fixed.LOCKFILE_NAMES)})
 
 
 def allow_rules(df: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from lexfleet.functions import text as tx
 from lexfleet.operators import graph, ownership as own
+from lexfleet.operators.ranking import ordinal_within
 from lexfleet.plans import bindings as b
 from lexfleet.plans.registry import query
 from lexfleet.sources import files as fs, manifests as mf
@@ -122,6 +123,15 @@ def requirements_lines(spark, sf):
     return mf.requirements(t).select("project_id", "name", "version", "is_range", "line")
 
 
+@query
+def declared_order(spark, sf):
+    """Position of every declaration in the order in which reports list them."""
+    text = _lines("b", "$k", "==2.0\na-", "$n", "==1.0\nb", "$k", "==10.0\nzz>=1\na", "$v", "\n")
+    d = mf.requirements(part_texts(spark, sf, text))
+    placed = ordinal_within(d, ["project_id"], [*graph.DECLARED_ORDER, "line"], "position")
+    return placed.select("project_id", F.col("position").cast("long").alias("position"), "name", "version")
+
+
 @query
 def requirements_warnings(spark, sf):
     text = _lines("-r a", "$k", ".txt\n--index-url https://x.test\n", "$n", "\ngit+https://x.test/", "$k")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lexfleet.functions import ids, spdx as spdx_fn, text as tx
 from lexfleet.operators import corpus_ops as co, evaluate as ev, graph, quality as dq, suggestions as sg, verdict as vd
+from lexfleet.operators.ranking import ordinal_within
 from lexfleet.plans import bindings as b, core
 from lexfleet.plans.registry import query
 from lexfleet.session import ensure_checkpoint_dir
@@ -313,6 +314,14 @@ def verdict_json(spark, sf):
     return cells.groupBy("project_id", "verdict").agg(*[F.sum(c).alias(c) for c in (*lists, "undetermined", "items")])
 
 
+@query
+def finding_order(spark, sf):
+    """Position of every finding and undetermined item in its project's documents."""
+    items = reports.document_items(core.rule_outcomes(spark, sf))
+    placed = ordinal_within(items, ["project_id"], reports.ORDER, "position")
+    return placed.select("project_id", F.col("position").cast("long").alias("position"), F.coalesce("finding.dependency_id", "item.id").alias("subject"), F.coalesce("finding.kind", "item.reason").alias("what"))
+
+
 def _finding_text(section):
     return lambda f: F.concat_ws("|", F.lit(section), f["dependency_id"], f["kind"], f["severity"], f["confidence"], F.when(f["kind"].startswith("trap."), f["trap_id"]).otherwise(""))
 
