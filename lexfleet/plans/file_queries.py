@@ -51,8 +51,10 @@ def unit_discovery(spark, sf):
 def scan_statistics(spark, sf):
     f = fs.within_limits(files(spark, sf), max_bytes=4_000_000, max_depth=4)
     s = fs.scan_stats(f)
-    over = fs.over_limit_warnings(f).groupBy("project_id").agg(F.count(F.lit(1)).alias("over"))
-    return s.join(over, "project_id", "left").select("project_id", "files_seen", "bytes_seen", "max_depth", F.coalesce("over", F.lit(0).cast("long")).alias("over_limit"))
+    warned = fs.over_limit_warnings(f).unionByName(fs.depth_warnings(f)).groupBy("project_id").agg(
+        F.count_if(F.col("code") == "E-SCAN-006").alias("over"), F.count_if(F.col("code") == "E-SCAN-008").alias("deep"))
+    zero = F.lit(0).cast("long")
+    return s.join(warned, "project_id", "left").select("project_id", "files_seen", "bytes_seen", "max_depth", F.coalesce("over", zero).alias("over_limit"), F.coalesce("deep", zero).alias("too_deep"))
 
 
 @query
