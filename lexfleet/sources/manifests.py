@@ -9,7 +9,7 @@ import json
 import tomllib
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from lexfleet.functions import text as tx
 from lexfleet.session import map_in_pandas, fact_join
@@ -193,54 +193,69 @@ def requirement_warnings(files: DataFrame) -> DataFrame:
 
 # ---- go.mod ----------------------------------------------------------------------
 
-def _go_state(files: DataFrame) -> DataFrame:
-    """Lines with the block they stand in, read as a running last marker per file."""
-    marker = (
-        F.when(F.col("body").isin("require (", "require("), "require")
-        .when(F.col("body").isin("replace (", "replace("), "replace")
-        .when(F.col("body") == ")", "")
-    )
-    w = W.partitionBy("project_id", "rel").orderBy("line").rowsBetween(W.unboundedPreceding, W.currentRow)
-    return (
-        lines_of(files).filter(F.col("body") != "").withColumn("marker", marker)
-        .withColumn("block", F.coalesce(F.last("marker", ignorenulls=True).over(w), F.lit("")))
-        .filter(F.col("marker").isNull() & ~F.col("body").startswith("//"))
-    )
+_GO_MARKERS = ["require (", "require(", "replace (", "replace(", ")"]
+_GO_BLOCK = r"(?m)(?=^[ \t]*(?:(?:require|replace) ?\(|\))[ \t\r]*$)"
+
+
+def _newlines(text: Column) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+
+
+def _parts(text, border) -> Column:
+    """A text cut before every `border`: (part, at), `at` being the line it begins on."""
+    def step(state, part):
+        return F.struct((state["at"] + _newlines(part)).alias("at"), F.concat(state["found"], F.array(F.struct(part.alias("part"), state["at"].alias("at")))).alias("found"))
+
+    start = F.struct(F.lit(1).alias("at"), F.expr("cast(array() as array<struct<part:string,at:int>>)").alias("found"))
+    return F.aggregate(F.split(text, border, -1), start, step, lambda x: x["found"])
+
+
+def _cut_lines(text, border, block_of) -> Column:
+    """Trimmed lines (line, body, block) of a text that is cut before every `border`;
+    `block_of(part)` names the block that a part is."""
+    def lines(p):
+        # a part ends where the next begins, so its last piece of text is no line of its own
+        return F.transform(F.split(p["part"], "\n", -1), lambda raw, i: F.struct((p["at"] + i).alias("line"), F.regexp_replace(raw, r"^\s+|\s+$", "").alias("body"), block_of(p["part"]).alias("block")))
+
+    return F.filter(F.flatten(F.transform(_parts(text, border), lines)), lambda x: x["body"] != "")
 
 
-def go_replacements(state: DataFrame) -> DataFrame:
-    """(file, old name, old version or '') -> new path, version, local; last line wins."""
-    r = state.filter((F.col("block") == "replace") | F.col("body").startswith("replace ")).withColumn(
-        "body", F.when(F.col("block") == "replace", F.col("body")).otherwise(F.regexp_replace("body", "^replace ", "")))
-    r = r.filter(F.col("body").contains("=>"))
-    left = F.split(F.trim(F.regexp_extract("body", r"^(.*?)=>", 1)), r"\s+")
-    right = F.split(F.trim(F.regexp_replace(F.regexp_extract("body", r"=>(.*)$", 1), r"//.*$", "")), r"\s+")
+def _go_block(part) -> Column:
+    return F.when(part.rlike(r"^\s*require ?\("), "require").when(part.rlike(r"^\s*replace ?\("), "replace").otherwise("")
+
+
+def _go_replacement(x) -> Column:
+    body = F.when(x["block"] == "replace", x["body"]).otherwise(F.regexp_replace(x["body"], "^replace ", ""))
+    left = F.split(F.trim(F.regexp_extract(body, r"^(.*?)=>", 1)), r"\s+")
+    right = F.split(F.trim(F.regexp_replace(F.regexp_extract(body, r"=>(.*)$", 1), r"//.*$", "")), r"\s+")
     new = F.try_element_at(right, F.lit(1))
     local = new.rlike(r"^(\./|\.\./|\.\\|\.\.\\|/|\\|.:)")
-    rows = r.select("project_id", "rel", "line", left[0].alias("old"), F.coalesce(F.try_element_at(left, F.lit(2)), F.lit("")).alias("old_version"),
-                    F.struct(new.alias("path"), F.when(local, "").otherwise(F.coalesce(F.try_element_at(right, F.lit(2)), F.lit(""))).alias("version"),
-                             local.alias("local")).alias("new")).filter((F.col("old") != "") & (F.col("new.path") != ""))
-    return rows.groupBy("project_id", "rel", "old", "old_version").agg(F.max_by("new", "line").alias("new"))
+    return F.struct(left[0].alias("old"), F.coalesce(F.try_element_at(left, F.lit(2)), F.lit("")).alias("old_version"), new.alias("path"),
+                    F.when(local, "").otherwise(F.coalesce(F.try_element_at(right, F.lit(2)), F.lit(""))).alias("version"), local.alias("local"))
+
 
+def _go_require(x) -> Column:
+    body = F.when(x["block"] == "require", x["body"]).otherwise(F.regexp_replace(x["body"], "^require ", ""))
+    words = F.split(F.trim(F.regexp_replace(body, r"//.*$", "")), r"\s+")
+    return F.struct(x["line"].alias("line"), words[0].alias("name"), F.try_element_at(words, F.lit(2)).alias("version"), body.contains("// indirect").alias("indirect"))
 
-def go_requires(state: DataFrame) -> DataFrame:
-    """First require per module name."""
-    r = state.filter((F.col("block") == "require") | ((F.col("block") == "") & F.col("body").startswith("require "))).withColumn(
-        "body", F.when(F.col("block") == "require", F.col("body")).otherwise(F.regexp_replace("body", "^require ", "")))
-    parts = F.split(F.trim(F.regexp_replace("body", r"//.*$", "")), r"\s+")
-    rows = r.select("project_id", "rel", "line", F.col("body").contains("// indirect").alias("indirect"), parts.alias("p")).filter(F.size("p") >= 2)
-    rows = rows.select("project_id", "rel", F.col("p")[0].alias("name"), F.struct("line", F.col("p")[1].alias("version"), "indirect").alias("r"))
-    return rows.groupBy("project_id", "rel", "name").agg(F.min_by("r", "r.line").alias("r")).select("project_id", "rel", "name", "r.*")
+
+def _last(rows, ok) -> Column:
+    return F.try_element_at(F.filter(rows, ok), F.lit(-1))
 
 
 def go_mod(files: DataFrame) -> DataFrame:
-    """Requires after replacement: an exact-version rule beats a rule for every version."""
-    state = _go_state(files)
-    req, rep = go_requires(state), go_replacements(state)
-    exact = rep.filter(F.col("old_version") != "").select("project_id", "rel", F.col("old").alias("name"), F.col("old_version").alias("version"), F.col("new").alias("_exact"))
-    anyv = rep.filter(F.col("old_version") == "").select("project_id", "rel", F.col("old").alias("name"), F.col("new").alias("_any"))
-    j = req.join(exact, ["project_id", "rel", "name", "version"], "left").join(anyv, ["project_id", "rel", "name"], "left")
-    j = j.withColumn("new", F.coalesce("_exact", "_any"))
+    """First require of each module after replacement: the last rule for the exact
+    version, else the last for every version. A file is read inside its row."""
+    lines = F.filter(_cut_lines("text", _GO_BLOCK, _go_block), lambda x: ~x["body"].isin(_GO_MARKERS) & ~x["body"].startswith("//"))
+    rows = files.select("project_id", "rel", lines.alias("lines"))
+    requires = F.transform(F.filter("lines", lambda x: (x["block"] == "require") | (x["block"] == "") & x["body"].startswith("require ")), _go_require)
+    replaces = F.transform(F.filter("lines", lambda x: ((x["block"] == "replace") | x["body"].startswith("replace ")) & x["body"].contains("=>")), _go_replacement)
+    rows = rows.select("project_id", "rel", F.filter(requires, lambda r: r["version"].isNotNull()).alias("requires"), F.filter(replaces, lambda r: (r["old"] != "") & (r["path"] != "")).alias("replaces"))
+    names = F.transform("requires", lambda r: r["name"])
+    first = F.filter("requires", lambda r, i: F.array_position(names, r["name"]) == i + 1)
+    j = rows.select("project_id", "rel", "replaces", F.inline(first)).withColumn("new", F.coalesce(
+        _last("replaces", lambda x: (x["old"] == F.col("name")) & (x["old_version"] == F.col("version"))), _last("replaces", lambda x: (x["old"] == F.col("name")) & (x["old_version"] == ""))))
     local = F.coalesce("new.local", F.lit(False))
     moved = F.col("new").isNotNull() & ~local
     return _declared(
@@ -260,51 +275,47 @@ def go_own_licence(files: DataFrame) -> DataFrame:
 
 # ---- [[package]] lockfiles: Cargo.lock, poetry.lock, uv.lock ----------------------
 
-def package_blocks(files: DataFrame) -> DataFrame:
-    """Lines of `[[package]]` blocks with the block's number within its file."""
-    header = F.when(F.col("body").startswith("["), F.regexp_replace("body", r"\s", ""))
-    w = W.partitionBy("project_id", "rel").orderBy("line").rowsBetween(W.unboundedPreceding, W.currentRow)
-    lines = lines_of(files).filter((F.col("body") != "") & ~F.col("body").startswith("#"))
-    return (
-        lines.withColumn("header", F.when(header.rlike(r"^\[\[?[A-Za-z]"), header))
-        .withColumn("table", F.last("header", ignorenulls=True).over(w))
-        .withColumn("block", F.count_if(F.coalesce(F.col("header") == "[[package]]", F.lit(False))).over(w))
-        .filter((F.col("table") == "[[package]]") & F.col("header").isNull())
-    )
+_TABLE_START = r"(?m)(?=^[ \t\r\f]*\[\[?\s*[A-Za-z])"
+_PACKAGE = r"^\s*\[\s*\[\s*package\s*\]\s*\]\s*(?:\n|$)"
 
 
-def _string_key(key):
-    return F.nullif(F.regexp_extract("body", rf'^{key}\s*=\s*"((?:[^"\\]|\\.)*)"', 1), F.lit(""))
+def _key_pattern(key):
+    return rf'(?m)^[ \t]*{key}\s*=\s*"((?:[^"\\]|\\.)*)"'
 
 
-def locked_packages(files: DataFrame) -> DataFrame:
-    b = package_blocks(files)
-    return b.groupBy("project_id", "rel", "block").agg(
-        F.max(_string_key("name")).alias("name"), F.max(_string_key("version")).alias("version"), F.max(_string_key("source")).alias("source"),
-        F.max(_string_key("category")).alias("category"), F.min(F.when(_string_key("name").isNotNull(), F.col("line"))).alias("line"),
-    ).filter(F.col("name").isNotNull())
+def _string_key(block: Column, key) -> Column:
+    return F.nullif(F.regexp_extract(block, _key_pattern(key), 1), F.lit(""))
+
+
+def package_blocks(text="text") -> Column:
+    """`[[package]]` tables of a lockfile: name, version, source, category, line of the
+    name, and the quoted names of `dependencies`. A file is one row: its text is cut at
+    the table headers and the tables are read in the row."""
+    def fields(t):
+        part = t["part"]
+        before = F.split(part, _key_pattern("name"), 2)[0]
+        listed = F.regexp_extract(part, r"(?ms)^[ \t]*dependencies\s*=\s*\[(.*?)\]", 1)
+        return F.struct(
+            *(_string_key(part, k).alias(k) for k in ("name", "version", "source", "category")),
+            (t["at"] + _newlines(before)).alias("line"), F.regexp_extract_all(listed, F.lit(r'"([^"]+)"'), F.lit(1)).alias("listed"))
 
+    packages = F.transform(F.filter(_parts(text, _TABLE_START), lambda t: t["part"].rlike(_PACKAGE)), fields)
+    return F.filter(packages, lambda p: p["name"].isNotNull())
 
-def cargo_direct(files: DataFrame) -> DataFrame:
-    """Names listed as dependencies by packages without a source, per file."""
-    b = package_blocks(files)
-    w = W.partitionBy("project_id", "rel", "block").orderBy("line").rowsBetween(W.unboundedPreceding, W.currentRow)
-    opens = F.when(F.col("body").rlike(r"^[A-Za-z_-]+\s*="), F.col("body").rlike(r"^dependencies\s*="))
-    listed = b.withColumn("in_deps", F.coalesce(F.last(opens, ignorenulls=True).over(w), F.lit(False))).filter("in_deps")
-    deps = listed.select("project_id", "rel", "block", F.explode(F.regexp_extract_all("body", F.lit(r'"([^"]+)"'), 1)).alias("dep"))
-    roots = locked_packages(files).filter(F.col("source").isNull()).select("project_id", "rel", "block")
-    named = deps.join(roots, ["project_id", "rel", "block"], "left_semi")
-    return named.select("project_id", "rel", F.regexp_replace("dep", r"^(.+) [^ ]*$", "$1").alias("name")).distinct()
+
+def locked_packages(files: DataFrame) -> DataFrame:
+    rows = files.select("project_id", "rel", F.explode(package_blocks()).alias("p"))
+    return rows.select("project_id", "rel", "p.name", "p.version", "p.source", "p.category", "p.line")
 
 
 def cargo_lock(files: DataFrame) -> DataFrame:
     """Locked crates; direct ones are named by a source-less package, or all when none is."""
-    pk, direct = locked_packages(files), cargo_direct(files)
-    marked = pk.join(direct.withColumn("_direct", F.lit(True)), ["project_id", "rel", "name"], "left")
-    known = direct.groupBy("project_id", "rel").agg(F.lit(True).alias("_known"))
-    marked = marked.join(known, ["project_id", "rel"], "left")
-    return _declared(marked, "cargo", name=F.col("name"), version=F.coalesce("version", F.lit("")), line=F.col("line"),
-                     local=F.col("source").isNull(), direct=F.col("_known").isNull() | F.coalesce("_direct", F.lit(False)))
+    blocks = files.select("project_id", "rel", package_blocks().alias("packages"))
+    own = F.flatten(F.transform(F.filter("packages", lambda p: p["source"].isNull()), lambda p: p["listed"]))
+    direct = F.array_distinct(F.transform(own, lambda d: F.regexp_replace(d, r"^(.+) [^ ]*$", "$1")))
+    rows = blocks.select("project_id", "rel", direct.alias("direct_names"), F.explode("packages").alias("p")).select("project_id", "rel", "direct_names", "p.*")
+    return _declared(rows, "cargo", name=F.col("name"), version=F.coalesce("version", F.lit("")), line=F.col("line"), local=F.col("source").isNull(),
+                     direct=(F.size("direct_names") == 0) | F.array_contains("direct_names", F.col("name")))
 
 
 def poetry_lock(files: DataFrame) -> DataFrame:

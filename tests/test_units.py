@@ -244,3 +244,16 @@ def test_suggestions_cannot_touch_findings(spark):
     assert sorted((r.item_id, r.message) for r in sg.refused(items, known, known).collect()) == [("f1", "refused to remove"), ("nope", "unknown id for explanation")]
     assert sg.rejected_answers(a).count() == 2
     assert [one(spark, x, sg.alternative_licence) for x in ("a (MIT)", "(a) b (x y)", "plain", "a ()")] == ["MIT", "x y", "plain", "a ()"]
+
+
+def test_block_files_are_read_inside_their_row(spark):
+    go = "module m\n\nrequire (\n  // x\n  a.b/c v1.0.0 // indirect\n\n  a.b/d v1.2.0\n)\nrequire a.b/c v9.0.0\nreplace a.b/d v1.2.0 => ./local\nreplace (\n  a.b/d => e.f/g v3.0.0\n"
+    lock = "# c\nversion = 3\n\n[[package]]\n# name = \"no\"\nname = \"root\"\nversion = \"0.1\"\ndependencies = [\n \"x 1.0\",\n \"y\",\n]\n\n[[package]]\nversion = \"1.0\"\nname = \"x\"\nsource = \"r\"\n\n[[package]]\nname = \"z\"\nsource = \"r\"\n\n[metadata]\nname = \"no\"\n"
+    files = spark.createDataFrame([("p", "f", go), ("q", "f", lock), ("r", "f", ""), ("s", "f", "require (")], "project_id string, rel string, text string")
+    got = mf.go_mod(files.filter("project_id in ('p', 'r', 's')"))
+    assert sorted((r.name, r.version, r.direct, r.local, r.line) for r in got.collect()) == [("a.b/c", "v1.0.0", False, False, 5), ("a.b/d", "v1.2.0", True, True, 7)]
+    crates = mf.cargo_lock(files.filter("project_id in ('q', 'r')"))
+    assert sorted((r.name, r.version, r.direct, r.local, r.line) for r in crates.collect()) == [("root", "0.1", False, True, 6), ("x", "1.0", True, False, 15), ("z", "", False, False, 19)]
+    for df in (got, crates, mf.poetry_lock(files)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Window" not in plan
