@@ -2,7 +2,7 @@
 
 import uuid
 
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from lexfleet.functions import ids, spdx as spdx_fn, text as tx
 from lexfleet.operators import corpus_ops as co, evaluate as ev, graph, quality as dq, suggestions as sg, verdict as vd
@@ -455,9 +455,24 @@ def intent_overlay(spark, sf):
 
 # ---- streams ---------------------------------------------------------------------------------------
 
+ARRIVALS = 4  # micro-batches at least that a streamed table comes in
+
+
+def _place(spark, name):
+    """A new folder in the shared checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+
+
+def _arriving(spark, df, order):
+    """A table as files that arrive one after the other, in the order of a column."""
+    path = _place(spark, "arrivals")
+    df.repartitionByRange(ARRIVALS, order).sortWithinPartitions(order).write.parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 def _event_stream(spark, sf):
-    schema = b.table(spark, sf, "events").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    raw = _arriving(spark, b.table(spark, sf, "events"), "ts")
     severity = F.when(F.col("event_type") == "error", "BLOCK").when(F.col("event_type") == "purchase", "CONDITION").otherwise("NOTE")
     confidence = F.when(F.col("value") > 60, "HIGH").when(F.col("value") > 10, "MEDIUM").otherwise("LOW")
     return raw.select(F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").cast("string").alias("project_id"), severity.alias("severity"), confidence.alias("confidence"),
@@ -465,35 +480,36 @@ def _event_stream(spark, sf):
                       F.concat_ws(":", "event_type", (F.col("event_id") % 200).cast("string")).alias("finding_id"))
 
 
-def _drain(df, spark, name, mode):
-    """Run a stream over what is there and read its sink back from the shared folder."""
-    ensure_checkpoint_dir(spark)
-    place = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+def _drain(df, spark, name, keys=None):
+    """Run a stream over what is there and read its sink back from the shared folder.
+    With `keys` the stream updates rows: every epoch writes the rows that it changed
+    into a folder of its own, and the last write of a key counts."""
+    place = _place(spark, name)
 
-    def replace(batch, epoch):
-        batch.write.mode("overwrite").parquet(place + "/data")
+    def write(batch, epoch):
+        batch.write.mode("overwrite").parquet(f"{place}/data/epoch={epoch}")
 
-    writer = df.writeStream.outputMode(mode).option("checkpointLocation", place + "/state").trigger(availableNow=True)
-    if mode == "complete":
-        writer = writer.foreachBatch(replace)  # every epoch carries the whole result
-    else:
-        writer = writer.format("parquet").option("path", place + "/data")
-    writer.start().awaitTermination()
-    return spark.read.schema(df.schema).parquet(place + "/data")
+    writer = df.writeStream.outputMode("update" if keys else "append").option("checkpointLocation", place + "/state").trigger(availableNow=True)
+    writer.foreachBatch(write).start().awaitTermination()
+    rows = spark.read.schema(T.StructType([*df.schema.fields, T.StructField("epoch", T.LongType())])).parquet(place + "/data")
+    if not keys:
+        return rows.drop("epoch")
+    others = [c for c in df.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "epoch").alias("last")).select(*keys, *(F.col(f"last.{c}").alias(c) for c in others))
 
 
 @query
 def stream_verdict(spark, sf):
-    """Verdict per day and project from a stream of findings, final state."""
-    return _drain(stream.windowed_verdicts(_event_stream(spark, sf)), spark, "stream_verdict", "complete")
+    """Verdict per day and project from a stream of findings, final state. State ends
+    with the watermark."""
+    return _drain(stream.windowed_verdicts(_event_stream(spark, sf), lateness="60 days"), spark, "stream_verdict", ["window_start", "project_id"])
 
 
 @query
 def stream_evaluate(spark, sf):
     """Dependency rows evaluated as their files land: static dimensions, one folder per
     epoch, so a repeated epoch replaces itself."""
-    ensure_checkpoint_dir(spark)
-    place = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stream_evaluate-{uuid.uuid4().hex}"
+    place = _place(spark, "stream_evaluate")
     parts, intents = b.part_dependencies(spark, sf), b.intents(spark, sf)
 
     def run(batch):
@@ -502,7 +518,7 @@ def stream_evaluate(spark, sf):
     def sink(outcomes, epoch):
         outcomes.select("project_id", "rule_id", "reason").write.mode("overwrite").parquet(f"{place}/data/epoch={epoch}")
 
-    raw = spark.readStream.schema(b.table(spark, sf, "lineitem").schema).option("pathGlobFilter", "lineitem.parquet").option("maxFilesPerTrigger", 1).parquet(sf)
+    raw = _arriving(spark, b.table(spark, sf, "lineitem"), "l_orderkey")
     raw.writeStream.option("checkpointLocation", place + "/state").trigger(availableNow=True).foreachBatch(stream.evaluate_new(run, sink)).start().awaitTermination()
     out = spark.read.schema("project_id string, rule_id string, reason string, epoch int").parquet(place + "/data")
     return out.groupBy("rule_id", "reason").agg(F.count(F.lit(1)).alias("n"))
@@ -511,5 +527,5 @@ def stream_evaluate(spark, sf):
 @query
 def stream_dedupe(spark, sf):
     """Findings repeated in the stream are reported once."""
-    d = _drain(stream.deduplicate(_event_stream(spark, sf), "60 days"), spark, "stream_dedupe", "append")
+    d = _drain(stream.deduplicate(_event_stream(spark, sf), "60 days"), spark, "stream_dedupe")
     return d.groupBy("project_id").agg(F.count(F.lit(1)).alias("findings"))

@@ -8,7 +8,8 @@ from lexfleet.operators import verdict as vd
 
 
 def windowed_verdicts(findings: DataFrame, window="1 day", lateness="1 hour") -> DataFrame:
-    """Findings (ts, project_id, severity, confidence, reason) -> verdict per window."""
+    """Findings (ts, project_id, severity, confidence, reason) -> verdict per window. For
+    update mode: a window's state ends when the watermark passes it."""
     banded = findings.withColumn("rule_id", F.lit("stream"))
     banded = vd.with_effective_severity(banded)
     grouped = banded.withWatermark("ts", lateness).groupBy(F.window("ts", window).alias("w"), "project_id").agg(
