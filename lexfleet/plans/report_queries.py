@@ -453,6 +453,41 @@ def intent_overlay(spark, sf):
     return m.select("project_id", "scale_mau", "scale_employees", "use_saas", F.array_join("overridden", ",").alias("overridden"))
 
 
+def _json_text(*parts):
+    """JSON text of literals and (after a $) columns."""
+    return F.concat(*[F.col(p[1:]).cast("string") if p.startswith("$") else F.lit(p) for p in parts])
+
+
+@query
+def policy_documents(spark, sf):
+    """Organisation policies of every customer, some of them malformed, as rows."""
+    from lexfleet.sources import intents as si
+
+    c = b.table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), "c_mktsegment")
+    full = _json_text('{"schema_version":1,"org":"x","escalate":{"families":{"weak-copyleft":"BLOCK"},"licences":{"MPL-', "$k", '":"CONDITION"}},"exceptions":[{"dependency":"npm:a@', "$k",
+                      '","kind":"","reason":"r","owner":"o","expires":"2026-12-31"},{"dependency":"go:b@1","kind":"t.x","reason":"s","owner":"', "$c_mktsegment", '","expires":"2026-01-31"}]}')
+    text = F.when(F.col("k") % 7 == 0, "{not json").when(F.col("k") % 7 == 1, '{"schema_version":1}').otherwise(full)
+    exceptions, escalations = si.policy_rows(c.select(F.col("k").cast("string").alias("org"), text.alias("text")))
+    rows = exceptions.select("org", F.lit("exception").alias("what"), F.col("ordinal").cast("string").alias("key"), F.concat_ws("|", "dependency", "kind", "reason", "owner", "expires").alias("value"))
+    return rows.unionByName(escalations.select("org", F.col("target_type").alias("what"), F.col("target").alias("key"), F.col("severity").alias("value")))
+
+
+@query
+def intent_documents(spark, sf):
+    """Declared uses of every order, read from JSON documents; what is left out is NULL."""
+    from lexfleet.sources import intents as si
+
+    o = b.table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), "o_orderstatus", F.col("o_custkey").alias("c"))
+    shapes = [
+        _json_text('{"schema_version":1,"project":{"name":" n', "$k", ' "},"use":{"commercial":true,"licence_model":"dual"},"scale":{"mau":', "$c", '},"territories":["EU","us"],"policy":{"never_allow":["GPL-3"],"block_on":["NOTE"],"ignore":[{"path":"a/**","reason":"r"}]}}'),
+        _json_text('{"use":{"saas":false},"policy":{"allow_if":[{"licence":"MIT","when":""}]}}'), F.lit("[]"), F.lit("{broken"),
+    ]
+    text = F.element_at(F.array(*shapes), (F.col("k") % 4 + 1).cast("int"))
+    d = si.read_documents(o.select(F.concat(F.lit("o"), F.col("k").cast("string")).alias("project_id"), F.concat(F.lit("d/cfg"), F.col("k").cast("string"), F.lit(".json")).alias("rel"), text.alias("text")))
+    return d.select("project_id", "project_name", "use_commercial", "use_licence_model", "use_saas", "scale_mau", "scale_employees", F.array_join("territories", ",").alias("territories"),
+                    F.array_join("policy.never_allow", ",").alias("never_allow"), F.array_join("policy.block_on", ",").alias("block_on"), F.size("policy.ignore").alias("ignores"))
+
+
 # ---- streams ---------------------------------------------------------------------------------------
 
 ARRIVALS = 4  # micro-batches at least that a streamed table comes in
