@@ -7,7 +7,7 @@ from lexfleet.operators import graph, ownership as own
 from lexfleet.operators.ranking import ordinal_within
 from lexfleet.plans import bindings as b
 from lexfleet.plans.registry import query
-from lexfleet.sources import files as fs, manifests as mf
+from lexfleet.sources import assets, files as fs, manifests as mf
 
 TOPS = ["src", "vendor", "node_modules", ".git", "docs/a", "app/dist", "lib/venv"]
 NAMES = ["LICENSE", "package.json", "package-lock.json", "Cargo.toml", "README.md", "pyvenv.cfg", "go.mod",
@@ -105,6 +105,22 @@ def longest_prefix_owner(spark, sf):
     return inside.join(owners, ["project_id", "rel"], "left").select("project_id", "rel", "scope", "owner_id")
 
 
+@query
+def brand_assets(spark, sf):
+    """Brand files, folders and trademark notices inside every part's dependency tree,
+    the strongest signal of each directory as an asset of its unit."""
+    p = b.table(spark, sf, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("project_id"), F.col("p_partkey").cast("string").alias("k"))
+    at = lambda *x: F.concat(*[F.col(v[1:]) if v.startswith("$") else F.lit(v) for v in x])
+    rows = [
+        (at("app/package.json"), F.lit(None)), (at("app/node_modules/m", "$k", "/Logo.svg"), F.lit(None)), (at("app/node_modules/m", "$k", "/TRADEMARKS.md"), at("first\nwords ", "$k")),
+        (at("node_modules/n/brand/x", "$k", ".png"), F.lit(None)), (at("node_modules/n/brand/icon.png"), F.lit(None)), (at("src/logo.svg"), F.lit(None)), (at("node_modules/o/.icon"), F.lit(None)),
+    ]
+    cells = F.array(*[F.struct(r.alias("rel"), t.cast("string").alias("text")) for r, t in rows])
+    f = p.select("project_id", F.inline(cells)).withColumn("length", F.lit(1))
+    found = assets.asset_dependencies(assets.asset_signals(f.select("project_id", "rel", "text")), fs.discover_units(f))
+    return found.select("project_id", "id", "name", "scope", "licence_confidence", "evidence_path", "signal")
+
+
 # ---- manifests: text made from every part ---------------------------------------------
 
 def part_texts(spark, sf, text):
