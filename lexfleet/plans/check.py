@@ -27,6 +27,7 @@ class Scan:
     undetermined: DataFrame   # found while scanning: (project_id, id, kind, reason, error_code, …)
     warnings: DataFrame       # (project_id, code, path)
     own_licences: DataFrame
+    evidence: DataFrame       # all places of a dependency: (project_id, id, path, line, excerpt)
 
 
 @dataclass
@@ -80,7 +81,8 @@ def scan(files: DataFrame, ignores: DataFrame = None, texts: DataFrame = None, p
     found = wt.inventory(probed)
     weights = materialise(wt.weight_dependencies(found, wt.licence_sources(texts), units))
     events = materialise(sg.events(texts))
-    upstream = sg.upstream_dependencies(sg.signals(events))
+    found_signals = materialise(sg.signals(events))
+    upstream = sg.upstream_dependencies(found_signals)
     brand = assets.asset_dependencies(assets.asset_signals(listed.select("project_id", "rel").join(texts.select("project_id", "rel", "text"), ["project_id", "rel"], "left")), units)
     everything = _union([_staged(with_vendored, 1), _staged(weights, 2), _staged(upstream, 3), _staged(brand, 4)])
 
@@ -97,7 +99,11 @@ def scan(files: DataFrame, ignores: DataFrame = None, texts: DataFrame = None, p
         place(mf.requirement_warnings(_named(texts, ["requirements.txt", "requirements-dev.txt"]))), place(own.unrecognised_texts(in_tree)),
         place(wt.unparseable_configs(texts)), place(wt.truncated_headers(probed)), place(sg.oversized_warnings(listed)), place(sg.opaque_spawns(events)),
     ])
-    return Scan(materialise(graph.upsert(everything)), wt.licence_not_found(weights), warnings, mf.own_licence(_union([stated, root])))
+    # every write of a row is a place where the dependency was seen
+    seen = everything.filter(F.coalesce("evidence_path", F.lit("")) != "").select("project_id", "id", F.col("evidence_path").alias("path"), F.col("evidence_line").alias("line"), F.lit("").alias("excerpt"))
+    declared_at = packages.filter(F.coalesce("evidence_path", F.lit("")) != "").select("project_id", "id", F.col("evidence_path").alias("path"), F.col("evidence_line").alias("line"), F.lit("").alias("excerpt"))
+    evidence = _union([seen, declared_at, sg.upstream_evidence(found_signals)]).groupBy("project_id", "id", "path", "line").agg(F.max("excerpt").alias("excerpt"))
+    return Scan(materialise(graph.upsert(everything)), wt.licence_not_found(weights), warnings, mf.own_licence(_union([stated, root])), evidence)
 
 
 def evaluate(scanned: Scan, intents: DataFrame, corpus, today: str, policy=None, denied: DataFrame = None, allow_medium_blockers=False,

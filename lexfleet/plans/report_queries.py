@@ -159,6 +159,13 @@ def opaque_spawns(spark, sf):
     return sig.opaque_spawns(sig.events(_source_files(spark, sf))).select("project_id", "code", "path", "line")
 
 
+@query
+def finding_evidence(spark, sf):
+    """All places at which an upstream row was seen."""
+    e = sig.upstream_evidence(sig.signals(sig.events(_source_files(spark, sf))))
+    return e.select("project_id", "id", "path", "line")
+
+
 @query
 def upstream_rows(spark, sf):
     u = sig.upstream_dependencies(sig.signals(sig.events(_source_files(spark, sf))))

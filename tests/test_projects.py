@@ -79,3 +79,9 @@ def test_own_licence_is_read(spark):
     files = spark.createDataFrame([("a", "package.json", '{"license":"ISC"}'), ("b", "package.json", '{"licenses":[{"type":"MIT"}]}'),
                                    ("c", "package.json", '{"licence":"X","license":{"type":"no"}}')], "project_id string, rel string, text string")
     assert {r.project_id: r.own_licence for r in mf.npm_own_licence(files).collect()} == {"a": "ISC", "b": "MIT", "c": "X"}
+
+
+def test_every_dependency_has_evidence(result):
+    scanned = result["scanned"]
+    assert scanned.dependencies.join(scanned.evidence, ["project_id", "id"], "left_anti").count() == 0
+    assert scanned.evidence.count() == scanned.evidence.select("project_id", "id", "path", "line").distinct().count()
