@@ -14,9 +14,9 @@ empty table.
 """
 
 from bisect import bisect_right
-from functools import lru_cache
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -26,6 +26,28 @@ MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 CACHED_WORDS = 800_000  # per Python worker; beyond it the cache starts anew
 CACHED_WORD_CHARS = 64
+STEP = 8 << 20  # characters whose words are learned together
+BASE = np.uint64(0x9E3779B97F4A7C15)
+SLOT_BITS = 19
+
+
+_POWERS = np.multiply.accumulate(np.r_[np.uint64(1), np.full(1 << 10, BASE, np.uint64)])
+
+
+def _prefix_hashes(letters):
+    """Hashes of all prefixes of the rows of a table of code points."""
+    out = np.zeros((letters.shape[0], letters.shape[1] + 1), np.uint64)
+    for k in range(letters.shape[1]):
+        out[:, k + 1] = out[:, k] * BASE + letters[:, k] + np.uint64(1)
+    return out
+
+
+def _slot(keys):
+    return ((keys ^ keys >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def _utf8_bytes(c):
+    return 1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF)
 
 
 class PrefixCounter:
@@ -39,8 +61,13 @@ class PrefixCounter:
             raise ValueError("pieces that go on after a space cannot be counted word by word")
         if m.normalize("ﬁ a  b ") != f"{SPACE}ﬁ{SPACE}a{SPACE}{SPACE}b{SPACE}":
             raise ValueError("the model rewrites texts; count its normalised texts instead")
-        self.longest = max(map(len, self.score))
-        self.pairs, self.built, self.words, self.runs = {}, {}, {}, {}
+        # the longest piece that ends with some characters bounds the search for a token
+        self.reach = {}
+        for piece in self.score:
+            end = piece[-3:]
+            self.reach[end] = max(self.reach.get(end, 0), len(piece))
+        self._index()
+        self.pairs, self.number_pairs, self.built, self.words, self.runs = {}, {}, {}, {}, {}
 
     def _steps(self, t):
         """How BPE builds `t` from its characters (best score first, leftmost on ties):
@@ -99,8 +126,9 @@ class PrefixCounter:
 
     def _extend(self, s, last, counts):
         """Go on from the prefixes already known to all prefixes of `s`."""
-        score, longest, pairs, follows, starts = self.score, self.longest, self.pairs, self._follows, self._starts
+        score, reach, pairs, follows, starts = self.score, self.reach.get, self.pairs, self._follows, self._starts
         for i in range(len(last), len(s) + 1):
+            longest = reach(s[i - 3 : i], 2) if i > 2 else 2
             for j in range(i - longest if i > longest else 0, i):
                 t = s[j:i]
                 if t in score:
@@ -131,28 +159,117 @@ class PrefixCounter:
             bare.append(bare[j] if j else last[i] == SPACE)
         return counts, bare
 
+    def _index(self):
+        """A table from the hash of a piece to its number; slots that two pieces share
+        are looked up by search."""
+        self.pieces = list(self.score)
+        width = max(map(len, self.pieces))
+        letters = np.array(self.pieces, f"U{width}").view(np.uint32).reshape(-1, width)
+        size = np.array([len(p) for p in self.pieces])
+        self.keys = _prefix_hashes(letters)[np.arange(len(size)), size]
+        if len(np.unique(self.keys)) < len(size) or len(size) >= 65534:
+            raise ValueError("pieces cannot be numbered by their hashes")
+        self.by_key = np.argsort(self.keys)
+        self.width, self.slots = width, np.full(1 << SLOT_BITS, 65535, np.uint16)
+        slot = _slot(self.keys)
+        self.slots[slot] = np.arange(len(size))
+        several = np.bincount(slot, minlength=1 << SLOT_BITS) > 1
+        self.slots[several] = 65534
+
+    def _numbers(self, keys):
+        """Numbers of the pieces with these hashes, -1 where there is none."""
+        at = self.slots[_slot(keys)].astype(np.int64)
+        out = np.where(at < 65534, at, 0)
+        out = np.where((at < 65534) & (self.keys[out] == keys), out, -1)
+        search = np.flatnonzero(at == 65534)
+        if len(search):
+            found = self.by_key[np.minimum(np.searchsorted(self.keys, keys[search], sorter=self.by_key), len(self.keys) - 1)]
+            out[search] = np.where(self.keys[found] == keys[search], found, -1)
+        return out
+
+    def _name(self, number):
+        """The token with a number: pieces first, then characters without a piece."""
+        return self.pieces[number] if number < len(self.pieces) else chr(number - len(self.pieces))
+
+    def _apart_all(self, left, right):
+        """Whether tokens may stand side by side; left -1 is the start of a word."""
+        wide = len(self.pieces) + 0x110000
+        codes, at = np.unique((left + 1) * wide + right, return_inverse=True)
+        pairs, ok = self.number_pairs, []
+        if len(pairs) > 1_500_000:
+            pairs.clear()
+        for code in codes.tolist():
+            known = pairs.get(code)
+            if known is None:
+                a, b = divmod(code, wide)
+                known = pairs[code] = self._apart(self._name(a - 1), self._name(b)) if a else self._starts(self._name(b))
+            ok.append(known)
+        return np.array(ok, bool)[at]
+
     def learn(self, words):
-        """Count many words at once: sorted, each goes on from the prefix that it
-        shares with the one before."""
-        before, last, counts = "", [None], [0]
+        """Count many words at once. Sorted, their different prefixes of each length are
+        rows of one level, and a level follows from those before it."""
         if len(self.words) + len(words) > CACHED_WORDS:
             self.words.clear()
-        for w in sorted(words):
-            s = SPACE + w
-            k, n = 0, min(len(s), len(before))
-            while k < n and s[k] == before[k]:
-                k += 1
-            del last[k + 1 :], counts[k + 1 :]
-            self._extend(s, last, counts)
-            before = s
-            self.words[w] = counts[-1]
-
-    def learn_texts(self, texts):
-        """Have the words of these texts at hand (very long ones are counted when met)."""
-        new = set()
-        for t in texts:
-            new.update(t.replace(SPACE, " ").split(" "))
-        self.learn({w for w in new if 0 < len(w) <= CACHED_WORD_CHARS and w not in self.words})
+        plain = sorted(w for w in words if "\0" not in w)
+        for lo in range(0, len(plain), 50_000):
+            self._learn(plain[lo : lo + 50_000])
+
+    def _learn(self, words):
+        size = np.array([len(w) for w in words]) + 1
+        letters = np.zeros((len(words), size.max()), np.uint32)
+        letters[:, 0] = ord(SPACE)
+        letters[:, 1:] = np.array(words, f"U{size.max() - 1}").view(np.uint32).reshape(len(words), -1)
+        hashes = _prefix_hashes(letters)
+        shared = np.r_[0, (letters[1:] != letters[:-1]).argmax(axis=1)]  # characters as in the word before
+        n_pieces = len(self.pieces)
+        place, last, counts = [np.zeros(len(words), np.int64)], [np.array([-1])], [np.array([0])]
+        totals = np.zeros(len(words), np.int64)
+        for i in range(1, letters.shape[1] + 1):
+            new = (shared < i) & (size >= i)
+            place.append(np.cumsum(new) - 1)
+            rows = np.flatnonzero(new)
+            tokens, from_rows, from_ends = [], [], []
+            for n in range(1, min(i, self.width) + 1):
+                number = self._numbers(hashes[rows, i] - hashes[rows, i - n] * _POWERS[n])
+                if n == 1:
+                    number = np.where(number < 0, n_pieces + letters[rows, i - 1].astype(np.int64), number)
+                hit = np.flatnonzero(number >= 0)
+                tokens.append(number[hit])
+                from_rows.append(hit)
+                from_ends.append(np.full(len(hit), i - n))
+            tokens, at, ends = np.concatenate(tokens), np.concatenate(from_rows), np.concatenate(from_ends)
+            before, upto = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
+            for j in range(max(0, i - self.width), i):
+                some = ends == j
+                where = place[j][rows[at[some]]]
+                before[some], upto[some] = last[j][where], counts[j][where]
+            ok = self._apart_all(before, tokens)
+            if ok.sum() != len(rows) or len(np.unique(at[ok])) != len(rows):
+                raise ValueError(f"no single token ends at {i} of {[words[r] for r in rows[:5]]}")
+            level, sums = np.empty(len(rows), np.int64), np.empty(len(rows), np.int64)
+            level[at[ok]] = tokens[ok]
+            spelt = np.where(tokens >= n_pieces, _utf8_bytes(tokens - n_pieces), 1)
+            sums[at[ok]] = (upto + spelt)[ok]
+            last.append(level)
+            counts.append(sums)
+            done = size == i
+            totals[done] = sums[place[i][done]]
+        self.words.update(zip(words, totals.tolist()))
+
+    def totals(self, texts):
+        """Tokens of each text. Words of all texts are learned together (very long ones
+        are counted when met)."""
+        split = [t.replace(SPACE, " ").split(" ") if t else [] for t in texts]
+        new = set().union(*split).difference(self.words)
+        self.learn([w for w in new if 0 < len(w) <= CACHED_WORD_CHARS])
+        word, out = self.words.__getitem__, []
+        for t, ws in zip(texts, split):
+            try:
+                out.append(sum(map(word, ws)) if self._plain(t) else self.total(t or ""))
+            except KeyError:  # a word too long to keep
+                out.append(self.total(t))
+        return out
 
     def word(self, w):
         n = self.words.get(w)
@@ -183,27 +300,33 @@ class PrefixCounter:
         if marks:
             yield marks, ""
 
+    def _plain(self, text):
+        """Whether words stand between single spaces."""
+        return bool(text) and "  " not in text and SPACE not in text and text[0] != " " and text[-1] != " "
+
     def total(self, text):
         if not text:
             return 0
-        if "  " not in text and SPACE not in text and text[0] != " " and text[-1] != " ":
+        if self._plain(text):
             return sum(map(self.word, text.split(" ")))
-        return self.at_words(text)[1][-1]
-
-    def at_words(self, text):
-        """Ends of words in characters of the text, and the tokens up to there."""
-        ends, counts, pos, n = [], [], -1, 0
-        for marks, w in self._pieces(text):
-            if not w:
-                n, pos = n + self.run(marks), pos + marks
-            elif marks:
-                c, b = self.prefixes(w)
-                n, pos = n + self.after_run(marks, c[-1:], b[-1:])[0], pos + marks + 1 + len(w)
-            else:
-                n, pos = n + self.word(w), pos + 1 + len(w)
-            ends.append(pos)
-            counts.append(n)
-        return ends, counts
+        return sum(self._end(marks, w) for marks, w in self._pieces(text))
+
+    def _end(self, marks, w):
+        """Tokens of one of `_pieces`."""
+        if not w:
+            return self.run(marks)
+        if not marks:
+            return self.word(w)
+        counts, bare = self.prefixes(w)
+        return self.after_run(marks, counts[-1:], bare[-1:])[0]
+
+    def _inside(self, marks, w):
+        """Tokens of every prefix of one of `_pieces`, from its first mark on."""
+        out = [self.run(k) for k in range(1, marks + 1)]
+        if w:
+            counts, bare = self.prefixes(w)
+            out += self.after_run(marks, counts[1:], bare[1:]) if marks else counts[1:]
+        return out
 
     def every_prefix(self, text):
         """Tokens of text[:0], text[:1], ... text[:len(text)]."""
@@ -211,28 +334,32 @@ class PrefixCounter:
         if not text:
             return out
         for marks, w in self._pieces(text):
-            got = [base + self.run(k) for k in range(1, marks + 1)]
-            if w:
-                c, b = self.prefixes(w)
-                got += [base + x for x in (self.after_run(marks, c[1:], b[1:]) if marks else c[1:])]
-            base = got[-1]
-            out += got
+            out += [base + x for x in self._inside(marks, w)]
+            base = out[-1]
         return [0] + out[2:]  # the added space mark is no character of the text
 
     def cut(self, text, limit):
-        """Characters of the longest prefix made of whole words, and of that word's
-        own prefixes, that has at most `limit` tokens."""
-        ends, counts = self.at_words(text)
-        if not counts or counts[-1] <= limit:
-            return len(text)
-        highest = list(accumulate(counts, max))
-        k = bisect_right(highest, limit)
-        start = ends[k - 1] if k else 0
-        tail = self.every_prefix(text[: ends[k]])[start:]
-        return start + max(i for i, c in enumerate(tail) if c <= limit)
-
-
-@lru_cache(maxsize=2)
+        """Characters of the longest prefix that has at most `limit` tokens. Counts at the
+        ends of words only grow, so it ends inside the first word that goes beyond."""
+        base, at = 0, -1  # the added space mark is no character of the text
+        if self._plain(text):
+            words = text.split(" ")
+            k = bisect_right(list(accumulate(map(self.word, words))), limit)
+            if k == len(words):
+                return len(text)
+            base, at = sum(map(self.word, words[:k])), sum(map(len, words[:k])) + k - 1
+            rest = iter([(0, words[k])])
+        else:
+            rest = self._pieces(text) if text else iter(())
+        for marks, w in rest:
+            n = self._end(marks, w)
+            if base + n > limit:
+                return max([0, max(at, 0), *(at + j for j, c in enumerate(self._inside(marks, w), 1) if base + c <= limit)])
+            base, at = base + n, at + marks + (1 + len(w) if w else 0)
+        return len(text)
+
+
+@common.kept
 def counter(path):
     return PrefixCounter(path)
 
@@ -248,16 +375,16 @@ def token_counts(df: DataFrame, limit: int, id_col="doc_id", text_col="text", mo
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches):
+        common.claim(counter)
         c = counter(common.tokenizer_path(model))
         for b in batches:
             texts = _texts(b)
             n = []
-            for lo, hi in common.steps(texts):
-                c.learn_texts(texts[lo:hi])
-                n += [c.total(t) for t in texts[lo:hi]]
+            for lo, hi in common.steps(texts, STEP):
+                n += c.totals(texts[lo:hi])
             cut = [len(t) if k <= limit else c.cut(t, limit) for t, k in zip(texts, n)]
             yield pa.RecordBatch.from_arrays(
-                [b.column("_id"), b.column("_bytes"), pa.array(n, pa.int64()), pa.array([k > limit for k in n]), pa.array(cut, pa.int64())],
+                [b.column("_id"), b.column("_bytes"), pa.array(n, pa.int64()), pa.array([k > limit for k in n], pa.bool_()), pa.array(cut, pa.int64())],
                 names=[id_col, "n_bytes", "n_tokens", "over_limit", "cut_chars"])
 
     size = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long")
@@ -272,6 +399,7 @@ def prefix_table(df: DataFrame, id_col="doc_id", text_col="text", model=MODEL) -
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches):
+        common.claim(counter)
         c = counter(common.tokenizer_path(model))
         for b in batches:
             ids, texts = b.column("_id"), _texts(b)
