@@ -16,9 +16,10 @@ an empty table.
 """
 
 import os
+import sys
 import unicodedata
 import zlib
-from functools import lru_cache
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,14 @@ def _byte_letters():
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def id_bytes(ids):
+    """Little-endian unsigned 32-bit numbers."""
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class WordEncoder:
     """Ids of texts, one word between spaces or line ends at a time: no token of this
     vocabulary reaches over white space, so a text's ids are those of its words in
@@ -63,7 +72,7 @@ class WordEncoder:
         if ids is None:
             if len(self.parts) >= CACHED_WORDS:
                 self.parts.clear()
-            ids = self.parts[part] = np.array([t.id for t in self.model.tokenize(part)], "<u4").tobytes()
+            ids = self.parts[part] = id_bytes([t.id for t in self.model.tokenize(part)])
         return ids
 
     def learn(self, words):
@@ -79,17 +88,17 @@ class WordEncoder:
                 hard.append(w)
         for lo, hi in common.steps(hard):
             for w, e in zip(hard[lo:hi], self.tokenizer.encode_batch_fast(hard[lo:hi], add_special_tokens=False)):
-                known[w] = np.array(e.ids, "<u4").tobytes()
+                known[w] = id_bytes(e.ids)
 
     def encode(self, texts):
         """The ids of each text as little-endian unsigned 32-bit numbers."""
         split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        self.learn({w for ws in split for w in ws if w not in self.words})
+        self.learn(set().union(*split).difference(self.words))
         get = self.words.__getitem__
         return [b"".join(map(get, ws)) for ws in split]
 
 
-@lru_cache(maxsize=2)
+@common.kept
 def encoder(path):
     return WordEncoder(path)
 
@@ -211,6 +220,7 @@ def pack_documents(df: DataFrame, tokens=4096, segments=1024, loss=4096, id_col=
     schema = f"`{id_col}` {kind.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 
     def run(batches):
+        common.claim(encoder)
         enc, packer, base = encoder(common.tokenizer_path(vocabulary)), DotProductPacker(tokens, segments, loss), sequence_base()
         end, docs, n_docs = np.array([closing_id], "<u4").tobytes(), {}, 0
 
