@@ -1,6 +1,7 @@
 """Helpers shared by the training-data operators."""
 
 import os
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -10,6 +11,24 @@ from lexfleet.session import ensure_checkpoint_dir, ship  # noqa: F401
 STEP_CHARS = 4 << 20
 
 
+_kept = []
+
+
+def kept(fn):
+    """Keep the last result of `fn` in this process, until another operator claims it."""
+    cached = lru_cache(maxsize=1)(fn)
+    _kept.append(cached)
+    return cached
+
+
+def claim(*mine):
+    """Called first by a Python step: workers are reused, so what other operators keep
+    is dropped before this one fills the memory."""
+    for cached in _kept:
+        if cached not in mine:
+            cached.cache_clear()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -140,6 +140,7 @@ def leaks(docs: DataFrame, bench: DataFrame, error_rate=ERROR_RATE, id_col="doc_
 
     def search(shared):
         def run(batches):
+            common.claim()
             items, item_kind = shared.value
             matcher = Matcher(items, error_rate)
             for b in batches:
@@ -166,6 +167,7 @@ def without_leaks(docs: DataFrame, bench: DataFrame, error_rate=ERROR_RATE, text
 
     def drop(rows, shared):
         def run(batches):
+            common.claim()
             matcher = Matcher(shared.value, error_rate)
             for b in batches:
                 yield b.filter(pa.array([not matcher.find(t) for t in b.column(text_col).to_pylist()], pa.bool_()))

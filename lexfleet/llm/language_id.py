@@ -13,8 +13,6 @@ null label is not learned from; repeated rows count and are scored as often as t
 occur; other columns are not looked at; an empty table gives an empty table.
 """
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -29,7 +27,7 @@ STEP = 1 << 20  # characters that are hashed at once
 FACTORS = np.array([2654435761, 2246822519, 3266489917], np.uint32)
 
 
-@lru_cache(maxsize=1)
+@common.kept
 def _letters():
     """For every code point: its lower-case letter, or a space."""
     out = np.full(0x110000, 32, np.uint32)
@@ -107,6 +105,7 @@ def fit(df: DataFrame, text_col="text", lang_col="lang") -> Model:
     common.ship(df.sparkSession)
 
     def run(batches):
+        common.claim(_letters)
         languages, seen = {}, {}
         for b in batches:
             labels, texts = b.column("_lang").to_pylist(), b.column("_text").to_pylist()
@@ -145,6 +144,7 @@ def predict(df: DataFrame, model: Model, text_col="text", lang="lang_pred", scor
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), f"`{lang}` string", f"`{score}` double"])
 
     def run(batches):
+        common.claim(_letters)
         m = shared.value
         for b in batches:
             texts = b.column(text_col).to_pylist()

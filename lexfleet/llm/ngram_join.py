@@ -32,10 +32,10 @@ WORDS = 5
 THRESHOLD = (75, 100)
 SKETCH_BITS = 18
 SHARE = 10  # a tenth of a set's shingles is asked for beyond the first shared one
-STEP = 2 << 20
+STEP = 1 << 20
 FEW = 32  # sets of a shingle up to which it gives pairs
 BLOCK_SETS, BLOCK_SHINGLES = 256, 1 << 18
-FRONT_ROWS = 1 << 20  # per part of the front table
+FRONT_ROWS = 1 << 19  # per part of the front table, and held before they are packed
 BROADCAST_IDS = 4 << 20  # ids, 32 MB
 
 _LOWER = np.arange(256, dtype=np.uint64)
@@ -94,9 +94,10 @@ def shingle_sets(texts, words=WORDS):
 
 def _sets(batch, words):
     """(row numbers, sets) of an Arrow batch, some texts at a time."""
-    texts = batch.column("_text").to_pylist()
-    for lo, hi in common.steps(texts, STEP):
-        yield from zip(range(lo, hi), shingle_sets(texts[lo:hi], words))
+    for start in range(0, batch.num_rows, 512):
+        texts = batch.column("_text").slice(start, 512).to_pylist()
+        for lo, hi in common.steps(texts, STEP):
+            yield from zip(range(start + lo, start + hi), shingle_sets(texts[lo:hi], words))
 
 
 def digest(s):
@@ -112,6 +113,7 @@ def _measure(docs, words):
     chunks, width = 16, (1 << SKETCH_BITS) // 16
 
     def run(batches):
+        common.claim()
         sketch = np.zeros(1 << SKETCH_BITS, np.int64)
         for b in batches:
             n, d = [], []
@@ -171,27 +173,33 @@ def _fronts(docs, heavy, parts, words, threshold):
     """Fronts of all different sets as blocks: part, shingles, set keys (binary)."""
     shared = docs.sparkSession.sparkContext.broadcast(heavy)
 
+    def packed(shingles, keys):
+        h, k = np.concatenate(shingles), np.concatenate(keys)
+        part = (mix(h) % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        h, k, part = h[order], k[order], part[order]
+        at = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+        ends = np.r_[at[1:], len(part)]
+        return pa.RecordBatch.from_arrays([pa.array(part[at]), pa.array([h[i:j].tobytes() for i, j in zip(at, ends)], pa.binary()), pa.array([k[i:j].tobytes() for i, j in zip(at, ends)], pa.binary())], names=["part", "shingles", "keys"])
+
     def run(batches):
+        common.claim()
         ranks = shared.value
         for b in batches:
-            seen, shingles, keys = set(), [], []
+            seen, shingles, keys, held = set(), [], [], 0
             for _, s in _sets(b, words):
-                if len(s):
-                    key = set_key(digest(s))
-                    if key not in seen:
-                        seen.add(key)
-                        f = front(s, ranks, threshold)
-                        shingles.append(f)
-                        keys.append(np.full(len(f), key, np.int64))
-            if not shingles:
-                continue
-            h, k = np.concatenate(shingles), np.concatenate(keys)
-            part = (mix(h) % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            h, k, part = h[order], k[order], part[order]
-            at = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-            ends = np.r_[at[1:], len(part)]
-            yield pa.RecordBatch.from_arrays([pa.array(part[at]), pa.array([h[i:j].tobytes() for i, j in zip(at, ends)], pa.binary()), pa.array([k[i:j].tobytes() for i, j in zip(at, ends)], pa.binary())], names=["part", "shingles", "keys"])
+                key = set_key(digest(s)) if len(s) else None
+                if key is None or key in seen:
+                    continue
+                seen.add(key)
+                shingles.append(front(s, ranks, threshold))
+                keys.append(np.full(len(shingles[-1]), key, np.int64))
+                held += len(keys[-1])
+                if held >= FRONT_ROWS:
+                    yield packed(shingles, keys)
+                    shingles, keys, held = [], [], 0
+            if held:
+                yield packed(shingles, keys)
 
     return docs.mapInArrow(run, "part long, shingles binary, keys binary")
 
@@ -200,6 +208,7 @@ def _shared_rows(fronts, parts):
     """(shingle, key) for shingles at the front of two different sets at least."""
 
     def run(batches):
+        common.claim()
         blocks = {}
         for b in batches:
             for p, h, k in zip(*(b.column(c).to_pylist() for c in ("part", "shingles", "keys"))):
@@ -343,6 +352,7 @@ def _fetch(docs, wanted, words):
     kind = docs.schema["_id"].dataType.simpleString()
 
     def run(batches):
+        common.claim()
         for b in batches:
             ids = b.column("_id")
             for lo in range(0, b.num_rows, 256):

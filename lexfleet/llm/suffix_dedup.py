@@ -23,7 +23,6 @@ empty table gives an empty table.
 """
 
 import hashlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -107,7 +106,7 @@ def repeated(pieces, window):
     return [hit[e - len(p) - 1 : max(e - len(p) - 1, e - window)] for p, e in zip(pieces, ends)]
 
 
-@lru_cache(maxsize=1)
+@common.kept
 def _powers(n):
     up = np.multiply.accumulate(np.r_[np.uint64(1), np.full(n, BASE, np.uint64)])
     down = np.multiply.accumulate(np.r_[np.uint64(1), np.full(n, pow(BASE, -1, 1 << 64), np.uint64)])
@@ -205,6 +204,7 @@ def _records(batch, window):
 
 def _deal(docs, parts, window):
     def run(batches):
+        common.claim(_powers)
         for b in batches:
             r, lead = _records(b, window)
             # one of equal pieces goes to its key; the others are settled and go anywhere
@@ -222,6 +222,7 @@ def _settle(dealt, parts, most):
     key, and whether over `most` different pieces have it)."""
 
     def run(batches):
+        common.claim()
         blocks, sure = {}, []
         for b in batches:
             for p, raw, settled in zip(*(b.column(c).to_pylist() for c in ("part", "pieces", "settled"))):
@@ -292,6 +293,7 @@ def _sort(texts, parts, window):
         return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.int32())], names=["digest", "start", "count"])
 
     def run(batches):
+        common.claim()
         # pieces arrive in the order of their keys; whole keys are sorted together
         group, size, last = [], 0, None
         for b in batches:
