@@ -1,14 +1,16 @@
 """Helpers shared by the training-data operators."""
 
+import ctypes
 import os
 from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from lexfleet.session import ensure_checkpoint_dir, ship  # noqa: F401
 
 # Texts that one Python step holds at a time, in characters.
-STEP_CHARS = 4 << 20
+STEP_CHARS = 2 << 20
 
 
 _kept = []
@@ -27,6 +29,23 @@ def claim(*mine):
     for cached in _kept:
         if cached not in mine:
             cached.cache_clear()
+    release()
+
+
+def release():
+    """Give memory that is free back to the machine; a worker stays when its task ends."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def slices(batches, rows=1024):
+    """Arrow batches in parts of at most `rows`, so that few texts are Python objects at a time."""
+    for b in batches:
+        for lo in range(0, b.num_rows, rows):
+            yield b.slice(lo, rows)
+    release()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

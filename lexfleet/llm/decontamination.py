@@ -143,7 +143,7 @@ def leaks(docs: DataFrame, bench: DataFrame, error_rate=ERROR_RATE, id_col="doc_
             common.claim()
             items, item_kind = shared.value
             matcher = Matcher(items, error_rate)
-            for b in batches:
+            for b in common.slices(batches):
                 ids = b.column("_id")
                 out = [(k, *hit) for k, t in enumerate(b.column("_text").to_pylist()) for hit in matcher.find(t)]
                 cols = list(zip(*out)) if out else [()] * 7
@@ -169,7 +169,7 @@ def without_leaks(docs: DataFrame, bench: DataFrame, error_rate=ERROR_RATE, text
         def run(batches):
             common.claim()
             matcher = Matcher(shared.value, error_rate)
-            for b in batches:
+            for b in common.slices(batches):
                 yield b.filter(pa.array([not matcher.find(t) for t in b.column(text_col).to_pylist()], pa.bool_()))
 
         return rows.mapInArrow(run, docs.schema)

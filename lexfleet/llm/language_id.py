@@ -107,7 +107,7 @@ def fit(df: DataFrame, text_col="text", lang_col="lang") -> Model:
     def run(batches):
         common.claim(_letters)
         languages, seen = {}, {}
-        for b in batches:
+        for b in common.slices(batches):
             labels, texts = b.column("_lang").to_pylist(), b.column("_text").to_pylist()
             for lang in labels:
                 seen[lang] = seen.get(lang, 0) + 1
@@ -146,7 +146,7 @@ def predict(df: DataFrame, model: Model, text_col="text", lang="lang_pred", scor
     def run(batches):
         common.claim(_letters)
         m = shared.value
-        for b in batches:
+        for b in common.slices(batches):
             texts = b.column(text_col).to_pylist()
             langs, scores = [], []
             for lo, hi in common.steps(texts, STEP):

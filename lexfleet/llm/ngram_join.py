@@ -115,7 +115,7 @@ def _measure(docs, words):
     def run(batches):
         common.claim()
         sketch = np.zeros(1 << SKETCH_BITS, np.int64)
-        for b in batches:
+        for b in common.slices(batches, 2048):
             n, d = [], []
             for _, s in _sets(b, words):
                 n.append(len(s))

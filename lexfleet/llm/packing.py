@@ -232,7 +232,7 @@ def pack_documents(df: DataFrame, tokens=4096, segments=1024, loss=4096, id_col=
             return pa.RecordBatch.from_arrays([ids, *(pa.array(c, pa.int64()) for c in cols)], names=[id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss_tokens"])
 
         id_type = None
-        for b in batches:
+        for b in common.slices(batches):
             id_type = b.column("_id").type
             keys, texts = b.column("_id").to_pylist(), b.column("_text").to_pylist()
             for lo, hi in common.steps(texts):
