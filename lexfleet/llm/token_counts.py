@@ -24,7 +24,7 @@ from lexfleet.llm import common
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
-CACHED_WORDS = 800_000  # per Python worker; beyond it the cache starts anew
+CACHED_WORDS = 2_000_000  # per Python worker, about 300 MB; beyond it the cache starts anew
 CACHED_WORD_CHARS = 64
 STEP = 8 << 20  # characters whose words are learned together
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -377,7 +377,7 @@ def token_counts(df: DataFrame, limit: int, id_col="doc_id", text_col="text", mo
     def run(batches):
         common.claim(counter)
         c = counter(common.tokenizer_path(model))
-        for b in batches:
+        for b in common.slices(batches, 4096):
             texts = _texts(b)
             n = []
             for lo, hi in common.steps(texts, STEP):
