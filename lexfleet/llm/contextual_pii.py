@@ -1,10 +1,12 @@
 """Personal data: pattern spans, and identifiers found by bootstrapped contexts.
 
 Only column functions are used. The base spans are the valid matches of four fixed
-patterns. They are the seeds of a bootstrap: every token with a digit is a possible
-identifier, and its contexts (the word before, the two words before, the key before
-`=` or `:` inside the token) are lexical patterns. Patterns and distinct values form
-a graph. In each round a pattern's confidence is the mean confidence of its values,
+patterns. Each of them is a seed of a bootstrap, whatever its length, digits or inner
+spaces. Every other token with a digit that has at least six characters and touches
+no base span is a possible identifier; this length rule holds for no seed. The
+contexts of both (the word before, the two words before, the key before `=` or `:` at
+the token's start) are lexical patterns; a span that starts inside a token has the
+words before that token. Patterns and distinct values form a graph. In each round a pattern's confidence is the mean confidence of its values,
 damped for rare patterns, and the confidence of a value that is no seed is the
 highest of its patterns that enough trusted values support. Values that end at or above
 the threshold are added as spans of kind `context`; base spans are never changed.
@@ -34,11 +36,14 @@ PATTERNS = {
 }
 KINDS = list(PATTERNS)
 TOKEN = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"  # a token with a digit, from its start
+KEY = r"^([^\s0-9=:]++[=:])"  # letters and then = or :
+LEAST_LENGTH = 6  # of a token that is no seed
 ROUNDS = 3
 THRESHOLD = 0.8
 SUPPORT = 3  # trusted values that a pattern needs
 
 SPANS = "array<struct<start:int,end:int>>"
+FOUND = "array<struct<start:int,end:int,value:string,one:string,two:string,key:string>>"
 
 
 def _digits(text: Column) -> Column:
@@ -58,60 +63,85 @@ def _valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-def _places(text: Column, pattern: str, keep, fields=lambda match, before: {}, kind="") -> Column:
-    """Matches that `keep` accepts, with their code point positions: the gaps between
-    matches come from a split by the same pattern, positions are running lengths."""
+def _places(text: Column, pattern: str, keep) -> Column:
+    """Matches that `keep` accepts, with their code point positions and contexts: the gaps
+    between matches come from a split by the same pattern, positions are running lengths."""
     matches, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    extra = "".join(f",{name}:string" for name in fields(F.lit(""), F.lit("")))
-    none = F.expr(f"cast(array() as array<struct<start:int,end:int{extra}>>)")
+    first = F.struct(F.lit("").alias("two"), F.lit("").alias("one"), F.expr("cast(array() as array<string>)").alias("open"))
 
     def step(state, m):
         start = state["at"] + F.length(m["gaps"])
         end = start + F.length(m["matches"])
-        found = F.struct(start.alias("start"), end.alias("end"), *(c.alias(k) for k, c in fields(m["matches"], m["gaps"]).items()))
-        return F.struct(end.alias("at"), F.when(keep(m["matches"]), F.concat(state["found"], F.array(found))).otherwise(state["found"]).alias("found"))
+
+        def add(words):
+            found = F.struct(start.alias("start"), end.alias("end"), m["matches"].alias("value"), *_contexts(words))
+            return F.struct(end.alias("at"), _passed(words, m["matches"]).alias("words"), F.when(keep(m["matches"]), F.concat(state["found"], F.array(found))).otherwise(state["found"]).alias("found"))
+
+        return _let(_passed(state["words"], m["gaps"]), add)
 
     zipped = F.arrays_zip(matches.alias("matches"), gaps.alias("gaps"))
     pairs = F.slice(zipped, F.lit(1), F.size(matches))
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("found")), step, lambda s: s["found"])
+    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), first.alias("words"), _nothing(FOUND).alias("found")), step, lambda s: s["found"])
+
+
+def _let(value: Column, body) -> Column:
+    """`body` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _nothing(kind: str) -> Column:
+    return F.expr(f"cast(array() as {kind})")
+
+
+def _passed(words: Column, piece: Column) -> Column:
+    """The two words before the token that a text ends in, and the parts of that token,
+    after one more piece of text. Parts are joined only when the token is over."""
+
+    def move(flat):
+        last = F.split(F.substring_index(F.concat(words["one"], F.lit(" "), F.array_join(words["open"], ""), flat), " ", -3), " ", -1)
+        moved = _let(last, lambda p: F.struct(F.get(p, F.lit(0)).alias("two"), F.get(p, F.lit(1)).alias("one"), F.array(F.get(p, F.lit(2))).alias("open")))
+        same = F.struct(words["two"].alias("two"), words["one"].alias("one"), F.concat(words["open"], F.array(flat)).alias("open"))
+        return F.when(flat.contains(" "), moved).otherwise(same)
 
+    return _let(F.regexp_replace(piece, r"\s++", " "), move)
 
 
-def _contexts(match: Column, gap: Column) -> dict:
-    flat = F.rtrim(F.translate(gap, "\n\r\t", "   "))
-    # no key unless the token begins with letters and then = or :
-    return {"value": match, "one": F.lower(F.substring_index(flat, " ", -1)), "two": F.lower(F.substring_index(flat, " ", -2)), "key": F.regexp_extract(F.lower(match), r"^([^\s0-9=:]++[=:])", 1)}
+def _contexts(words: Column) -> list:
+    one, before = F.lower(words["one"]), F.array_join(words["open"], "")
+    two = F.when(words["two"] != "", F.concat_ws(" ", F.lower(words["two"]), one)).otherwise("")
+    # what stands in the token before the span; a span behind another one has no key
+    key = F.when(F.size(F.filter(words["open"], lambda p: p != "")) == 1, F.regexp_extract(F.lower(before), KEY + "$", 1)).otherwise("")
+    return [one.alias("one"), two.alias("two"), key.alias("key")]
 
 
 def _found(df, columns, text_col, rounds, threshold, support):
     """`columns` of every row, an array of spans per kind, and `context`."""
     text = F.coalesce(F.col("_text"), F.lit(""))
     needs = {"email": text.contains("@"), "ip": text.rlike("[0-9]\\.[0-9]"), "card": text.rlike("[0-9]"), "phone": text.contains("+")}
-    nothing = F.expr(f"cast(array() as {SPANS})")
     rows = df.select(F.col(text_col).alias("_text"), *(F.col(c).alias(f"_own_{c}") for c in columns))
     own = [f"_own_{c}" for c in columns]
-    spans = [F.when(needs[k], _places(text, PATTERNS[k], _valid_for(k))).otherwise(nothing).alias(k) for k in KINDS]
-    no_token = F.expr("cast(array() as array<struct<start:int,end:int,value:string,one:string,two:string,key:string>>)")
-    tokens = F.when(text.rlike("[0-9]"), _places(text, TOKEN, lambda m: F.length(m) > 5, _contexts)).otherwise(no_token)
+    spans = [F.when(needs[k], _places(text, PATTERNS[k], _valid_for(k))).otherwise(_nothing(FOUND)).alias(k) for k in KINDS]
+    tokens = F.when(text.rlike("[0-9]"), _places(text, TOKEN, lambda m: F.length(m) >= LEAST_LENGTH)).otherwise(_nothing(FOUND))
     base = rows.select(*own, *spans, tokens.alias("_tokens")).withColumn("_row", F.monotonically_increasing_id())
     base = common.staged(base)
 
-    every = F.concat(*KINDS)
-    state = F.transform("_tokens", lambda t: F.struct(
-        t.alias("token"), F.exists("_base", lambda s: (s["start"] >= t["start"]) & (s["start"] < t["end"])).alias("seed"),
-        F.exists("_base", lambda s: (s["start"] < t["end"]) & (s["end"] > t["start"])).alias("overlaps")))
-    marked = base.filter(F.size("_tokens") > 0).select("_row", "_tokens", every.alias("_base")).select("_row", F.explode(state).alias("s"))
-    # tokens inside a span but not at its start are no evidence of their own
-    marked = marked.filter("s.seed or not s.overlaps").select("_row", "s.token.*", "s.seed")
+    # every base span is a seed; tokens that touch one are no evidence of their own
+    free = F.filter("_tokens", lambda t: ~F.exists("_base", lambda s: (s["start"] < t["end"]) & (s["end"] > t["start"])))
+    evidence = F.concat(
+        F.transform("_base", lambda s: F.struct(s.alias("item"), F.lit(True).alias("seed"))),
+        F.transform(free, lambda t: F.struct(F.struct(t["start"], t["end"], t["value"], t["one"], t["two"], F.regexp_extract(F.lower(t["value"]), KEY, 1).alias("key")).alias("item"), F.lit(False).alias("seed"))))
+    marked = base.select("_row", "_tokens", F.concat(*KINDS).alias("_base")).filter((F.size("_tokens") > 0) | (F.size("_base") > 0))
+    marked = marked.select("_row", F.explode(evidence).alias("e")).select("_row", "e.item.*", "e.seed")
     patterns = F.filter(F.array(
-        F.when(F.col("one") != "", F.concat(F.lit("1 "), "one")), F.when(F.col("two").contains(" "), F.concat(F.lit("2 "), "two")), F.when(F.col("key") != "", F.concat(F.lit("k "), "key"))), lambda p: p.isNotNull())
+        F.when(F.col("one") != "", F.concat(F.lit("1 "), "one")), F.when(F.col("two") != "", F.concat(F.lit("2 "), "two")), F.when(F.col("key") != "", F.concat(F.lit("k "), "key"))), lambda p: p.isNotNull())
     # a value's copies count once; values that are a seed anywhere stay seeds
     edges = common.staged(marked.select(F.explode(patterns).alias("pattern"), "value", "seed").groupBy("pattern", "value").agg(F.max("seed").alias("seed")))
     trusted = _scores(edges, rounds, threshold, support)
     new = marked.filter("not seed").join(trusted, "value", "left_semi").select("_row", F.struct("start", "end").alias("span"))
     added = new.groupBy("_row").agg(F.array_sort(F.collect_list("span")).alias("context"))
-    out = base.drop("_tokens").join(added, "_row", "left").withColumn("context", F.coalesce("context", nothing))
-    return out.select(*(F.col(o).alias(c) for o, c in zip(own, columns)), *(F.col(k).alias(f"_found_{k}") for k in [*KINDS, "context"]))
+    out = base.drop("_tokens").join(added, "_row", "left").withColumn("context", F.coalesce("context", _nothing(SPANS)))
+    places = [F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias(f"_found_{k}") for k in [*KINDS, "context"]]
+    return out.select(*(F.col(o).alias(c) for o, c in zip(own, columns)), *places)
 
 
 def find(df: DataFrame, id_col="doc_id", text_col="text", rounds=ROUNDS, threshold=THRESHOLD, support=SUPPORT) -> DataFrame:

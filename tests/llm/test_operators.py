@@ -299,6 +299,28 @@ def test_pii_contexts(spark):
     assert clean[23].text is None and clean[24].text == "" and clean[25].text == "[EMAIL] [PHONE] x" and clean[0].digest == "x"
 
 
+def test_pii_every_span_is_a_seed(spark):
+    cards = ["4111 1111 1111 1111", "5500 0000 0000 0004", "3400 0000 0000 009", "3000 0000 0000 04", "6011 0000 0000 0004", "4012 8888 8888 1881", "5105 1051 0510 5100", "4222 2222 2222 2"]
+    mails = [f"{c}ohn@example.com" for c in "abcdefgh"]
+    phones = [f"+1 (743) 555-38{i:02}" for i in range(10, 18)]
+    for word, known, unseen in (("dial", phones, "743x5553824"), ("charge", cards, "tok-99887766"), ("write", mails, "user77#example"), ("mail=", mails, "user78#example")):
+        glue = "" if word.endswith("=") else " "
+        texts = [f"please {word}{glue}{v} ok" for v in known] + [f"do {word}{glue}{unseen} now", "other ab12cd34 here"]
+        rows = by_id(contextual_pii.find(frame(spark, texts)), "n_context", "spans")
+        start = 3 if glue == "" else 3 + len(word) + 1
+        end = 3 + len(word) + len(glue) + len(unseen)
+        assert rows[8] == (1, f"context:{start}:{end}") and rows[9] == (0, "")
+        assert all(rows[i][0] == 0 for i in range(8))
+
+
+def test_pii_words_before_spans(spark):
+    text = "a  b\n+1 (743) 555-3824 1.2.3.4,x=c@d.co tel:+1 743 555 3824"
+    got = frame(spark, [text]).select(*(contextual_pii._places(F.col("text"), contextual_pii.PATTERNS[k], contextual_pii._valid_for(k)).alias(k) for k in contextual_pii.KINDS)).first()
+    seen = {k: [(s.value, s.one, s.two, s.key) for s in got[k]] for k in ("email", "phone")}
+    assert seen["email"] == [("c@d.co", "555-3824", "(743) 555-3824", "")]
+    assert seen["phone"][-1] == ("+1 743 555 3824", "1.2.3.4,x=c@d.co", "555-3824 1.2.3.4,x=c@d.co", "tel:")
+
+
 def test_pii_empty(spark, docs):
     assert contextual_pii.find(docs.limit(0)).count() == contextual_pii.redact(docs.limit(0)).count() == 0
 
