@@ -2,7 +2,11 @@
 
 Only column functions are used. Every line of a text (or every run of `span` lines)
 is a block, a set of words; a template is a set of words too. A block contains a
-template when it holds at least `threshold` of the template's words. Words are put
+template when it holds at least `threshold` of the template's words. With `wrapped`,
+windows over the words of the whole text, lines joined, are blocks as well: a window is
+as long as the template divided by `threshold`, so a notice that is broken over lines
+is found with up to that share of other words inside. Windows begin at a template word
+(others hold no more), and only next to a word of the prefix. Words are put
 in one global order, rare ones first, by the number of blocks of all documents
 that hold them, and the join filters by
 
@@ -20,6 +24,10 @@ score 0; repeated rows each give a row; a null id is kept; other columns are not
 looked at; an empty table gives an empty table.
 """
 
+import math
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lexfleet.llm import common
@@ -80,13 +88,14 @@ def _strings(values) -> Column:
     return F.array(*(F.lit(v) for v in values)) if values else F.expr("cast(array() as array<string>)")
 
 
-def scan(df: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold=THRESHOLD, span=1, id_col="doc_id", text_col="text") -> DataFrame:
+def scan(df: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold=THRESHOLD, span=1, id_col="doc_id", text_col="text", wrapped=False) -> DataFrame:
     """One row per row of `df`: id, n_words, n_base, first_word, last_word,
-    base_labels, labels, score, and matches (label, containment, first line)."""
+    base_labels, labels, score, and matches (label, containment, line of the first
+    block, or else of the first window)."""
     if len(templates) > MAX_TEMPLATES:
         raise ValueError(f"{len(templates)} templates; at most {MAX_TEMPLATES} fit into a plan")
-    sets = [(label, sorted(set(words.split()))) for label, words in templates]
-    vocabulary = sorted({w for _, ws in sets for w in ws})
+    sets = [(label, sorted(set(words.split())), math.ceil(len(words.split()) / threshold)) for label, words in templates]
+    vocabulary = sorted({w for _, ws, _ in sets for w in ws})
 
     rows = df.select(F.col(id_col), spaced(F.col(text_col)).alias("_line"), F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1).alias("_lines"))
     rows = rows.select("*", F.when(F.col("_line") == "  ", 0).otherwise(_spaces(F.col("_line")) - 1).cast("long").alias("n_words"))
@@ -99,7 +108,9 @@ def scan(df: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold=THRESHOL
         F.least(*(a for _, _, a, _ in found)).cast("long").alias("first_word"),
         F.greatest(*(b for _, _, _, b in found)).cast("long").alias("last_word"),
         F.array_distinct(F.array_sort(F.filter(F.array(*(F.when(n > 0, label) for label, n, _, _ in found)), lambda x: x.isNotNull()))).alias("_base"),
-        F.filter(_windows(blocks, span), lambda b: F.size(b["words"]) > 0).alias("_blocks"))
+        F.filter(_windows(blocks, span), lambda b: F.size(b["words"]) > 0).alias("_blocks"), *(["_lines"] if wrapped else []))
+    if wrapped:
+        base = base.withColumn("_words", _words(sets, vocabulary, threshold)).drop("_lines")
     base = common.staged(base)
 
     # the global order covers all blocks; one row per template word comes back
@@ -109,11 +120,12 @@ def scan(df: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold=THRESHOL
     place = {w: i for i, w in enumerate(order)}
 
     ordered = F.transform(F.col("_blocks"), lambda b: F.struct(b["line"].alias("line"), F.array_intersect(_strings(order), b["words"]).alias("words")))
-    least = min((needed(len(ws), threshold) for _, ws in sets), default=1)
+    least = min((needed(len(ws), threshold) for _, ws, _ in sets), default=1)
     out = base.withColumn("_sets", F.filter(ordered, lambda b: F.size(b["words"]) >= least))
-    matches = [_match(label, sorted(words, key=place.get), threshold) for label, words in sets]
+    found = [_match(label, sorted(words, key=place.get), threshold, length if wrapped else None) for label, words, length in sets]
     empty = F.expr("cast(array() as array<struct<label:string,containment:double,line:int>>)")
-    some = F.when(F.size("_sets") > 0, F.filter(F.array(*matches), lambda m: m.isNotNull())).otherwise(empty) if matches else empty
+    possible = (F.size("_sets") > 0) | (F.size("_words") > 0) if wrapped else F.size("_sets") > 0
+    some = F.when(possible, F.filter(F.array(*found), lambda m: m.isNotNull())).otherwise(empty) if found else empty
     out = out.select("*", some.alias("matches"))
     # places without a template count as much as the weakest match
     score = F.greatest(F.coalesce(F.array_max("matches.containment"), F.lit(0.0)), F.when(F.col("n_base") > 0, F.lit(float(threshold))).otherwise(0.0))
@@ -122,8 +134,19 @@ def scan(df: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold=THRESHOL
         F.array_join(F.array_sort(F.array_union("_base", F.col("matches.label"))), ",").alias("labels"), score.alias("score"), "matches")
 
 
-def _match(label: str, words: list, threshold: float) -> Column:
-    """The best block of column _sets for one template, null without any."""
+def _words(sets, vocabulary, threshold: float) -> Column:
+    """Template words of the whole text with place and line; empty if the text has
+    too few different ones for every template."""
+    held = F.array_distinct(F.flatten("_blocks.words"))
+    enough = [F.size(F.array_intersect(_strings(ws), held)) >= needed(len(ws), threshold) for _, ws, _ in sets]
+    each = F.flatten(F.transform("_lines", lambda x, i: F.transform(F.filter(F.split(F.lower(F.regexp_replace(x, NOT_WORD, " ")), " "), lambda w: w != ""), lambda w: F.struct(i.alias("line"), w.alias("word")))))
+    placed = F.filter(F.transform(each, lambda e, i: F.struct(i.alias("place"), e["line"].alias("line"), e["word"].alias("word"))), lambda e: e["word"].isin(vocabulary))
+    return F.when(reduce(or_, enough, F.lit(False)), placed).otherwise(F.expr("cast(array() as array<struct<place:int,line:int,word:string>>)"))
+
+
+def _match(label: str, words: list, threshold: float, length=None) -> Column:
+    """The best block of column _sets, or window of `length` words of column _words, for
+    one template, null without any."""
     size, need = len(words), needed(len(words), threshold)
     whole, prefix = _strings(words), _strings(words[: size - need + 1])
 
@@ -133,10 +156,35 @@ def _match(label: str, words: list, threshold: float) -> Column:
         return (F.size(b["words"]) >= need) & F.arrays_overlap(prefix, b["words"]) & (left + 1 >= need) & (F.size(F.array_intersect(whole, b["words"])) >= need)
 
     hits = F.filter(F.col("_sets"), passes)
+    if length is not None:
+        hits = F.concat(hits, F.when(F.size(F.array_intersect(whole, F.col("_words.word"))) >= need, _wrapped(words, need, length)).otherwise(F.expr("cast(array() as array<struct<line:int,words:array<string>>>)")))
     best = F.array_max(F.transform(hits, lambda b: F.size(F.array_intersect(whole, b["words"])) / F.lit(size)))
     return F.when(F.size(hits) > 0, F.struct(F.lit(label).alias("label"), best.alias("containment"), F.get(hits, F.lit(0))["line"].alias("line")))
 
 
+def _wrapped(words: list, need: int, length: int) -> Column:
+    """Windows of `length` words of the text that hold `need` words of one template."""
+    prefix, whole = words[: len(words) - need + 1], _strings(words)
+    own = F.filter("_words", lambda e: e["word"].isin(words))
+
+    def around(own):
+        # a match has a word of the prefix and enough others less than a window away
+        seeds = F.filter(F.transform(own, lambda e, i: F.struct(i.alias("i"), e.alias("e"))), lambda s: s["e"]["word"].isin(prefix))
+
+        def near(s):
+            low = F.greatest(s["i"] - length + 1, F.lit(0))
+            return F.filter(F.slice(own, low + 1, s["i"] - low + length), lambda e: F.abs(e["place"] - s["e"]["place"]) < length)
+
+        hoods = F.filter(F.transform(seeds, near), lambda h: F.size(F.array_intersect(whole, h["word"])) >= need)
+        return F.flatten(F.transform(hoods, inside))
+
+    def inside(hood):
+        runs = F.transform(hood, lambda e, i: F.struct(e["line"].alias("line"), F.array_intersect(whole, F.transform(F.filter(F.slice(hood, i + 1, F.lit(length)), lambda x: x["place"] < e["place"] + length), lambda x: x["word"])).alias("words")))
+        return F.filter(runs, lambda r: F.size(r["words"]) >= need)
+
+    return F.get(F.transform(F.array(own), around), F.lit(0))
+
+
 def _windows(blocks: Column, span: int) -> Column:
     """Runs of `span` lines as one block each, from every line on."""
     if span == 1:

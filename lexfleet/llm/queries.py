@@ -38,7 +38,7 @@ def op7_contextual_pii(spark, sf_dir):
 
 
 def op8_licence_scan(spark, sf_dir):
-    return licence_scan.scan(common.table(spark, sf_dir, "documents")).drop("matches")
+    return licence_scan.scan(common.table(spark, sf_dir, "documents"), wrapped=True).drop("matches")
 
 
 # the tools that the turns of a conversation are written as

@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 import zlib
 
 import brute
@@ -338,6 +339,36 @@ def test_licence_edges(spark):
     assert licence_scan.scan(frame(spark, EDGES).limit(0)).count() == 0
 
 
+def test_licence_over_lines(spark, tmp_path):
+    """The registered query against every window of every text, compared plainly."""
+    rng = random.Random(8)
+    notices = [words for _, words in licence_scan.TEMPLATES]
+    texts = ["/*\n * Permission is hereby granted, free of charge,\n * to any person obtaining a copy of this software\n * and associated documentation files\n */", *EDGES]
+    for n in range(120):
+        words = rng.choice(notices).split()
+        for _ in range(rng.randint(0, 6)):
+            at = rng.randrange(len(words))
+            words[at : at + rng.randint(0, 1)] = rng.choice([[], ["the"], ["zzz"], ["software", "yyy"]])
+        around = [rng.choice(["the", "license", "under", "software", "zzz"]) for _ in range(rng.randint(0, 30))]
+        texts.append("".join(w + rng.choice([" ", " ", "\n", ",\n# "]) for w in around + words + around[::-1]))
+    frame(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    got = by_id(queries.op8_licence_scan(spark, str(tmp_path)), "labels", "score")
+    lines = by_id(licence_scan.scan(frame(spark, texts)), "labels", "n_base")
+    assert lines[0][0] == "" and got[0] == ("mit", 1.0)
+    for i, t in enumerate(texts):
+        split = lambda x: [w for w in re.split(licence_scan.NOT_WORD, x.lower()) if w]
+        words, best = split(t or ""), {}
+        for label, notice in licence_scan.TEMPLATES:
+            want, size = set(notice.split()), -(-len(notice.split()) * 10 // 8)
+            blocks = [split(x) for x in (t or "").split("\n")] + ([words[j : j + size] for j in range(len(words))] if want & set(words) else [])
+            most = max(len(want & set(b)) / len(want) for b in blocks)
+            if most >= 0.8:
+                best[label] = max(most, best.get(label, 0))
+        named = set(got[i][0].split(",")) - {""}
+        assert set(best) <= named <= set(best) | {label for _, label in licence_scan.PHRASES}
+        assert got[i][1] == max([0.8 if lines[i][1] else 0.0, *best.values()])
+
+
 # 9 chat formatting
 
 
