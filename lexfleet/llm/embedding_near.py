@@ -4,11 +4,15 @@ Unit vectors are cut into two halves, each half has its own codebook, and the tw
 codebooks span a grid of cells. Every vector is in one cell. As a query it visits
 cells in the order of the multi-sequence algorithm (least sum of both half
 distances first) until the number of cells that reached the target recall on a
-sample, times a margin; a cell that cannot hold a partner by the triangle
+query set, times a margin; a cell that cannot hold a partner by the triangle
 inequality is passed over. All vectors of visited cells are compared exactly.
 
-The codebooks and the number of visits are fitted on a bounded sample (SAMPLE rows by
-hash of the id); all rows are indexed and all are queries. Cells with many vectors
+The codebooks are fitted on a bounded sample (SAMPLE rows by hash of the id). The
+number of visits is fitted on QUERIES other rows by hash, each compared with all rows in
+Spark, so small groups are seen whatever the size of the table. Queries count once each
+and are ranked apart by their number of links, so a large group does not hide small
+ones; if no query has a link, made-up partners at the threshold take their place. The
+recall on the query set is logged. All rows are indexed and all are queries. Cells with many vectors
 or many queries are cut into blocks, and a block pair is one task's work. Equal
 vectors are one from the start. A pair counts for both vectors if either visits the
 other's cell, so links are symmetric.
@@ -22,6 +26,7 @@ table.
 
 import hashlib
 import heapq
+import logging
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +36,7 @@ from lexfleet.llm import common, graph
 
 THRESHOLD = 0.95
 SAMPLE = 16384
+QUERIES = 4096
 PER_CELL = 64
 MAX_CODES = 2048  # per half, so codebooks are bounded
 TARGET_RECALL, MARGIN, LEAST_VISITS = 0.999, 4, 8
@@ -136,6 +142,30 @@ class Index:
         return min(self.grid, max(LEAST_VISITS, MARGIN * exact))
 
 
+    def ranks(self, query, cells):
+        """How many cells come before each of `cells` in the order of one query."""
+        d1, d2 = (distances(h, book)[0] for h, book in zip(self._halves(query[None]), self.books))
+        second, wide = np.sort(d2), len(d2)
+        return np.array([np.searchsorted(second, d1[c // wide] + d2[c % wide] - d1).sum() for c in cells])
+
+    def raise_visits(self, need, recall=TARGET_RECALL):
+        """need: (links, visits that find `recall` of them) of each query with links."""
+        groups = {}
+        for links, visits in need:
+            groups.setdefault(int(links).bit_length(), []).append(visits)
+        exact = max(int(np.quantile(v, recall, method="higher")) for v in groups.values())
+        self.visits = min(self.grid, max(self.visits, MARGIN * exact))
+
+    def made_up(self, queries):
+        """What raise_visits() takes, for one partner at the threshold per query."""
+        away = np.random.default_rng(0).normal(size=queries.shape)
+        away -= (away * queries).sum(axis=1)[:, None] * queries
+        norm = np.sqrt((away * away).sum(axis=1))[:, None]
+        away = np.divide(away, norm, out=np.zeros_like(away), where=norm > 0)
+        cells = self.cells(self.threshold * queries + np.sqrt(max(0.0, 1 - self.threshold**2)) * away)
+        return [(1, int(self.ranks(q, [c])[0]) + 1) for q, c in zip(queries, cells)]
+
+
 def _rows(df, id_col, vector_col, size):
     """id, digest and bytes of each unit vector (null if it links with nothing)."""
     kind = df.schema[id_col].dataType.simpleString()
@@ -150,12 +180,50 @@ def _rows(df, id_col, vector_col, size):
     return df.select(F.col(id_col).alias("_id"), F.col(vector_col).alias("_vector")).mapInArrow(run, f"id {kind}, digest binary, unit binary")
 
 
-def fit(units: DataFrame, threshold=THRESHOLD, sample=SAMPLE) -> Index:
-    """units: rep, unit. Starts two jobs; brings `sample` rows at most to the driver."""
+def fit(units: DataFrame, threshold=THRESHOLD, sample=SAMPLE, queries=QUERIES) -> Index:
+    """units: rep, digest, unit. Brings `sample` and `queries` rows at most to the driver."""
     n = units.count()
     rows = units.orderBy(F.xxhash64("rep"), "rep").limit(sample).select("unit").toArrow().column("unit").to_pylist()
     x = np.array([np.frombuffer(r, np.float64) for r in rows])
-    return Index(x, max(2, min(MAX_CODES, int(np.sqrt(n / PER_CELL)))), threshold)
+    index = Index(x, max(2, min(MAX_CODES, int(np.sqrt(n / PER_CELL)))), threshold)
+    asked = units.orderBy(F.xxhash64(F.lit("query"), "rep"), "rep").limit(queries).select("digest", "unit").toArrow()
+    x = np.array([np.frombuffer(r, np.float64) for r in asked.column("unit").to_pylist()])
+    need = _needed(units, index, x, asked.column("digest").to_pylist())
+    index.raise_visits([(r["links"], r["visits"]) for r in need] or index.made_up(x))
+    found = sum(r["links"] for r in need if r["visits"] <= index.visits)
+    logging.getLogger(__name__).info("%s queries, %s with links; %s of %s links are of queries that reach recall %s with %s visits of %s cells", len(x), len(need), found, sum(r["links"] for r in need), TARGET_RECALL, index.visits, index.grid)
+    return index
+
+
+def _needed(units, index, queries, digests):
+    """Rows (query, links, visits) of the queries that have links: each is compared with all units."""
+    shared = units.sparkSession.sparkContext.broadcast((index, queries, digests))
+
+    def links(batches):
+        index, queries, digests = shared.value
+        number = {d: i for i, d in enumerate(digests)}
+        for b in batches:
+            for lo in range(0, b.num_rows, 512):
+                part = b.slice(lo, 512)
+                x = np.array([np.frombuffer(r, np.float64) for r in part.column("unit").to_pylist()])
+                near = x @ queries.T >= index.threshold
+                for r, d in enumerate(part.column("digest").to_pylist()):
+                    if d in number:
+                        near[r, number[d]] = False
+                row, query = np.nonzero(near)
+                pairs, n = np.unique(np.stack([query, index.cells(x)[row]], axis=1), axis=0, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64()), pa.array(n, pa.int64())], names=["query", "cell", "n"])
+
+    def visits(table):
+        index, queries, _ = shared.value
+        query, cells, n = table.column("query")[0].as_py(), table.column("cell").to_numpy(), table.column("n").to_numpy()
+        ranks = index.ranks(queries[query], cells)
+        order = np.argsort(ranks, kind="stable")
+        at = np.searchsorted(np.cumsum(n[order]), TARGET_RECALL * n.sum())
+        return pa.table({"query": [query], "links": [int(n.sum())], "visits": [int(ranks[order][min(at, len(n) - 1)]) + 1]})
+
+    pairs = units.select("digest", "unit").mapInArrow(links, "query long, cell long, n long").groupBy("query", "cell").agg(F.sum("n").alias("n"))
+    return pairs.groupBy("query").applyInArrow(visits, "query long, links long, visits long").collect()
 
 
 def _assign(units, index, kind):
@@ -216,7 +284,7 @@ def _compare(blocks, threshold, kind):
     return blocks.groupBy("at", "db", "qb").applyInArrow(run, f"u {kind}, v {kind}, n long")
 
 
-def near_duplicates(df: DataFrame, threshold=THRESHOLD, id_col="vec_id", vector_col="embedding") -> DataFrame:
+def near_duplicates(df: DataFrame, threshold=THRESHOLD, id_col="vec_id", vector_col="embedding", sample=SAMPLE) -> DataFrame:
     """One row per row of `df`: id, n_links, component_id, kept."""
     common.ship(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
@@ -227,7 +295,7 @@ def near_duplicates(df: DataFrame, threshold=THRESHOLD, id_col="vec_id", vector_
     none = F.lit(None).cast(kind)
     if units.isEmpty():
         return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept"))
-    index = fit(units, threshold)
+    index = fit(units, threshold, sample)
     assigned = common.staged(_assign(units, index, kind))
     stored = assigned.select("rep", "copies", "unit", "cell", "visited", F.col("cell").alias("at"), F.lit(1).alias("side"))
     asked = assigned.select("rep", "copies", "unit", "cell", F.expr("cast(null as array<long>)").alias("visited"), F.explode("visited").alias("at"), F.lit(0).alias("side"))

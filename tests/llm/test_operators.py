@@ -236,6 +236,20 @@ def test_visits_reach_the_target():
     assert len(pairs) > 300 and sum(own[j] in visited[i] for i, j in pairs) / len(pairs) >= 0.99
 
 
+def test_groups_of_two_outside_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(embedding_near, "PER_CELL", 1)  # as fine a grid as a large table has
+    monkeypatch.setattr(embedding_near.fit, "__defaults__", (0.95, 48, *embedding_near.fit.__defaults__[2:]))
+    monkeypatch.setattr(embedding_near.near_duplicates, "__defaults__", (*embedding_near.near_duplicates.__defaults__[:3], *[48] * (len(embedding_near.near_duplicates.__defaults__) - 3)))
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=(1500, 32))
+    x = np.concatenate([base, base + rng.normal(size=base.shape) * 0.29])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    want = (x @ x.T >= 0.95).sum(axis=1) - 1
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = by_id(embedding_near.near_duplicates(df), "n_links")
+    assert want.sum() > 1000 and sum(got[i][0] for i in range(len(x))) >= 0.999 * want.sum()
+
+
 # 6 decontamination
 
 
