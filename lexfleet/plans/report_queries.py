@@ -507,9 +507,12 @@ def _place(spark, name):
 
 
 def _arriving(spark, df, order):
-    """A table as files that arrive one after the other, in the order of a column."""
-    path = _place(spark, "arrivals")
-    df.repartitionByRange(ARRIVALS, order).sortWithinPartitions(order).write.parquet(path)
+    """A table as files that arrive one after the other, in the order of a column: the
+    file source reads them by time, so each is written when the one before is there."""
+    path, ranges = _place(spark, "arrivals"), _place(spark, "ranges")
+    df.repartitionByRange(ARRIVALS, order).withColumn("_arrival", F.spark_partition_id()).write.partitionBy("_arrival").parquet(ranges)
+    for k in sorted(r[0] for r in spark.read.parquet(ranges).select("_arrival").distinct().collect()):
+        spark.read.schema(df.schema).parquet(f"{ranges}/_arrival={k}").coalesce(1).sortWithinPartitions(order).write.mode("append").parquet(path)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
