@@ -76,8 +76,10 @@ class WordEncoder:
         return ids
 
     def learn(self, words):
-        if len(self.words) + len(words) > CACHED_WORDS:
+        """Make all of `words` known at once; a full cache starts anew before."""
+        if len(self.words) + len(words.difference(self.words)) > CACHED_WORDS:
             self.words = {"": b""}
+        words = words.difference(self.words)
         hard, letters, marks, spelling, known = [], self.letters, self.marks, self.spelling, self.words
         for w in words:
             stem = w.rstrip(marks)
@@ -93,7 +95,7 @@ class WordEncoder:
     def encode(self, texts):
         """The ids of each text as little-endian unsigned 32-bit numbers."""
         split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        self.learn(set().union(*split).difference(self.words))
+        self.learn(set().union(*split))
         get = self.words.__getitem__
         return [b"".join(map(get, ws)) for ws in split]
 

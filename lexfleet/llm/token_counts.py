@@ -13,6 +13,7 @@ results; other columns of the input are not looked at; an empty table gives an
 empty table.
 """
 
+from array import array
 from bisect import bisect_right
 from itertools import accumulate
 
@@ -67,7 +68,9 @@ class PrefixCounter:
             end = piece[-3:]
             self.reach[end] = max(self.reach.get(end, 0), len(piece))
         self._index()
-        self.pairs, self.number_pairs, self.built, self.words, self.runs = {}, {}, {}, {}, {}
+        self.pairs, self.number_pairs, self.built, self.words = {}, {}, {}, {}
+        self.marks = [n for n in range(1, self.width + 1) if SPACE * n in self.score]
+        self.run_ends, self.run_counts = array("I", [0]), array("I", [0])
 
     def _steps(self, t):
         """How BPE builds `t` from its characters (best score first, leftmost on ties):
@@ -207,11 +210,12 @@ class PrefixCounter:
         return np.array(ok, bool)[at]
 
     def learn(self, words):
-        """Count many words at once. Sorted, their different prefixes of each length are
-        rows of one level, and a level follows from those before it."""
-        if len(self.words) + len(words) > CACHED_WORDS:
+        """Make all of a set of words known at once; a full cache starts anew before. Sorted,
+        their different prefixes of each length are rows of one level, and a level follows
+        from those before it."""
+        if len(self.words) + len(words.difference(self.words)) > CACHED_WORDS:
             self.words.clear()
-        plain = sorted(w for w in words if "\0" not in w)
+        plain = sorted(w for w in words.difference(self.words) if "\0" not in w)
         for lo in range(0, len(plain), 50_000):
             self._learn(plain[lo : lo + 50_000])
 
@@ -261,8 +265,7 @@ class PrefixCounter:
         """Tokens of each text. Words of all texts are learned together (very long ones
         are counted when met)."""
         split = [t.replace(SPACE, " ").split(" ") if t else [] for t in texts]
-        new = set().union(*split).difference(self.words)
-        self.learn([w for w in new if 0 < len(w) <= CACHED_WORD_CHARS])
+        self.learn({w for w in set().union(*split) if 0 < len(w) <= CACHED_WORD_CHARS})
         word, out = self.words.__getitem__, []
         for t, ws in zip(texts, split):
             try:
@@ -277,12 +280,16 @@ class PrefixCounter:
 
     def run(self, k):
         """Tokens of k space marks that stand alone."""
-        n = self.runs.get(k)
-        if n is None:
-            n = len(self.model.encode(" " * (k - 1))) if k > 1 else k  # the model adds one mark itself
-            if len(self.runs) < 100_000:
-                self.runs[k] = n
-        return n
+        ends, counts = self.run_ends, self.run_counts
+        for i in range(len(ends), k + 1):  # the same program over prefixes, tokens told by their length
+            for n in self.marks:
+                if n <= i and (self._follows(SPACE * ends[i - n], SPACE * n) if n < i else self._starts(SPACE * n)):
+                    ends.append(n)
+                    counts.append(counts[i - n] + 1)
+                    break
+            else:
+                raise ValueError(f"no token ends after {i} space marks")
+        return counts[k]
 
     def after_run(self, k, counts, bare):
         """Tokens of k further space marks and then a prefix of a word."""

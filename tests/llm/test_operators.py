@@ -448,6 +448,33 @@ def test_packing(spark, docs):
     assert packing.pack_documents(docs.limit(0)).count() == 0
 
 
+def short_batches(seed=8):
+    rng = random.Random(seed)
+    for _ in range(12):
+        yield [" ".join("".join(rng.choice("abcdefg") for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(0, 60))) for _ in range(6)]
+
+
+def test_full_word_caches(monkeypatch):
+    """Words of a batch that were known before the cache filled up stay known for it."""
+    monkeypatch.setattr(packing, "CACHED_WORDS", 50)
+    monkeypatch.setattr(token_counts, "CACHED_WORDS", 50)
+    enc = packing.WordEncoder(common.tokenizer_path(packing.VOCABULARY))
+    c = token_counts.PrefixCounter(common.tokenizer_path(token_counts.MODEL))
+    enc.encode(["alpha beta gamma"])
+    for texts in short_batches():
+        texts = ["alpha", *texts]
+        assert enc.encode(texts) == [packing.id_bytes(e.ids) for e in enc.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert c.totals(texts) == [len(c.model.encode(t)) for t in texts]
+
+
+def test_long_runs_of_spaces():
+    c = token_counts.PrefixCounter(common.tokenizer_path(token_counts.MODEL))
+    assert [c.run(k) for k in range(2, 300)] == [len(c.model.encode(" " * (k - 1))) for k in range(2, 300)]
+    text = "a" + " " * 200_000 + "b"  # a square of this would take an hour
+    cut = c.cut(text, 200)
+    assert len(c.model.encode(text[:cut])) <= 200 < len(c.model.encode(text[: cut + 1]))
+
+
 def test_packer_limits():
     rng = random.Random(6)
     sizes = [rng.randint(1, 200) for _ in range(500)]
