@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from lexfleet.llm import (
-    chat_links, common, contextual_pii, decontamination, embedding_near, language_id, licence_scan, ngram_join, packing, suffix_dedup, token_counts,
+    byte_bpe, chat_links, common, contextual_pii, decontamination, embedding_near, hard_negatives, language_id, licence_scan, ngram_join, packing, periodic_runs,
+    suffix_dedup, token_counts,
 )
 
 CONTEXT = 4096
@@ -68,5 +69,46 @@ def op10_packing(spark, sf_dir):
     return packing.pack_documents(common.table(spark, sf_dir, "documents"), tokens=CONTEXT)
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_language_id, op3_token_counts, op4_ngram_join, op5_embedding_near, op6_decontamination, op7_contextual_pii, op8_licence_scan, op9_chat_links, op10_packing)}
+def op11_hard_negatives(spark, sf_dir):
+    rows = common.table(spark, sf_dir, "embeddings")
+    finite = lambda x: ~F.isnan(x) & (F.abs(x) < float("inf"))
+    whole = F.transform(F.col("embedding").cast("array<double>"), lambda x: F.when(finite(x), F.floor(256 * x).cast("double")))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.select("vec_id", whole.alias("embedding"), label.alias("label")), F.col("vec_id") % 50 == 0)
+
+
+def repeated_tail(ident, text):
+    """Of about every tenth text the words, where those from one place on repeat a period
+    that the id decides, joined by one space; other texts as they are."""
+    h = F.crc32(ident.cast("string").cast("binary"))
+
+    def edited(words):
+        n, g = F.size(words).cast("long"), F.floor(h / 10).cast("long")
+        at = g % n
+        period = 1 + F.floor((n - at) / (3 + g % 8)).cast("long")
+        return F.array_join(F.transform(words, lambda w, i: F.when(i < at, w).otherwise(F.get(words, (at + (i - at) % period).cast("int")))), " ")
+
+    words = F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    # the words are bound once: inside the lambda they would be cut for every word
+    tail = F.get(F.transform(F.array(words), lambda w: F.when(F.size(w) > 0, edited(w)).otherwise("")), F.lit(0))
+    return F.when(h % 10 == 0, tail).otherwise(text)
+
+
+def op12_periodic_runs(spark, sf_dir):
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", repeated_tail(F.col("doc_id"), F.col("text")).alias("text"))
+    found = periodic_runs.find(docs).withColumn("top", periodic_runs.longest_run(F.col("runs")))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n"))), "")
+    length = -F.col("top.less")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("top.start").alias("start"), length.alias("length"), F.col("top.period").alias("period"),
+        F.expr("1000 * -top.less div top.period").alias("exponent_milli"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op13_byte_bpe(spark, sf_dir):
+    ids = byte_bpe.encode(common.table(spark, sf_dir, "documents"))
+    back = byte_bpe.decode(ids, keep=("doc_id", "ids"))
+    return back.select("doc_id", byte_bpe.n_tokens("ids").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_language_id, op3_token_counts, op4_ngram_join, op5_embedding_near, op6_decontamination, op7_contextual_pii, op8_licence_scan, op9_chat_links, op10_packing, op11_hard_negatives, op12_periodic_runs, op13_byte_bpe)}
 SQL = {"op8_licence_scan": licence_scan.oracle()}
