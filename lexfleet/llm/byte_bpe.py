@@ -32,7 +32,7 @@ from lexfleet.llm import common
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 CACHED_PIECES = 500_000  # per Python worker; beyond it the cache starts anew
-CACHED_BYTES = 64  # of a piece that is kept
+CACHED_CHARS = 64  # of a piece that is kept
 TABLE_BYTES = 1024  # longest piece that shares a table; longer ones have their own tree
 TABLE_CELLS = 1 << 20
 FEWEST_ROWS = 16  # tables pay for so many pieces of like length
@@ -255,17 +255,17 @@ class ByteBpe:
             for i, ps in pieces:
                 out[i].append(b"".join(map(get, ps)))
             pieces.clear()
-            for p in [p for p in self.long if p in self.known]:
-                del self.known[p]
-            self.long.clear()
+            for p in long:  # too long to keep
+                self.known.pop(p, None)
+            long.clear()
 
-        self.long = []
+        long = set()
         for i, t in enumerate(texts):
             out.append([])
             for part in self.parts(t or ""):
                 found = self.split(part)
-                if found and len(max(found, key=len)) > CACHED_BYTES:
-                    self.long += {p for p in found if len(p) > CACHED_BYTES}
+                if found and len(max(found, key=len)) > CACHED_CHARS:
+                    long.update(p for p in found if len(p) > CACHED_CHARS)
                 pieces.append((i, found))
                 size += len(part)
                 if size >= PART_CHARS * 4:

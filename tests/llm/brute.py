@@ -107,3 +107,37 @@ def sellers(pattern, text):
             now.append(min(before[j] + 1, now[-1] + 1, before[j - 1] + (p != t)))
         before = now
     return min(before)
+
+
+def runs(words):
+    """(start, length, period) of the maximal stretches with a smallest period q and at
+    least max(6, 4q) words, tried period by period."""
+    found = {}
+    for q in range(1, len(words) // 4 + 1):
+        i = 0
+        while i + q < len(words):
+            j = i
+            while j + q < len(words) and words[j] == words[j + q]:
+                j += 1
+            if j + q - i >= max(6, 4 * q):
+                found.setdefault((i, j + q), q)
+            i = j + 1
+    return sorted((start, end - start, q) for (start, end), q in found.items())
+
+
+def without_repeats(words, found):
+    gone = {i for start, length, q in found for i in range(start + q, start + length)}
+    return [w for i, w in enumerate(words) if i not in gone]
+
+
+def hard_negatives(rows, anchor, positives=5, negatives=3, least=50, most=95):
+    """rows: (id, label, whole numbers). All pairs of anchors and rows."""
+    out = set()
+    for a, label, v in rows:
+        if not anchor(a):
+            continue
+        scored = [(-sum(x * y for x, y in zip(v, w)), i, k) for i, k, w in rows if i != a and len(w) == len(v)]
+        for p, i, _ in sorted(s for s in scored if s[2] == label)[:positives]:
+            fit = sorted((s, j) for s, j, k in scored if k != label and least * -p <= 100 * -s <= most * -p)
+            out |= {(a, i, rank, j, -p, -s) for rank, (s, j) in enumerate(fit[:negatives], 1)}
+    return out

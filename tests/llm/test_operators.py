@@ -1,5 +1,6 @@
 """Each operator against a plain version, a round trip or held-out accuracy, and its edge cases."""
 
+import hashlib
 import json
 import random
 import re
@@ -10,7 +11,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexfleet.llm import chat_links, common, contextual_pii, decontamination, embedding_near, graph, language_id, licence_scan, ngram_join, packing, queries, suffix_dedup, token_counts
+from lexfleet.llm import (
+    byte_bpe, chat_links, common, contextual_pii, decontamination, embedding_near, graph, hard_negatives, language_id, licence_scan, ngram_join, packing, periodic_runs,
+    queries, suffix_dedup, token_counts,
+)
 
 SF = "/root/testdata/sf0.001"
 # columns that carry names the operators use themselves
@@ -498,3 +502,209 @@ def test_pack_examples(spark):
     df = spark.createDataFrame([(i, n, n // 2) for i, n in enumerate([100, 900, 0, 1000, 30, 500])] + [(9, None, 3)], "id long, n long, loss long")
     rows = packing.pack_examples(df, 1000, 3, 600, "id", "n", "loss").collect()
     assert sorted(r.id for r in rows) == [0, 1, 3, 4, 5]
+
+
+# 11 hard negatives
+
+
+def vectors(seed, n, dim=4, labels=3, spread=6):
+    rng = random.Random(seed)
+    rows = [(i, rng.randrange(labels), [rng.randint(-spread, spread) for _ in range(dim)]) for i in range(n)]
+    rows += [(n + i, rng.randrange(labels), rows[7][2]) for i in range(n // 3)]  # one vector, many times
+    rows += [(2 * n + i, i % labels, [rng.randint(-3, 9) for _ in range(dim + 1)]) for i in range(20)] + [(3 * n, 0, []), (3 * n + 1, 1, []), (3 * n + 2, 0, [])]
+    return rows
+
+
+def mined(df, every=5):
+    got = hard_negatives.mine(df, F.col("vec_id") % every == 0).collect()
+    assert len(got) == len(set(got))
+    return set(map(tuple, got))
+
+
+@pytest.mark.parametrize("tile,leaf,anchors", [(4096, 128, 16_384), (64, 8, 16_384), (40, 5, 30)])
+def test_hard_negatives(spark, monkeypatch, tile, leaf, anchors):
+    monkeypatch.setattr(hard_negatives, "TILE", tile)
+    monkeypatch.setattr(hard_negatives, "LEAF", leaf)
+    monkeypatch.setattr(hard_negatives, "ANCHORS", anchors)
+    rows = vectors(tile, 150)
+    none = [(9_000, None, [1.0] * 4), (9_005, 0, None), (9_010, 0, [1.0, None, 1.0, 1.0]), (9_015, 1, [1.0, float("nan"), 1.0, 1.0]), (9_020, 1, [float("inf")] * 4), (None, 1, [1.0] * 4)]
+    df = spark.createDataFrame([(i, k, None if v is None else [x if x is None else float(x) for x in v]) for i, k, v in rows + none], "vec_id long, label int, embedding array<float>")
+    more = df.unionByName(df.filter("vec_id in (5, 6)"))  # repeated rows count once
+    assert mined(clash(more.repartition(5), rank=1, id=0, anchor=1, vector=2, slab=3)) == brute.hard_negatives(rows, lambda i: i % 5 == 0)
+
+
+def test_hard_negatives_in_long_numbers(spark):
+    """Scores beyond 2**53 are whole numbers too."""
+    rows = [(i, k, [x * (1 << 26) + i for x in v]) for i, k, v in vectors(3, 30)]
+    df = spark.createDataFrame([(i, k, [float(x) for x in v]) for i, k, v in rows], "vec_id long, label int, embedding array<double>")
+    assert mined(df) == brute.hard_negatives(rows, lambda i: i % 5 == 0)
+
+
+def test_hard_negatives_of_text_ids(spark):
+    rows = [(f"v{i:04}", f"label {k}", v) for i, k, v in vectors(4, 60)]
+    df = spark.createDataFrame([(i, k, [float(x) for x in v]) for i, k, v in rows], "vec_id string, label string, embedding array<double>")
+    got = hard_negatives.mine(df, F.col("vec_id").endswith("5")).collect()
+    assert set(map(tuple, got)) == brute.hard_negatives(rows, lambda i: i.endswith("5"))
+
+
+def test_no_hard_negatives(spark):
+    df = spark.createDataFrame([], "vec_id long, label int, embedding array<float>")
+    assert hard_negatives.mine(df, F.col("vec_id") % 5 == 0).collect() == []
+    one = spark.createDataFrame([(5, 1, [1.0])], "vec_id long, label int, embedding array<float>")
+    assert hard_negatives.mine(one, F.col("vec_id") % 5 == 0).collect() == []
+
+
+def test_op11(spark):
+    rows = []
+    for r in common.table(spark, SF, "embeddings").collect():
+        rows.append((r.vec_id, (r.label + 1) % 10 if r.vec_id % 7 == 0 else r.label, [int(np.floor(256 * float(x))) for x in r.embedding]))
+    assert set(map(tuple, queries.op11_hard_negatives(spark, SF).collect())) == brute.hard_negatives(rows, lambda i: i % 50 == 0)
+
+
+def test_tree_bounds():
+    rng = np.random.default_rng(1)
+    tree = hard_negatives.Tree(np.arange(900), np.arange(900) % 3, rng.integers(-9, 9, (900, 6)).astype(float))
+    anchors = rng.integers(-9, 9, (5, 6)).astype(float)
+    high, low = tree.bounds(anchors)
+    for i, a in enumerate(anchors):
+        for leaf in range(tree.sizes[0]):
+            s = tree.scores(leaf, a, True)
+            assert low[i, leaf] <= s.min() and s.max() <= high[i, leaf]
+    seen = []
+    tree.search(anchors[0], high[0].tolist(), low[0].tolist(), True, lambda h, lo: True, lambda ids, labels, s: seen.extend(ids.tolist()))
+    assert sorted(seen) == list(range(900))
+
+
+# 12 periodic runs
+
+
+def repetitive(rng, depth=0):
+    kind = rng.random()
+    if kind < 0.3:
+        return [rng.choice("ab") for _ in range(rng.randint(1, 12))]
+    if kind < 0.5:
+        return [rng.choice("abcdefghijk") for _ in range(rng.randint(1, 30))]
+    if kind < 0.9 and depth < 4:
+        part = repetitive(rng, depth + 1)
+        many = (part * rng.randint(2, 9))[:2000]
+        return many[: len(many) - rng.randint(0, len(part) - 1)]
+    return repetitive(rng, depth + 1) + repetitive(rng, depth + 1) if depth < 5 else ["z"]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_runs(seed):
+    rng = random.Random(seed)
+    for _ in range(70):
+        texts = [" ".join(repetitive(rng) + repetitive(rng)) for _ in range(rng.randint(1, 6))] + [None, "", "a", " \t\n"]
+        for t, (words, found) in zip(texts, periodic_runs.find_runs(texts)):
+            assert words == (t or "").split() and found == brute.runs(words)
+            assert periodic_runs.collapse(words, found) == brute.without_repeats(words, found)
+
+
+def test_synchronising_positions():
+    """Equal contexts are picked alike, and t positions in a row hold a picked one."""
+    rng = random.Random(5)
+    text = [rng.randrange(3) for _ in range(400)]
+    words = np.array(text + text[50:300] + [9, 8] + text, np.int64)
+    names, t = words.astype(np.uint64), 8
+    for k in (1, 2, 4):
+        names = periodic_runs._mixed(names[:-k], names[k:])
+    picked = set(periodic_runs.synchronising(names, t).tolist())
+    contexts = {}
+    for i in range(len(words) - 2 * t + 1):
+        contexts.setdefault(tuple(words[i : i + 2 * t].tolist()), set()).add(i in picked)
+    assert all(len(x) == 1 for x in contexts.values())
+    assert all(picked & set(range(i, i + t)) for i in range(len(words) - 3 * t + 2))
+
+
+def test_runs_of_a_long_text():
+    words = ["a", "b", "c"] * 200_000 + ["x"] + ["a"] * 300_000
+    ((_, found),) = periodic_runs.find_runs([" ".join(words)])
+    assert found == [(0, 600_000, 3), (600_001, 300_000, 1)]
+
+
+def test_periodic_runs(spark):
+    texts = EDGES + ["a b " * 9, "x" + "\u00a0y" * 20, "p q r " * 3, "A a " * 8, "v\x0bw\x0c" * 9, "é è " * 30]
+    got = by_id(periodic_runs.find(clash(frame(spark, texts), runs=1, n_words=2, collapsed=3)), "n_words", "runs", "collapsed")
+    for i, t in enumerate(texts):
+        words = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        found = brute.runs(words) if len(words) < 9_000 else [(0, len(words), 1)]
+        assert got[i][0] == len(words) and [tuple(r) for r in got[i][1]] == found and got[i][2] == " ".join(brute.without_repeats(words, found))
+    assert periodic_runs.find(frame(spark, texts).limit(0)).count() == 0
+
+
+def test_op12(spark, docs):
+    want = {}
+    for r in docs.select("doc_id", "text").collect():
+        words = re.findall(r"[^\x20\x09-\x0D]+", r.text or "")
+        h = zlib.crc32(str(r.doc_id).encode())
+        if h % 10 == 0 and words:
+            a = h // 10 % len(words)
+            p = 1 + (len(words) - a) // (3 + h // 10 % 8)
+            words = [w if i < a else words[a + (i - a) % p] for i, w in enumerate(words)]
+        found = brute.runs(words)
+        top = min(found, key=lambda x: (-x[1], x[0], x[2])) if found else (None, None, None)
+        sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+        want[r.doc_id] = (len(found), *top, 1000 * top[1] // top[2] if found else None, sha("".join(f"{a},{b},{c}\n" for a, b, c in found)), sha(" ".join(brute.without_repeats(words, found))))
+    assert by_id(queries.op12_periodic_runs(spark, SF)) == want
+    assert any(w[0] for w in want.values())
+
+
+# 13 byte-level BPE
+
+
+def library(bpe):
+    import public_tokenizers
+    import tiktoken
+
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.ranks, special_tokens={})
+
+
+@pytest.fixture(scope="module")
+def bpe():
+    import public_tokenizers
+
+    return byte_bpe.ByteBpe(common.tokenizer_path(byte_bpe.RANKS), public_tokenizers.PATTERN)
+
+
+def test_segment_trees(bpe, monkeypatch):
+    rng, lib = random.Random(2), library(bpe)
+    letters = [32, 10, 9, 0x1C, 0x85, 0xA0, 0x2028, 0x3000, *range(33, 127), *range(0xC0, 0x180), *range(0x4E00, 0x4E20), *range(0x1F600, 0x1F610), 0x301]
+    for cap in (byte_bpe.CACHED_PIECES, 40):
+        monkeypatch.setattr(byte_bpe, "CACHED_PIECES", cap)
+        for _ in range(60):
+            texts = ["".join(chr(rng.choice(letters)) for _ in range(rng.randint(0, 60))) for _ in range(25)]
+            texts += ["a" * rng.randint(0, 300), "ab" * rng.randint(0, 700), " " * rng.randint(0, 90) + "x", "".join(rng.choice("aeiounst") for _ in range(1500)), "<|endoftext|>"]
+            got = bpe.encode(texts)
+            assert got == [byte_bpe._little(lib.encode_ordinary(t)) for t in texts]
+            assert [bpe.decode(x).decode() for x in got] == texts
+    pieces = ["".join(rng.choice("abcde") for _ in range(rng.randint(2, 1024))).encode() for _ in range(100)]
+    assert bpe.merge_table(pieces) == list(map(bpe.merge_one, pieces))
+
+
+def test_very_long_texts_in_bytes(bpe, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "PART_CHARS", 50)
+    rng, lib = random.Random(4), library(bpe)
+    for _ in range(40):
+        t = "".join(rng.choice(["word", " ", "  ", "\n", "12", "!", "é", "'s", "x" * 70, " " * 70]) for _ in range(rng.randint(0, 200)))
+        assert bpe.encode([t, t[3:]]) == [byte_bpe._little(lib.encode_ordinary(x)) for x in (t, t[3:])]
+    long = "".join(rng.choice("abcdefghij") for _ in range(200_000))
+    assert bpe.decode(bpe.encode([long])[0]).decode() == long
+
+
+def test_byte_bpe(spark, docs, bpe):
+    texts = [r.text for r in docs.collect()] + EDGES
+    lib = library(bpe)
+    df = clash(frame(spark, texts), ids=1, bytes=2)
+    ids = byte_bpe.encode(df)
+    got = by_id(byte_bpe.decode(ids, keep=("doc_id", "ids")), "ids", "bytes")
+    for i, t in enumerate(texts):
+        assert bytes(got[i][0]) == byte_bpe._little(lib.encode_ordinary(t or "")) and bytes(got[i][1]) == (t or "").encode()
+    assert byte_bpe.encode(df.limit(0)).count() == 0
+    nothing = spark.createDataFrame([(1, None)], "doc_id long, ids binary")
+    assert [bytes(r.bytes) for r in byte_bpe.decode(nothing).collect()] == [b""]
+    with pytest.raises(Exception, match="4000000000|KeyError"):
+        byte_bpe.decode(spark.createDataFrame([(1, byte_bpe._little([4_000_000_000]))], "doc_id long, ids binary")).collect()
+    row = queries.op13_byte_bpe(spark, SF).filter("doc_id = 3").first()
+    e = lib.encode_ordinary(docs.filter("doc_id = 3").first().text or "")
+    assert row.n_tokens == len(e) and row.ids_sha256 == hashlib.sha256(byte_bpe._little(e)).hexdigest()
