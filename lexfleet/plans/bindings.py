@@ -66,7 +66,8 @@ def line_items(spark, sf_dir) -> DataFrame:
     return li.withColumn("stage_seq", F.struct("l_linenumber", "l_suppkey", "l_extendedprice", "l_shipdate"))
 
 
-def edges(items: DataFrame, parts_df: DataFrame) -> DataFrame:
+def edges(items: DataFrame, parts_df: DataFrame, more=()) -> DataFrame:
+    """Dependency rows of line items, with some of their own columns."""
     return items.join(parts_df, items.l_partkey == parts_df.p_partkey).select(
         F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("project_id"),
         "id", "kind", "name", "version", "ecosystem",
@@ -74,7 +75,7 @@ def edges(items: DataFrame, parts_df: DataFrame) -> DataFrame:
         (F.col("l_linenumber") <= 3).alias("direct"),
         "spdx", "raw", "licence_source", "expression", "resolved", "licence_confidence", "declared_licence",
         F.concat(F.lit("lines/"), F.col("l_suppkey").cast("string"), F.lit(".txt")).alias("evidence_path"),
-        F.col("l_linenumber").cast("int").alias("evidence_line"),
+        F.col("l_linenumber").cast("int").alias("evidence_line"), *more,
     )
 
 

@@ -12,7 +12,7 @@ from lexfleet.plans.registry import query
 from lexfleet.session import ensure_checkpoint_dir
 from lexfleet.sinks import reports, sbom
 from lexfleet.sources import signals as sig, weights as wt
-from lexfleet.streaming import verdicts as stream
+from lexfleet.streaming import latest, verdicts as stream
 
 
 # ---- identifiers -------------------------------------------------------------------
@@ -550,23 +550,43 @@ def stream_verdict(spark, sf):
     return _drain(stream.windowed_verdicts(_event_stream(spark, sf), lateness="60 days"), spark, "stream_verdict", ["window_start", "project_id"])
 
 
-@query
-def stream_evaluate(spark, sf):
-    """Dependency rows evaluated as their files land: static dimensions, one folder per
-    epoch, so a repeated epoch replaces itself."""
-    place = _place(spark, "stream_evaluate")
+POSITION = ["l_linenumber", "l_suppkey", "l_extendedprice", "l_shipdate"]
+
+
+def _landed_changes(spark, sf, name):
+    """Outcome changes of dependency versions (line items) that land by line number, so
+    the versions of a dependency come in different micro-batches. One folder per epoch:
+    a repeated epoch replaces itself."""
+    place = _place(spark, name)
     parts, intents = b.part_dependencies(spark, sf), b.intents(spark, sf)
+    raw = _arriving(spark, b.table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", *POSITION), "l_linenumber")
+    rows = b.edges(raw, parts, POSITION)
+    changes = latest.last_outcomes(ev.evaluation_rows(rows, intents, core.corpus()), core.corpus(), POSITION)
 
-    def run(batch):
-        return ev.evaluate(ev.evaluation_rows(b.edges(batch, parts), intents, core.corpus()), core.corpus(), b.TODAY)
+    def write(batch, epoch):
+        batch.write.mode("overwrite").parquet(f"{place}/data/epoch={epoch}")
 
-    def sink(outcomes, epoch):
-        outcomes.select("project_id", "rule_id", "reason").write.mode("overwrite").parquet(f"{place}/data/epoch={epoch}")
+    with latest.state_store(spark):
+        changes.writeStream.outputMode("update").option("checkpointLocation", place + "/state").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    return spark.read.schema(changes.schema).parquet(place + "/data")
 
-    raw = _arriving(spark, b.table(spark, sf, "lineitem"), "l_orderkey")
-    raw.writeStream.option("checkpointLocation", place + "/state").trigger(availableNow=True).foreachBatch(stream.evaluate_new(run, sink)).start().awaitTermination()
-    out = spark.read.schema("project_id string, rule_id string, reason string, epoch int").parquet(place + "/data")
-    return out.groupBy("rule_id", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+@query
+def stream_evaluate(spark, sf):
+    """Dependency versions evaluated as they land; the last version of each counts, in
+    whatever batch it came."""
+    return latest.standing(_landed_changes(spark, sf, "stream_evaluate"), "rule_id", "reason")
+
+
+@query
+def stream_latest_verdicts(spark, sf):
+    """Verdict of every project after the last epoch of the same stream."""
+    standing = latest.standing(_landed_changes(spark, sf, "stream_latest"), "project_id", "intent_id", "rule_id", "reason")
+    rules = ev.rule_dimension(spark, core.corpus(), b.TODAY).select("rule_id", "severity", "confidence")
+    rows = standing.join(F.broadcast(rules), "rule_id", "left")
+    unknown = F.col("reason").isNotNull()
+    rows = rows.withColumn("severity", F.when(unknown, "NOTE").otherwise(F.col("severity"))).withColumn("confidence", F.when(unknown, "LOW").otherwise(F.col("confidence"))).withColumnRenamed("n", "weight")
+    return vd.fold(rows, b.intents(spark, sf)).select("project_id", "verdict", "blockers", "conditions", "notes", "undetermined")
 
 
 @query

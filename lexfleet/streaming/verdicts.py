@@ -21,11 +21,3 @@ def deduplicate(findings: DataFrame, lateness="1 hour") -> DataFrame:
     """A finding reported again within the watermark is dropped."""
     return findings.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(["project_id", "finding_id"])
 
-
-def evaluate_new(batch_evaluate, sink):
-    """`foreachBatch` function: each micro-batch of new dependency rows goes through the
-    batch evaluation (static dimensions) and is handed to an idempotent sink with its epoch."""
-    def run(batch: DataFrame, epoch: int):
-        sink(batch_evaluate(batch), epoch)
-
-    return run
