@@ -108,6 +108,11 @@ def depth(rel="rel") -> Column:
     return F.size(F.split(text.col(rel), "/"))
 
 
+def in_dependency_dir(rel: str) -> bool:
+    """The same test for one path, inside a task."""
+    return not set(fixed.DEPENDENCY_DIRS).isdisjoint(rel.replace("\\", "/").split("/"))
+
+
 def inside_dependency_dir(rel="rel") -> Column:
     return F.concat(F.lit("/"), F.regexp_replace(text.col(rel), r"\\", "/"), F.lit("/")).rlike(
         "/(?:" + _alternatives(fixed.DEPENDENCY_DIRS) + ")/")

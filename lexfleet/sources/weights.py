@@ -1,7 +1,7 @@
 """Model weight files: found by their first bytes, licensed by what stands near.
 
-The listing never loads content. Only files that pass the extension or size test
-are opened, and then only a header (or the directory of a zip) is read, in pieces.
+The listing never loads content. Of every file the first bytes are read, whatever its
+name or size, and then only a header (or the directory of a zip), in pieces.
 """
 
 import struct
@@ -15,12 +15,20 @@ from lexfleet.operators.ownership import containing_scope
 from lexfleet.session import map_in_pandas, fact_join
 from lexfleet.sources.files import inside_dependency_dir, open_path
 
-PROBE_SCHEMA = "project_id string, rel string, length long, head binary, has_pickle boolean, gguf_licence string, gguf_link string, gguf_truncated boolean"
+PROBE_SCHEMA = "project_id string, rel string, length long, format string, has_pickle boolean, gguf_licence string, gguf_link string, gguf_truncated boolean"
+
+
+# fixed values: first bytes of the formats; a zip counts with a pickle in its directory
+PICKLED_ZIP = "PyTorch (zip)"
+MAGIC = [
+    (b"GGUF", "GGUF"), (b"\x89HDF\r\n\x1a\n", "HDF5"), (b"\x80\x02", "Pickle"), (b"\x80\x03", "Pickle"), (b"\x80\x04", "Pickle"), (b"\x80\x05", "Pickle"),
+    (b"PK\x03\x04", PICKLED_ZIP),
+]
 
 
 def candidates(files: DataFrame) -> DataFrame:
-    wanted = tx.file_extension(tx.base_name("rel")).isin(fixed.WEIGHT_EXTENSIONS) | (F.col("length") >= fixed.WEIGHT_SNIFF_MIN_BYTES)
-    return files.filter(wanted & ~inside_dependency_dir())
+    """Files whose first bytes are read: all of them but those of dependency trees."""
+    return files.filter(~inside_dependency_dir())
 
 
 # fixed values: width in bytes of the plain value types; 8 is a string, 9 an array
@@ -85,28 +93,51 @@ def gguf_metadata(header):
     return licence.decode("utf-8", "replace"), link.decode("utf-8", "replace"), False
 
 
-def _has_pickle(f):
+def _has_pickle(f, size):
     """Whether a zip's directory names a pickle; only the directory is read."""
+    if size < 22:  # no room for a directory's end
+        return False
     try:
         return any(n.rsplit("/", 1)[-1] == "data.pkl" for n in zipfile.ZipFile(f).namelist())
     except zipfile.BadZipFile:
         return False
 
 
+def format_of(head: bytes, size: int, rel: str):
+    """What the first bytes say, before a zip's directory is read."""
+    if len(head) < 4:
+        return None
+    if len(head) >= 9 and head[8:9] == b"{" and 0 < int.from_bytes(head[:8], "little") <= size - 8:
+        return "SafeTensors"
+    for magic, name in MAGIC:
+        if head.startswith(magic):
+            return name
+    return "ONNX" if head[:1] == b"\x08" and rel.lower().endswith(".onnx") else None
+
+
+def read_header(f, size, rel, formats=None):
+    """(format, has_pickle, licence, link, truncated) of a weight file, None for any other.
+    Nothing but the first bytes is read of formats that are not asked for."""
+    head = f.read_at(min(size, fixed.WEIGHT_MAGIC_BYTES), 0)
+    name = format_of(head, size, rel)
+    if name is None or formats is not None and name not in formats:
+        return None
+    if name == "GGUF":
+        return (name, False, *gguf_metadata(_Header(f, size)))
+    if name == PICKLED_ZIP:
+        return (name, True, "", "", False) if _has_pickle(f, size) else None
+    return name, False, "", "", False
+
+
 def _probe(batches):
     for pdf in batches:
         out = []
         for project, rel, length, path in pdf[["project_id", "rel", "length", "path"]].itertuples(index=False):
-            licence = link = ""
-            truncated = pickle = False
             with open_path(path) as f:
-                head = f.read_at(min(length, fixed.WEIGHT_MAGIC_BYTES), 0)
-                if head[:4] == b"GGUF":
-                    licence, link, truncated = gguf_metadata(_Header(f, length))
-                elif head[:4] == b"PK\x03\x04":
-                    pickle = _has_pickle(f)
-            out.append((project, rel, length, head, pickle, licence, link, truncated))
-        yield pd.DataFrame(out, columns=["project_id", "rel", "length", "head", "has_pickle", "gguf_licence", "gguf_link", "gguf_truncated"])
+                header = read_header(f, length, rel)
+            if header is not None:
+                out.append((project, rel, length, *header))
+        yield pd.DataFrame(out, columns=["project_id", "rel", "length", "format", "has_pickle", "gguf_licence", "gguf_link", "gguf_truncated"])
 
 
 def truncated_headers(probed: DataFrame) -> DataFrame:
@@ -121,24 +152,8 @@ def probe(files: DataFrame, partitions=None) -> DataFrame:
     return map_in_pandas(todo.repartition(n, "path"), _probe, PROBE_SCHEMA)
 
 
-def weight_format() -> Column:
-    """Format by magic bytes, NULL for anything else."""
-    h = F.hex("head")
-    size = F.length("head")
-    little = F.conv(F.concat(*[F.substring(h, 2 * i + 1, 2) for i in reversed(range(8))]), 16, 10).cast("decimal(20,0)")
-    return (
-        F.when(size < 4, F.lit(None))
-        .when((size >= 9) & (F.substring(h, 17, 2) == "7B") & (little > 0) & (little + 8 <= F.col("length")), "SafeTensors")
-        .when(h.startswith("47475546"), "GGUF")
-        .when(h.startswith("894844460D0A1A0A"), "HDF5")
-        .when(h.rlike("^800[2-5]"), "Pickle")
-        .when(h.startswith("504B0304"), F.when(F.col("has_pickle"), "PyTorch (zip)"))
-        .when(h.startswith("08") & (tx.file_extension(tx.base_name("rel")) == ".onnx"), "ONNX")
-    )
-
-
 def inventory(probed: DataFrame) -> DataFrame:
-    return probed.withColumn("format", weight_format()).filter(F.col("format").isNotNull())
+    return probed.filter(F.col("format").isNotNull())
 
 
 # ---- licence sources near a weight file -------------------------------------------------

@@ -1,6 +1,7 @@
 """Functions and readers on hand-written rows."""
 
 import io
+import zipfile
 import json
 
 import pyarrow as pa
@@ -75,14 +76,21 @@ def test_inside_root(spark):
         assert r.got == r.want, r
 
 
-def test_weight_formats(spark):
-    rows = [("a.safetensors", projects.SAFETENSORS[:16], False, "SafeTensors"), ("a.gguf", b"GGUF" + b"\0" * 12, False, "GGUF"), ("a.h5", b"\x89HDF\r\n\x1a\n" + b"\0" * 8, False, "HDF5"),
-            ("a.pkl", b"\x80\x04" + b"\0" * 14, False, "Pickle"), ("a.pt", b"PK\x03\x04" + b"\0" * 12, True, "PyTorch (zip)"), ("a.zip", b"PK\x03\x04" + b"\0" * 12, False, None),
-            ("a.onnx", b"\x08\x07" + b"\0" * 14, False, "ONNX"), ("a.bin", b"\x08\x07" + b"\0" * 14, False, None), ("a.bin", b"GG", False, None),
-            ("a.safetensors", b"\xff" * 8 + b"{" + b" " * 7, False, None)]
-    df = spark.createDataFrame(rows, "rel string, head binary, has_pickle boolean, want string").withColumn("length", F.lit(1 << 40))
-    for r in df.select("*", wt.weight_format().alias("got")).collect():
-        assert r.got == r.want, r
+def test_weight_formats():
+    def zipped(name):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            z.writestr(name, b"x")
+        return out.getvalue()
+
+    rows = [("a.safetensors", projects.SAFETENSORS, "SafeTensors"), ("a.gguf", projects.gguf(general__license="mit"), "GGUF"), ("a.h5", b"\x89HDF\r\n\x1a\n" + b"\0" * 8, "HDF5"),
+            ("a.pkl", b"\x80\x04" + b"\0" * 14, "Pickle"), ("a.pt", zipped("archive/data.pkl"), "PyTorch (zip)"), ("a.zip", zipped("a.txt"), None), ("a.zip", b"PK\x03\x04" + b"\0" * 12, None),
+            ("a.onnx", b"\x08\x07" + b"\0" * 14, "ONNX"), ("a.bin", b"\x08\x07" + b"\0" * 14, None), ("a.bin", b"GG", None), ("a.bin", b"", None),
+            ("a.safetensors", b"\xff" * 8 + b"{" + b" " * 7, None), ("a.safetensors", b"\0" * 8 + b"{" + b" " * 7, None)]
+    for rel, data, want in rows:
+        got = wt.read_header(pa.PythonFile(io.BytesIO(data), mode="r"), len(data), rel)
+        assert (got and got[0]) == want, rel
+        assert wt.read_header(pa.PythonFile(io.BytesIO(data), mode="r"), len(data), rel, {"none"}) is None
 
 
 def test_gguf_metadata():
