@@ -407,13 +407,68 @@ def test_chat_links(spark):
         (1, "a", 0): (1, 1, "linked", "", '{"after":["b"],"arguments":{"prompt":"x","turn":1},"id":"a","name":"reply","result":{"b":[1,2.5,null],"z":1}}'),
         (1, "a", 9): (9, 0, "repeated", "prompt is missing; turn is missing", '{"after":[],"arguments":{},"id":"a","name":"reply"}'),
         (1, "q", 3): (3, 0, "orphan", "", '{"id":"q","result":"o"}'),
-        (2, "a", 0): (0, 3, "cycle", "unknown tool", '{"after":["b"],"arguments":{},"id":"a","name":"nope"}'),
-        (2, "b", 0): (0, 3, "cycle", "arguments are no object", '{"after":["a"],"arguments":[1],"id":"b","name":"configure"}'),
+        (2, "a", 0): (0, 0, "cycle", "unknown tool", '{"after":["b"],"arguments":{},"id":"a","name":"nope"}'),
+        (2, "b", 0): (0, 0, "cycle", "arguments are no object", '{"after":["a"],"arguments":[1],"id":"b","name":"configure"}'),
         (None, "a", 0): (0, 0, "linked", "after names gone", '{"after":["gone"],"arguments":{"text":"t"},"id":"a","name":"configure","result":1}'),
     }
     assert chat_links.link(df.limit(0), queries.TOOLS).count() == 0
 
 
+def tool_graph(rng, conv, calls):
+    """Messages of one conversation with random edges: chains, forks, rings, ids that are
+    named before their turn or never called, repeated ids and equal rows."""
+    rows = []
+    for k in range(calls):
+        after = [f"c{rng.choice([k - 1, k - 1, k - 1, rng.randrange(calls + 2)])}" for _ in range(rng.choice([0, 1, 1, 1, 2, 3]))]
+        call = {"id": f"c{k}", "name": "configure", "arguments": {"text": f"{k}"}, "after": after}
+        rows.append((conv, rng.randrange(4), "assistant", json.dumps({"tool_calls": [call]})))
+        if rng.random() < 0.15:
+            rows.append(rows[-1])
+        if rng.random() < 0.15:
+            rows.append((conv, rows[-1][1], "assistant", json.dumps({"tool_calls": [call | {"arguments": {"text": "other"}}]})))
+    return rows
+
+
+def in_order(rows):
+    """(turn, hop) or None (cycle) of every call of one conversation, by the calls before it."""
+    first = {}
+    for _, turn, _, text in rows:
+        (call,) = json.loads(text)["tool_calls"]
+        first.setdefault(call["id"], []).append((turn, json.dumps(call["arguments"], separators=(",", ":")), call["after"]))
+    first = {k: min(v) for k, v in first.items()}
+    before = {k: [a for a in v[2] if a in first] for k, v in first.items()}
+    out, left = {}, set(first)
+    while True:
+        ready = [k for k in left if not set(before[k]) & left]
+        if not ready:
+            return out | dict.fromkeys(left)
+        for k in ready:
+            out[k] = max([(first[k][0], 0), *((out[a][0], out[a][1] + 1) for a in before[k])] if all(out[a] for a in before[k]) else [(first[k][0], 0)])
+        left -= set(ready)
+
+
+def test_chat_order(spark):
+    rng = random.Random(11)
+    talks = {conv: tool_graph(rng, conv, rng.choice([1, 2, 3, 5, 9, 17, 33])) for conv in range(60)}
+    ring = [(70, t, "assistant", json.dumps({"tool_calls": [{"id": a, "name": "configure", "arguments": {"text": "t"}, "after": [b]}]})) for t, a, b in ((0, "a", "b"), (1, "b", "a"), (2, "c", "b"))]
+    chain = [(71, 0, "assistant", json.dumps({"tool_calls": [{"id": f"c{k}", "name": "configure", "arguments": {"text": "t"}, "after": [f"c{k + 1}"]} for k in range(100)]}))]
+    frame = lambda rows: spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    everything = [r for rows in talks.values() for r in rows] + ring + chain
+    got = chat_links.link(frame(everything), queries.TOOLS).collect()
+    assert len(got) == sum(map(len, talks.values())) + 3 + 100
+    kept = {}
+    for r in got:
+        if r.status != "repeated":
+            assert (r.conv_id, r.call_id) not in kept  # of equal rows one is no repetition
+            kept[r.conv_id, r.call_id] = None if r.status == "cycle" else (r.order_turn, r.order_hop)
+    want = {(conv, k): at for conv, rows in talks.items() for k, at in in_order(rows).items()}
+    want |= {(70, "a"): None, (70, "b"): None, (70, "c"): None} | {(71, f"c{k}"): (0, 99 - k) for k in range(100)}
+    assert kept == want and None in want.values()
+    # what else is in the table changes nothing
+    alone = {tuple(r) for r in chat_links.link(frame(talks[3] + ring), queries.TOOLS).collect()}
+    assert alone == {tuple(r) for r in got if r.conv_id in (3, 70)}
+
+
 # 10 packing
 
 
