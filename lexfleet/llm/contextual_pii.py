@@ -43,7 +43,10 @@ THRESHOLD = 0.8
 SUPPORT = 3  # trusted values that a pattern needs
 
 SPANS = "array<struct<start:int,end:int>>"
-FOUND = "array<struct<start:int,end:int,value:string,one:string,two:string,key:string>>"
+ITEM = "struct<start:int,end:int,value:string,one:string,two:string,key:string>"
+FOUND = f"array<{ITEM}>"
+FOLD_PART = 64
+PIECE = 4096  # characters
 
 
 def _digits(text: Column) -> Column:
@@ -67,7 +70,7 @@ def _places(text: Column, pattern: str, keep) -> Column:
     """Matches that `keep` accepts, with their code point positions and contexts: the gaps
     between matches come from a split by the same pattern, positions are running lengths."""
     matches, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    first = F.struct(F.lit("").alias("two"), F.lit("").alias("one"), F.expr("cast(array() as array<string>)").alias("open"))
+    words = F.struct(F.lit("").alias("two"), F.lit("").alias("one"), F.expr("cast(array() as array<string>)").alias("open"))
 
     def step(state, m):
         start = state["at"] + F.length(m["gaps"])
@@ -75,13 +78,65 @@ def _places(text: Column, pattern: str, keep) -> Column:
 
         def add(words):
             found = F.struct(start.alias("start"), end.alias("end"), m["matches"].alias("value"), *_contexts(words))
-            return F.struct(end.alias("at"), _passed(words, m["matches"]).alias("words"), F.when(keep(m["matches"]), F.concat(state["found"], F.array(found))).otherwise(state["found"]).alias("found"))
+            return F.struct(F.struct(end.alias("at"), _passed(words, m["matches"]).alias("words")).alias("state"), F.when(keep(m["matches"]), found).alias("out"))
 
         return _let(_passed(state["words"], m["gaps"]), add)
 
     zipped = F.arrays_zip(matches.alias("matches"), gaps.alias("gaps"))
     pairs = F.slice(zipped, F.lit(1), F.size(matches))
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), first.alias("words"), _nothing(FOUND).alias("found")), step, lambda s: s["found"])
+    return _fold(pairs, F.struct(F.lit(0).alias("at"), words.alias("words")), step, ITEM)
+
+
+def _fold(array: Column, first: Column, step, kind: str, finish=lambda items, state: items) -> Column:
+    """A fold that gives out at most one item at a step, in time that grows with the array.
+    step(state, x) is a struct of the next state and `out`, null for none. Every step of
+    `aggregate` copies its state, so what is given out must not pile up in it: a first
+    pass over parts of FOLD_PART elements keeps the state at the start of each part, and
+    a second folds each part on its own."""
+
+    def parted(array):
+        count = F.ceil(F.size(array) / F.lit(FOLD_PART)).cast("int")
+        numbers = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(_nothing("array<int>"))
+        return F.transform(numbers, lambda i: F.slice(array, i * FOLD_PART + 1, F.lit(FOLD_PART)))
+
+    def starts(parts):
+        zero = F.struct(first.alias("state"), F.slice(F.array(first), 1, 0).alias("starts"))
+        small = lambda part, state: F.aggregate(part, state, lambda s, x: step(s, x)["state"])
+        return F.aggregate(parts, zero, lambda acc, part: F.struct(small(part, acc["state"]).alias("state"), F.concat(acc["starts"], F.array(acc["state"])).alias("starts")))
+
+    def items(part):
+        zero = F.struct(part["start"].alias("state"), _nothing(f"array<{kind}>").alias("items"))
+
+        def add(acc, x):
+            grown = lambda m: F.when(m["out"].isNull(), acc["items"]).otherwise(F.concat(acc["items"], F.array(m["out"])))
+            return _let(step(acc["state"], x), lambda m: F.struct(m["state"].alias("state"), grown(m).alias("items")))
+
+        return F.aggregate(part["part"], zero, add, lambda acc: acc["items"])
+
+    def both(parts):
+        return _let(starts(parts), lambda known: finish(F.flatten(F.transform(F.arrays_zip(parts.alias("part"), known["starts"].alias("start")), items)), known["state"]))
+
+    return _let(array, lambda a: _let(parted(a), both))
+
+
+def _untouched(tokens: Column, spans: Column) -> Column:
+    """The tokens that share no place with a span, by one pass over both in order."""
+    none = F.lit(None).cast(ITEM)
+    seen = lambda a, item: F.transform(a, lambda x: F.struct(x["start"].alias("start"), F.lit(item).alias("order"), x["end"].alias("end"), (x if item else none).alias("item")))
+    events = F.array_sort(F.concat(seen(spans, 0), seen(tokens, 1)))
+    first = F.struct(F.lit(0).alias("reach"), none.alias("open"), F.lit(0).alias("until"))
+
+    def step(state, e):
+        token = e["order"] == 1
+        # a token is given out when the next one comes, if no span has touched it by then
+        hit = ~token & (e["start"] < state["until"])
+        opened = F.when(token, F.when(state["reach"] <= e["start"], e["item"])).when(hit, none).otherwise(state["open"])
+        reach = F.when(token, state["reach"]).otherwise(F.greatest(state["reach"], e["end"]))
+        until = F.when(token, e["end"]).otherwise(state["until"])
+        return F.struct(F.struct(reach.alias("reach"), opened.alias("open"), until.alias("until")).alias("state"), F.when(token, state["open"]).alias("out"))
+
+    last = lambda items, state: F.when(state["open"].isNull(), items).otherwise(F.concat(items, F.array(state["open"])))
+    return F.when(F.size(spans) == 0, tokens).otherwise(_fold(events, first, step, ITEM, last))
 
 
 def _let(value: Column, body) -> Column:
@@ -126,7 +181,7 @@ def _found(df, columns, text_col, rounds, threshold, support):
     base = common.staged(base)
 
     # every base span is a seed; tokens that touch one are no evidence of their own
-    free = F.filter("_tokens", lambda t: ~F.exists("_base", lambda s: (s["start"] < t["end"]) & (s["end"] > t["start"])))
+    free = _untouched(F.col("_tokens"), F.col("_base"))
     evidence = F.concat(
         F.transform("_base", lambda s: F.struct(s.alias("item"), F.lit(True).alias("seed"))),
         F.transform(free, lambda t: F.struct(F.struct(t["start"], t["end"], t["value"], t["one"], t["two"], F.regexp_extract(F.lower(t["value"]), KEY, 1).alias("key")).alias("item"), F.lit(False).alias("seed"))))
@@ -162,14 +217,23 @@ def redact(df: DataFrame, text_col="text", rounds=ROUNDS, threshold=THRESHOLD, s
     named = F.concat(*(F.transform(f"_found_{k}", _named(k)) for k in [*KINDS, "context"]))
     text = F.col(f"`{text_col}`")
 
-    def step(state, s):
-        inside = s["start"] < state["at"]
-        return F.struct(
-            F.greatest(state["at"], s["end"]).alias("at"),
-            F.when(inside, state["parts"]).otherwise(F.concat(state["parts"], F.array(F.substring(text, state["at"] + 1, s["start"] - state["at"]), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))))).alias("parts"))
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+    def cut(pieces, start, end):
+        """Characters from start to end, out of the few pieces that hold them."""
+        lo = F.floor(start / PIECE).cast("int")
+        some = F.array_join(F.slice(pieces, lo + 1, F.floor(end / PIECE).cast("int") - lo + 1), "")
+        return F.when(end > start, F.substring(some, start - lo * PIECE + 1, end - start)).otherwise("")
+
+    def clean(pieces):
+        def step(state, s):
+            part = F.concat(cut(pieces, state["at"], s["start"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
+            return F.struct(F.struct(F.greatest(state["at"], s["end"]).alias("at")).alias("state"), F.when(s["start"] >= state["at"], part).alias("out"))
+
+        tail = lambda parts, state: F.concat(F.array_join(parts, ""), cut(pieces, state["at"], F.length(text)))
+        return _fold(F.array_sort("_found_spans"), F.struct(F.lit(0).alias("at")), step, "string", tail)
 
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("parts"))
-    rest = F.aggregate(F.array_sort("_found_spans"), start, step, lambda s: F.concat(F.array_join(s["parts"], ""), F.substring(text, s["at"] + 1, F.length(text))))
+    rest = _let(pieces, clean)
     changed = F.when(F.size("_found_spans") == 0, text).otherwise(rest)
     out = out.withColumn("_found_spans", named)
     return out.select(*(changed.alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns))

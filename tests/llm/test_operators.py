@@ -4,6 +4,7 @@ import hashlib
 import json
 import random
 import re
+import time
 import zlib
 
 import brute
@@ -340,6 +341,36 @@ def test_pii_words_before_spans(spark):
     assert seen["phone"][-1] == ("+1 743 555 3824", "1.2.3.4,x=c@d.co", "555-3824 1.2.3.4,x=c@d.co", "tel:")
 
 
+def test_pii_folds_in_parts(spark, monkeypatch):
+    """Parts of any size give the same; overlaps of tokens and spans as tried one by one."""
+    rng = random.Random(9)
+    words = ["a@b.co", "x1234567", "4111 1111 1111 1111", "+1 (743) 555-3824", "id=ab12cd34", "10.0.0.1", "plain", "77", "a@b.co,99887766"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 40))) for _ in range(30)]
+    df = frame(spark, texts)
+    seen = []
+    for part in (64, 3):
+        monkeypatch.setattr(contextual_pii, "FOLD_PART", part)
+        seen.append((by_id(contextual_pii.find(df, support=1, threshold=0.3)), by_id(contextual_pii.redact(df).select("doc_id", "text"))))
+    assert seen[0] == seen[1]
+    spans = lambda t: [(a, b) for _, a, b in brute.pii_spans(t)]
+    token = contextual_pii._places(F.col("t"), contextual_pii.TOKEN, lambda m: F.length(m) >= 6)
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", contextual_pii._untouched(token, F.concat(*(contextual_pii._places(F.col("t"), contextual_pii.PATTERNS[k], contextual_pii._valid_for(k)) for k in contextual_pii.KINDS))).alias("free"))
+    for r in rows.collect():
+        tokens = [(m.start(), m.end()) for m in re.finditer(r"\S*[0-9]\S*", texts[r.i]) if len(m.group()) >= 6]
+        assert [(x.start, x.end) for x in r.free] == [(a, b) for a, b in tokens if not any(c < b and d > a for c, d in spans(texts[r.i]))]
+
+
+def test_pii_of_very_long_texts(spark):
+    """One megabyte of numbers, and one of spans and numbers: a square of this takes hours."""
+    texts = ["1234567 " * 125_000, "a@b.co 1234567 " * 66_000]
+    began = time.time()
+    found = by_id(contextual_pii.find(frame(spark, texts)), "n_email", "n_card")
+    assert found == {0: (0, 0), 1: (66_000, 0)}
+    clean = by_id(contextual_pii.redact(frame(spark, texts)).select("doc_id", "text"))
+    assert clean[1][0].startswith("[EMAIL] 1234567 [EMAIL]") and clean[1][0].count("[EMAIL]") == 66_000
+    assert time.time() - began < 240
+
+
 def test_pii_empty(spark, docs):
     assert contextual_pii.find(docs.limit(0)).count() == contextual_pii.redact(docs.limit(0)).count() == 0
 
