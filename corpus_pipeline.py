@@ -25,13 +25,14 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group; rows without an id are
-    in no group and stay."""
+    in no group and stay. Rows that repeat an id stay or go together, and of those that
+    repeat the text as well one stays: no text is lost."""
     groups = common.staged(ngram_join.join(docs))
     first = groups.filter("doc_id = component_id").select("doc_id").distinct()
     few = first.count() <= ngram_join.BROADCAST_IDS
     kept = docs.join(F.broadcast(first) if few else first, "doc_id", "left_semi")
-    if groups.count() > groups.select("doc_id").distinct().count():  # rows that repeat an id are copies
-        kept = kept.dropDuplicates(["doc_id"])
+    if groups.count() > groups.select("doc_id").distinct().count():
+        kept = kept.dropDuplicates(["doc_id", "text"])
     return kept.select(*docs.columns).union(docs.filter("doc_id is null"))
 
 
