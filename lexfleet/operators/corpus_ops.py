@@ -1,9 +1,12 @@
 """Questions about rule corpora themselves, as aggregates and joins on their tables."""
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from lexfleet.functions import severity as sev, spdx as spdx_fn
-from lexfleet.session import local_frame, small_side
+from lexfleet.operators.ranking import ordinal_within
+from lexfleet.session import fact_join, local_frame, small_side
 
 
 def citation_index(citations: DataFrame) -> DataFrame:
@@ -30,15 +33,20 @@ def require_cited(findings: DataFrame, citations: DataFrame) -> DataFrame:
     return joined.filter(F.when(F.col("_ok").isNull(), F.raise_error(problem).cast("boolean")).otherwise(F.lit(True))).drop("_ok")
 
 
-def token_claims(tokens: DataFrame) -> DataFrame:
-    """(signal, token) claimed by more than one platform, with how many and the first two.
+CLAIMANTS = 1000  # on a page
+
+
+def token_claims(tokens: DataFrame, page_size=CLAIMANTS) -> DataFrame:
+    """(signal, token) claimed by more than one platform, with all claimants in pages:
+    signal, token, platforms (how many), page (from 0), claimants (in order).
 
-    Counts and extremes instead of the list of claimants: a token everybody claims
-    stays one small row.
-    """
+    Positions come from range slices, so a token that everybody claims spreads over
+    as many tasks and rows as it has pages."""
     t = tokens.select("signal", F.lower("token").alias("token"), "platform").distinct()
-    c = t.groupBy("signal", "token").agg(F.count(F.lit(1)).alias("platforms"), F.min("platform").alias("first"), F.max("platform").alias("last"))
-    return c.filter(F.col("platforms") > 1)
+    shared = t.groupBy("signal", "token").agg(F.count(F.lit(1)).alias("platforms")).filter("platforms > 1")
+    claimed = fact_join(t, shared, ["signal", "token"], "inner")
+    placed = ordinal_within(claimed, ["signal", "token"], ["platform"], "_pos").withColumn("page", F.floor((F.col("_pos") - 1) / page_size))
+    return placed.groupBy("signal", "token", "platforms", "page").agg(F.array_sort(F.collect_list("platform")).alias("claimants"))
 
 
 def confidence_rises(new: DataFrame, old: DataFrame) -> DataFrame:
@@ -52,21 +60,28 @@ def confidence_rises(new: DataFrame, old: DataFrame) -> DataFrame:
     return j.filter(rose).select("spdx", "old_confidence", "confidence", explained.alias("explained"))
 
 
-def corpus_stats(spark, corpus) -> DataFrame:
-    """Counts of a corpus."""
-    rules, cites = corpus.frame(spark, "rules"), corpus.frame(spark, "citations")
-    parts = [
-        corpus.frame(spark, "licences").agg(F.count(F.lit(1)).alias("n")).withColumn("what", F.lit("licences")),
-        rules.agg(F.count_if(F.col("source") == "obligation").alias("n")).withColumn("what", F.lit("obligations")),
-        rules.agg(F.count_if(F.col("source") != "obligation").alias("n")).withColumn("what", F.lit("traps")),
-        corpus.frame(spark, "platforms").agg(F.count(F.lit(1)).alias("n")).withColumn("what", F.lit("platforms")),
-        corpus.frame(spark, "territory_gates").agg(F.count_distinct("territory").alias("n")).withColumn("what", F.lit("territories")),
-        cites.agg(F.count_distinct("url", "section").alias("n")).withColumn("what", F.lit("citations")),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("what", "n")
+def corpus_tables(spark, corpus) -> dict:
+    """The tables of a corpus that `corpus_stats` counts."""
+    rules = corpus.frame(spark, "rules")
+    return {
+        "licences": corpus.frame(spark, "licences").select(F.col("family").alias("part"), F.col("spdx_id").alias("key")),
+        "obligations": rules.filter("source = 'obligation'").select(F.col("obligation_kind").alias("part"), F.col("rule_id").alias("key")),
+        "traps": rules.filter("source <> 'obligation'").select(F.col("severity").alias("part"), F.col("rule_id").alias("key")),
+        "platforms": corpus.frame(spark, "platforms").select(F.col("platform_kind").alias("part"), F.col("platform").alias("key")),
+        "territories": corpus.frame(spark, "territory_gates").select(F.col("severity").alias("part"), F.col("territory").alias("key")),
+        "citations": corpus.frame(spark, "citations").select(F.lit("").alias("part"), F.concat_ws("#", "url", "section").alias("key")),
+    }
+
+
+def corpus_stats(tables: dict) -> DataFrame:
+    """Counts of a corpus: what, part, entries (rows), keys (different ones). tables: what ->
+    rows (part, key).
+
+    The tables are one tagged union; GROUPING SETS give the rows of every part, of every
+    table (part is null) and of all (both null) in one pass."""
+    tagged = reduce(lambda a, b: a.unionByName(b), (t.select(F.lit(what).alias("what"), F.coalesce("part", F.lit("")).alias("part"), F.col("key").cast("string").alias("key")) for what, t in tables.items()))
+    sets = [[F.col("what"), F.col("part")], [F.col("what")], []]
+    return tagged.groupingSets(sets, "what", "part").agg(F.count(F.lit(1)).alias("entries"), F.count_distinct("what", "key").alias("keys"))
 
 
 def entry_stats(entries: DataFrame) -> DataFrame:

@@ -1,10 +1,12 @@
 """Checks on inputs: every check yields rows (subject, problem), never a silent drop."""
 
+import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from lexfleet.functions import fixed, severity as sev, spdx as spdx_fn, text as tx
+from lexfleet.session import ensure_checkpoint_dir
 
 
 def violations(df: DataFrame, subject, checks: dict, keep=()) -> DataFrame:
@@ -44,20 +46,25 @@ def dependencies(df: DataFrame) -> DataFrame:
     return single.unionByName(twice.select("project_id", F.col("id").alias("subject"), F.lit("duplicate id").alias("problem")))
 
 
-def licences(df: DataFrame, today: str) -> DataFrame:
-    """Licence entries (columns of the licence dimension)."""
+def licence_checks(today: str) -> dict:
+    """Checks of licence entries (columns of the licence dimension) and their corrections."""
     corrected = F.col("correction_reason").isNotNull() | F.col("correction_from").isNotNull()
     correction = ~corrected | (
         _filled("correction_reason") & _filled("correction_evidence") & _filled("corrected_at") & _filled("corrected_by")
         & _known("correction_from", fixed.CONFIDENCE_WEIGHT) & _known("correction_to", fixed.CONFIDENCE_WEIGHT)
         & (sev.confidence_weight("correction_to") > sev.confidence_weight("correction_from")))
-    return violations(df, F.col("licence_id"), {
+    return {
         "no identifier": _filled("licence_id") & _filled("spdx_id"), "unknown family": _known("family", fixed.FAMILIES),
         "permissiveness": F.col("permissiveness").between(1, 5), "confidence": _known("entry_confidence", fixed.CONFIDENCE_WEIGHT),
         "citation": _citation_ok(), "last verified": not_future("last_verified", today), "correction": correction,
         # an entry keyed by an alias could not be found under its own name
         "alias as identifier": spdx_fn.lookup_key("spdx_id") == F.upper(F.trim("spdx_id")),
-    })
+    }
+
+
+def licences(df: DataFrame, today: str) -> DataFrame:
+    """Rows (subject, problem) of licence entries."""
+    return violations(df, F.col("licence_id"), licence_checks(today))
 
 
 def rules(df: DataFrame) -> DataFrame:
@@ -149,9 +156,40 @@ def allow_rules(df: DataFrame) -> DataFrame:
         "waives everything": ~name.isin("", "*", "all", "any", "everything") & ~name.rlike(r"[*?]")})
 
 
+class DataError(ValueError):
+    """Rows that break a check. metrics: rows, bad, first and the failures of each check."""
+
+    def __init__(self, metrics: dict):
+        super().__init__(f"{metrics['first']} ({metrics['bad']} of {metrics['rows']} rows)")
+        self.metrics = metrics
+
+
+def watched(df: DataFrame, subject: Column, checks: dict):
+    """Writes `df` to the shared checkpoint folder and counts, in the same pass, the rows
+    that break each check: (what was written, metrics). A NULL check counts as failed."""
+    failed = F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in checks.items()]))
+    seen, bad = Observation(f"checks-{uuid.uuid4().hex}"), F.size("_failed") > 0
+    metrics = [F.count(F.lit(1)).alias("rows"), F.count_if(bad).alias("bad"), F.min(F.when(bad, F.concat(F.coalesce(F.col("_subject"), F.lit("")), F.lit(": "), F.get("_failed", F.lit(0))))).alias("first")]
+    metrics += [F.count_if(F.array_contains("_failed", name)).alias(f"check {name}") for name in checks]
+    ensure_checkpoint_dir(df.sparkSession)
+    place = f"{df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/checked-{uuid.uuid4().hex}"
+    marked = df.select("*", subject.cast("string").alias("_subject"), failed.alias("_failed")).observe(seen, *metrics)
+    marked.drop("_subject", "_failed").write.parquet(place)
+    return df.sparkSession.read.schema(df.schema).parquet(place), seen.get
+
+
+def checked(df: DataFrame, subject: Column, checks: dict) -> DataFrame:
+    """`df` as written, or DataError when a row breaks a check. Nothing is joined to the
+    rows, and they are read once."""
+    written, metrics = watched(df, subject, checks)
+    if metrics["bad"]:
+        raise DataError(metrics)
+    return written
+
+
 def require_clean(problems: DataFrame, rows: DataFrame) -> DataFrame:
-    """`rows` unchanged; the job fails with the first problem when there is one."""
-    first = problems.agg(F.min(F.concat_ws(": ", "subject", "problem")).alias("_first"))
-    # one aggregated row: its size is fixed
-    joined = rows.join(F.broadcast(first), F.lit(True), "left")
-    return joined.filter(F.when(F.col("_first").isNotNull(), F.raise_error(F.col("_first")).cast("boolean")).otherwise(F.lit(True))).drop("_first")
+    """`rows` unchanged, or DataError when a table of problems (subject, problem) is not empty."""
+    found = problems.agg(F.count(F.lit(1)).alias("bad"), F.min(F.concat_ws(": ", "subject", "problem")).alias("first")).first()
+    if found.bad:
+        raise DataError({"rows": found.bad, "bad": found.bad, "first": found.first})
+    return rows

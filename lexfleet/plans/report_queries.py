@@ -228,13 +228,6 @@ def citation_missing(spark, sf):
     return co.missing_citations(f, known).select("project_id", "finding_id", "citation_url", "citation_section")
 
 
-@query
-def token_claims(spark, sf):
-    """Part names as tokens claimed by their brands."""
-    p = b.table(spark, sf, "part").select(F.col("p_brand").alias("platform"), F.col("p_type").alias("signal"), F.initcap("p_name").alias("token"))
-    return co.token_claims(p)
-
-
 @query
 def entry_stats(spark, sf):
     c = _citations(spark, sf).select(F.col("p_type").alias("family"), F.col("owner").alias("spdx"), F.col("p_size").alias("obligations"), "url", "section")

@@ -1,5 +1,6 @@
 """Functions and readers on hand-written rows."""
 
+import hashlib
 import io
 import zipfile
 import json
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 import projects
 from lexfleet.functions import fixed, ids, severity as sev, text as tx
-from lexfleet.operators import graph, orgpolicy, quality as dq, suggestions as sg
+from lexfleet.operators import corpus_ops as co, digests as dg, graph, orgpolicy, quality as dq, suggestions as sg
 from lexfleet.plans import check
 from lexfleet.rules import loader
 from lexfleet.sources import assets, files as fs, intents as si, manifests as mf, signals as sg_src, weights as wt
@@ -212,10 +213,10 @@ def test_shipped_corpus_is_sound(spark, corpus):
     assert dq.territory_gates(f("territory_gates")).count() == 0
     assert dq.citations(f("citations")).count() == 0
     assert dq.severity_bands(f("rules")).count() > 0  # a report, not an error
-    from lexfleet.operators import corpus_ops as co
-
-    assert {r.what: r.n for r in co.corpus_stats(spark, corpus).collect()} == {
+    stats = co.corpus_stats(co.corpus_tables(spark, corpus)).collect()
+    assert {r.what: r["keys"] for r in stats if r.part is None and r.what} == {
         "licences": 12, "obligations": 39, "traps": 12, "platforms": 6, "territories": 4, "citations": co.citation_index(f("citations")).count()}
+    assert [r.entries for r in stats if r.what is None] == [sum(r.entries for r in stats if r.part is not None)]
     assert co.token_claims(f("platform_tokens")).count() == 0
     keys = spark.createDataFrame([("https://opensource.org/license/mit#Permission notice",), ("x#y",)], "citation string")
     assert [r.owner for r in co.citation_lookup(keys, corpus).orderBy("citation").collect()] == ["mit.attribution", None]
@@ -238,8 +239,59 @@ def test_quality_gate_fails_the_job(spark):
     rows = spark.range(3)
     clean = spark.createDataFrame([], "subject string, problem string")
     assert dq.require_clean(clean, rows).count() == 3
-    with pytest.raises(Exception, match="a: bad"):
-        dq.require_clean(spark.createDataFrame([("a", "bad")], "subject string, problem string"), rows).count()
+    with pytest.raises(dq.DataError, match="a: bad"):
+        dq.require_clean(spark.createDataFrame([("a", "bad")], "subject string, problem string"), rows)
+
+
+def test_checks_are_counted_while_writing(spark):
+    rows = spark.createDataFrame([(i, None if i == 7 else i % 5) for i in range(20)], "id long, x long")
+    checks = {"small": F.col("x") < 4, "even": F.col("id") % 2 == 0}
+    written, m = dq.watched(rows, F.col("id"), checks)
+    assert written.count() == 20 and written.schema == rows.schema
+    assert (m["rows"], m["check small"], m["check even"]) == (20, 5, 10)  # a NULL check fails
+    assert m["bad"] == len({i for i in range(20) if i % 2 or i % 5 == 4 or i == 7})
+    with pytest.raises(dq.DataError) as e:
+        dq.checked(rows, F.col("id"), checks)
+    assert e.value.metrics["bad"] == m["bad"]
+    assert dq.checked(rows.filter("id = 2"), F.col("id"), checks).collect() == rows.filter("id = 2").collect()
+    assert dq.checked(rows.limit(0), F.col("id"), checks).count() == 0
+
+
+def test_pages_of_claimants(spark):
+    rows = [("host", t, f"p{i:03}") for i in range(50) for t in ("A", "a", "b")] + [("host", "c", "p1"), ("env", "a", "p2")]
+    got = co.token_claims(spark.createDataFrame(rows, "signal string, token string, platform string").repartition(4), 7).collect()
+    assert {(r.signal, r.token, r.platforms) for r in got} == {("host", "a", 50), ("host", "b", 50)} and len(got) == 16
+    for t in "ab":
+        assert [p for r in sorted((r for r in got if r.token == t), key=lambda r: r.page) for p in r.claimants] == [f"p{i:03}" for i in range(50)]
+
+
+def test_digest_trees(spark):
+    """The same tree for any partitioning; a change is found, and proofs of others' leaves or
+    texts do not give the root."""
+    rows = [(f"f{i}", None if i == 3 else "" if i == 4 else f"text {i % 9}") for i in range(400)]
+    df = spark.createDataFrame(rows, "name string, body string")
+    leaf = lambda d: dg.leaves(d, "name", F.col("body"))
+    nodes = {n: {(r.level, r.prefix): r.digest for r in dg.merkle(leaf(df.repartition(n))).collect()} for n in (1, 7)}
+    assert nodes[1] == nodes[7] and sum(k[0] == 0 for k in nodes[1]) == 1
+    depth = max(k[0] for k in nodes[1])
+    other = df.withColumn("body", F.when(F.col("name") == "f17", "new").when(F.col("name") == "f3", "").otherwise(F.col("body"))).filter("name <> 'f5'")
+    before, after = dg.merkle(leaf(df), depth), dg.merkle(leaf(other), depth)
+    place = lambda n: hashlib.sha256(n.encode()).hexdigest()
+    assert {r.prefix for r in dg.changed(before, after).collect()} == {place(n)[:k] for n in ("f17", "f3", "f5") for k in range(depth + 1)}
+    assert dg.changed(before, before).count() == 0
+    proofs = dg.proofs(other.select("name").filter("name in ('f17', 'f18')"), leaf(other), after, depth)
+    root = [r.digest for r in after.filter("level = 0").collect()]
+    given = lambda digest: [r.g for r in proofs.select(dg.root_of(digest, F.col("place"), F.col("beside"), F.col("path"), depth).alias("g")).collect()]
+    assert given(F.col("digest")) == root * 2 and root[0] not in given(F.sha2(F.col("digest"), 256))
+    assert dg.merkle(leaf(df.limit(0))).count() == 0
+
+
+def test_multiset_hashes_merge(spark):
+    df = spark.createDataFrame([(i % 3, f"t{i % 5}") for i in range(60)] + [(9, None)], "k int, t string")
+    whole = {r.k: (r.n, r.h) for r in dg.sums(df, ["k"], "t").select("k", "n", dg.multiset_hash().alias("h")).collect()}
+    parts = dg.sums(df.filter("t < 't2'"), ["k"], "t").union(dg.sums(df.filter("t >= 't2' or t is null"), ["k"], "t"))
+    assert {r.k: (r.n, r.h) for r in dg.merged(parts, ["k"]).select("k", "n", dg.multiset_hash().alias("h")).collect()} == whole
+    assert whole[9][0] == 0 and whole[0] == whole[1] == whole[2] != whole[9] and whole[0][0] == 20  # the same items under three keys
 
 
 def test_suggestions_cannot_touch_findings(spark):
