@@ -1,6 +1,8 @@
 """Compiled predicates against a plain statement of three-valued logic."""
 
 import itertools
+import json
+import random
 
 import pytest
 
@@ -109,3 +111,51 @@ def test_quotes_in_values(spark):
     df = spark.createDataFrame([("it's \\ odd",), ("plain",)], "dep_name string")
     c = p.compile_predicate({"op": "==", "field": "dep.name", "value": "it's \\ odd"})
     assert [r.t for r in df.select(c.truth.alias("t")).collect()] == [True, False]
+
+
+def _random_tree(rng, depth=0):
+    kind = rng.random()
+    if kind < 0.45 and depth < 11:
+        return {"op": rng.choice(["and", "or"]), "l": _random_tree(rng, depth + 1), "r": _random_tree(rng, depth + 1)}
+    if kind < 0.55 and depth < 11:
+        return {"op": "not", "x": _random_tree(rng, depth + 1)}
+    if kind < 0.6:
+        return rng.choice([True, False, None])
+    if kind < 0.63:
+        return rng.choice([7, "text", [], {}, {"op": "and", "l": True}, {"op": "==", "field": "use.saas"}, {"op": "not", "x": True, "y": 1}, {"field": "use.saas", "value": True}])
+    field = rng.choice([*p.FIELDS, *p.FIELDS, "no.such"])
+    op = rng.choice(["==", "!=", "in", "contains", ">=", "<", "like"]) if rng.random() < 0.1 else rng.choice(sorted(p.OPS_BY_TYPE.get(p.FIELDS.get(field), {"=="})))
+    names = ["MIT", "package", "permissive", "open-source", "EU"]
+    good = {p.BOOL: rng.choice([True, False]), p.INT: rng.choice([0, -3, 10**12, 4.0]), p.ENUM: rng.choice(sorted(p.ENUMS.get(field, ["x"]))), p.STRING: rng.choice(names), p.LIST: rng.choice(names)}
+    value = good.get(p.FIELDS.get(field), 1)
+    if op == "in":
+        value = [value, rng.choice(sorted(p.ENUMS.get(field, names)))]
+    if rng.random() < 0.06:
+        value = rng.choice([None, 1.5, True, 3, "x", [], [1], ["x"], {}])
+    return {"op": op, "field": field, "value": value}
+
+
+def test_trees_as_rows(spark):
+    """The recursive walk against the check of one tree at a time."""
+    from lexfleet.operators import predicate_rows as pr
+
+    rng = random.Random(5)
+    trees = [_random_tree(rng) for _ in range(400)]
+    rows = [(str(i), json.dumps(t)) for i, t in enumerate(trees)] + [("none", None), ("null", "null"), ("broken", "{"), ("empty", "")]
+    got = {r.rule_id: r for r in pr.described(spark.createDataFrame(rows, "rule_id string, when_text string").repartition(5)).collect()}
+    assert len(got) == len(rows)
+    assert (got["none"].sentence, got["null"].sentence, got["broken"].error, got["empty"].error) == ("true", "true", "the text is no JSON", "the text is no JSON")
+    fine = 0
+    for i, t in enumerate(trees):
+        r = got[str(i)]
+        try:
+            p.check(t)
+        except p.PredicateError as e:
+            assert r.error and r.sentence is None, (t, str(e))
+            continue
+        fine += 1
+        assert (r.error, r.fields) == (None, p.fields_of(t)), (t, r)
+        if "4.0" not in str(t):  # a whole number is written as one
+            assert r.sentence == p.sentence(t)
+    assert 40 < fine < 390
+    assert pr.described(spark.createDataFrame([], "rule_id string, when_text string")).count() == 0
