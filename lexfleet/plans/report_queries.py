@@ -332,7 +332,7 @@ def report_lines(spark, sf):
     outcomes = core.rule_outcomes(spark, sf)
     v = vd.fold(outcomes, b.intents(spark, sf)).join(vd.dependency_counts(b.dependencies(spark, sf)), "project_id", "left").fillna(0)
     lines = reports.text_report(v, outcomes)
-    return lines.filter("section between 0 and 2").groupBy("project_id", "section").agg(
+    return lines.groupBy("project_id", "section").agg(
         F.count_if(F.col("line").startswith("[")).alias("findings"), F.count_if(F.col("line").contains("gate:")).alias("gated"))
 
 
@@ -349,8 +349,8 @@ def payload_rows(spark, sf):
 # ---- suggestions ------------------------------------------------------------------------------
 
 def _answers(spark, sf):
-    """Assistant turns wrapped as model answers about the documents of the same number."""
-    c = b.table(spark, sf, "conversations").filter(F.col("role") == "assistant")
+    """All turns wrapped as model answers about the documents of the same number."""
+    c = b.table(spark, sf, "conversations")
     item = F.concat(F.lit("doc:"), F.col("conv_id").cast("string"))
     answer = F.to_json(F.struct(
         F.when(F.col("turn") % 5 == 4, "triage").alias("job"),
@@ -363,9 +363,11 @@ def _answers(spark, sf):
 
 
 def _known_ids(spark, sf):
-    """English documents are the ones with findings."""
-    d = b.table(spark, sf, "documents").filter(F.col("lang") == "en")
-    return d.select((F.col("doc_id") % 10).cast("string").alias("project_id"), F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("item_id"))
+    """All documents as items with findings; those in other languages than English go by
+    another kind of id, which no answer names."""
+    d = b.table(spark, sf, "documents")
+    kind = F.when(F.col("lang") == "en", "doc:").otherwise("text:")
+    return d.select((F.col("doc_id") % 10).cast("string").alias("project_id"), F.concat(kind, F.col("doc_id").cast("string")).alias("item_id"))
 
 
 @query

@@ -1,5 +1,5 @@
 -- uses: answers
-, a as (select *, conv_id in (select doc_id from documents where lang = 'en') as known from answers where problem is null),
+, a as (select *, item_id in (select case when lang = 'en' then 'doc:' else 'text:' end || doc_id from documents) as known from answers where problem is null),
 e as (select * from a where trim(text) <> '')
 select project_id, item_id, what, outcome, count(*) as n from (
  select project_id, item_id, case when known then 'explanation' else 'unknown id for explanation' end as what, case when known then 'kept' else 'E-AI-005' end as outcome from e
