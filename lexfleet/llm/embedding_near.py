@@ -11,15 +11,17 @@ The codebooks are fitted on a bounded sample (SAMPLE rows by hash of the id). Th
 number of visits is fitted on QUERIES other rows by hash, each compared with all rows in
 Spark, so small groups are seen whatever the size of the table. Queries count once each
 and are ranked apart by their number of links, so a large group does not hide small
-ones; if no query has a link, made-up partners at the threshold take their place. The
-recall on the query set is logged. All rows are indexed and all are queries. Cells with many vectors
+ones; if no query has a link, made-up partners at the threshold take their place. What
+the query set found is logged as a warning and stands in the index's `report`. All rows are indexed and all are queries. Cells with many vectors
 or many queries are cut into blocks, and a block pair is one task's work. Equal
 vectors are one from the start. A pair counts for both vectors if either visits the
 other's cell, so links are symmetric.
 
-Defined cases: vectors that are null, empty, zero, or hold null or non-finite parts,
-and those whose length is not the most frequent one (the smaller on ties), link with
-nothing; rows with a null id have a null component and are not kept; repeated rows
+A cell that holds nothing is not visited: a bitmap of the occupied cells goes to every
+task. Vectors move as they came, and are made unit vectors again where they are compared.
+
+Defined cases: vectors that are null, empty, zero, or hold null or non-finite parts link
+with nothing, and those of different length not with each other; rows with a null id have a null component and are not kept; repeated rows
 are equal vectors; other columns are not looked at; an empty table gives an empty
 table.
 """
@@ -27,6 +29,7 @@ table.
 import hashlib
 import heapq
 import logging
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,17 +42,18 @@ SAMPLE = 16384
 QUERIES = 4096
 PER_CELL = 64
 MAX_CODES = 2048  # per half, so codebooks are bounded
-TARGET_RECALL, MARGIN, LEAST_VISITS = 0.999, 4, 8
+TARGET_RECALL, MARGIN, LEAST_VISITS = 0.999, 2, 8
 BLOCK = 1024
+FEW = 1024  # vectors of a length that need no index
 ROUNDS = 8
 
 
-def clean(values, size=None):
+def clean(values):
     """Unit vector in double precision, or None."""
     if values is None or any(v is None for v in values):
         return None
     x = np.asarray(values, np.float64)
-    if not len(x) or size is not None and len(x) != size or not np.isfinite(x).all():
+    if not len(x) or not np.isfinite(x).all():
         return None
     top = np.abs(x).max()
     if top == 0:
@@ -166,36 +170,51 @@ class Index:
         return [(1, int(self.ranks(q, [c])[0]) + 1) for q, c in zip(queries, cells)]
 
 
-def _rows(df, id_col, vector_col, size):
-    """id, digest and bytes of each unit vector (null if it links with nothing)."""
+def units_of(raws, width):
+    """Unit vectors, one per row, of raw vectors of one length; `width` bytes a component."""
+    x = np.frombuffer(b"".join(raws), np.float32 if width == 4 else np.float64).reshape(len(raws), -1).astype(np.float64)
+    x = x / np.abs(x).max(axis=1)[:, None]
+    return x / np.sqrt((x * x).sum(axis=1))[:, None]
+
+
+def _rows(df, id_col, vector_col, width):
+    """id, digest of the unit vector, the vector as it came (raw) and its length; null where
+    it links with nothing. What is moved later is raw: half the bytes of a unit vector
+    where components are floats."""
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches):
         for b in batches:
-            unit = [clean(v, size) for v in b.column("_vector").to_pylist()]
-            raw = [None if u is None else (u + 0.0).tobytes() for u in unit]
-            digests = [None if r is None else hashlib.blake2b(r, digest_size=16).digest() for r in raw]
-            yield pa.RecordBatch.from_arrays([b.column("_id"), pa.array(digests, pa.binary()), pa.array(raw, pa.binary())], names=["id", "digest", "unit"])
+            digests, raws, sizes = [], [], []
+            for v in b.column("_vector").to_pylist():
+                u = clean(v)
+                digests.append(None if u is None else hashlib.blake2b((u + 0.0).tobytes(), digest_size=16).digest())
+                raws.append(None if u is None else np.asarray(v, np.float32 if width == 4 else np.float64).tobytes())
+                sizes.append(None if u is None else len(u))
+            yield pa.RecordBatch.from_arrays([b.column("_id"), pa.array(digests, pa.binary()), pa.array(raws, pa.binary()), pa.array(sizes, pa.int32())], names=["id", "digest", "raw", "size"])
 
-    return df.select(F.col(id_col).alias("_id"), F.col(vector_col).alias("_vector")).mapInArrow(run, f"id {kind}, digest binary, unit binary")
+    return df.select(F.col(id_col).alias("_id"), F.col(vector_col).alias("_vector")).mapInArrow(run, f"id {kind}, digest binary, raw binary, size int")
 
 
-def fit(units: DataFrame, threshold=THRESHOLD, sample=SAMPLE, queries=QUERIES) -> Index:
-    """units: rep, digest, unit. Brings `sample` and `queries` rows at most to the driver."""
+def fit(units: DataFrame, threshold=THRESHOLD, sample=SAMPLE, queries=QUERIES, width=8) -> Index:
+    """units: rep, digest, raw, all of one length. Brings `sample` and `queries` rows at most
+    to the driver. The index's `report` says what the query set found."""
     n = units.count()
-    rows = units.orderBy(F.xxhash64("rep"), "rep").limit(sample).select("unit").toArrow().column("unit").to_pylist()
-    x = np.array([np.frombuffer(r, np.float64) for r in rows])
+    rows = units.orderBy(F.xxhash64("rep"), "rep").limit(sample).select("raw").toArrow().column("raw").to_pylist()
+    x = units_of(rows, width)
     index = Index(x, max(2, min(MAX_CODES, int(np.sqrt(n / PER_CELL)))), threshold)
-    asked = units.orderBy(F.xxhash64(F.lit("query"), "rep"), "rep").limit(queries).select("digest", "unit").toArrow()
-    x = np.array([np.frombuffer(r, np.float64) for r in asked.column("unit").to_pylist()])
-    need = _needed(units, index, x, asked.column("digest").to_pylist())
+    asked = units.orderBy(F.xxhash64(F.lit("query"), "rep"), "rep").limit(queries).select("digest", "raw").toArrow()
+    x = units_of(asked.column("raw").to_pylist(), width)
+    need = _needed(units, index, x, asked.column("digest").to_pylist(), width)
     index.raise_visits([(r["links"], r["visits"]) for r in need] or index.made_up(x))
-    found = sum(r["links"] for r in need if r["visits"] <= index.visits)
-    logging.getLogger(__name__).info("%s queries, %s with links; %s of %s links are of queries that reach recall %s with %s visits of %s cells", len(x), len(need), found, sum(r["links"] for r in need), TARGET_RECALL, index.visits, index.grid)
+    index.report = {
+        "vectors": n, "queries": len(x), "queries_with_links": len(need), "links": sum(r["links"] for r in need),
+        "links_of_queries_in_reach": sum(r["links"] for r in need if r["visits"] <= index.visits), "visits": index.visits, "cells": index.grid, "target_recall": TARGET_RECALL}
+    logging.getLogger(__name__).warning("embedding index: %s", index.report)
     return index
 
 
-def _needed(units, index, queries, digests):
+def _needed(units, index, queries, digests, width):
     """Rows (query, links, visits) of the queries that have links: each is compared with all units."""
     shared = units.sparkSession.sparkContext.broadcast((index, queries, digests))
 
@@ -205,7 +224,7 @@ def _needed(units, index, queries, digests):
         for b in batches:
             for lo in range(0, b.num_rows, 512):
                 part = b.slice(lo, 512)
-                x = np.array([np.frombuffer(r, np.float64) for r in part.column("unit").to_pylist()])
+                x = units_of(part.column("raw").to_pylist(), width)
                 near = x @ queries.T >= index.threshold
                 for r, d in enumerate(part.column("digest").to_pylist()):
                     if d in number:
@@ -222,22 +241,39 @@ def _needed(units, index, queries, digests):
         at = np.searchsorted(np.cumsum(n[order]), TARGET_RECALL * n.sum())
         return pa.table({"query": [query], "links": [int(n.sum())], "visits": [int(ranks[order][min(at, len(n) - 1)]) + 1]})
 
-    pairs = units.select("digest", "unit").mapInArrow(links, "query long, cell long, n long").groupBy("query", "cell").agg(F.sum("n").alias("n"))
+    pairs = units.select("digest", "raw").mapInArrow(links, "query long, cell long, n long").groupBy("query", "cell").agg(F.sum("n").alias("n"))
     return pairs.groupBy("query").applyInArrow(visits, "query long, links long, visits long").collect()
 
 
-def _assign(units, index, kind):
+def _occupied(units, index, width):
+    """A bit for each cell of the grid that holds a vector: at most MAX_CODES ** 2 bits, 512 kB."""
     shared = units.sparkSession.sparkContext.broadcast(index)
 
     def run(batches):
+        for b in batches:
+            cells = np.unique(np.concatenate([shared.value.cells(units_of(b.slice(lo, 512).column("raw").to_pylist(), width)) for lo in range(0, b.num_rows, 512)] or [np.zeros(0, np.int64)]))
+            yield pa.RecordBatch.from_arrays([pa.array(cells >> 5, pa.int64()), pa.array(np.int64(1) << (cells & 31), pa.int64())], names=["word", "bits"])
+
+    words = units.select("raw").mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros((index.grid + 31) // 32, np.uint32)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy().astype(np.uint32)
+    return out
+
+
+def _assign(units, index, kind, width, base):
+    """Own cell and visited cells that hold anything; cells of this index are numbered from `base`."""
+    shared = units.sparkSession.sparkContext.broadcast((index, _occupied(units, index, width)))
+
+    def run(batches):
+        index, held = shared.value
         for b in batches:
             for lo in range(0, b.num_rows, 512):
                 part = b.slice(lo, 512)
-                x = np.array([np.frombuffer(r, np.float64) for r in part.column("unit").to_pylist()])
-                own, visited = shared.value.visited(x)
-                yield pa.RecordBatch.from_arrays([part.column("rep"), part.column("copies"), part.column("unit"), pa.array(own, pa.int64()), pa.array(visited, pa.list_(pa.int64()))], names=["rep", "copies", "unit", "cell", "visited"])
+                own, visited = index.visited(units_of(part.column("raw").to_pylist(), width))
+                visited = [[base + c for c in cells if held[c >> 5] >> np.uint32(c & 31) & np.uint32(1)] for cells in visited]
+                yield pa.RecordBatch.from_arrays([part.column("rep"), part.column("copies"), part.column("raw"), pa.array(own + base, pa.int64()), pa.array(visited, pa.list_(pa.int64()))], names=["rep", "copies", "raw", "cell", "visited"])
 
-    return units.mapInArrow(run, f"rep {kind}, copies long, unit binary, cell long, visited array<long>")
+    return units.mapInArrow(run, f"rep {kind}, copies long, raw binary, cell long, visited array<long>")
 
 
 def forest(near, q, d):
@@ -254,7 +290,7 @@ def forest(near, q, d):
     return out
 
 
-def _compare(blocks, threshold, kind):
+def _compare(blocks, threshold, kind, width):
     """Per block pair: how many rows each vector links with (id, null, n), and edges (u, v, null)."""
 
     def run(table):
@@ -263,7 +299,7 @@ def _compare(blocks, threshold, kind):
         ids = table.column("rep")
         if not len(q) or not len(d):
             return pa.table({"u": pa.array([], ids.type), "v": pa.array([], ids.type), "n": pa.array([], pa.int64())})
-        x = np.array([np.frombuffer(r, np.float64) for r in table.column("unit").to_pylist()])
+        x = units_of(table.column("raw").to_pylist(), width)
         copies = np.array(table.column("copies").to_pylist())
         # a vector is here as a query and maybe as a row of the cell: one number for both
         _, number = np.unique(np.array(ids.to_pylist()), return_inverse=True)
@@ -288,24 +324,33 @@ def near_duplicates(df: DataFrame, threshold=THRESHOLD, id_col="vec_id", vector_
     """One row per row of `df`: id, n_links, component_id, kept."""
     common.ship(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
-    sizes = df.filter(F.size(vector_col) > 0).groupBy(F.size(vector_col).alias("size")).count().orderBy(F.desc("count"), "size").first()
-    rows = common.staged(_rows(df, id_col, vector_col, sizes["size"] if sizes else 0))
-    valid = rows.filter("unit is not null and id is not null")
-    units = common.staged(valid.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("unit").alias("unit")))
+    width = 4 if df.schema[vector_col].dataType.elementType.simpleString() == "float" else 8
+    rows = common.staged(_rows(df, id_col, vector_col, width))
+    valid = rows.filter("raw is not null and id is not null")
+    units = common.staged(valid.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("raw").alias("raw"), F.first("size").alias("size")))
     none = F.lit(None).cast(kind)
     if units.isEmpty():
         return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept"))
-    index = fit(units, threshold, sample)
-    assigned = common.staged(_assign(units, index, kind))
-    stored = assigned.select("rep", "copies", "unit", "cell", "visited", F.col("cell").alias("at"), F.lit(1).alias("side"))
-    asked = assigned.select("rep", "copies", "unit", "cell", F.expr("cast(null as array<long>)").alias("visited"), F.explode("visited").alias("at"), F.lit(0).alias("side"))
+    # vectors of different length have no cosine: each length with many vectors has an index of its own,
+    # vectors of a rarer length are all compared, as those of one cell
+    lengths = units.groupBy("size").count().filter(F.col("count") > FEW).orderBy("size").collect()
+    parts = []
+    for k, r in enumerate(lengths):
+        some = units.filter(F.col("size") == r["size"])
+        parts.append(_assign(some, fit(some, threshold, sample, width=width), kind, width, k * MAX_CODES**2))
+    rare = units.filter(~F.col("size").isin([r["size"] for r in lengths])) if lengths else units
+    cell = -F.col("size").cast("long")
+    parts.append(rare.select("rep", "copies", "raw", cell.alias("cell"), F.array(cell).alias("visited")))
+    assigned = common.staged(reduce(lambda a, b: a.select("*", F.lit(0).alias("_")).drop("_").union(b.select("*", F.lit(0).alias("_")).drop("_")), parts))
+    stored = assigned.select("rep", "copies", "raw", "cell", "visited", F.col("cell").alias("at"), F.lit(1).alias("side"))
+    asked = assigned.select("rep", "copies", "raw", "cell", F.expr("cast(null as array<long>)").alias("visited"), F.explode("visited").alias("at"), F.lit(0).alias("side"))
     both = stored.unionByName(asked)
     sizes = both.groupBy("at").agg(F.ceil(F.sum("side") / BLOCK).cast("int").alias("dbs"), F.ceil(F.sum(1 - F.col("side")) / BLOCK).cast("int").alias("qbs")).filter("dbs > 0 and qbs > 0")
     cut = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     blocks = both.join(sizes, "at").withColumn("db", F.explode(F.when(F.col("side") == 1, F.array(cut("dbs"))).otherwise(every("dbs"))))
     blocks = blocks.withColumn("qb", F.explode(F.when(F.col("side") == 0, F.array(cut("qbs"))).otherwise(every("qbs"))))
-    found = common.staged(_compare(blocks.select("at", "db", "qb", "side", "rep", "copies", "unit", "cell", "visited"), threshold, kind))
+    found = common.staged(_compare(blocks.select("at", "db", "qb", "side", "rep", "copies", "raw", "cell", "visited"), threshold, kind, width))
     linked = graph.components(found.filter("v is not null").select("u", "v"))
     counts = found.filter("v is null").groupBy(F.col("u").alias("rep")).agg(F.sum("n").alias("n"))
     classes = units.select("digest", "rep", "copies").join(counts, "rep", "left").join(linked, F.col("rep") == F.col("node"), "left")

@@ -211,15 +211,21 @@ def test_bitmaps_bound_the_overlap():
 # 5 embeddings
 
 
-def test_near_duplicates(spark):
-    bad = [None, [], [0.0] * 64, [float("nan")] * 64, [float("inf")] * 64, [1.0, None] + [1.0] * 62, [1.0], [1.0] * 64, [2.0] * 64, [2.0] * 63 + [2.1]]
+@pytest.mark.parametrize("few", [embedding_near.FEW, 3, 0])
+def test_near_duplicates(spark, monkeypatch, few):
+    monkeypatch.setattr(embedding_near, "FEW", few)
+    bad = [None, [], [0.0] * 64, [float("nan")] * 64, [float("inf")] * 64, [1.0, None] + [1.0] * 62, [1.0], [1.0] * 64, [2.0] * 64, [2.0] * 63 + [2.1], [3.0], [1.0, 2.0, 3.0], [1.0, 2.0, 3.01], [3.0, 2.0, -3.0]]
     table = common.table(spark, "/root/testdata/sf0.01", "embeddings").select("vec_id", "embedding")
     df = clash(table.union(spark.createDataFrame([(-1 - i, v) for i, v in enumerate(bad)], table.schema)).union(table.limit(1)))
-    rows = [(r.vec_id, embedding_near.clean(r.embedding, 64)) for r in df.select("vec_id", "embedding").collect()]
-    ids, x = [i for i, v in rows if v is not None], np.array([v for _, v in rows if v is not None])
-    near = x @ x.T >= 0.95
-    linked = [(ids[i], ids[j]) for i, j in zip(*np.nonzero(near))]
-    least, links = brute.classes([i for i, _ in rows], linked), {ids[i]: int(near[i].sum()) - 1 for i in range(len(ids))}
+    rows = [(r.vec_id, embedding_near.clean(r.embedding)) for r in df.select("vec_id", "embedding").collect()]
+    linked, links = [], {}
+    for size in {len(v) for _, v in rows if v is not None}:  # every length for itself
+        ids, x = [i for i, v in rows if v is not None and len(v) == size], np.array([v for _, v in rows if v is not None and len(v) == size])
+        near = x @ x.T >= 0.95
+        linked += [(ids[i], ids[j]) for i, j in zip(*np.nonzero(near))]
+        links |= {ids[i]: int(near[i].sum()) - 1 for i in range(len(ids))}
+    assert links[-7] == 1 and links[-12] == 1  # equal vectors of rarer lengths
+    least = brute.classes([i for i, _ in rows], linked)
     want = {i: (links.get(i, 0), least[i], least[i] == i) for i, _ in rows}
     assert by_id(embedding_near.near_duplicates(df)) == want
 
