@@ -13,6 +13,13 @@ WARNING_ORDER = ["code", "path", "message"]
 NOTICE_ORDER = ["code", "message"]
 
 
+def in_order(rows: DataFrame, order, keys=("project_id",)) -> DataFrame:
+    """Adds position, from 1, inside each project by one of the orders above."""
+    from lexfleet.operators.ranking import ordinal_within
+
+    return ordinal_within(rows, list(keys), order, "position").withColumn("position", F.col("position").cast("long"))
+
+
 def upsert(rows: DataFrame, keys=("project_id", "id"), order="stage_seq") -> DataFrame:
     """Last write per key wins. A `max_by` aggregate combines on the map side, so
     an id repeated millions of times is not sorted in one task."""

@@ -36,6 +36,7 @@ class Check:
     verdicts: DataFrame
     notices: DataFrame        # (project_id, code, message)
     stops: DataFrame = None   # findings that a project blocks on, when its lists are given
+    platform_evidence: DataFrame = None  # all places behind a platform's findings: (project_id, platform, evidence_path, evidence_line)
 
 
 def _union(frames):
@@ -65,7 +66,8 @@ def scan(files: DataFrame, ignores: DataFrame = None, texts: DataFrame = None, p
     """`files`: listing (project_id, rel, length, modification_time, path). `texts` and
     `probed` may be given when contents come from elsewhere than the file system."""
     kept = fs.within_limits(fs.prune(files))
-    listed = materialise(fs.apply_ignores(kept, ignores) if ignores is not None else kept)
+    marked = materialise(fs.mark_ignores(kept, ignores) if ignores is not None else kept.withColumn("ignored_by", F.lit(None).cast("string")))
+    listed = marked.filter("ignored_by is null").drop("ignored_by")
     texts = texts if texts is not None else materialise(fs.read_texts(_text_candidates(listed)))
     probed = probed if probed is not None else materialise(wt.probe(listed))
 
@@ -93,7 +95,7 @@ def scan(files: DataFrame, ignores: DataFrame = None, texts: DataFrame = None, p
 
     place = lambda df: df.select("project_id", "code", "path")
     warnings = _union([
-        place(fs.over_limit_warnings(listed)), place(fs.depth_warnings(listed)), place(fs.unsupported_warnings(units)), place(mf.fallback_warnings(units, declared)),
+        place(fs.over_limit_warnings(listed)), place(fs.depth_warnings(listed)), place(fs.ignore_warnings(marked)), place(fs.unsupported_warnings(units)), place(mf.fallback_warnings(units, declared)),
         place(fs.stale_lockfiles(units, listed).withColumn("path", F.col("lockfile"))),
         place(mf.json_warnings(_named(texts, ["package.json"]), False)), place(mf.json_warnings(_named(texts, ["package-lock.json", "npm-shrinkwrap.json", "Pipfile.lock"]), True)),
         place(mf.requirement_warnings(_named(texts, ["requirements.txt", "requirements-dev.txt"]))), place(own.unrecognised_texts(in_tree)),
@@ -137,4 +139,4 @@ def evaluate(scanned: Scan, intents: DataFrame, corpus, today: str, policy=None,
     if allow_if is not None:
         outcomes = materialise(orgpolicy.waive(outcomes, allow_if, intents))
     stops = orgpolicy.gate_on(vd.with_effective_severity(outcomes), block_on) if block_on is not None else None
-    return Check(outcomes, vd.fold(outcomes, intents, allow_medium_blockers), _union(notices), stops)
+    return Check(outcomes, vd.fold(outcomes, intents, allow_medium_blockers), _union(notices), stops, pf.platform_evidence(matched))

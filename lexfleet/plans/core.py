@@ -6,7 +6,7 @@ from functools import lru_cache
 from pyspark.sql import functions as F
 
 from lexfleet.functions import fixed, ids, severity as sev, spdx as spdx_fn, text
-from lexfleet.operators import crosscheck, evaluate as ev, orgpolicy, predicates, resolve as rs, verdict as vd
+from lexfleet.operators import crosscheck, evaluate as ev, graph, orgpolicy, predicates, resolve as rs, verdict as vd
 from lexfleet.plans import bindings as b
 from lexfleet.plans.registry import query
 from lexfleet.rules import loader
@@ -143,6 +143,20 @@ def unresolved_licences(spark, sf):
     return u.select("project_id", "id", "reason")
 
 
+@query
+def notice_order(spark, sf):
+    """What a run wants said, numbered in the order in which a report lists it."""
+    said = ev.notices(rule_outcomes(spark, sf)).select("project_id", "code", "message")
+    return graph.in_order(said, graph.NOTICE_ORDER).select("project_id", "position", "code", "message")
+
+
+@query
+def undetermined_order(spark, sf):
+    """Items that could not be decided, in the order of a report."""
+    u = ev.undetermined(rule_outcomes(spark, sf)).select("project_id", "kind", "id")
+    return graph.in_order(u, graph.UNDETERMINED_ORDER).select("project_id", "position", "kind", "id")
+
+
 def _finding_columns(outcomes):
     found = ev.findings(vd.with_effective_severity(outcomes))
     return found.select(*FINDING, "finding_id", "licence")

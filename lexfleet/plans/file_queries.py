@@ -82,7 +82,25 @@ def ignored_files(spark, sf):
 
 @query
 def ignore_share(spark, sf):
-    return fs.ignore_share(files(spark, sf), ignore_rules(spark, sf))
+    return fs.ignore_share(fs.mark_ignores(files(spark, sf), ignore_rules(spark, sf)))
+
+
+@query
+def ignore_patterns(spark, sf):
+    """Rules with wildcards in the middle, at the start and inside segments."""
+    p = files(spark, sf).select("project_id").distinct()
+    paths = ["**/node_modules/**", "src/**/LICENSE", "docs/*/p?/*.json", "**/*.lock", "app/dist/**"]
+    rules = F.array(*[F.struct(F.lit(i).alias("ordinal"), F.lit(r).alias("path")) for i, r in enumerate(paths)])
+    return fs.match_ignores(files(spark, sf), p.select("project_id", F.inline(rules)))
+
+
+@query
+def warning_order(spark, sf):
+    """Warnings of a scan, numbered in the order in which a report lists them."""
+    f = files(spark, sf)
+    marked = fs.mark_ignores(fs.within_limits(f), ignore_rules(spark, sf))
+    rows = fs.over_limit_warnings(marked).unionByName(fs.ignore_warnings(marked)).withColumn("message", F.lit(""))
+    return graph.in_order(rows, graph.WARNING_ORDER).select("project_id", "position", "code", "path")
 
 
 @query

@@ -3,7 +3,7 @@
 A file row is (project_id, rel, length, modification_time[, content]).
 """
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from lexfleet.functions import fixed, text
 from lexfleet.operators.ranking import ordinal_within, running_total
@@ -161,13 +161,31 @@ def scan_stats(files: DataFrame) -> DataFrame:
 
 # ---- ignore rules ------------------------------------------------------------
 
+WILD = "[*?]"
+
+
+def path_pattern(path) -> Column:
+    """A rule's path as a regular expression: `**` stands for any number of whole segments,
+    `*` and `?` for characters inside one; a rule that ends in `/**` means all below."""
+    c = F.regexp_replace(text.col(path), r"([.+^$(){}|\[\]\\])", r"\\$1")
+    c = F.regexp_replace(F.regexp_replace(c, r"/\*\*$", "/\u0001"), r"(^|/)(?:\*\*/)+", "$1\u0002")
+    for wild, meaning in ((r"\*+", "[^/]*"), (r"\?", "[^/]"), ("\u0001", ".+"), ("\u0002", "(?:[^/]+/)*")):
+        c = F.regexp_replace(c, wild, meaning)
+    return F.concat(F.lit("^"), c, F.lit("$"))
+
+
 def ignore_keys(rules: DataFrame) -> DataFrame:
-    """(project_id, ordinal, path) -> equi-join keys of the three pattern forms."""
+    """(project_id, ordinal, path) -> equi-join keys. A rule without inner wildcards is found
+    by a path, a directory or a prefix; any other by its longest segment without one, and
+    only where it has none by the project alone. Those two forms are tested by `pattern`."""
     p = F.regexp_replace(F.trim("path"), r"\\", "/")
-    form = F.when(p.endswith("/**"), "tree").when(p.endswith("/*"), "children").otherwise("exact")
-    key = F.when(form == "tree", F.regexp_replace(p, r"/\*\*$", "")).when(
-        form == "children", F.regexp_replace(p, r"/\*$", "")).otherwise(p)
-    return rules.filter(p != "").select("project_id", "ordinal", F.col("path").alias("rule_path"), form.alias("form"), key.alias("key"))
+    stem = F.regexp_replace(p, r"/\*\*?$", "")
+    plain = F.filter(F.split(stem, "/"), lambda s: (s != "") & ~s.rlike(WILD))
+    longest = F.array_max(F.transform(plain, lambda s: F.struct(F.length(s).alias("n"), s.alias("s"))))["s"]
+    wild = stem.rlike(WILD)
+    form = F.when(wild & longest.isNotNull(), "segment").when(wild, "any").when(p.endswith("/**"), "tree").when(p.endswith("/*"), "children").otherwise("exact")
+    key = F.when(wild, F.coalesce(longest, F.lit(""))).otherwise(stem)
+    return rules.filter(p != "").select("project_id", "ordinal", F.col("path").alias("rule_path"), form.alias("form"), key.alias("key"), F.when(wild, path_pattern(p)).alias("pattern"))
 
 
 def match_ignores(files: DataFrame, rules: DataFrame) -> DataFrame:
@@ -175,23 +193,35 @@ def match_ignores(files: DataFrame, rules: DataFrame) -> DataFrame:
     cell = lambda form, key: F.struct(F.lit(form).alias("form"), key.alias("key"))
     rel = F.regexp_replace("rel", r"\\", "/")
     cells = F.concat(
-        F.array(cell("exact", rel), cell("children", text.dir_name("rel"))),
-        F.transform(text.path_prefixes("rel"), lambda k: cell("tree", k)))
-    probes = files.select("project_id", "rel", F.explode(cells).alias("_c")).select("project_id", "rel", "_c.*")
+        F.array(cell("exact", rel), cell("children", text.dir_name("rel")), cell("any", F.lit(""))),
+        F.transform(text.path_prefixes("rel"), lambda k: cell("tree", k)),
+        F.transform(F.array_distinct(F.split(rel, "/")), lambda k: cell("segment", k)))
+    probes = files.select("project_id", "rel", rel.alias("_rel"), F.explode(cells).alias("_c")).select("project_id", "rel", "_rel", "_c.*")
     hits = fact_join(probes, ignore_keys(rules), ["project_id", "form", "key"], "inner")
+    hits = hits.filter(F.col("pattern").isNull() | F.regexp_like("_rel", F.col("pattern")))
     return hits.groupBy("project_id", "rel").agg(F.min_by("rule_path", "ordinal").alias("rule_path"))
 
 
+def mark_ignores(files: DataFrame, rules: DataFrame) -> DataFrame:
+    """All files with `ignored_by`, the rule that hides them or null."""
+    return files.join(match_ignores(files, rules).withColumnRenamed("rule_path", "ignored_by"), ["project_id", "rel"], "left")
+
+
 def apply_ignores(files: DataFrame, rules: DataFrame) -> DataFrame:
-    return files.join(match_ignores(files, rules).select("project_id", "rel"), ["project_id", "rel"], "left_anti")
+    return mark_ignores(files, rules).filter("ignored_by is null").drop("ignored_by")
+
+
+def ignore_share(marked: DataFrame) -> DataFrame:
+    """Rules that hide more than half of a project's files. marked: of `mark_ignores`. One
+    aggregate counts by rule, and its few rows are added up per project."""
+    counts = marked.groupBy("project_id", "ignored_by").agg(F.count(F.lit(1)).alias("removed"))
+    files = F.sum("removed").over(W.partitionBy("project_id"))
+    return counts.withColumn("files", files).filter(F.col("ignored_by").isNotNull() & (F.col("removed") * 2 > F.col("files"))).select(
+        "project_id", F.col("ignored_by").alias("rule_path"), "removed", "files", F.floor(F.col("removed") * 100 / F.col("files")).alias("percent"))
 
 
-def ignore_share(files: DataFrame, rules: DataFrame) -> DataFrame:
-    """Rules that hide more than half of a project's files."""
-    removed = match_ignores(files, rules).groupBy("project_id", "rule_path").agg(F.count(F.lit(1)).alias("removed"))
-    totals = files.groupBy("project_id").agg(F.count(F.lit(1)).alias("files"))
-    return removed.join(totals, "project_id").filter(F.col("removed") * 2 > F.col("files")).select(
-        "project_id", "rule_path", "removed", "files", F.floor(F.col("removed") * 100 / F.col("files")).alias("percent"))
+def ignore_warnings(marked: DataFrame) -> DataFrame:
+    return ignore_share(marked).select("project_id", F.lit("E-SCAN-020").alias("code"), F.col("rule_path").alias("path"))
 
 
 # ---- units -------------------------------------------------------------------
