@@ -1,6 +1,7 @@
 """Plain versions of the operators, for comparison."""
 
 import hashlib
+import math
 import re
 
 
@@ -141,3 +142,73 @@ def hard_negatives(rows, anchor, positives=5, negatives=3, least=50, most=95):
             fit = sorted((s, j) for s, j, k in scored if k != label and least * -p <= 100 * -s <= most * -p)
             out |= {(a, i, rank, j, -p, -s) for rank, (s, j) in enumerate(fit[:negatives], 1)}
     return out
+
+
+def gram_buckets(text, factors, bits):
+    """Bucket numbers of the n-grams of one text, one at a time."""
+    letters = "".join((c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else " " for c in f" {text or ''} ")
+    x, out = [ord(c) for c in re.sub(" +", " ", letters)], []
+    for i in range(len(x)):
+        mixed = 0
+        for n, factor in enumerate(factors):
+            if i + n >= len(x):
+                break
+            mixed = (mixed ^ (x[i + n] + n + 1)) * factor % 2**32
+            mixed ^= mixed >> 15
+            if n or x[i] != 32:
+                out.append(mixed * factors[0] % 2**32 >> 32 - bits)
+    return out
+
+
+def naive_bayes(texts, langs, train, factors, bits, smoothing):
+    """(language, probability) of every text, from dictionaries of counts."""
+    names = sorted({k for k, t in zip(langs, train) if t and k is not None})
+    counts, n = {k: {} for k in names}, dict.fromkeys(names, 0)
+    for text, k, t in zip(texts, langs, train):
+        if t and k is not None:
+            n[k] += 1
+            for g in gram_buckets(text, factors, bits):
+                counts[k][g] = counts[k].get(g, 0) + 1
+    total = {k: sum(counts[k].values()) + smoothing * 2**bits for k in names}
+    out = []
+    for text in texts:
+        if not any(c.isalpha() for c in text or ""):
+            out.append(("und", 0.0))
+            continue
+        grams = gram_buckets(text, factors, bits)
+        score = {k: math.log(n[k] / sum(n.values())) + sum(math.log((counts[k].get(g, 0) + smoothing) / total[k]) for g in grams) for k in names}
+        best = max(names, key=lambda k: score[k])
+        out.append((best, 1 / sum(math.exp(v - score[best]) for v in score.values())))
+    return out
+
+
+def context_spans(texts, rounds, threshold, support, least):
+    """(start, end) of the tokens that a bootstrap over contexts adds to each text. A token of
+    these texts holds at most one base span."""
+    items = []  # text, start, end, value, patterns, seed
+    for i, text in enumerate(texts):
+        spans, words = [(a, b) for _, a, b in pii_spans(text)], [(m.start(), m.end()) for m in re.finditer(r"\S+", text or "")]
+        tokens = [(a, b) for a, b in words if re.search("[0-9]", text[a:b]) and b - a >= least and not any(c < b and d > a for c, d in spans)]
+        for a, b in spans + tokens:
+            own = max(s for s, _ in words if s <= a)
+            before = [text[s:e].lower() for s, e in words if s < own][-2:]
+            lead = text[own:a].lower() if (a, b) in spans else text[a:b].lower()
+            key = re.match(r"[^\s0-9=:]+[=:]" + ("$" if (a, b) in spans else ""), lead)
+            patterns = {"1 " + before[-1]} if before else set()
+            patterns |= {"2 " + " ".join(before)} if len(before) == 2 else set()
+            items.append((i, a, b, text[a:b], patterns | ({"k " + key.group()} if key else set()), (a, b) in spans))
+    edges = {}
+    for _, _, _, value, patterns, seed in items:
+        for p in patterns:
+            edges[p, value] = edges.get((p, value), False) or seed
+    seeds = {v: any(s for (_, w), s in edges.items() if w == v) for _, v in edges}
+    trust = {v: float(s) for v, s in seeds.items()}
+    for _ in range(rounds):
+        strong = {}
+        for p in {p for p, _ in edges}:
+            own = [trust[v] for q, v in edges if q == p]
+            if sum(t >= threshold for t in own) >= support:
+                strong[p] = sum(own) / (len(own) + 1)
+        trust = {v: 1.0 if s else max([strong[p] for (p, w), seed in edges.items() if w == v and not seed and p in strong], default=0.0) for v, s in seeds.items()}
+    good = {v for v, t in trust.items() if not seeds[v] and t >= threshold}
+    return [sorted((a, b) for j, a, b, value, _, seed in items if j == i and not seed and value in good) for i in range(len(texts))]

@@ -6,6 +6,7 @@ import random
 import re
 import time
 import zlib
+from types import SimpleNamespace
 
 import brute
 import numpy as np
@@ -105,6 +106,18 @@ def test_language_held_out(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def test_language_against_counts(spark, docs):
+    """Naive Bayes from dictionaries, one n-gram at a time."""
+    rows = docs.orderBy("doc_id").limit(60).collect() + [SimpleNamespace(doc_id=10_000 + i, text=t, lang=k) for i, (t, k) in enumerate([(None, "en"), ("", "de"), ("12 ...", "fr"), ("İstanbul ß ñ 中文", None), ("a", "en")])]
+    df = spark.createDataFrame([(r.doc_id, r.text, r.lang) for r in rows], "doc_id long, text string, lang string").repartition(4)
+    got = by_id(language_id.identify(df), "lang_pred", "score")
+    train = [zlib.crc32(str(r.doc_id).encode()) % 4 != 2 for r in rows]
+    factors = [int(f) for f in language_id.FACTORS]
+    want = brute.naive_bayes([r.text for r in rows], [r.lang for r in rows], train, factors, language_id.BUCKET_BITS, language_id.SMOOTHING)
+    for r, (lang, score) in zip(rows, want):
+        assert got[r.doc_id][0] == lang and abs(got[r.doc_id][1] - score) < 0.01, r.doc_id
+
+
 def test_language_edges(spark):
     lang = ["en", "en", None, "fr", "en", "fr", "en", "fr", "en", "en"]
     df = frame(spark, EDGES, lang)
@@ -175,6 +188,14 @@ def families(seed):
     return [*rows, *EDGES]
 
 
+@pytest.mark.parametrize("few", [1, 2])
+def test_ngram_join_of_wide_shingles(spark, monkeypatch, few):
+    """Shingles of more sets than give pairs at once."""
+    monkeypatch.setattr(ngram_join, "FEW", few)
+    texts = families(few)
+    assert by_id(ngram_join.join(frame(spark, texts))) == brute.jaccard_classes(list(enumerate(texts)))
+
+
 @pytest.mark.parametrize("blocks", [256, 2])
 def test_ngram_join(spark, monkeypatch, blocks):
     monkeypatch.setattr(ngram_join, "BLOCK_SETS", blocks)
@@ -339,6 +360,21 @@ def test_pii_every_span_is_a_seed(spark):
         assert all(rows[i][0] == 0 for i in range(8))
 
 
+@pytest.mark.parametrize("support,threshold", [(3, 0.8), (1, 0.4)])
+def test_pii_bootstrap(spark, support, threshold):
+    """The spans that contexts add, against a graph in dictionaries."""
+    rng = random.Random(3)
+    names = ["call", "mail", "server", "card", "from", "the", "now"]
+    values = ["a@b.co", "10.0.0.1", "x.y@site.org", "+12125550100", "4111111111111111", "zz12345", "code77881", "id=ab12cd34", "ID=99887766", "user:k4711x", "id=jim@b.co", "1234567", "12"]
+    texts = [" ".join(rng.choice(names if rng.random() < 0.55 else values) for _ in range(rng.randint(1, 25))) for _ in range(60)] + [None, ""]
+    got = by_id(contextual_pii.find(frame(spark, texts), support=support, threshold=threshold), "spans")
+    want = brute.context_spans(texts, contextual_pii.ROUNDS, threshold, support, contextual_pii.LEAST_LENGTH)
+    for i, spans in enumerate(want):
+        found = [tuple(map(int, x.split(":")[1:])) for x in got[i][0].split(",") if x.startswith("context")]
+        assert found == spans, texts[i]
+    assert sum(map(len, want)) > 5
+
+
 def test_pii_words_before_spans(spark):
     text = "a  b\n+1 (743) 555-3824 1.2.3.4,x=c@d.co tel:+1 743 555 3824"
     got = frame(spark, [text]).select(*(contextual_pii._places(F.col("text"), contextual_pii.PATTERNS[k], contextual_pii._valid_for(k)).alias(k) for k in contextual_pii.KINDS)).first()

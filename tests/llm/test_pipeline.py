@@ -45,6 +45,14 @@ def test_repeated_and_null_ids(spark):
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept) == [(False, 1), (False, 3), (True, 0), (True, 0)]
 
 
+def test_ids_with_several_texts(spark):
+    """Rows that repeat an id are no copies of each other unless their texts are."""
+    rows = [(1, "one two three four five six seven"), (1, "a quite other text with words of its own"), (1, "one two three four five six seven"), (2, "one two three four five six seven"), (3, "and a third one that stands for itself here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = corpus_pipeline.one_of_near_copies(spark, docs, SF).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == sorted({rows[0], rows[1], rows[4]})
+
+
 def test_run(spark):
     rows = corpus_pipeline.run(spark, SF)
     assert rows.count() > 0 and {"doc_id", "sequence_id", "offset"} <= set(rows.columns)
