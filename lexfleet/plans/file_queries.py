@@ -91,7 +91,7 @@ def ignore_patterns(spark, sf):
     p = files(spark, sf).select("project_id").distinct()
     paths = ["**/node_modules/**", "src/**/LICENSE", "docs/*/p?/*.json", "**/*.lock", "app/dist/**"]
     rules = F.array(*[F.struct(F.lit(i).alias("ordinal"), F.lit(r).alias("path")) for i, r in enumerate(paths)])
-    return fs.match_ignores(files(spark, sf), p.select("project_id", F.inline(rules)))
+    return fs.match_ignores(files(spark, sf), p.select("project_id", F.inline(rules)), wildcards=True)
 
 
 @query

@@ -166,45 +166,47 @@ WILD = "[*?]"
 
 def path_pattern(path) -> Column:
     """A rule's path as a regular expression: `**` stands for any number of whole segments,
-    `*` and `?` for characters inside one; a rule that ends in `/**` means all below."""
+    `*` and `?` for characters inside one; one that ends in `/**` means a place and all below."""
     c = F.regexp_replace(text.col(path), r"([.+^$(){}|\[\]\\])", r"\\$1")
-    c = F.regexp_replace(F.regexp_replace(c, r"/\*\*$", "/\u0001"), r"(^|/)(?:\*\*/)+", "$1\u0002")
-    for wild, meaning in ((r"\*+", "[^/]*"), (r"\?", "[^/]"), ("\u0001", ".+"), ("\u0002", "(?:[^/]+/)*")):
+    c = F.regexp_replace(F.regexp_replace(c, r"/\*\*$", "\u0001"), r"(^|/)(?:\*\*/)+", "$1\u0002")
+    for wild, meaning in ((r"\*+", "[^/]*"), (r"\?", "[^/]"), ("\u0001", "(?:/.+)?"), ("\u0002", "(?:[^/]+/)*")):
         c = F.regexp_replace(c, wild, meaning)
     return F.concat(F.lit("^"), c, F.lit("$"))
 
 
-def ignore_keys(rules: DataFrame) -> DataFrame:
-    """(project_id, ordinal, path) -> equi-join keys. A rule without inner wildcards is found
+def ignore_keys(rules: DataFrame, wildcards=False) -> DataFrame:
+    """(project_id, ordinal, path) -> equi-join keys. A path, `path/*` and `path/**` are the
+    forms of a rule; only with `wildcards` a star elsewhere is more than a character, since
+    such rules hide what a reader does not see at once. A rule without inner wildcards is found
     by a path, a directory or a prefix; any other by its longest segment without one, and
     only where it has none by the project alone. Those two forms are tested by `pattern`."""
     p = F.regexp_replace(F.trim("path"), r"\\", "/")
     stem = F.regexp_replace(p, r"/\*\*?$", "")
     plain = F.filter(F.split(stem, "/"), lambda s: (s != "") & ~s.rlike(WILD))
     longest = F.array_max(F.transform(plain, lambda s: F.struct(F.length(s).alias("n"), s.alias("s"))))["s"]
-    wild = stem.rlike(WILD)
+    wild = stem.rlike(WILD) if wildcards else F.lit(False)
     form = F.when(wild & longest.isNotNull(), "segment").when(wild, "any").when(p.endswith("/**"), "tree").when(p.endswith("/*"), "children").otherwise("exact")
     key = F.when(wild, F.coalesce(longest, F.lit(""))).otherwise(stem)
     return rules.filter(p != "").select("project_id", "ordinal", F.col("path").alias("rule_path"), form.alias("form"), key.alias("key"), F.when(wild, path_pattern(p)).alias("pattern"))
 
 
-def match_ignores(files: DataFrame, rules: DataFrame) -> DataFrame:
+def match_ignores(files: DataFrame, rules: DataFrame, wildcards=False) -> DataFrame:
     """Ignored files with the first rule (by ordinal) that names them."""
     cell = lambda form, key: F.struct(F.lit(form).alias("form"), key.alias("key"))
     rel = F.regexp_replace("rel", r"\\", "/")
     cells = F.concat(
-        F.array(cell("exact", rel), cell("children", text.dir_name("rel")), cell("any", F.lit(""))),
+        F.array(cell("exact", rel), cell("children", text.dir_name("rel")), *([cell("any", F.lit(""))] if wildcards else [])),
         F.transform(text.path_prefixes("rel"), lambda k: cell("tree", k)),
-        F.transform(F.array_distinct(F.split(rel, "/")), lambda k: cell("segment", k)))
+        *([F.transform(F.array_distinct(F.split(rel, "/")), lambda k: cell("segment", k))] if wildcards else []))
     probes = files.select("project_id", "rel", rel.alias("_rel"), F.explode(cells).alias("_c")).select("project_id", "rel", "_rel", "_c.*")
-    hits = fact_join(probes, ignore_keys(rules), ["project_id", "form", "key"], "inner")
+    hits = fact_join(probes, ignore_keys(rules, wildcards), ["project_id", "form", "key"], "inner")
     hits = hits.filter(F.col("pattern").isNull() | F.regexp_like("_rel", F.col("pattern")))
     return hits.groupBy("project_id", "rel").agg(F.min_by("rule_path", "ordinal").alias("rule_path"))
 
 
-def mark_ignores(files: DataFrame, rules: DataFrame) -> DataFrame:
+def mark_ignores(files: DataFrame, rules: DataFrame, wildcards=False) -> DataFrame:
     """All files with `ignored_by`, the rule that hides them or null."""
-    return files.join(match_ignores(files, rules).withColumnRenamed("rule_path", "ignored_by"), ["project_id", "rel"], "left")
+    return files.join(match_ignores(files, rules, wildcards).withColumnRenamed("rule_path", "ignored_by"), ["project_id", "rel"], "left")
 
 
 def apply_ignores(files: DataFrame, rules: DataFrame) -> DataFrame:

@@ -1,9 +1,12 @@
 """Functions and readers on hand-written rows."""
 
+import fnmatch
 import hashlib
 import io
+import itertools
 import zipfile
 import json
+import re
 
 import pyarrow as pa
 import pytest
@@ -294,6 +297,51 @@ def test_multiset_hashes_merge(spark):
     assert whole[9][0] == 0 and whole[0] == whole[1] == whole[2] != whole[9] and whole[0][0] == 20  # the same items under three keys
 
 
+def test_ignore_patterns(spark):
+    """Every kind of rule against a matcher of whole segments."""
+    def fits(segments, rule):
+        if not rule:
+            return not segments
+        if rule == ["**"]:
+            return True  # a last `**` is the place and everything below
+        if rule[0] == "**":
+            return fits(segments, rule[1:]) or bool(segments) and fits(segments[1:], rule)
+        return bool(segments) and fnmatch.fnmatchcase(segments[0], rule[0]) and fits(segments[1:], rule[1:])
+
+    names = ["a", "b.py", "ab", "x+y", "(c)"]
+    paths = ["/".join(p) for n in (1, 2, 3, 4) for p in itertools.product(names, repeat=n)]
+    rules = ["a", "a/*", "a/**", "**/b.py", "a/**/b.py", "*/ab/**", "**/a/**/ab", "a?/*", "**/*.py", "x+y/(c)/*", "*", "a*/**/*.py", "**/a/**", " ", "a/b.py/x+y"]
+    files = spark.createDataFrame([(f"p{i}", p) for i in range(len(rules)) for p in paths], "project_id string, rel string")
+    table = spark.createDataFrame([(f"p{i}", 0, r) for i, r in enumerate(rules)], "project_id string, ordinal int, path string")
+    got = {}
+    for r in fs.match_ignores(files, table, wildcards=True).collect():
+        got.setdefault(r.project_id, set()).add(r.rel)
+    plain = {(r.project_id, r.rel) for r in fs.match_ignores(files, table).collect()}
+    assert {int(p[1:]) for p, _ in plain} == {i for i, r in enumerate(rules) if not re.search("[*?]", re.sub(r"/[*]+$", "", r)) and r.strip()}
+    assert plain == {(f"p{i}", rel) for i in {int(p[1:]) for p, _ in plain} for rel in got[f"p{i}"]}
+    for i, rule in enumerate(rules):
+        want = {p for p in paths if rule.strip() and fits(p.split("/"), rule.split("/"))}
+        assert got.get(f"p{i}", set()) == want, rule
+    # the first rule names a file
+    both = spark.createDataFrame([("p0", 2, "a/**"), ("p0", 1, "**/b.py")], "project_id string, ordinal int, path string")
+    assert {r.rel: r.rule_path for r in fs.match_ignores(files.filter("rel in ('a/b.py', 'a/a')"), both, wildcards=True).collect()} == {"a/b.py": "**/b.py", "a/a": "a/**"}
+
+
+def test_a_rule_that_hides_most_files_warns(spark):
+    files = spark.createDataFrame([("p", f"src/{i}.py", 1) for i in range(6)] + [("p", "a.txt", 1), ("q", "src/x", 1), ("q", "y", 1)], "project_id string, rel string, length long").withColumn("modification_time", F.lit(None).cast("timestamp"))
+    rules = spark.createDataFrame([("p", 0, "src/**"), ("q", 0, "src/**")], "project_id string, ordinal int, path string")
+    marked = fs.mark_ignores(files, rules)
+    assert [tuple(r) for r in fs.ignore_warnings(marked).collect()] == [("p", "E-SCAN-020", "src/**")]
+    texts = spark.createDataFrame([], "project_id string, rel string, length long, text string")
+    probed = spark.createDataFrame([], wt.PROBE_SCHEMA)
+    scanned = check.scan(files, ignores=rules, texts=texts, probed=probed)
+    assert ("p", "E-SCAN-020", "src/**") in {tuple(r) for r in scanned.warnings.collect()}
+    placed = graph.in_order(scanned.warnings.withColumn("message", F.lit("")), graph.WARNING_ORDER).collect()
+    for p in {r.project_id for r in placed}:
+        own = sorted((r for r in placed if r.project_id == p), key=lambda r: r.position)
+        assert [r.position for r in own] == list(range(1, len(own) + 1)) and own == sorted(own, key=lambda r: (r.code, r.path))
+
+
 def test_suggestions_cannot_touch_findings(spark):
     answer = json.dumps({"job": "explain", "findings": [{"id": "f1", "explanation": "x\u0007y"}, {"id": "nope", "explanation": "z"}],
                          "overrides": [{"finding_id": "f1", "op": "delete"}]})
