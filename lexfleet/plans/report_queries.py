@@ -301,6 +301,51 @@ def sarif_rules(spark, sf):
     return r.select("project_id", "rule_id", "rule_index", "level")
 
 
+def _added(texts):
+    """A number that adds up over the texts of an array, in any order."""
+    return F.aggregate(texts, F.lit(0).cast("long"), lambda a, x: a + F.conv(F.substring(F.md5(x), 1, 8), 16, 10).cast("long"))
+
+
+@query
+def sarif_documents(spark, sf):
+    """SARIF logs in small pages, opened again: results, their rules by index, a sum over all."""
+    docs = reports.sarif_documents(core.rule_outcomes(spark, sf), page_size=7)
+    result = "struct<ruleId:string,ruleIndex:int,level:string,locations:array<struct<physicalLocation:struct<artifactLocation:struct<uri:string>,region:struct<startLine:int>>>>>"
+    log = F.from_json("document", f"version string, runs array<struct<tool:struct<driver:struct<rules:array<struct<id:string>>>>,results:array<{result}>>>")
+    d = docs.select("project_id", log.alias("log")).select("project_id", "log.version", F.get("log.runs", F.lit(0)).alias("run"))
+    place = lambda r: F.get(r["locations"], F.lit(0))["physicalLocation"]
+    said = F.transform("run.results", lambda r: F.concat_ws("|", r["ruleId"], r["level"], place(r)["artifactLocation"]["uri"], place(r)["region"]["startLine"]))
+    right = F.size(F.filter("run.results", lambda r: F.get(F.col("run.tool.driver.rules"), r["ruleIndex"])["id"] == r["ruleId"]))
+    return d.groupBy("project_id", "version").agg(
+        F.sum(F.size("run.results")).alias("results"), F.sum(right).alias("indexed"), F.max(F.size("run.tool.driver.rules")).alias("rules"), F.sum(_added(said)).alias("said"))
+
+
+@query
+def spdx_documents(spark, sf):
+    """SPDX documents in small pages, opened again: packages, what the root contains, ids."""
+    deps, intents = core.inputs(spark, sf)
+    outcomes = core.all_outcomes(deps, intents)
+    packages = sbom.spdx_packages(sbom.components(deps, outcomes, intents))
+    docs = sbom.spdx(packages, vd.fold(outcomes, intents), sbom.document_digest(deps), page_size=3)
+    body = F.from_json("document", "spdxVersion string, packages array<struct<SPDXID:string,name:string,comment:string>>, relationships array<struct<relationshipType:string,relatedSpdxElement:string>>")
+    d = docs.select("project_id", body.alias("d")).select("project_id", "d.*")
+    own = F.filter("packages", lambda p: p["SPDXID"] != "SPDXRef-RootPackage")
+    linked = F.filter("relationships", lambda r: r["relationshipType"] == "CONTAINS")
+    root = F.get(F.filter("packages", lambda p: p["SPDXID"] == "SPDXRef-RootPackage"), F.lit(0))["comment"]
+    return d.groupBy("project_id", F.col("spdxVersion").alias("version"), root.alias("comment")).agg(
+        F.sum(F.size(own)).alias("packages"), F.sum(F.size(linked)).alias("contains"), F.sum(_added(F.transform(own, lambda p: F.concat_ws("|", p["SPDXID"], p["name"])))).alias("ids"),
+        (F.sum(_added(F.transform(own, lambda p: p["SPDXID"]))) == F.sum(_added(F.transform(linked, lambda r: r["relatedSpdxElement"])))).alias("same"))
+
+
+@query
+def markdown_lines(spark, sf):
+    """How many items each project's Markdown report lists, per section."""
+    outcomes = core.rule_outcomes(spark, sf)
+    v = vd.fold(outcomes, b.intents(spark, sf)).join(vd.dependency_counts(b.dependencies(spark, sf)), "project_id", "left").fillna(0)
+    return reports.markdown_report(v, outcomes).groupBy("project_id", "section").agg(
+        F.count_if(F.col("line").startswith("- ")).alias("items"), F.count_if(F.col("line").startswith("  - Gate:")).alias("gated"))
+
+
 @query
 def verdict_json(spark, sf):
     """Verdict documents, opened again: counts, and a sum over the hashes of all items."""
