@@ -39,11 +39,13 @@ def moved(spark):
 def main():
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "2"))
+    runs = int(os.environ.get("BENCH_RUNS", "3"))
     names = sys.argv[1:] or HEADLINE
     shuffle = os.environ.get("BENCH_SHUFFLE", cpus if cpus.isdigit() else "8")
     spark = session.configure(
         SparkSession.builder.master(f"local[{cpus}]").appName("lexfleet-bench").config("spark.sql.shuffle.partitions", shuffle)
+        # vectored reads are not counted as input
+        .config("spark.hadoop.parquet.hadoop.vectored.io.enabled", "false")
         .config("spark.driver.memory", "20g").config("spark.ui.enabled", "false")).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     queries, seconds, nested, shuffled, read = load_queries(), {}, [], {}, {}
