@@ -17,8 +17,9 @@ from lexfleet.sources import assets, files as fs, manifests as mf, signals as sg
 
 DEPENDENCY_COLUMNS = [
     "project_id", "id", "kind", "name", "version", "ecosystem", "scope", "direct", "spdx", "raw", "licence_source", "expression", "resolved",
-    "licence_confidence", "declared_licence", "evidence_path", "evidence_line", "signal",
+    "licence_confidence", "declared_licence", "evidence_path", "evidence_line", "signal", "metadata",
 ]
+_OTHER_TYPES = {"metadata": "map<string,string>"}  # the rest are strings where a stage has none
 
 
 @dataclass
@@ -45,7 +46,7 @@ def _union(frames):
 
 def _staged(df: DataFrame, stage: int) -> DataFrame:
     """Dependency columns plus the position that decides which write of an id is last."""
-    have = [F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in DEPENDENCY_COLUMNS]
+    have = [F.col(c) if c in df.columns else F.lit(None).cast(_OTHER_TYPES.get(c, "string")).alias(c) for c in DEPENDENCY_COLUMNS]
     return df.select(*have).withColumn("stage_seq", F.struct(F.lit(stage).alias("stage"), "scope", "evidence_path", "evidence_line"))
 
 

@@ -342,6 +342,14 @@ def test_a_rule_that_hides_most_files_warns(spark):
         assert [r.position for r in own] == list(range(1, len(own) + 1)) and own == sorted(own, key=lambda r: (r.code, r.path))
 
 
+def test_metadata_of_declarations_stays(spark):
+    text = json.dumps({"name": "x", "dependencies": {"a": "^1.0.0"}, "devDependencies": {"b": "2.0.0"}})
+    files = spark.createDataFrame([("p", "package.json", len(text))], "project_id string, rel string, length long").withColumn("modification_time", F.lit(None).cast("timestamp"))
+    texts = spark.createDataFrame([("p", "package.json", len(text), text)], "project_id string, rel string, length long, text string")
+    scanned = check.scan(files, texts=texts, probed=spark.createDataFrame([], wt.PROBE_SCHEMA))
+    assert {r.name: r.metadata for r in scanned.dependencies.collect()} == {"a": {"version_is_requirement": "true"}, "b": {"dev": "true"}}
+
+
 def test_suggestions_cannot_touch_findings(spark):
     answer = json.dumps({"job": "explain", "findings": [{"id": "f1", "explanation": "x\u0007y"}, {"id": "nope", "explanation": "z"}],
                          "overrides": [{"finding_id": "f1", "op": "delete"}]})
