@@ -13,11 +13,19 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from lexfleet.llm import common, contextual_pii, decontamination, language_id, ngram_join, packing
 
 CONTEXT = 4096
+FEW_ROWS, MANY_ROWS = 1000, 10_000  # of an Arrow batch
 LEAST_SCORE = 0.5  # a language that is less likely than all others together is rejected
 
 
+def _rows_per_batch(spark: SparkSession, rows: int) -> None:
+    """How many rows Spark hands to a Python step at a time, from here on: whole texts are
+    large, and a batch stands in the JVM and in the worker. Results do not depend on it."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without letters or without a language that stands out."""
+    _rows_per_batch(spark, FEW_ROWS)
     model = language_id.fit(docs.filter(~language_id.held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()))
     found = language_id.predict(docs, model, lang="_language_found", score="_language_score")
     return found.filter((F.col("_language_found") != language_id.UNKNOWN) & (F.col("_language_score") >= LEAST_SCORE)).select(*docs.columns)
@@ -27,6 +35,7 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Keeps the document with the smallest id of each group; rows without an id are
     in no group and stay. Rows that repeat an id stay or go together, and of those that
     repeat the text as well one stays: no text is lost."""
+    _rows_per_batch(spark, MANY_ROWS)  # equal shingles of a batch are sent once
     groups = common.staged(ngram_join.join(docs))
     first = groups.filter("doc_id = component_id").select("doc_id").distinct()
     few = first.count() <= ngram_join.BROADCAST_IDS
@@ -38,6 +47,7 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a test item."""
+    _rows_per_batch(spark, FEW_ROWS)
     return decontamination.without_leaks(docs, common.table(spark, sf_dir, "benchmark"))
 
 
@@ -49,6 +59,7 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in training sequences."""
+    _rows_per_batch(spark, FEW_ROWS)
     return packing.pack_documents(docs, tokens=CONTEXT)
 
 
