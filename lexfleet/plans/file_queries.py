@@ -127,7 +127,7 @@ def longest_prefix_owner(spark, sf):
 def brand_assets(spark, sf):
     """Brand files, folders and trademark notices inside every part's dependency tree,
     the strongest signal of each directory as an asset of its unit."""
-    p = b.table(spark, sf, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("project_id"), F.col("p_partkey").cast("string").alias("k"))
+    p = b.spread(b.table(spark, sf, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("project_id"), F.col("p_partkey").cast("string").alias("k")), "project_id")
     at = lambda *x: F.concat(*[F.col(v[1:]) if v.startswith("$") else F.lit(v) for v in x])
     rows = [
         (at("app/package.json"), F.lit(None)), (at("app/node_modules/m", "$k", "/Logo.svg"), F.lit(None)), (at("app/node_modules/m", "$k", "/TRADEMARKS.md"), at("first\nwords ", "$k")),
@@ -142,8 +142,8 @@ def brand_assets(spark, sf):
 # ---- manifests: text made from every part ---------------------------------------------
 
 def part_texts(spark, sf, text):
-    p = b.table(spark, sf, "part").select("*", F.regexp_replace("p_name", " ", "-").alias("n"), F.col("p_partkey").cast("string").alias("k"),
-                                          F.col("p_size").cast("string").alias("v"))
+    p = b.spread(b.table(spark, sf, "part"), "p_partkey").select("*", F.regexp_replace("p_name", " ", "-").alias("n"), F.col("p_partkey").cast("string").alias("k"),
+                                                                 F.col("p_size").cast("string").alias("v"))
     return p.select(F.concat(F.lit("p"), "k").alias("project_id"), F.lit("m").alias("rel"), text.alias("text"))
 
 

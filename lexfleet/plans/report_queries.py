@@ -131,8 +131,8 @@ def env_keys(spark, sf):
 
 def _source_files(spark, sf):
     """A Go, Python, JavaScript, shell, Docker, workflow and sample-env file per part."""
-    p = b.table(spark, sf, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("project_id"), F.regexp_replace("p_name", " ", "-").alias("n"),
-                                          F.col("p_partkey").cast("string").alias("k"))
+    p = b.spread(b.table(spark, sf, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("project_id"), F.regexp_replace("p_name", " ", "-").alias("n"),
+                                                   F.col("p_partkey").cast("string").alias("k")), "project_id")
     t = lambda *x: F.concat(*[F.col(v[1:]) if v.startswith("$") else F.lit(v) for v in x])
     rows = [
         ("cmd/main.go", t("package main\n// exec.Command(\"no\")\nfunc f() {\n\texec.Command(\"", "$n", "\", \"-v\")\n\texec.CommandContext(ctx, `tool", "$k", "`)\n\texec.Command(name)\n\texec.Command(\"git\")\n}\n")),
