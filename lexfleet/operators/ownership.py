@@ -3,16 +3,16 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lexfleet.functions import fixed, ids, text
-from lexfleet.session import fact_join
+from lexfleet.session import fact_join, grown
 
 
 def containing_scope(files: DataFrame, units: DataFrame) -> DataFrame:
     """Adds `scope`: the deepest unit directory above the file, `.` when none."""
     dirs = units.select("project_id", "dir").distinct().filter(F.col("dir") != ".").withColumnRenamed("dir", "_dir")
     probes = files.select("project_id", "rel", F.explode(text.path_prefixes("rel")).alias("_dir"))
-    best = fact_join(probes, dirs, ["project_id", "_dir"], "inner").groupBy("project_id", "rel").agg(
+    best = fact_join(probes, grown(dirs), ["project_id", "_dir"], "inner").groupBy("project_id", "rel").agg(
         F.max_by("_dir", F.length("_dir")).alias("scope"))
-    out = files.join(best, ["project_id", "rel"], "left")
+    out = files.join(grown(best), ["project_id", "rel"], "left")
     return out.withColumn("scope", F.coalesce("scope", F.lit(".")))
 
 
@@ -34,7 +34,7 @@ def owner_of(files: DataFrame, packages: DataFrame) -> DataFrame:
         "project_id", "rel", F.col("scope").alias("_scope"), F.explode(text.path_prefixes("_rest")).alias("name"))
     named = packages.filter((F.col("kind") == "package") & (F.col("name") != "")).select(
         "project_id", "name", F.col("id").alias("owner_id"), F.col("scope").alias("_pscope"))
-    hit = fact_join(probes, named, ["project_id", "name"], "inner")
+    hit = fact_join(probes, grown(named), ["project_id", "name"], "inner")
     order = F.struct((F.col("_pscope") != F.col("_scope")).alias("other"), (-F.length("name")).alias("len"), "owner_id")
     return hit.groupBy("project_id", "rel").agg(F.min_by("owner_id", order).alias("owner_id"))
 
