@@ -304,7 +304,8 @@ def package_blocks(text="text") -> Column:
 
 
 def locked_packages(files: DataFrame) -> DataFrame:
-    rows = files.select("project_id", "rel", F.explode(package_blocks()).alias("p"))
+    # outer: for the plain form the optimizer adds a filter that reads every file once more, and where the files are not yet dealt out
+    rows = files.select("project_id", "rel", F.explode_outer(package_blocks()).alias("p")).filter(F.coalesce("p.name", F.lit("")) != "")
     return rows.select("project_id", "rel", "p.name", "p.version", "p.source", "p.category", "p.line")
 
 
