@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexfleet.operators import ownership as own
+from lexfleet.operators.ranking import ordinal_within, running_total
 from lexfleet.plans import file_queries as fq, report_queries as rq
 
 SF = "/root/testdata/sf0.001"
@@ -33,3 +34,17 @@ def test_no_side_that_explode_makes_is_broadcast(spark):
     scoped = own.containing_scope(files, units)
     assert "BroadcastExchange" not in plan(scoped)
     assert scoped.filter("scope = 'app'").count() == 50
+
+
+def test_small_groups_are_numbered_without_a_checkpoint(spark):
+    rows = spark.range(900).select((F.col("id") % 7).alias("g"), F.sha2(F.col("id").cast("string"), 256).alias("k"))
+    placed = ordinal_within(rows, ["g"], ["k"])
+    assert "ExistingRDD" not in plan(placed)
+
+
+def test_groups_beyond_the_limit_are_cut_and_whole(spark):
+    rows = spark.range(3000).select(F.when(F.col("id") % 3 > 0, F.col("id") % 50).alias("g"), F.sha2(F.col("id").cast("string"), 256).alias("k"), F.col("id").alias("v"))
+    for f in (lambda **x: ordinal_within(rows, ["g"], ["k"], "p", **x), lambda **x: running_total(rows, ["g"], ["k"], "v", "p", **x)):
+        whole, cut = f(), f(limit=100)  # the null group has a thousand rows
+        assert "ExistingRDD" in plan(cut)
+        assert sorted(map(str, whole.collect())) == sorted(map(str, cut.collect()))
