@@ -48,3 +48,11 @@ def test_groups_beyond_the_limit_are_cut_and_whole(spark):
         whole, cut = f(), f(limit=100)  # the null group has a thousand rows
         assert "ExistingRDD" in plan(cut)
         assert sorted(map(str, whole.collect())) == sorted(map(str, cut.collect()))
+
+
+def test_rules_that_share_an_id_stay_apart(spark):
+    from lexfleet.operators import predicate_rows
+
+    rules = spark.createDataFrame([("a", "true"), ("a", "{"), ("b", "true"), ("b", "true")], "rule_id string, when_text string")
+    got = sorted((r.rule_id, r.error or "", r.sentence or "") for r in predicate_rows.described(rules).collect())
+    assert got == [("a", "", "true"), ("a", "the text is no JSON", ""), ("b", "", "true"), ("b", "", "true")]
