@@ -56,3 +56,16 @@ def test_rules_that_share_an_id_stay_apart(spark):
     rules = spark.createDataFrame([("a", "true"), ("a", "{"), ("b", "true"), ("b", "true")], "rule_id string, when_text string")
     got = sorted((r.rule_id, r.error or "", r.sentence or "") for r in predicate_rows.described(rules).collect())
     assert got == [("a", "", "true"), ("a", "the text is no JSON", ""), ("b", "", "true"), ("b", "", "true")]
+
+
+def test_proofs_of_deep_trees_have_plans_that_grow_by_the_level(spark):
+    from lexfleet.operators import digests as dg
+
+    rows = spark.range(300).select(F.concat(F.lit("f"), F.col("id").cast("string")).alias("name"))
+    leaves = dg.leaves(rows, "name", F.col("name"))
+    sizes = []
+    for depth in (2, 4, 6):
+        proofs = dg.proofs(rows.filter("name in ('f7', 'f8')"), leaves, dg.merkle(leaves, depth), depth)
+        sizes.append(proofs._jdf.queryExecution().optimizedPlan().toString().count("Join"))
+    assert sizes[2] - sizes[1] <= sizes[1] - sizes[0] <= 6
+    assert sorted(r.name for r in proofs.collect()) == ["f7", "f8"] and all(len(r.path) == 6 for r in proofs.collect())
