@@ -65,3 +65,28 @@ def test_state_store_is_put_back(spark):
     with latest.state_store(spark):
         assert spark.conf.get(latest.PROVIDER) == latest.ROCKSDB
     assert spark.conf.get(latest.PROVIDER, None) == before
+
+
+def test_changes_of_every_epoch_add_up_without_python(spark, tmp_path):
+    """Sums over the changes of the epochs so far are what stands after them, and state
+    is kept by Spark's aggregate."""
+    rng = random.Random(3)
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    batches = [[(f"p{rng.randrange(2)}", f"n{rng.randrange(5)}", 10 * b + k, "package", rng.choice(LICENCES)) for k in range(6)] for b in (1, 0, 2)]
+    for rows in batches:
+        spark.createDataFrame(rows, VERSION).coalesce(1).write.mode("append").parquet(source)
+    intents = b.literal_intents(spark.createDataFrame([("p0",), ("p1",)], "project_id string"), {"x": {"use_commercial": True}})
+    stream = spark.readStream.schema(VERSION).option("maxFilesPerTrigger", 1).parquet(source)
+    versions = latest.last_outcomes(ev.evaluation_rows(rows_of(stream), intents, core.corpus()), core.corpus(), ["at"])
+    assert "TransformWithState" not in versions._jdf.queryExecution().analyzed().toString()
+    with latest.state_store(spark):
+        versions.writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).foreachBatch(
+            lambda batch, epoch: batch.write.parquet(f"{out}/epoch={epoch}")).start().awaitTermination()
+    landed = spark.read.parquet(out)
+    keys = ["project_id", "dependency_id", "rule_id", "reason"]
+    moved = latest.changes(landed)
+    assert moved.filter("n < 0").count() > 0
+    for e in range(3):
+        got = moved.filter(F.col("epoch") <= e).groupBy(*keys).agg(F.sum("n").alias("n")).filter("n <> 0")
+        want = latest.standing(landed.filter(F.col("epoch") <= e), *keys)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
