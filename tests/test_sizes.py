@@ -69,3 +69,12 @@ def test_proofs_of_deep_trees_have_plans_that_grow_by_the_level(spark):
         sizes.append(proofs._jdf.queryExecution().optimizedPlan().toString().count("Join"))
     assert sizes[2] - sizes[1] <= sizes[1] - sizes[0] <= 6
     assert sorted(r.name for r in proofs.collect()) == ["f7", "f8"] and all(len(r.path) == 6 for r in proofs.collect())
+
+
+@pytest.mark.parametrize("name,scans", [("report_lines", 3), ("markdown_lines", 3), ("verdict_json", 3), ("clock_free_hash", 6)])
+def test_documents_read_the_line_items_once_a_use(spark, name, scans):
+    """One pass for the verdicts, one for all items of a document, one for the counts."""
+    from lexfleet.plans import load_queries
+
+    text = load_queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Relation" in line and "l_partkey" in line for line in text.splitlines()) <= scans
