@@ -78,3 +78,44 @@ def test_documents_read_the_line_items_once_a_use(spark, name, scans):
 
     text = load_queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert sum("Relation" in line and "l_partkey" in line for line in text.splitlines()) <= scans
+
+
+def test_few_rules_are_tried_in_the_row_and_many_by_key(spark):
+    """The same first rule both ways, and files that no rule makes into more rows."""
+    from lexfleet.sources import files as fs
+
+    paths = [f"{a}/{b}/{c}" for a in "xy" for b in ("n", "m", "n m") for c in ("1.py", "2.js")] + ["1.py", "x/1.py", "y\\n\\q.py"]
+    files = spark.createDataFrame([(p, r) for p in ("few", "many", "none") for r in paths], "project_id string, rel string")
+    shapes = ["**/1.py", "x/n/**", "y/*/2.js", "x/*", "1.py", "y/n", "**", "y/**"]
+    rules = spark.createDataFrame([("few", i, r) for i, r in enumerate(shapes)] + [("many", i, r) for i, r in enumerate(shapes)]
+                                  + [("many", 100 + i, f"z/{i}/**") for i in range(fs.RULES_IN_ROW)], "project_id string, ordinal int, path string")
+    for wildcards in (False, True):
+        marked = fs.mark_ignores(files, rules, wildcards=wildcards)
+        got = {}
+        for r in marked.collect():
+            got.setdefault(r.project_id, []).append((r.rel, r.ignored_by))
+        assert sorted(got["few"], key=str) == sorted(got["many"], key=str) and len(got["none"]) == len(paths)
+        assert any(by for _, by in got["few"]) and not any(by for _, by in got["none"])
+    few = fs._with_rules(files, fs.ignore_keys(rules))
+    assert "explode" not in plan(few) and few.count() == files.count()
+
+
+def test_exceptions_are_joined_once(spark):
+    from lexfleet.operators import orgpolicy
+
+    ex = spark.createDataFrame([("a", 3, "d", None, "any"), ("a", 1, "d", "k", "named"), ("a", 5, "d", "l", "late"), ("b", 1, "e", "k", "other")],
+                               "org string, ordinal int, dependency string, kind string, owner string").withColumn("expires", F.lit("2027-01-01")).withColumn("reason", F.lit("r"))
+    found = spark.createDataFrame([("a", "d", "k"), ("a", "d", "l"), ("a", "d", "m"), ("a", "e", "k"), ("b", "e", "k"), ("b", "e", "l"), ("a", "d", None), (None, "d", "k")],
+                                  "org string, dependency_id string, rule_id string")
+    matched = orgpolicy.match_exceptions(found, ex)
+    assert matched._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter") == 1
+    got = {(r.org, r.dependency_id, r.rule_id): r.exception and r.exception.owner for r in matched.collect()}
+    assert got == {("a", "d", "k"): "named", ("a", "d", "l"): "any", ("a", "d", "m"): "any", ("a", "e", "k"): None, ("b", "e", "k"): "other",
+                   ("b", "e", "l"): None, ("a", "d", None): None, (None, "d", "k"): None}
+
+
+def test_sarif_rules_evaluate_once(spark):
+    from lexfleet.plans import load_queries
+
+    text = load_queries()["sarif_rules"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Relation" in line and "l_partkey" in line for line in text.splitlines()) == 1
