@@ -190,23 +190,57 @@ def ignore_keys(rules: DataFrame, wildcards=False) -> DataFrame:
     return rules.filter(p != "").select("project_id", "ordinal", F.col("path").alias("rule_path"), form.alias("form"), key.alias("key"), F.when(wild, path_pattern(p)).alias("pattern"))
 
 
-def match_ignores(files: DataFrame, rules: DataFrame, wildcards=False) -> DataFrame:
-    """Ignored files with the first rule (by ordinal) that names them."""
+RULES_IN_ROW = 64  # rules of a project that are tried one by one at every file
+
+
+def _first_in_row(rel: Column, rules: Column) -> Column:
+    """Path of the first rule (by ordinal) of an array of rules that names the file, or null."""
+    folder, inside = text.dir_name(rel), F.concat(F.lit("/"), rel, F.lit("/"))
+    place = lambda r: (
+        F.when(r["form"] == "exact", r["key"] == rel).when(r["form"] == "children", r["key"] == folder)
+        .when(r["form"] == "tree", (r["key"] == rel) | F.startswith(rel, F.concat(r["key"], F.lit("/"))))
+        .when(r["form"] == "segment", F.contains(inside, F.concat(F.lit("/"), r["key"], F.lit("/")))).otherwise(F.lit(True)))
+    hits = F.filter(rules, lambda r: place(r) & (r["pattern"].isNull() | F.regexp_like(rel, r["pattern"])))
+    return F.array_min(F.transform(hits, lambda r: F.struct(r["ordinal"], r["rule_path"])))["rule_path"]
+
+
+def _with_rules(files: DataFrame, keys: DataFrame) -> DataFrame:
+    """Files with `_rules`, the rules of their project (a document names them, so a row holds them)."""
+    lists = keys.groupBy("project_id").agg(F.collect_list(F.struct("ordinal", "rule_path", "form", "key", "pattern")).alias("_rules"))
+    return fact_join(files, lists, "project_id", "left")
+
+
+def _first_by_key(files: DataFrame, keys: DataFrame, wildcards: bool) -> DataFrame:
+    """The same for any number of rules: every place that could name a file is looked up."""
     cell = lambda form, key: F.struct(F.lit(form).alias("form"), key.alias("key"))
     rel = F.regexp_replace("rel", r"\\", "/")
     cells = F.concat(
         F.array(cell("exact", rel), cell("children", text.dir_name("rel")), *([cell("any", F.lit(""))] if wildcards else [])),
-        F.transform(text.path_prefixes("rel"), lambda k: cell("tree", k)),
+        F.transform(text.path_prefixes(rel), lambda k: cell("tree", k)),
         *([F.transform(F.array_distinct(F.split(rel, "/")), lambda k: cell("segment", k))] if wildcards else []))
     probes = files.select("project_id", "rel", rel.alias("_rel"), F.explode(cells).alias("_c")).select("project_id", "rel", "_rel", "_c.*")
-    hits = fact_join(probes, ignore_keys(rules, wildcards), ["project_id", "form", "key"], "inner")
+    hits = fact_join(probes, keys, ["project_id", "form", "key"], "inner")
     hits = hits.filter(F.col("pattern").isNull() | F.regexp_like("_rel", F.col("pattern")))
     return hits.groupBy("project_id", "rel").agg(F.min_by("rule_path", "ordinal").alias("rule_path"))
 
 
+def match_ignores(files: DataFrame, rules: DataFrame, wildcards=False) -> DataFrame:
+    """Ignored files with the first rule (by ordinal) that names them."""
+    return mark_ignores(files.select("project_id", "rel").distinct(), rules, wildcards).filter(
+        F.col("ignored_by").isNotNull()).select("project_id", "rel", F.col("ignored_by").alias("rule_path"))
+
+
 def mark_ignores(files: DataFrame, rules: DataFrame, wildcards=False) -> DataFrame:
-    """All files with `ignored_by`, the rule that hides them or null."""
-    return files.join(match_ignores(files, rules, wildcards).withColumnRenamed("rule_path", "ignored_by"), ["project_id", "rel"], "left")
+    """All files with `ignored_by`, the rule that hides them or null. A file crosses one shuffle
+    and is one row there; only projects with more than RULES_IN_ROW rules are looked up by key."""
+    keys = ignore_keys(rules, wildcards)
+    both = _with_rules(files, keys)
+    many = F.coalesce(F.size("_rules") > RULES_IN_ROW, F.lit(False))
+    few = both.filter(~many).withColumn("ignored_by", _first_in_row(F.regexp_replace("rel", r"\\", "/"), F.col("_rules"))).drop("_rules")
+    rest = both.filter(many).drop("_rules")
+    crowded = keys.join(keys.groupBy("project_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > RULES_IN_ROW).select("project_id"), "project_id", "left_semi")
+    looked = rest.join(_first_by_key(rest.select("project_id", "rel"), crowded, wildcards).withColumnRenamed("rule_path", "ignored_by"), ["project_id", "rel"], "left")
+    return few.unionByName(looked)
 
 
 def apply_ignores(files: DataFrame, rules: DataFrame) -> DataFrame:
