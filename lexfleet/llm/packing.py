@@ -23,6 +23,7 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -31,7 +32,7 @@ from lexfleet.llm import common
 VOCABULARY = "word_bpe_49k.json"
 CLOSING_ID = 2
 POOL = 1024  # open examples per task
-CACHED_WORDS = 700_000  # per Python worker; beyond it the cache starts anew
+CACHED_WORDS = 700_000  # per Python worker, in two halves; a full half takes the other's place
 
 
 def _byte_letters():
@@ -65,39 +66,58 @@ class WordEncoder:
         spelt = _byte_letters()
         self.spelling = {ord(c): "".join(spelt[b] for b in c.lower().encode()) for c in letters}
         self.letters, self.marks = frozenset(letters), ".,!?;:"
-        self.words, self.parts = {"": b""}, {}
+        self.words, self.older, self.parts = {}, {}, {}
+        self.four = [id_bytes([i]) for i in range(max(self.tokenizer.get_vocab().values()) + 1)]
 
     def _part(self, part):
         ids = self.parts.get(part)
         if ids is None:
             if len(self.parts) >= CACHED_WORDS:
                 self.parts.clear()
-            ids = self.parts[part] = id_bytes([t.id for t in self.model.tokenize(part)])
+            ids = self.parts[part] = b"".join([self.four[t.id] for t in self.model.tokenize(part)])
         return ids
 
     def learn(self, words):
-        """Make all of `words` known at once; a full cache starts anew before."""
-        if len(self.words) + len(words.difference(self.words)) > CACHED_WORDS:
-            self.words = {"": b""}
-        words = words.difference(self.words)
-        hard, letters, marks, spelling, known = [], self.letters, self.marks, self.spelling, self.words
-        for w in words:
+        """The ids of a list of different words, from the cache or made now."""
+        known, older = self.words, self.older
+        held = list(map(known.get, words))
+        new = [w for w, i in zip(words, held) if i is None]
+        if len(known) + len(new) > CACHED_WORDS // 2:  # words still in use move over
+            self.older = older = known
+            self.words = known = {w: i for w, i in zip(words, held) if i is not None}
+        hard, letters, marks, spelling, part = [], self.letters, self.marks, self.spelling, self._part
+        for w in new:
+            if w in older:
+                known[w] = older[w]
+                continue
             stem = w.rstrip(marks)
             if stem and letters.issuperset(stem):
-                ids = self._part(stem.translate(spelling))
-                known[w] = ids + self._part(w[len(stem) :]) if len(stem) < len(w) else ids
+                ids = part(stem.lower() if stem.isascii() else stem.translate(spelling))
+                known[w] = ids + part(w[len(stem) :]) if len(stem) < len(w) else ids
             else:
                 hard.append(w)
         for lo, hi in common.steps(hard):
             for w, e in zip(hard[lo:hi], self.tokenizer.encode_batch_fast(hard[lo:hi], add_special_tokens=False)):
                 known[w] = id_bytes(e.ids)
+        return [known[w] if i is None else i for w, i in zip(words, held)] if new else held
 
     def encode(self, texts):
-        """The ids of each text as little-endian unsigned 32-bit numbers."""
-        split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        self.learn(set().union(*split))
-        get = self.words.__getitem__
-        return [b"".join(map(get, ws)) for ws in split]
+        """The ids of each text as little-endian unsigned 32-bit numbers. Only the
+        different words of `texts` become Python strings; their ids are put in the
+        places of all words at once."""
+        if not texts:
+            return []
+        lists = pc.split_pattern(pa.array([t.replace("\n", " ") if t else "" for t in texts], pa.large_string()), " ")
+        coded = lists.flatten().dictionary_encode()
+        ids = self.learn(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        of_word = np.frombuffer(b"".join(ids), "<u4")
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        codes = coded.indices.to_numpy()
+        ends = np.r_[0, np.cumsum(sizes[codes])]
+        ahead = (np.cumsum(sizes) - sizes)[codes] - ends[:-1]
+        out = of_word[np.repeat(ahead, sizes[codes]) + np.arange(ends[-1])]
+        cuts = ends[lists.offsets.to_numpy()].tolist()
+        return [out[i:j].tobytes() for i, j in zip(cuts, cuts[1:])]
 
 
 @common.kept
@@ -163,8 +183,9 @@ class DotProductPacker:
         alive = np.ones(len(self.keys), bool)
         left = len(self.keys)
         shares = self.sizes / self.limits
+        tokens, segments, loss = self.sizes.T.copy()  # a column at a time costs a fraction
         while left > keep:
-            fits = alive & (self.sizes <= self.free).all(axis=1)
+            fits = alive & (tokens <= self.free[0]) & (segments <= self.free[1]) & (loss <= self.free[2])
             gain = shares @ (self.free / self.limits)
             if fits.any():
                 i = int(np.argmax(np.where(fits, gain, -1.0)))
@@ -174,12 +195,13 @@ class DotProductPacker:
                 continue
             take = int(min(self.free[0], self.free[2]))
             if self.cut and take > 0 and self.free[1] >= 1:
-                i = int(np.argmax(np.where(alive & (self.sizes[:, 0] > take), gain, -1.0)))
+                i = int(np.argmax(np.where(alive & (tokens > take), gain, -1.0)))
                 if alive[i] and self.sizes[i, 0] > take:
                     self._place(self.keys[i], self.starts[i], take, take)
                     self.starts[i] += take
                     self.sizes[i, 0] -= take
                     self.sizes[i, 2] = min(self.sizes[i, 2], self.sizes[i, 0])
+                    tokens[i], _, loss[i] = self.sizes[i]
                     shares[i] = self.sizes[i] / self.limits
             yield from self._close()
         self.keys = [k for k, a in zip(self.keys, alive) if a]

@@ -599,6 +599,17 @@ def test_full_word_caches(monkeypatch):
         assert c.totals(texts) == [len(c.model.encode(t)) for t in texts]
 
 
+def test_words_in_use_are_tokenized_once(monkeypatch):
+    """A cache that fills up keeps the words that come again and again."""
+    monkeypatch.setattr(packing, "CACHED_WORDS", 50)
+    enc, made = packing.WordEncoder(common.tokenizer_path(packing.VOCABULARY)), []
+    part = enc._part
+    monkeypatch.setattr(enc, "_part", lambda p: made.append(p) or part(p))
+    for i in range(40):
+        enc.encode(["alpha " + " ".join("abcdefghij"[k % 10] + "klmnopqrst"[i % 10] + "uvwxyzabcd"[i // 10] for k in range(10))])
+    assert made.count("alpha") == 1 and len(made) >= 400
+
+
 def test_long_runs_of_spaces():
     c = token_counts.PrefixCounter(common.tokenizer_path(token_counts.MODEL))
     assert [c.run(k) for k in range(2, 300)] == [len(c.model.encode(" " * (k - 1))) for k in range(2, 300)]
