@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from lexfleet.llm import common, contextual_pii, decontamination, language_id, ngram_join, packing
 
 CONTEXT = 4096
-FEW_ROWS, MANY_ROWS = 1000, 10_000  # of an Arrow batch
+FEW_ROWS = 1000  # of an Arrow batch
 LEAST_SCORE = 0.5  # a language that is less likely than all others together is rejected
 
 
@@ -35,7 +35,7 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Keeps the document with the smallest id of each group; rows without an id are
     in no group and stay. Rows that repeat an id stay or go together, and of those that
     repeat the text as well one stays: no text is lost."""
-    _rows_per_batch(spark, MANY_ROWS)  # equal shingles of a batch are sent once
+    _rows_per_batch(spark, FEW_ROWS)
     groups = common.staged(ngram_join.join(docs))
     first = groups.filter("doc_id = component_id").select("doc_id").distinct()
     few = first.count() <= ngram_join.BROADCAST_IDS

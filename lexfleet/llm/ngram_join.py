@@ -36,6 +36,7 @@ STEP = 1 << 20
 FEW = 32  # sets of a shingle up to which it gives pairs
 BLOCK_SETS, BLOCK_SHINGLES = 256, 1 << 18
 FRONT_ROWS = 1 << 19  # per part of the front table, and held before they are packed
+SEEN_SETS = 1 << 18  # of a task, whose equal sets are sent once
 BROADCAST_IDS = 4 << 20  # ids, 32 MB
 
 _LOWER = np.arange(256, dtype=np.uint64)
@@ -184,9 +185,8 @@ def _fronts(docs, heavy, parts, words, threshold):
 
     def run(batches):
         common.claim()
-        ranks = shared.value
-        for b in batches:
-            seen, shingles, keys, held = set(), [], [], 0
+        ranks, seen, shingles, keys, held = shared.value, set(), [], [], 0
+        for b in common.slices(batches, 2048):
             for _, s in _sets(b, words):
                 key = set_key(digest(s)) if len(s) else None
                 if key is None or key in seen:
@@ -198,8 +198,10 @@ def _fronts(docs, heavy, parts, words, threshold):
                 if held >= FRONT_ROWS:
                     yield packed(shingles, keys)
                     shingles, keys, held = [], [], 0
-            if held:
-                yield packed(shingles, keys)
+                    if len(seen) >= SEEN_SETS:
+                        seen.clear()
+        if held:
+            yield packed(shingles, keys)
 
     return docs.mapInArrow(run, "part long, shingles binary, keys binary")
 

@@ -586,6 +586,21 @@ def short_batches(seed=8):
         yield [" ".join("".join(rng.choice("abcdefg") for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(0, 60))) for _ in range(6)]
 
 
+def test_equal_sets_of_a_task_are_sent_once(spark):
+    """Whatever the size of the Arrow batches, so that a pipeline can keep them small."""
+    text = " ".join(f"w{i}" for i in range(40))
+    df = spark.range(60).coalesce(1).select(F.col("id").alias("_id"), F.lit(text).alias("_text"))
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, 7)
+    try:
+        rows = ngram_join._fronts(df, np.zeros(1 << ngram_join.SKETCH_BITS, np.uint8), 1, 5, ngram_join.THRESHOLD).collect()
+    finally:
+        spark.conf.set(key, before)
+    (s,) = ngram_join.shingle_sets([text])
+    assert sum(len(r["keys"]) for r in rows) == 8 * len(ngram_join.front(s, np.zeros(1 << ngram_join.SKETCH_BITS, np.uint8)))
+
+
 def test_full_word_caches(monkeypatch):
     """Words of a batch that were known before the cache filled up stay known for it."""
     monkeypatch.setattr(packing, "CACHED_WORDS", 50)
