@@ -387,8 +387,8 @@ def payload_rows(spark, sf):
     outcomes = core.rule_outcomes(spark, sf)
     f = reports.finding_rows(outcomes)
     p = sg.payload_rows(f, ev.undetermined(outcomes), "explain")
-    v = F.parse_json("payload")
-    return p.select("project_id", "item_id", F.variant_get(v, "$.project", "string").alias("project"), F.variant_get(v, "$.kind", "string").alias("kind"),
+    v = F.col("v")  # read once, not once a field
+    return p.select("project_id", "item_id", F.parse_json("payload").alias("v")).select("project_id", "item_id", F.variant_get(v, "$.project", "string").alias("project"), F.variant_get(v, "$.kind", "string").alias("kind"),
                     F.variant_get(v, "$.evidence_paths[0]", "string").alias("path"))
 
 

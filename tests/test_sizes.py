@@ -119,3 +119,8 @@ def test_sarif_rules_evaluate_once(spark):
 
     text = load_queries()["sarif_rules"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert sum("Relation" in line and "l_partkey" in line for line in text.splitlines()) == 1
+
+
+def test_payloads_are_written_and_read_once_a_row(spark):
+    text = rq.payload_rows(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("parseJson(") == 1 and text.count("to_json(") <= 1, text
