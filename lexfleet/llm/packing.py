@@ -32,7 +32,7 @@ from lexfleet.llm import common
 VOCABULARY = "word_bpe_49k.json"
 CLOSING_ID = 2
 POOL = 1024  # open examples per task
-CACHED_WORDS = 700_000  # per Python worker, in two halves; a full half takes the other's place
+CACHED_WORDS = 550_000  # per Python worker, in two halves; a full half takes the other's place
 
 
 def _byte_letters():
@@ -72,7 +72,7 @@ class WordEncoder:
     def _part(self, part):
         ids = self.parts.get(part)
         if ids is None:
-            if len(self.parts) >= CACHED_WORDS:
+            if len(self.parts) >= CACHED_WORDS // 2:
                 self.parts.clear()
             ids = self.parts[part] = b"".join([self.four[t.id] for t in self.model.tokenize(part)])
         return ids
