@@ -110,6 +110,22 @@ def test_sarif_and_sbom_documents(spark):
     assert len(ids) == len(set(ids)) == n
 
 
+def test_evaluated_components_are_the_joined_ones_in_fewer_shuffles(spark):
+    deps, intents = b.dependencies(spark, SF).limit(400), b.intents(spark, SF)
+    deps = session.materialise(deps.withColumn("project_id", F.when(F.col("evidence_line") < 4, F.lit("o1")).otherwise(F.col("project_id"))).dropDuplicates(["project_id", "id"]))
+    rows = ev.evaluation_rows(deps, intents, core.corpus())
+    outcomes = ev.evaluate(rows, core.corpus(), b.TODAY)
+    joined, own = sbom.components(deps, outcomes, intents), sbom.evaluated_components(rows, core.corpus(), b.TODAY)
+    said = ["project_id", "intent_id", "id", "component_severity", "undetermined", "findings"]
+    assert sorted(map(str, joined.select(*said).collect())) == sorted(map(str, own.select(*said).collect()))
+    for size in (100, 5000):  # o1 on several pages, and on one
+        want = sbom.cyclonedx(joined, vd.fold(outcomes, intents), sbom.document_digest(deps), page_size=size)
+        got = sbom.cyclonedx(own, page_size=size)
+        assert sorted(map(str, want.collect())) == sorted(map(str, got.collect())) and (want.agg(F.max("pages")).first()[0] > 1) == (size == 100)
+    before, after = [d._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") for d in (want, got)]
+    assert after * 3 <= before
+
+
 def test_reports_are_written_in_order(spark, tmp_path):
     deps, intents = b.dependencies(spark, SF), b.intents(spark, SF)
     outcomes = session.materialise(ev.evaluate(ev.evaluation_rows(deps, intents, core.corpus()), core.corpus(), b.TODAY))
