@@ -112,7 +112,7 @@ def stale_lockfiles(spark, sf):
 @query
 def longest_prefix_owner(spark, sf):
     """Files inside dependency trees, their scope and the package that owns them."""
-    f = files(spark, sf)
+    f = b.shared(files(spark, sf))
     units = fs.discover_units(f)
     inside = own.containing_scope(f.filter(fs.inside_dependency_dir()).select("project_id", "rel"), units)
     names = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(s).alias("scope")) for n, s in (

@@ -124,3 +124,14 @@ def test_sarif_rules_evaluate_once(spark):
 def test_payloads_are_written_and_read_once_a_row(spark):
     text = rq.payload_rows(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert text.count("parseJson(") == 1 and text.count("to_json(") <= 1, text
+
+
+def test_files_with_an_owner_are_made_once(spark):
+    from lexfleet.plans import load_queries
+
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # the whole plan, with the shuffles it reuses
+    try:
+        assert plan(load_queries()["longest_prefix_owner"](spark, SF)).count("FileScan parquet") == 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
