@@ -94,6 +94,23 @@ def test_suffix_dedup_edges(spark):
     assert [r.n_removed for r in suffix_dedup.remove(same).collect()] == [28 * 9] * 2
 
 
+def test_suffix_sorts_stay_small(spark, monkeypatch):
+    """One passage in many texts: no sort takes more than its limit, however often it stands there."""
+    rnd, limit, plain = random.Random(5), 1 << 14, suffix_dedup.repeated
+    word = lambda n: "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz ", k=n))
+    passage = word(300)
+    texts = [word(rnd.randrange(150, 260)) + passage + word(rnd.randrange(150, 260)) for _ in range(300)] + [word(400) for _ in range(20)]
+
+    def small(pieces, window):
+        assert sum(map(len, pieces)) <= limit, "a sort beyond its limit"
+        return plain(pieces, window)
+
+    monkeypatch.setattr(suffix_dedup, "SORT_BYTES", limit)
+    monkeypatch.setattr(suffix_dedup, "repeated", small)
+    got = by_id(suffix_dedup.remove(frame(spark, texts), hot=16), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == dict(enumerate(brute.windows_removed(texts)))
+
+
 # 2 language ID
 
 
