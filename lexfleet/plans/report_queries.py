@@ -308,7 +308,7 @@ def _added(texts):
 @query
 def sarif_documents(spark, sf):
     """SARIF logs in small pages, opened again: results, their rules by index, a sum over all."""
-    docs = reports.sarif_documents(core.rule_outcomes(spark, sf), page_size=7)
+    docs = reports.sarif_documents(core.rule_outcomes(spark, sf, shared=True), page_size=7)
     result = "struct<ruleId:string,ruleIndex:int,level:string,locations:array<struct<physicalLocation:struct<artifactLocation:struct<uri:string>,region:struct<startLine:int>>>>>"
     log = F.from_json("document", f"version string, runs array<struct<tool:struct<driver:struct<rules:array<struct<id:string>>>>,results:array<{result}>>>")
     d = docs.select("project_id", log.alias("log")).select("project_id", "log.version", F.get("log.runs", F.lit(0)).alias("run"))
