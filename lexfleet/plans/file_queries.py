@@ -7,6 +7,7 @@ from lexfleet.operators import graph, ownership as own
 from lexfleet.operators.ranking import ordinal_within
 from lexfleet.plans import bindings as b
 from lexfleet.plans.registry import query
+from lexfleet.session import pinned
 from lexfleet.sources import assets, files as fs, manifests as mf
 
 TOPS = ["src", "vendor", "node_modules", ".git", "docs/a", "app/dist", "lib/venv"]
@@ -68,9 +69,9 @@ def byte_budgets(spark, sf):
     return fs.byte_budget(files(spark, sf), 9_000_000).select("project_id", "rel", "over_budget")
 
 
-def ignore_rules(spark, sf):
-    """Three hand-written rules for every project."""
-    p = files(spark, sf).select("project_id").distinct()
+def ignore_rules(spark, sf, of=None):
+    """Three hand-written rules for every project of the files."""
+    p = (files(spark, sf) if of is None else of).select("project_id").distinct()
     rules = F.array(*[F.struct(F.lit(i).alias("ordinal"), F.lit(r).alias("path")) for i, r in enumerate(["src/**", "docs/a/*", "vendor/LICENSE"])])
     return p.select("project_id", F.inline(rules))
 
@@ -97,8 +98,8 @@ def ignore_patterns(spark, sf):
 @query
 def warning_order(spark, sf):
     """Warnings of a scan, numbered in the order in which a report lists them."""
-    f = files(spark, sf)
-    marked = fs.mark_ignores(fs.within_limits(f), ignore_rules(spark, sf))
+    f = pinned(files(spark, sf).select("project_id", "rel", "length").repartition("project_id"))  # read by both warnings, their numbering and the rules
+    marked = fs.mark_ignores(fs.within_limits(f), ignore_rules(spark, sf, f))
     rows = fs.over_limit_warnings(marked).unionByName(fs.ignore_warnings(marked)).withColumn("message", F.lit(""))
     return graph.in_order(rows, graph.WARNING_ORDER).select("project_id", "position", "code", "path")
 
