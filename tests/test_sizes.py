@@ -135,3 +135,39 @@ def test_files_with_an_owner_are_made_once(spark):
         assert plan(load_queries()["longest_prefix_owner"](spark, SF)).count("FileScan parquet") == 1
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
+@pytest.fixture
+def whole_plans(spark):
+    """Plans with the shuffles they reuse and the stages they compile."""
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    yield
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
+def test_rules_and_items_are_steps_outside_of_whole_stages(spark, whole_plans):
+    from lexfleet.plans import core
+    from lexfleet.sinks import reports
+
+    lines = plan(reports.document_items(core.rule_outcomes(spark, SF))).splitlines()
+    for made in (" AS _hits", " AS _cells"):
+        steps = [line for line in lines if made in line]
+        assert steps and not any("*(" in line.split("Project")[0] for line in steps)
+
+
+@pytest.mark.parametrize("name,most", [("verdict_json", 1), ("clock_free_hash", 1), ("sarif_documents", 1), ("spdx_documents", 1), ("warning_order", 1)])
+def test_readers_of_the_same_rows_share_their_shuffles(spark, whole_plans, name, most):
+    from lexfleet.plans import load_queries
+
+    text = plan(load_queries()[name](spark, SF))
+    assert sum("FileScan parquet" in line and "l_partkey" in line for line in text.splitlines()) <= most
+
+
+def test_known_sizes_save_the_count_of_a_ranking(spark):
+    rows = spark.range(6).select((F.col("id") % 2).alias("g"), F.col("id").alias("k"))
+    sizes = spark.createDataFrame([(0, 3), (1, 3)], "g long, _n long")
+    broken = rows.withColumn("k", F.when(F.col("k") >= 0, F.raise_error(F.lit("made"))).cast("long"))
+    ordinal_within(broken, ["g"], ["k"], sizes=sizes)  # makes no row
+    for limit in (2, 9):
+        assert sorted(tuple(r) for r in ordinal_within(rows, ["g"], ["k"], limit=limit, sizes=sizes).collect()) == [(0, 0, 1), (0, 2, 2), (0, 4, 3), (1, 1, 1), (1, 3, 2), (1, 5, 3)]
